@@ -1,8 +1,8 @@
 """SentencePiece encoding with a merge-type vocabulary, and decoding.
 
-A text becomes ``▁`` plus itself with spaces as ``▁``, cut before each run of ``▁``: no piece of such a
-vocabulary (this is verified when the model is loaded) goes on over such a cut, so each chunk is encoded for
-itself and remembered. Within a chunk an agenda of adjacent symbol pairs gives the pair with the highest score
+A text becomes ``▁`` plus itself with spaces as ``▁``, cut before each run of ``▁`` and where two characters
+meet that stand side by side in no piece. No piece goes on over such a cut (for ``▁`` this is verified when
+the model is loaded), so each chunk is encoded for itself and remembered. Within a chunk an agenda of adjacent symbol pairs gives the pair with the highest score
 first, the leftmost of equal ones; merging it puts its new neighbours on the agenda. Symbols that are no piece
 become byte pieces. In each Arrow batch the chunks not met before are encoded by the sentencepiece library
 too, and a difference ends the job.
@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -25,94 +26,189 @@ from pyspark.sql import functions as F
 from .common import arrow_map, table
 
 SPACE = "▁"
-CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
-#: Chunks remembered by a task at most, and the longest one remembered.
-REMEMBERED, LONG = 200_000, 200
+#: Chunks remembered by a Python worker at most, and the longest one remembered.
+REMEMBERED, LONG = 800_000, 60
+#: Chunks of up to so many characters are merged many at a time, longer ones by a heap.
+SHORT = 40
+NOTHING = 1 << 40
 MODEL = "piece_bpe_32k.model"
 
 
 class MergeCodec:
     def __init__(self, model_file: str):
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        size = sp.get_piece_size()
+        self.size = size = sp.get_piece_size()
         plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in plain}
+        self.pieces = {sp.id_to_piece(i): i for i in plain}
         self.bytes = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(size) if sp.is_byte(i)}
         self.unknown, self.end = sp.unk_id(), sp.eos_id()
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("this vocabulary merges over spaces")
-        self.known: dict[str, list[int]] = {}
+        # Symbols are numbers: a piece's id, or a number past the vocabulary for other characters in pieces.
+        self.symbols = dict(self.pieces)
+        for ch in sorted({ch for p in self.pieces for ch in p} - self.pieces.keys()):
+            self.symbols[ch] = size + len(self.symbols) - len(self.pieces)
+        self.stranger = size + len(self.symbols)
+        merged = [i for p, i in self.pieces.items() if len(p) > 1]
+        rank = {score: r for r, score in enumerate(sorted({sp.get_score(i) for i in merged}, reverse=True))}
+        #: (left symbol, right symbol) to (rank of the merged piece's score, its symbol), both packed in one number.
+        self.pairs: dict[int, int] = {}
+        for p, i in self.pieces.items():
+            for cut in range(1, len(p)):
+                left, right = self.symbols.get(p[:cut]), self.symbols.get(p[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 20 | right] = rank[sp.get_score(i)] << 20 | i
+        self.line_feed = self.bytes[10]
+        self.pair_keys = np.array(sorted(self.pairs), dtype=np.int64)
+        packed = np.array([self.pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
+        self.pair_ranks, self.pair_symbols = packed >> 20, (packed & 0xFFFFF).astype(np.int32)
+        self.by_code = np.full(0x110000, self.stranger, dtype=np.int32)
+        for ch, symbol in self.symbols.items():
+            if len(ch) == 1:
+                self.by_code[ord(ch)] = symbol
+        self.known: dict[str, bytes] = {}
+        # Marks that follow a letter in no piece; the text is cut between the two.
+        joined = {(a, b) for p in self.pieces for a, b in zip(p, p[1:], strict=False)}
+        self.marks = "".join(m for m in ".,;:!?|%&$*<>()[]\"'-" if not any(b == m and a.isalpha() for a, b in joined))
+        own = re.escape(self.marks)
+        rest = f"(?:[^{SPACE}{own}]+|(?<![^\\W\\d_])[{own}])*" if own else f"[^{SPACE}]*"
+        self.chunk = re.compile(f"{SPACE}+{rest}" + f"|[{own}]{rest}" * bool(own))
 
     def chunks(self, text: str) -> list[str]:
         """Nothing for an empty text; else chunks that give the text when joined."""
-        return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def merge(self, chunk: str) -> list[int]:
         """The ids of one chunk by the agenda."""
-        symbols: list[str | None] = list(chunk)
+        get, pairs, push, pop, stranger = self.symbols.get, self.pairs.get, heapq.heappush, heapq.heappop, self.stranger
+        symbols = [get(ch, stranger) for ch in chunk]
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple[float, int, int, str]] = []
-
-        def propose(left: int, right: int) -> None:
-            if left >= 0 and right >= 0 and (found := self.pieces.get(pair := symbols[left] + symbols[right])):
-                heapq.heappush(agenda, (-found[1], left, right, pair))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
+        # An agenda entry is the merged piece's rank, then the place of the left symbol, in one number.
+        agenda = [(found >> 20) << 40 | i for i in range(n - 1) if (found := pairs(symbols[i] << 20 | symbols[i + 1])) is not None]
+        heapq.heapify(agenda)
         while agenda:
-            _, left, right, pair = heapq.heappop(agenda)
-            # A stale proposal: one of its symbols has been merged since.
-            if symbols[left] is None or after[left] != right or symbols[left] + symbols[right] != pair:
+            entry = pop(agenda)
+            left = entry & 0xFFFFFFFFFF
+            right = after[left]
+            if right < 0 or symbols[left] < 0:
                 continue
-            symbols[left], symbols[right] = pair, None
-            after[left] = after[right]
-            if after[right] >= 0:
-                before[after[right]] = left
-            propose(before[left], left)
-            propose(left, after[left])
-        ids: list[int] = []
-        for s in symbols:
-            if s is None:
+            merged = pairs(symbols[left] << 20 | symbols[right])
+            # A stale entry: one of its symbols has been merged since.
+            if merged is None or merged >> 20 != entry >> 40:
                 continue
-            if s in self.pieces:
-                ids.append(self.pieces[s][0])
+            symbols[left], symbols[right] = merged & 0xFFFFF, -1
+            after[left] = follower = after[right]
+            if (leader := before[left]) >= 0 and (found := pairs(symbols[leader] << 20 | symbols[left])) is not None:
+                push(agenda, (found >> 20) << 40 | leader)
+            if follower >= 0:
+                before[follower] = left
+                if (found := pairs(symbols[left] << 20 | symbols[follower])) is not None:
+                    push(agenda, (found >> 20) << 40 | left)
+        return self._ids(chunk, symbols)
+
+    def merge_many(self, chunks: list[str]) -> list[bytes]:
+        """Chunks of one length by the same agenda, a row each: place i holds the rank of merging symbols i and i + 1.
+
+        In each round every row merges its first lowest rank; rows with nothing left to merge drop out.
+        """
+        size = len(chunks[0])
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le"), dtype=np.uint32).reshape(-1, size)
+        symbols = self.by_code[codes]
+        out: list[bytes] = [b""] * len(chunks)
+        plain = (symbols < self.size).all(axis=1)
+        for i in np.nonzero(~plain)[0]:
+            out[i] = np.array(self.merge(chunks[i]), dtype=np.int32).tobytes()
+        rows, symbols = np.nonzero(plain)[0], symbols[plain]
+        agenda, _ = self.proposals(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            if symbols.shape[1] > 1:
+                best = agenda.argmin(axis=1)
+                done = agenda[np.arange(len(rows)), best] == NOTHING
             else:
-                ids.extend(self.bytes.get(b, self.unknown) for b in s.encode())
+                done = np.ones(len(rows), dtype=bool)
+            if done.any():
+                for i, ids in zip(rows[done].tolist(), symbols[done], strict=True):
+                    out[i] = ids.tobytes()
+                rows, symbols, agenda = rows[~done], symbols[~done], agenda[~done]
+                if not len(rows):
+                    break
+                best = best[~done]
+            at = np.arange(len(rows))
+            _, merged = self.proposals(symbols[at, best], symbols[at, best + 1])
+            # Move what stands right of the pair one place to the left.
+            width = np.arange(symbols.shape[1] - 1)
+            symbols = np.take_along_axis(symbols, width + (width > best[:, None]), axis=1)
+            symbols[at, best] = merged
+            spots = np.arange(agenda.shape[1] - 1)
+            agenda = np.take_along_axis(agenda, spots + (spots >= best[:, None]), axis=1)
+            left = np.nonzero(best > 0)[0]
+            if len(left):
+                agenda[left, best[left] - 1], _ = self.proposals(symbols[left, best[left] - 1], symbols[left, best[left]])
+            right = np.nonzero(best < agenda.shape[1])[0]
+            if len(right):
+                agenda[right, best[right]], _ = self.proposals(symbols[right, best[right]], symbols[right, best[right] + 1])
+        return out
+
+    def proposals(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of the merged piece (NOTHING if there is none), and its symbol."""
+        keys = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        hit = self.pair_keys[at] == keys
+        return np.where(hit, self.pair_ranks[at], NOTHING), self.pair_symbols[at]
+
+    def _ids(self, chunk: str, symbols: list[int]) -> list[int]:
+        """Piece ids; a symbol that is no piece is one character, written in byte pieces."""
+        size = self.size
+        if max(symbols) < size:
+            return [s for s in symbols if s >= 0]
+        ids: list[int] = []
+        for ch, s in zip(chunk, symbols, strict=True):
+            if 0 <= s < size:
+                ids.append(s)
+            elif s >= size:
+                ids.extend(self.bytes.get(b, self.unknown) for b in ch.encode())
         return ids
 
-    def learn(self, chunks: set[str]) -> dict[str, list[int]]:
-        """Encode chunks by the agenda and check each against the library."""
-        # The library puts one more space before a text; a chunk that starts with one gets it from there.
-        asked = sorted(chunks)
-        theirs = self.library.encode([c[1:].replace(SPACE, " ") if c.startswith(SPACE) else c for c in asked], num_threads=1)
-        found = {}
-        for chunk, want in zip(asked, theirs, strict=True):
-            found[chunk] = self.merge(chunk)
-            # A lone leading space has no text after it, for which the library gives nothing.
-            if found[chunk] != want and chunk != SPACE:
-                raise ValueError(f"the agenda and the library differ on {chunk[:80]!r}")
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Encode chunks by the agenda and check them against the library, many in one call.
+
+        The chunks are joined by line feeds, which no piece but a byte piece holds, so that the library's ids
+        are those of the chunks with that byte piece between them.
+        """
+        by_size: dict[int, list[str]] = {}
+        for c in chunks:
+            by_size.setdefault(len(c), []).append(c)
+        found: dict[str, bytes] = {}
+        for n, group in by_size.items():
+            ids = self.merge_many(group) if n <= SHORT else [np.array(self.merge(c), dtype=np.int32).tobytes() for c in group]
+            found.update(zip(group, ids, strict=True))
+        asked = [c for c in chunks if "\n" not in c]
+        line_feed = np.array([self.line_feed], dtype=np.int32).tobytes()
+        for group in [asked[i : i + 256] for i in range(0, len(asked), 256)] + [[c] for c in chunks if "\n" in c]:
+            # The library itself puts one space before a text.
+            theirs = self.library.encode("\n" + "\n".join(group).replace(SPACE, " "))
+            if np.array(theirs[2:], dtype=np.int32).tobytes() != line_feed.join([found[c] for c in group]):
+                raise ValueError(f"the agenda and the library differ within {group[:2]!r}")
         return found
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with an end id."""
         cut = [self.chunks(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        fresh = {c for cs in cut for c in cs if c not in known}
-        learned = self.learn(fresh)
-        known.update((c, ids) for c, ids in learned.items() if len(c) <= LONG)
-        long = {c: ids for c, ids in learned.items() if len(c) > LONG}
-        for cs in cut:
-            ids: list[int] = []
-            for c in cs:
-                ids += known[c] if c in known else long[c]
-            ids.append(self.end)
-            yield ids
+        fresh = set().union(*cut).difference(known)
+        known.update(self.learn(fresh))
+        end = np.array([self.end], dtype=np.int32).tobytes()
+        coded = [b"".join(map(known.__getitem__, cs)) + end for cs in cut]
+        for c in fresh:
+            if len(c) > LONG:
+                del known[c]
+        return [np.frombuffer(x, dtype=np.int32) for x in coded]
 
-    def decode(self, ids: list[int]) -> str:
-        return self.library.decode(ids)
+    def decode(self, ids: np.ndarray) -> str:
+        return self.library.decode(ids.tolist())
 
 
 @cache
@@ -133,7 +229,7 @@ def encode_decode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", t
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                ids = list(c.encode([t or "" for t in b.column("_text").to_pylist()]))
+                ids = c.encode([t or "" for t in b.column("_text").to_pylist()])
                 yield {"_id": b.column("_id"), "ids": ids, "decoded": [c.decode(x) for x in ids]}
 
     kind = docs.schema[id_col].dataType.simpleString()
