@@ -70,12 +70,8 @@ class LanguageModel:
         return self.gram_logs[ids].mean(axis=0) if ids else np.zeros(len(self.langs))
 
     def row(self, word: str) -> int:
-        """The row of a word not known, worked out; the rows for such words are used anew when all are taken."""
+        """The row of a word not known, worked out."""
         at = len(self.known)
-        if at >= len(self.logs):
-            for w in list(self.known)[self.n_known :]:
-                del self.known[w]
-            at = self.n_known
         self.logs[at] = self.unseen(word)
         self.known[word] = at
         return at
@@ -87,7 +83,10 @@ class LanguageModel:
             return "und", 0.0
         total = np.zeros(len(self.langs))
         get, row = self.known.get, self.row
-        for at in range(0, len(words), 5000):  # fewer than the rows for unseen words
+        for at in range(0, len(words), 5000):
+            if len(self.known) + 5000 > len(self.logs):  # the rows for unseen words are used anew
+                for w in list(self.known)[self.n_known :]:
+                    del self.known[w]
             ids = [i if (i := get(w)) is not None else row(w) for w in words[at : at + 5000]]
             total += self.logs[ids].sum(axis=0)
         # Twenty words are as much evidence as any number, or every long text would score one.

@@ -10,7 +10,6 @@ too, and a difference ends the job.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 from collections.abc import Iterator
