@@ -11,6 +11,7 @@ each pass over the posteriors.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,7 +168,7 @@ def with_rates(members: DataFrame, pulls: list[list[float]], k: int, floor: floa
 
 def copies(rate: F.Column, doc_id: F.Column) -> F.Column:
     """How often a document is repeated: its rate's whole part, and once more for the share of ids left over."""
-    spread = F.pmod(F.xxhash64(doc_id.cast("string"), F.lit("copy")), F.lit(1_000_000)) / 1_000_000
+    spread = F.coalesce(F.crc32(F.concat(F.lit("copy"), doc_id.cast("string")).cast("binary")) % 1_000_000, F.lit(0)) / 1_000_000
     return (F.floor(rate) + (spread < rate - F.floor(rate)).cast("int")).cast("int")
 
 
@@ -198,9 +199,22 @@ CLEAN_TARGETS = {"high": 0.80, "low": 0.20}
 def repeat_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = CLEAN_TARGETS) -> DataFrame:
     """The documents, each as often as its rate says, with all columns.
 
-    Here rates are one or more: targets are met by repeating documents, and none is lost. The rates are joined
-    to the rows by doc_id; rows with a null id stay once.
+    Here rates are one or more: targets are met by repeating documents, and none is lost. A row's rate follows
+    from its text and the fitted steps, so the texts are read again but neither joined nor moved.
     """
-    mixed = mix(docs, labels, targets, floor=1.0).filter("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(mixed, "doc_id", "left").withColumn("_copies", F.greatest(F.coalesce("_copies", F.lit(1)), F.lit(1)))
-    return joined.withColumn("_again", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+    domains = sorted(targets)
+    model = fit_domains(docs, labels, domains)
+    members = checkpointed(memberships(docs, model, "doc_id"))
+    pulls, _, _ = fit_rates(members, [targets[d] for d in domains], floor=1.0)
+    shared = docs.sparkSession.sparkContext.broadcast((model, pulls))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, steps = shared.value
+        for b in batches:
+            _, p = fitted.posteriors(utf8(b, "text"))
+            rate = rates_after(p.round(6), steps, 1.0)[:, 0].round(6)
+            spread = np.array([0 if i is None else zlib.crc32(f"copy{i}".encode()) % 1_000_000 for i in b.column("doc_id").to_pylist()]) / 1_000_000
+            times = np.floor(rate) + (spread < rate - np.floor(rate))
+            yield b.take(pa.array(np.repeat(np.arange(b.num_rows), times.astype(int))))
+
+    return docs.mapInArrow(run, docs.schema)
