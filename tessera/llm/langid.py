@@ -57,7 +57,7 @@ class LanguageModel:
         self.grams, self.gram_logs = gram_table
         self.n_known = len(self.known)
         #: Rows of the known words, then of unseen words met lately.
-        self.logs = np.vstack([known_logs.reshape(-1, len(langs)), np.zeros((REMEMBERED, len(langs)))])
+        self.logs = np.vstack([known_logs, np.zeros((REMEMBERED, len(langs)))])
 
     def unseen(self, word: str) -> np.ndarray:
         """The score of a word by its n-grams; all zero if not even a character is known."""
