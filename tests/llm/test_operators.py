@@ -185,7 +185,7 @@ def test_language_model_scores(spark):
 def test_suffix_tree_sums_to_one():
     end = suffix_tree_lm.END
     words = {b"a": 400, b"b": 400, b"c": 300, end: 100}
-    tree = suffix_tree_lm.SuffixTree.grow(words, 1200, 4, {b"a b": 350, b"b c": 250, b"b \n": 50}, {b"a b c": 240})
+    tree = suffix_tree_lm.SuffixTree.grow(words, 1200, 4, {b"a b": 200, b"b c": 250, b"b \n": 50}, {b"a b c": 195})
     assert len(tree.keys1) and len(tree.contexts2)
     number = {w: i for i, w in enumerate(tree.words)}
     everything = [*words, b"unknown"]
