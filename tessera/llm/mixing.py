@@ -2,7 +2,7 @@
 
 A naive Bayes classifier, learned from the labelled table, gives each document a posterior over the domains.
 A rate for each document, not below zero, is fitted so that the expected tokens of every domain,
-``sum(rate * tokens * posterior)``, meet the targets in least squares. The fit is an accelerated projected
+``sum(rate * tokens * posterior)``, meet the targets in (weighted) least squares. The fit is an accelerated projected
 gradient, run over the whole table: the gradient of a document's rate is its posterior times the residuals of
 the domains, so a step needs just one number a domain from all documents together. The rates themselves are
 never stored between steps: they follow from the residuals of the steps so far, and are worked out anew in
@@ -96,7 +96,7 @@ def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", tex
 def rates_after(posterior: np.ndarray, pulls: list[list[float]], floor: float = 0.0) -> np.ndarray:
     """Rates and look-ahead rates of the accelerated projected gradient after the given steps.
 
-    ``pulls``: for each step the domain residuals times the step size. All rates start at one and are
+    ``pulls``: for each step the weighted domain residuals. All rates start at one and are
     projected to ``floor`` or more.
     """
     rate = ahead = np.ones(len(posterior))
@@ -141,14 +141,15 @@ def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, step
     target = w * (have / w).max() if have.sum() else np.zeros(k)
     if not have.sum():
         return [], have, target
-    # Rates are moved in the metric of their tokens; there this is the least squares problem's largest curvature.
-    size = 1 / np.linalg.eigvalsh(curve).max()
+    # The residuals are weighted by the inverse of the domains' second moments, and rates moved in the metric of
+    # their tokens: there the least squares problem has a largest curvature of one, however alike the domains are.
+    weight = np.linalg.inv(curve + 1e-9 * np.trace(curve) * np.eye(k))
     pulls: list[list[float]] = []
     now, ahead = have, have
     for _ in range(steps):
         if np.abs(now - target).max() <= TOLERANCE * target.sum():
             break
-        pulls.append(((ahead - target) * size).tolist())
+        pulls.append((weight @ (ahead - target)).tolist())
         got = totals(pulls)
         now, ahead = got[:k], got[k : 2 * k]
     return pulls, now, target
