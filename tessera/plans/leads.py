@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expr import EMAIL, lisbon_day, plausible_phone, reasons, window_state
 from tessera.sources.io import read_table
-from tessera.streaming.leads import stream_first_by_key, stream_daily
+from tessera.streaming.leads import stream_daily, stream_first_by_key, stream_lease_states
 
 from .registry import query
 
@@ -62,8 +62,11 @@ def daily_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(lisbon_day(F.col("ts")).alias("day"), "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query("""SELECT event_id, CASE WHEN gap IS NULL THEN 'claim' WHEN gap < 60 THEN 'held' WHEN gap < 82800 THEN 're-claim' ELSE 'manual' END AS state FROM
-(SELECT event_id, epoch_ms(ts) // 1000 - lag(epoch_ms(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)""")
+_LEASES = """SELECT event_id, CASE WHEN gap IS NULL THEN 'claim' WHEN gap < 60 THEN 'held' WHEN gap < 82800 THEN 're-claim' ELSE 'manual' END AS state FROM
+(SELECT event_id, epoch_ms(ts) // 1000 - lag(epoch_ms(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)"""
+
+
+@query(_LEASES)
 def lease_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a worker may do with a user's next event: 60 seconds of lease, 23 hours of retries."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -111,3 +114,9 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {_DAY} AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_daily(spark, f"{sf_dir}/events.parquet")
+
+
+@query(_LEASES)
+def stream_lease(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lease states from a stream of the events."""
+    return stream_lease_states(spark, f"{sf_dir}/events.parquet")

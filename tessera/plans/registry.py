@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import catalogue, leads, migration, site  # noqa: E402, F401
+from . import catalogue, conversion, leads, migration, site  # noqa: E402, F401

@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_folder(spark: SparkSession) -> str:
@@ -60,3 +63,26 @@ def stream_daily(spark: SparkSession, path: str) -> DataFrame:
     query.awaitTermination()
     rows = spark.read.schema("day date, event_type string, n long").parquet(f"{folder}/out")
     return rows.groupBy("day", "event_type").agg(F.sum("n").alias("n"))
+
+
+#: Seconds that a claim is held, and after which a key is left to people.
+LEASE, RETRIES = 60, 82_800
+
+
+def stream_lease_states(spark: SparkSession, path: str) -> DataFrame:
+    """``event_id, state`` of each event by the time since its user's event before it, which is all the state kept."""
+
+    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(["ms", "event_id"])
+        at = rows["ms"] // 1000
+        before = at.shift(1)
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        gap = at - before
+        told = pd.Series("manual", index=rows.index).mask(gap < RETRIES, "re-claim").mask(gap < LEASE, "held").mask(gap.isna(), "claim")
+        state.update((int(at.iloc[-1]),))
+        yield pd.DataFrame({"event_id": rows["event_id"], "state": told})
+
+    rows = _events(spark, path).select("user_id", "event_id", F.unix_millis("ts").alias("ms"))
+    judged = rows.groupBy("user_id").applyInPandasWithState(judge, "event_id long, state string", "at long", "append", GroupStateTimeout.NoTimeout)
+    return _run(judged, spark)
