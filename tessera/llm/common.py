@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but space and the five ASCII controls tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Shares of rows are told by a hash modulo this: fine enough for a few thousand of 10**11 rows.
+FINE = 10**12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +73,8 @@ def bounded_sample(rows: DataFrame, key: str, by: str, most: int) -> DataFrame:
     ``most`` up to the spread of the hash. Only the class counts go to the driver.
     """
     counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
-    spread = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000))
+    spread = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(FINE))
     keep = F.lit(False)
     for value, n in counts.items():
-        keep = F.when(F.col(by).eqNullSafe(F.lit(value)), spread < int(1_000_000 * min(1.0, most / n))).otherwise(keep)
+        keep = F.when(F.col(by).eqNullSafe(F.lit(value)), spread < int(FINE * min(1.0, most / n))).otherwise(keep)
     return rows.filter(keep)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, checkpointed, table
+from .common import FINE, arrow_map, checkpointed, table
 
 #: Vectors the routing objects are chosen from, and the most routing objects at the root.
 SAMPLE, ROUTES = 4096, 256
@@ -148,8 +148,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     asked = checkpointed(quantised(queries, id_col, vec_col).distinct())
     n, width = merged.agg(F.count("*"), F.max(F.length("vec"))).first()
     width = max(1, (width or 0) // 4, (asked.agg(F.max(F.length("vec"))).first()[0] or 0) // 4)
-    spread = F.pmod(F.xxhash64("vec"), F.lit(1_000_000))
-    sample = merged.filter(spread < max(1, int(1_000_000 * min(1.0, SAMPLE / max(1, n))))).select("vec").toArrow().column("vec").to_pylist()
+    spread = F.pmod(F.xxhash64("vec"), F.lit(FINE))
+    sample = merged.filter(spread < max(1, int(FINE * min(1.0, SAMPLE / max(1, n))))).select("vec").toArrow().column("vec").to_pylist()
     points = matrix(sorted(sample) or [b""], width)
     routes = points[spread_out(points, min(ROUTES, max(1, n // 1024)))]
 

@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpointed, table, utf8
+from .common import FINE, arrow_map, checkpointed, table, utf8
 from .components import components
 
 #: Bands as masks; together they cover every bit once.
 BANDS = np.array([(1 << 21) - 1, ((1 << 21) - 1) << 21, ((1 << 22) - 1) << 42], dtype=np.uint64)
-#: The tree is fitted on about so many distinct fingerprints.
-SAMPLE = 8192
+#: The tree is fitted on so many distinct fingerprints at least and at most; in between, on 16 for each shard.
+SAMPLE, MOST_SAMPLE = 8192, 131_072
 #: A shard holds about so many fingerprints, a leaf within it at most so many.
 SHARD, LEAF = 6000, 256
 
@@ -193,8 +193,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     distinct = checkpointed(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
     n = distinct.count()
-    spread = F.pmod(F.xxhash64("fp"), F.lit(1_000_000))
-    sample = distinct.filter(spread < max(1, int(1_000_000 * min(1.0, SAMPLE / max(1, n))))).select("fp").toArrow().column("fp").to_numpy()
+    size = min(MOST_SAMPLE, max(SAMPLE, 16 * n // SHARD))
+    spread = F.pmod(F.xxhash64("fp"), F.lit(FINE))
+    sample = distinct.filter(spread < max(1, int(FINE * min(1.0, size / max(1, n))))).select("fp").toArrow().column("fp").to_numpy()
     sample = np.sort(sample).view(np.uint64)
     trees = [VantageTree(sample, m, max(1, min(len(sample) // 16, n // SHARD))) for m in BANDS] if n > 1 else []
 
