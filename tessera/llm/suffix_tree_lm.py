@@ -6,170 +6,241 @@ scored word by word from the state of the longest kept suffix of what came befor
 follower that a state has stored has a smoothed probability there, any other one takes its share of what is
 left by the distribution of the state's suffix, so every state's distribution sums to one.
 
-Counting. The root's counts are kept for every word and never leave the cluster. Longer contexts count if they
-and their follower make up ``SHARE`` of all training tokens, so there are at most ``1 / SHARE`` of each length
-and the tree has a bounded size, at any size of the corpus. What is frequent overall is frequent in some part of the
-corpus, so a first pass over parts finds all candidates and a second one counts these exactly.
+Counting. Every word, and every context of one or two words with a follower that occurs ``LEAST`` times, counts: what
+is learned of a passage depends on its own count, not on the size of the table. Words that occur so often get numbers,
+and the texts are kept as arrays of these, so that pairs and triples are counted by a shuffle of integers, packed by slots of a hash. Counts, the
+divergence test and the states are distributed tables; nothing but totals goes to the driver.
 
-Scoring. Texts are dealt by a hash into buckets of bounded size. A bucket asks for the counts of the distinct
-words it holds, which are joined to the word counts and handed back to it.
+Scoring. Texts are dealt by a hash into buckets of bounded size. A bucket asks for the distinct words, pairs and
+triples it holds; these are joined to the states, and what is there is handed back to it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, checkpointed, id_fold, table, utf8
 
 #: The token after the last word; no word holds a line feed.
 END = b"\n"
-#: Least share of the training tokens, and least count, of a context with its follower.
-SHARE, LEAST = 4e-6, 3
+#: Least count of a context with its follower.
+LEAST = 3
 #: A context is kept if its count times the divergence (nats) from its suffix reaches this.
 DIVERGENCE = 12.0
 #: Weight of the suffix's distribution in a state's.
 SMOOTH = 2.0
 #: Characters of a bucket, tokens of a part.
 BUCKET, PART = 12_000_000, 1_500_000
-#: Candidates are sent to every task only up to so many; beyond, all n-grams are counted by a shuffle.
-SENT = 500_000
+#: Heads of triples start here, those of pairs are below; a word alone has head -1.
+TRIPLE = 1 << 32
+#: Grams are dealt to slots by sums modulo this prime.
+PRIME = 2**31 - 1
+#: Columns of a state.
+STATE = (("head", np.int64), ("next", np.int64), ("p", float), ("pass", float))
 
 
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-class Part:
-    """Token numbers of several texts, each ended by number 0."""
-
-    def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {END: 0}
-        self.rows: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, text: bytes) -> None:
-        put, numbers = self.numbers.setdefault, self.numbers
-        row = np.array([put(w, len(numbers)) for w in tokens(text)], dtype=np.int64)
-        self.rows.append(row)
-        self.size += len(row)
-
-    def join(self, other: Part) -> None:
-        put, numbers = self.numbers.setdefault, self.numbers
-        new = np.array([put(w, len(numbers)) for w in other.numbers], dtype=np.int64)
-        self.rows += [new[row] for row in other.rows]
-        self.size += other.size
-
-    def grams(self, least: float) -> Iterator[tuple[int, list[bytes], list[int]]]:
-        """(length, n-grams as space-joined bytes, counts): all words, and pairs and triples that occur ``least`` times."""
-        words = list(self.numbers)
-        ids = np.concatenate(self.rows)
-        count = np.bincount(ids, minlength=len(words))
-        yield 1, words, count.tolist()
-        # A pair or triple within one text has no end but as its last token.
-        pair = ids[:-1] << 32 | ids[1:]
-        at = np.nonzero(ids[:-1] != 0)[0]
-        keys, place, n = np.unique(pair[at], return_inverse=True, return_counts=True)
-        often = n >= least
-        yield 2, [words[k >> 32] + b" " + words[k & 0xFFFFFFFF] for k in keys[often].tolist()], n[often].tolist()
-        number = np.full(len(ids), -1, dtype=np.int64)
-        number[at] = np.where(often, np.cumsum(often) - 1, -1)[place]
-        kept = keys[often]
-        start = np.nonzero((number[:-2] >= 0) & (ids[1:-1] != 0))[0] if len(ids) > 2 else np.zeros(0, dtype=np.int64)
-        keys, n = np.unique(number[start] << 32 | ids[start + 2], return_counts=True)
-        often = n >= least
-        pairs = [(kept[k >> 32], k & 0xFFFFFFFF) for k in keys[often].tolist()]
-        yield 3, [words[int(p) >> 32] + b" " + words[int(p) & 0xFFFFFFFF] + b" " + words[w] for p, w in pairs], n[often].tolist()
-
-
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
-    """The texts in parts of ``PART`` to one and a half times as many tokens; all in one part, if fewer."""
-    full, part = None, Part()
-    for b in batches:
-        for t in utf8(b, "text"):
-            part.add(t)
-            if part.size >= PART:
-                if full:
-                    yield full
-                full, part = part, Part()
-    if full and part.size < PART // 2:
-        full.join(part)
-        part = Part()
-    if full:
-        yield full
-    if part.size:
-        yield part
-
-
-GRAMS = "length int, gram binary, n long"
-
-
-def local_grams(texts: DataFrame, share: float) -> DataFrame:
-    """``GRAMS``: for each part of the texts all its words, and the pairs and triples that make up ``share`` of it."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word binary, c`` of all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for part in parts(batches):
-            for length, grams, n in part.grams(max(1.0, share * part.size)):
-                for i in range(0, len(grams), 50_000):
-                    yield {"length": [length] * len(grams[i : i + 50_000]), "gram": grams[i : i + 50_000], "n": n[i : i + 50_000]}
-
-    return arrow_map(texts.select("text"), run, GRAMS)
-
-
-def wanted_counts(part: Part, wanted: dict[int, list[tuple[bytes, list[bytes]]]]) -> Iterator[tuple[int, list[bytes], list[int]]]:
-    """(length, n-grams, counts) of the wanted n-grams (by length, each with its words) that a part holds."""
-    ids, size = np.concatenate(part.rows), len(part.numbers)
-    get = part.numbers.get
-    for length, grams in wanted.items():
-        found = [(g, x) for g, words in grams if None not in (x := [get(w) for w in words])]
-        if not found or len(ids) < length:
-            continue
-        x = np.array([x for _, x in found], dtype=np.int64)
-        if length == 2:
-            keys, codes = x[:, 0] * size + x[:, 1], (ids[:-1] * size + ids[1:])[ids[:-1] != 0]
-        else:
-            heads = np.unique(x[:, 0] * size + x[:, 1])
-            pair = ids[:-2] * size + ids[1:-1]
-            at = np.minimum(np.searchsorted(heads, pair), len(heads) - 1)
-            held = (heads[at] == pair) & (ids[:-2] != 0) & (ids[1:-1] != 0)
-            keys, codes = np.searchsorted(heads, x[:, 0] * size + x[:, 1]) * size + x[:, 2], (at * size + ids[2:])[held]
-        order = np.argsort(keys)
-        keys = keys[order]
-        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-        n = np.bincount(at[keys[at] == codes], minlength=len(keys))
-        some = np.nonzero(n)[0]
-        yield length, [found[order[i]][0] for i in some], n[some].tolist()
-
-
-def exact_grams(texts: DataFrame, wanted: list[bytes] | None) -> DataFrame:
-    """``GRAMS``: in each part of the texts the counts of the wanted pairs and triples; of all, if None."""
-    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+        found: Counter = Counter()
+        for b in batches:
+            for t in utf8(b, "text"):
+                found.update(tokens(t))
+                if len(found) > 200_000:
+                    yield {"word": list(found), "n": list(found.values())}
+                    found = Counter()
+        yield {"word": list(found), "n": list(found.values())}
+
+    return arrow_map(texts.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def numbered(counts: DataFrame) -> DataFrame:
+    """``word, c, number``: from 0 on for words that occur ``LEAST`` times, -1 - c for others. ``counts`` must be checkpointed."""
+    row = F.monotonically_increasing_id()
+    often = counts.filter(F.col("c") >= LEAST).withColumn("row", row)
+    # One row of each partition of the counts goes to the driver.
+    sizes = sorted(often.groupBy(F.shiftright("row", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    if sum(n for _, n in sizes) >= 1 << 31:
+        raise ValueError("more words than their numbers can tell apart")
+    first, at = {}, 0
+    for part, n in sizes:
+        first[part], at = at, at + n
+    offset = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.shiftright("row", 33)] if first else F.lit(0)
+    number = (offset + F.col("row").bitwiseAND((1 << 33) - 1)).cast("int")
+    return checkpointed(often.select("word", "c", number.alias("number")).union(counts.filter(F.col("c") < LEAST).select("word", "c", (-1 - F.col("c")).cast("int"))))
+
+
+def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of ``_id, text, train`` with a bucket of bounded size, and how many buckets there are."""
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_buckets = max(1, -(-size // BUCKET))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("_id", "text"), F.lit(n_buckets)).cast("int")), n_buckets
+
+
+def encoded(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``_id, bucket, train, ids``: the texts as the numbers of their tokens; words not met in training are -1."""
+
+    def ask(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        found = {END}
+        for t in group.column("text").cast(pa.binary()):
+            found.update((t.as_py() or b"").lower().split())
+        return pa.table({"bucket": pa.array([key[0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
+
+    def encode(key: tuple[pa.Scalar, ...], group: pa.Table, known: pa.Table) -> pa.Table:
+        get = dict(zip(known.column("word").to_pylist(), known.column("number").to_pylist(), strict=True)).get
+        ids = [np.array([get(w, -1) for w in tokens(t.as_py() or b"")], dtype=np.int32) for t in group.column("text").cast(pa.binary())]
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)))
+        return pa.table({"_id": group.column("_id"), "bucket": group.column("bucket"), "train": group.column("train"), "ids": lists})
+
+    asked = rows.groupBy("bucket").applyInArrow(ask, "bucket int, word binary")
+    given = asked.join(words, "word").select("bucket", "word", "number")
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(encode, f"_id {kind}, bucket int, train boolean, ids array<int>")
+
+
+def flat(lists: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens one after another, and each one's place in its text."""
+    chunks = lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]
+    ids = np.concatenate([np.zeros(0, dtype=np.int64), *(c.flatten().to_numpy(zero_copy_only=False) for c in chunks)]).astype(np.int64)
+    sizes = np.concatenate([np.zeros(0, dtype=np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in chunks)]).astype(np.int64)
+    return ids, np.arange(len(ids)) - np.repeat(sizes.cumsum() - sizes, sizes)
+
+
+def grams(ids: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(head, next, count) of the distinct words, pairs and triples of numbered words; none goes over a text's start."""
+    held = ids >= 0
+    words, n = np.unique(ids[held], return_counts=True)
+    yield np.full(len(words), -1, dtype=np.int64), words, n
+    two = np.nonzero(held[1:] & held[:-1] & (place[1:] > 0))[0] + 1
+    three = two[1:][(two[1:] == two[:-1] + 1) & (place[two[1:]] > 1)]
+    for at, head in ((two, ids[two - 1]), (three, (ids[three - 2] + 1) << 32 | ids[three - 1])):
+        heads, number = np.unique(head, return_inverse=True)
+        keys, n = np.unique(number.astype(np.int64) << 32 | ids[at], return_counts=True)
+        yield heads[keys >> 32], keys & 0xFFFFFFFF, n
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of eight bytes, compressed; the first is best in order."""
+    first, *rest = columns
+    both = np.concatenate([np.diff(first, prepend=0), *(c.view(np.int64) for c in rest)])
+    return zstandard.compress(both.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(blobs: list[bytes], kinds: list[type]) -> list[np.ndarray]:
+    """The columns of several packs, one pack after another."""
+    out = [[np.zeros(0, dtype=k)] for k in kinds]
+    for blob in blobs:
+        raw = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
+        columns = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(len(kinds), -1)
+        for i, c in enumerate(columns):
+            out[i].append(c.cumsum() if i == 0 else c.view(kinds[i]))
+    return [np.concatenate(x) for x in out]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        split = [(g, g.split(b" ")) for g in sent.value or ()]
-        by_length = {n: [x for x in split if len(x[1]) == n] for n in (2, 3)}
-        for part in parts(batches):
-            for length, grams, n in part.grams(1.0) if sent.value is None else wanted_counts(part, by_length):
-                if length > 1:
-                    yield {"length": [length] * len(grams), "gram": grams, "n": n}
 
-    return arrow_map(texts.select("text"), run, GRAMS)
+def packs(slots: int, head: np.ndarray, next_: np.ndarray, *more: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The slots that have rows, and the pack of each."""
+    slot = ((head % PRIME) * 7919 + next_ * 104729) % PRIME % slots
+    by = np.argsort(slot, kind="stable")
+    used, at = np.unique(slot[by], return_index=True)
+    return used.tolist(), [pack(*(c[i] for c in (head, next_, *more))) for i in np.split(by, at[1:])] if len(by) else []
+
+
+def slot_of(slots: int) -> Column:
+    """The same slot in a table with ``head`` and ``next``."""
+    return (((F.pmod("head", F.lit(PRIME)) * 7919 + F.col("next").cast("long") * 104729) % PRIME) % slots).cast("int")
+
+
+def gram_counts(coded: DataFrame, slots: int) -> DataFrame:
+    """``head, next, n`` of all pairs and triples that occur ``LEAST`` times in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        def counted(rows: list[pa.Array]) -> Iterator[dict]:
+            for columns in list(grams(*flat(pa.chunked_array(rows))))[1:]:
+                slot, packed = packs(slots, *columns)
+                yield {"slot": slot, "packed": packed}
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b.column("ids"))
+            size += len(b.column("ids").flatten())
+            if size >= PART:
+                yield from counted(held)
+                held, size = [], 0
+        if held:
+            yield from counted(held)
+
+    def merge(group: pa.Table) -> pa.Table:
+        head, next_, n = unpack(group.column("packed").to_pylist(), [np.int64] * 3)
+        heads, number = np.unique(head, return_inverse=True)
+        keys, at = np.unique(number.astype(np.int64) << 32 | next_, return_inverse=True)
+        n = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+        keys, n = keys[n >= LEAST], n[n >= LEAST]
+        return pa.table({"head": pa.array(heads[keys >> 32]), "next": pa.array((keys & 0xFFFFFFFF).astype(np.int32)), "n": pa.array(n)})
+
+    found = arrow_map(coded.filter("train").select("ids"), run, "slot int, packed binary")
+    return found.groupBy("slot").applyInArrow(merge, "head long, next int, n long")
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """``head, pass`` of the contexts that pass the test, from ``head, next, n, seen, before``; see ``SuffixTree.grow``."""
+    n, seen, before = F.col("n"), F.col("seen"), F.col("before")
+    sums = rows.groupBy("head").agg(
+        F.max(seen).alias("seen"), F.sum(n).alias("known"), F.sum(before).alias("before"), F.sum(n * F.log(n / seen / before)).alias("gain"),
+        F.sum((n + SMOOTH * before) / (seen + SMOOTH)).alias("stored"),
+    )
+    more, left_before = seen - F.col("known"), F.greatest(F.lit(1e-12), 1 - before)
+    gain = F.col("gain") + F.when(more > 0, more * F.log(more / seen / left_before)).otherwise(0.0)
+    return sums.filter(gain >= DIVERGENCE).select("head", F.log10(F.greatest(F.lit(1e-12), 1 - F.col("stored")) / left_before).alias("pass"))
+
+
+def states(words: DataFrame, found: DataFrame, total: int, distinct: int) -> DataFrame:
+    """``head, next, p, pass``: log10 of a word's own, or of a stored follower's probability; of what the context leaves.
+
+    ``p`` or ``pass`` is null where a pair's context, or the pair as a context, is not kept.
+    """
+    stored = F.log10((F.col("n") + SMOOTH * F.col("before")) / (F.col("seen") + SMOOTH))
+    known = words.filter("number >= 0").select("number", "c")
+    root = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
+    pairs = found.filter(F.col("head") < TRIPLE).join(known.select(F.col("number").alias("next"), root.alias("before")), "next")
+    pairs = pairs.join(known.select(F.col("number").cast("long").alias("head"), F.col("c").alias("seen")), "head")
+    one = checkpointed(kept(pairs))
+    p = F.when(F.col("pass").isNotNull(), stored)
+    pairs = checkpointed(pairs.join(one, "head", "left").select("head", "next", "n", p.alias("p"), F.coalesce(F.pow(F.lit(10.0), p), "before").alias("before")))
+    as_context = ((F.col("head") + 1) * TRIPLE + F.col("next")).alias("head")
+    triples = found.filter(F.col("head") >= TRIPLE).withColumn("suffix", F.col("head") % TRIPLE)
+    triples = triples.join(pairs.select(F.col("head").alias("suffix"), "next", "before"), ["suffix", "next"]).join(pairs.select(as_context, F.col("n").alias("seen")), "head")
+    triples = checkpointed(triples.select("head", "next", "n", "seen", "before"))
+    two = checkpointed(kept(triples))
+    word_rows = known.select(F.col("number").cast("long").alias("head"), F.log10(root).alias("p")).join(one, "head", "left")
+    pair_rows = pairs.select("head", "next", "p", as_context.alias("context")).join(two.withColumnRenamed("head", "context"), "context", "left")
+    rows = word_rows.select(F.lit(-1).cast("long").alias("head"), F.col("head").cast("int").alias("next"), "p", "pass")
+    rows = rows.union(pair_rows.filter("p is not null or pass is not null").select("head", "next", "p", "pass"))
+    return rows.union(triples.join(two, "head").select("head", "next", stored.alias("p"), F.lit(None).cast("double")))
 
 
 @dataclass
 class SuffixTree:
-    """States of contexts of one and two words, in tables by word number; ``words`` are those in kept contexts.
+    """States of contexts of one and two words, in tables by word number: those that a bucket asked for, or all of a small tree.
 
     ``pass1[w]`` is the log share that context w leaves to followers it has not stored (0: no state); ``keys1``
     and ``logs1`` are its stored followers. ``contexts2`` are the kept pairs, with the same for their followers.
     """
 
-    words: list[bytes]
+    words: list[bytes] | np.ndarray
     pass1: np.ndarray
     keys1: np.ndarray
     logs1: np.ndarray
@@ -179,8 +250,27 @@ class SuffixTree:
     logs2: np.ndarray
 
     @staticmethod
-    def grow(words: dict[bytes, int], total: int, distinct: int, pairs: dict[bytes, int], triples: dict[bytes, int], share: float = SHARE) -> SuffixTree:
-        """``words``: counts of all words in the pairs and triples."""
+    def of_states(head: np.ndarray, next_: np.ndarray, p: np.ndarray, pass_: np.ndarray) -> tuple[SuffixTree, np.ndarray]:
+        """The tree of some rows of ``states`` (null is NaN), and log10 of its words' own probabilities; ``words`` are their numbers."""
+        word, two = head < 0, head >= TRIPLE
+        pair = ~word & ~two
+        order = np.argsort(next_[word])
+        names, root, pass1 = next_[word][order], p[word][order], pass_[word][order]
+        m = len(names) + 1
+        number = lambda x: np.searchsorted(names, x)
+        code = number(head[pair]) * m + number(next_[pair])
+        by = np.argsort(code)
+        code, stored, rest = code[by], p[pair][by], pass_[pair][by]
+        has, context = ~np.isnan(stored), ~np.isnan(rest)
+        contexts2 = code[context]
+        heads = head[two]
+        keys2 = np.searchsorted(contexts2, number((heads >> 32) - 1) * m + number(heads & 0xFFFFFFFF)) * m + number(next_[two])
+        by = np.argsort(keys2)
+        return SuffixTree(names, np.append(np.nan_to_num(pass1), 0.0), code[has], stored[has], contexts2, rest[context], keys2[by], p[two][by]), root
+
+    @staticmethod
+    def grow(words: dict[bytes, int], total: int, distinct: int, pairs: dict[bytes, int], triples: dict[bytes, int]) -> SuffixTree:
+        """A small tree in memory; ``states`` makes the same as tables. ``words``: counts of all words in the pairs and triples."""
         names = sorted({w for g in [*pairs, *triples] for w in g.split(b" ")})
         number = {w: i for i, w in enumerate(names)}
         m = len(names) + 1  # the last number is any other word
@@ -227,7 +317,7 @@ class SuffixTree:
         """log10 probability of each token. ``ids``: word numbers, ``root``: log10 at the root, ``start``: true at a text's first token."""
         m = len(self.words) + 1
         out = root.copy()
-        if len(ids) < 2 or not len(self.keys1):
+        if len(ids) < 2:
             return out
         before = ids[:-1]
         one = self.pass1[before] + root[1:]
@@ -244,76 +334,77 @@ class SuffixTree:
 
 
 def _stored(keys: np.ndarray, logs: np.ndarray, wanted: np.ndarray, other: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return other
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, logs[at], other)
 
 
-def train(texts: DataFrame, share: float = SHARE) -> tuple[DataFrame, int, int, SuffixTree]:
-    """Word counts (``word binary, c``), all tokens, distinct tokens, and the tree."""
-    local = checkpointed(local_grams(texts, share).groupBy("length", "gram").agg(F.sum("n").alias("n")))
-    counts = local.filter("length = 1").select(F.col("gram").alias("word"), F.col("n").alias("c"))
-    total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    found = local.filter("length > 1").select("gram")
-    wanted = found.toArrow().column("gram").to_pylist() if found.count() <= SENT else None
-    exact = exact_grams(texts, wanted).groupBy("length", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(LEAST, share * total))
-    # At most 1 / share rows of each length pass the filter.
-    exact = checkpointed(exact)
-    table_ = exact.toArrow()
-    grams: dict[int, dict[bytes, int]] = {2: {}, 3: {}}
-    for length, g, n in zip(*(table_.column(c).to_pylist() for c in ("length", "gram", "n")), strict=True):
-        grams[length][g] = n
-    in_tree = exact.select(F.explode(F.split(F.col("gram").cast("string"), " ")).alias("w")).distinct()
-    known = counts.join(in_tree, counts.word.cast("string") == in_tree.w, "left_semi").toArrow()
-    words = dict(zip(known.column("word").to_pylist(), known.column("c").to_pylist(), strict=True))
-    return counts, total, distinct, SuffixTree.grow(words, total, distinct, grams[2], grams[3], share)
-
-
-def score_texts(docs: DataFrame, counts: DataFrame, total: int, distinct: int, tree: SuffixTree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, n_known, base_score, score`` for every row; null texts are an end token alone."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_buckets = max(1, -(-size // BUCKET))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("_id", "text"), F.lit(n_buckets)).cast("int"))
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+def asked_states(coded: DataFrame, found: DataFrame, slots: int) -> DataFrame:
+    """``bucket, packed``: for each bucket the rows of ``found`` (``states``) for the words, pairs and triples that it holds."""
 
     def ask(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        words = {END}
-        for t in group.column("text").cast(pa.binary()):
-            words.update((t.as_py() or b"").lower().split())
-        return pa.table({"bucket": pa.array([key[0].as_py()] * len(words), pa.int32()), "word": pa.array(list(words), pa.binary())})
+        slot, packed = [], []
+        for head, next_, _ in grams(*flat(group.column("ids"))):
+            for out, x in zip((slot, packed), packs(slots, head, next_), strict=True):
+                out += x
+        return pa.table({"slot": pa.array(slot, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(slot), pa.int32()), "packed": pa.array(packed, pa.binary())})
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        head, next_, p, pass_ = (known.column(c).to_numpy().astype(kind) for c, kind in STATE)
+        heads = np.unique(head)
+        code = np.searchsorted(heads, head) << 32 | next_
+        by = np.argsort(code)
+        code = code[by]
+        bucket, packed = [], []
+        for number, blob in zip(asked.column("bucket").to_pylist(), asked.column("packed").to_pylist(), strict=True):
+            h, w = unpack([blob], [np.int64] * 2)
+            at = np.minimum(np.searchsorted(heads, h), len(heads) - 1)
+            want = (at << 32 | w)[heads[at] == h] if len(heads) else at[:0]
+            at = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            rows = by[at[code[at] == want]]
+            if len(rows):
+                bucket.append(number)
+                packed.append(pack(head[rows], next_[rows], p[rows], pass_[rows]))
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "packed": pa.array(packed, pa.binary())})
+
+    asked = coded.select("bucket", "ids").groupBy("bucket").applyInArrow(ask, "slot int, bucket int, packed binary")
+    placed = found.withColumn("slot", slot_of(slots))
+    return asked.groupBy("slot").cogroup(placed.groupBy("slot")).applyInArrow(answer, "bucket int, packed binary")
+
+
+def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> tuple[DataFrame, int]:
+    """``id_col, train_col, n_tokens, n_known, base_score, score`` for every row, learned from those with ``train_col``; the training tokens.
+
+    Null texts are an end token alone.
+    """
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(train_col).alias("train"))
+    counts = checkpointed(word_counts(rows.filter("train")))
+    total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
+    words = numbered(counts)
+    in_buckets, n_buckets = dealt(rows)
+    coded = checkpointed(encoded(in_buckets, words))
+    found = checkpointed(gram_counts(coded, 2 * n_buckets))
+    given = asked_states(coded, states(words, found, total, distinct), 2 * n_buckets)
 
     def score(key: tuple[pa.Scalar, ...], group: pa.Table, known: pa.Table) -> pa.Table:
-        tree = shared.value
-        place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
-        c = np.array([*known.column("c").to_pylist(), 0], dtype=np.int64)
-        numbers = {w: i for i, w in enumerate(tree.words)}
-        in_tree = np.array([numbers.get(w, len(numbers)) for w in place] + [len(numbers)], dtype=np.int64)
-        root = np.log10((c + 1) / (total + distinct + 1))
-        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        get, unknown = place.get, len(place)
-        for t in group.column("text").cast(pa.binary()):
-            ids = np.array([get(w, unknown) for w in tokens(t.as_py() or b"")], dtype=np.int64)
-            start = np.zeros(len(ids), dtype=bool)
-            start[0] = True
-            base = root[ids]
-            out["n_tokens"].append(len(ids))
-            out["n_known"].append(int((c[ids] > 0).sum()))
-            out["base_score"].append(float(base.sum()))
-            out["score"].append(float(tree.log10(in_tree[ids], base, start).sum()))
-        kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-        return pa.table({"_id": group.column("_id")} | {k: pa.array(v, kinds[k]) for k, v in out.items()})
-
-    asked = dealt.groupBy("bucket").applyInArrow(ask, "bucket int, word binary")
-    given = asked.join(counts, "word").select("bucket", "word", "c")
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = dealt.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(score, f"_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumnRenamed("_id", id_col)
+        tree, root = SuffixTree.of_states(*unpack(known.column("packed").to_pylist(), [kind for _, kind in STATE]))
+        ids, place = flat(group.column("ids"))
+        local = np.where(ids >= 0, np.searchsorted(tree.words, ids), len(tree.words))
+        seldom = np.log10(np.maximum(-ids, 1) / (total + distinct + 1))
+        base = np.where(ids >= 0, np.append(root, 0.0)[local], seldom)
+        start = np.nonzero(place == 0)[0]
+        sums = lambda x: np.add.reduceat(x, start) if len(start) else np.zeros(0, dtype=x.dtype)
+        out = {"n_tokens": sums(np.ones(len(ids), dtype=np.int64)), "n_known": sums((ids != -1).astype(np.int64)), "base_score": sums(base), "score": sums(tree.log10(local, base, place == 0))}
+        return pa.table({"_id": group.column("_id"), "train": group.column("train")} | {k: pa.array(v) for k, v in out.items()})
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    scored = coded.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(score, f"_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.withColumnsRenamed({"_id": id_col, "train": train_col}), total
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and suffix-tree scores of every document, learned from those whose id's crc32 modulo 7 is not 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = id_fold(F.col("doc_id"), 7) == 2
-    counts, total, distinct, tree = train(docs.filter(~held_out))
-    scored = score_texts(docs, counts, total, distinct, tree)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    scored, total = score_texts(docs.withColumn("train", id_fold(F.col("doc_id"), 7) != 2))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -200,6 +200,35 @@ def test_suffix_tree_sums_to_one():
         assert math.isclose(total, 1.0, rel_tol=1e-9)
 
 
+def test_suffix_tree_states_by_absolute_counts(spark, tmp_path):
+    """Against the tree in memory, in a table so large that a passage met several times was under its share."""
+    filler = np.random.default_rng(3).integers(0, 400, 300_000)
+    rows = [" ".join(f"w{x}" for x in filler[i : i + 3000]) for i in range(0, len(filler), 3000)] + ["rare passage about otters"] * 8 + ["once met", None]
+    many = 24_000
+    rows += ["z" + " z" * (many - 1)] * 100
+    folder = tables(spark, tmp_path / "absolute", [(i, t, None, None, None) for i, t in enumerate(rows)])
+    texts = {i: suffix_tree_lm.tokens((t or "").encode()) for i, t in enumerate(rows)}
+    c, pairs, triples = Counter(), Counter(), Counter()
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(t)
+            pairs.update(b" ".join(g) for g in zip(t, t[1:], strict=False))
+            triples.update(b" ".join(g) for g in zip(t, t[1:], t[2:], strict=False))
+    total, often = sum(c.values()), lambda grams: {g: n for g, n in grams.items() if n >= 3}
+    assert triples[b"rare passage about"] < 4e-6 * total
+    tree = suffix_tree_lm.SuffixTree.grow(c, total, len(c), often(pairs), often(triples))
+    number = {w: i for i, w in enumerate(tree.words)}
+    got = {r.doc_id: r for r in suffix_tree_lm.op8_lm_scores(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for i, t in texts.items():
+        ids = np.array([number.get(w, len(number)) for w in t])
+        root = np.array([math.log10((c[w] + 1) / (total + len(c) + 1)) for w in t])
+        want = tree.log10(ids, root, np.arange(len(t)) == 0).sum()
+        assert math.isclose(got[i].score, want, rel_tol=1e-9)
+        if rows[i] == "rare passage about otters":
+            assert got[i].score > got[i].base_score + 4
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
