@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, bounded_sample, id_fold, table, utf8
 from .wordstats import class_pairs, plain_words
 
-#: Labelled texts used: of each class to count words, and of both together to fit the curve.
+#: Labelled texts used of each class: to count words, and to fit the curve.
 COUNTED, CURVE = 6000, 6000
 WINDOWS = (1, 4, 16, 64)
 
@@ -64,7 +64,8 @@ class KneserNeyPair:
         top = np.sort(np.partition(r, -min(3, len(r)))[-3:])[::-1].tolist() + [0.0, 0.0]
         return [r.mean(), *windows, top[1], top[2], 100 * (r > 2).mean(), np.log(len(r) + 1)]
 
-    def fit_curve(self, texts: list[bytes], labels: np.ndarray) -> None:
+    def fit_curve(self, texts: list[bytes], labels: np.ndarray, odds: float = 1.0) -> None:
+        """``odds``: the sampling rate of toxic texts over that of others, by which the intercept is corrected."""
         x = np.array([self.figures(t) for t in texts])
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = np.column_stack([(x - self.mean) / self.spread, np.ones(len(x))])
@@ -73,6 +74,7 @@ class KneserNeyPair:
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             curve = (z * (p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(len(w))
             w -= np.linalg.solve(curve, z.T @ (p - labels) + 0.05 * w)
+        w[-1] -= np.log(odds)
         self.weights = w
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -91,14 +93,22 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> KneserNeyPair | float:
     """The models, from bounded samples of the labelled rows (``COUNTED`` and ``CURVE``).
 
-    Fold 1 of five fits the curve, folds 2 to 4 are counted (equal texts of a class once), fold 0 is held out.
-    Without rows of both classes in both parts there is no model but the share of the label.
+    Fold 1 of five fits the curve, folds 2 to 4 are counted (equal texts of a class once), fold 0 is held out. Both are
+    sampled by class, so that rare rows are not thinned out. A class with rows in only one of the two parts has them
+    in both. Only without rows of both classes, or without words of both, there is no model but the share of the label.
     """
     known = labelled(docs, labels, label)
-    ids = known.select("doc_id", "label")
     fold = id_fold(F.col("doc_id"), 5)
-    counted = bounded_sample(ids.filter(fold > 1), "doc_id", "label", COUNTED)
-    curve = bounded_sample(ids.filter(fold == 1).withColumn("all", F.lit(1)), "doc_id", "all", CURVE).drop("all")
+    ids = known.select("doc_id", "label", F.coalesce(F.col("label") == 1, F.lit(False)).alias("toxic"), (fold == 1).alias("curve"))
+    n = {(r["toxic"], r["curve"]): r["n"] for r in ids.groupBy("toxic", "curve").agg(F.count("*").alias("n")).collect()}
+    of_curve = {t: n.get((t, True), 0) for t in (True, False)}
+    share = of_curve[True] / max(1, sum(of_curve.values()))
+    if len({t for t, _ in n}) < 2:
+        return share
+    both = F.col("toxic").isin([t for t in of_curve if ((t, True) in n) != ((t, False) in n)])
+    rate = {t: min(1.0, CURVE / (of_curve[t] or n[t, False])) for t in of_curve}
+    counted = bounded_sample(ids.filter(~F.col("curve") | both), "doc_id", "label", COUNTED).select("doc_id", "label")
+    curve = bounded_sample(ids.filter(F.col("curve") | both), "doc_id", "toxic", CURVE).select("doc_id", "label")
     # Both id samples are bounded by their parameters, so they may be broadcast to the texts.
     texts = lambda sample: docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     once = texts(counted).groupBy("label", F.xxhash64("text"), F.length("text")).agg(F.first("text").alias("text"))
@@ -111,9 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> KneserNeyPa
     held = texts(curve).select("text", "label").toArrow()
     y = np.array([int(v == 1) for v in held.column("label").to_pylist()], dtype=float)
     if not (toxic.sum() and other.sum() and 0 < y.sum() < len(y)):
-        return float(y.mean()) if len(y) else 0.0
+        return share
     model = KneserNeyPair(words.column("word").to_pylist(), toxic, other, contexts)
-    model.fit_curve([t.encode() if t else b"" for t in held.column("text").to_pylist()], y)
+    model.fit_curve([t.encode() if t else b"" for t in held.column("text").to_pylist()], y, rate[True] / rate[False])
     return model
 
 

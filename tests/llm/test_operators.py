@@ -200,6 +200,21 @@ def test_suffix_tree_sums_to_one():
         assert math.isclose(total, 1.0, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("curve_has_toxic", [True, False])
+def test_rare_toxic_rows_fit_a_curve(spark, tmp_path, monkeypatch, curve_has_toxic):
+    """A sample of the curve's rows that is small against the table still has its toxic rows; so has one whose fold has none."""
+    monkeypatch.setattr(toxicity, "CURVE", 20)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    random = np.random.default_rng(5)
+    toxic = {i for i in range(3000) if i % 60 == 7 and (curve_has_toxic or fold(i) != 1)}
+    words = lambda i: [f"w{x}" for x in random.integers(0, 300, 30)] + [f"vile{x}" for x in random.integers(0, 10, 12 * (i in toxic))]
+    folder = tables(spark, tmp_path / "rare", [(i, " ".join(words(i)), None, None, None) for i in range(3000)], [(i, 0, int(i in toxic)) for i in range(3000)])
+    got = {r.doc_id: r.predicted for r in toxicity.op7_toxicity(spark, folder).collect()}
+    held = [i for i in got if fold(i) == 0]
+    assert [i for i in held if i in toxic]
+    assert {i for i in held if got[i]} == toxic & set(held)
+
+
 def test_suffix_tree_states_by_absolute_counts(spark, tmp_path):
     """Against the tree in memory, in a table so large that a passage met several times was under its share."""
     filler = np.random.default_rng(3).integers(0, 400, 300_000)
