@@ -1,7 +1,8 @@
 """Secret scans: three fixed patterns, and dictionary-primed zstandard novelty for what they miss.
 
 A candidate is a token of 20 or more characters with a digit and a letter, in a sensitive context: a word such
-as ``auth`` or ``credential`` within the characters before it. Its novelty is what it adds to a zstandard
+as ``auth`` or ``credential`` within the characters before or after it, or right behind a candidate in such a context,
+with only dots, quotes or line breaks between (the lines of a key, the parts of a bearer token). Its novelty is what it adds to a zstandard
 frame: the bytes of context and candidate less those of the context alone, both compressed with a dictionary
 of common code and identifiers. Paths, identifiers and repeated tokens compress well; random strings don't,
 and those that add more than ``NOVELTY`` bytes a character are reported with the kind ``novel``.
@@ -31,6 +32,10 @@ KINDS = ("assign", "access", "hex", "novel")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CONTEXT = re.compile(r"auth|bearer|cred|private|signature|session|cookie|login|account|license[_-]?key|access|certificate|pwd|key|salt", re.IGNORECASE | re.ASCII)
 BEFORE, NOVELTY = 80, 0.68
+#: What may stand between adjacent candidates; a backslash is that of an escaped line break.
+GAP = re.compile(r"""(?:[."'`\\]|\x20*[\r\n][\x20\t]*)+""")
+#: The short last part behind a reported one: padded, or before the end line.
+TAIL = re.compile(GAP.pattern + r"""([A-Za-z0-9+/_-]{1,19}(?:={1,2}(?![A-Za-z0-9+/_=-])|(?=["'`\\\s]+n?-----END)))""")
 
 
 def identifier_dictionary() -> bytes:
@@ -63,16 +68,26 @@ def secret_spans(text: str) -> list[tuple[int, int, int]]:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     fixed = list(spans)
+    # The end of the last candidate in a sensitive context, and whether it was reported.
+    last, reported = -1, False
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         token = m.group()
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-            continue
-        if any(a < end and start < b for a, _, b in fixed):
+        carried = last >= 0 and GAP.fullmatch(text, last, start) is not None
+        mixed = any(c.isdigit() for c in token) or (carried and reported and token != token.lower() and token != token.upper())
+        if not (mixed and any(c.isalpha() for c in token)):
             continue
         context = text[max(0, start - BEFORE) : start]
-        if CONTEXT.search(context) and novelty(context, token) > NOVELTY:
-            spans.append((start, 3, end))
+        if not (carried or CONTEXT.search(context) or CONTEXT.search(text, end, end + BEFORE)):
+            continue
+        # What is before an assignment's key is the rest of its name.
+        covered = any(a < end and start < b and (k == 0 or (a <= start and end <= b)) for a, k, b in fixed)
+        last, reported = end, covered or novelty(context, token) > NOVELTY
+        if not reported or covered:
+            continue
+        spans.append((start, 3, end))
+        if tail := TAIL.match(text, end):
+            spans.append((tail.start(1), 3, tail.end(1)))
     return sorted(spans)
 
 
