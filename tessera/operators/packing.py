@@ -37,3 +37,9 @@ def batches(packed: DataFrame, shard: str, size: str, envelope: int) -> DataFram
     """``shard, batch, n, request_bytes`` of packed rows."""
     rows = packed.filter("batch > 0").groupBy(shard, "batch")
     return rows.agg(F.count("*").alias("n"), (F.sum(size) + envelope + F.count("*") - 1).alias("request_bytes"))
+
+
+def oversize(packed: DataFrame, order: str, shard: str, size: str, limit: int, envelope: int) -> DataFrame:
+    """``order, shard, batch, size, error`` of the packed rows that no batch can hold."""
+    error = F.concat(F.lit("exceeds request limit ("), (F.col(size) + envelope).cast("string"), F.lit(f" > {limit} bytes)"))
+    return packed.filter("batch = 0").select(order, shard, "batch", size, error.alias("error"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.ordinals import with_ordinals
-from tessera.operators.packing import batches, pack
+from tessera.operators.packing import batches, oversize, pack
 from tessera.operators.reconcile import content_digest, differences, eligibility, gate, merge_history, only_in_inventory
 from tessera.sources.io import read_table
 
@@ -138,6 +138,14 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 LIMIT, ENVELOPE, SHARD = 92_160, 40, 500
 
 
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards are a source's ids by the five hundred, so that a large source is many shards."""
+    d = read_table(spark, sf_dir, "documents")
+    shard = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / SHARD).cast("string"))
+    rows = d.select("doc_id", shard.alias("shard"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    return pack(rows, "shard", "doc_id", "bytes", LIMIT, ENVELOPE)
+
+
 @query(f"""WITH RECURSIVE d AS (SELECT doc_id, source || '-' || (doc_id // {SHARD}) AS shard, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents),
 o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id) AS i FROM d WHERE {ENVELOPE} + bytes <= {LIMIT}),
 p AS (SELECT doc_id, shard, bytes, i, 1::BIGINT AS batch, {ENVELOPE} + bytes AS held FROM o WHERE i = 1
@@ -145,11 +153,15 @@ p AS (SELECT doc_id, shard, bytes, i, 1::BIGINT AS batch, {ENVELOPE} + bytes AS
   FROM p JOIN o ON o.shard = p.shard AND o.i = p.i + 1)
 SELECT shard, batch, count(*) AS n, (sum(bytes) + {ENVELOPE} + count(*) - 1)::BIGINT AS request_bytes FROM p GROUP BY 1, 2""")
 def request_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards are a source's ids by the five hundred, so that a large source is many shards."""
-    d = read_table(spark, sf_dir, "documents")
-    shard = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / SHARD).cast("string"))
-    rows = d.select("doc_id", shard.alias("shard"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
-    return batches(pack(rows, "shard", "doc_id", "bytes", LIMIT, ENVELOPE), "shard", "bytes", ENVELOPE)
+    """The batches; ``request_packing_errors`` has the documents that no batch can hold."""
+    return batches(packed_documents(spark, sf_dir), "shard", "bytes", ENVELOPE)
+
+
+@query(f"""WITH d AS (SELECT doc_id, source || '-' || (doc_id // {SHARD}) AS shard, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents)
+SELECT doc_id, shard, 0::BIGINT AS batch, bytes, 'exceeds request limit (' || ({ENVELOPE} + bytes) || ' > {LIMIT} bytes)' AS error FROM d WHERE {ENVELOPE} + bytes > {LIMIT}""")
+def request_packing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that alone exceed the limit, as batch 0."""
+    return oversize(packed_documents(spark, sf_dir), "doc_id", "shard", "bytes", LIMIT, ENVELOPE)
 
 
 @query("""SELECT s_nationkey, (rn - 1) // 20 AS chunk, count(*) AS n, min(s_suppkey) AS first_key, max(s_suppkey) AS last_key FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier) GROUP BY 1, 2""")
