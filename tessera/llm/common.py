@@ -32,9 +32,11 @@ def id_fold(doc_id: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder; only where none is set (tests) under a local one."""
+    """A fresh folder under the shared checkpoint folder. Where none is set, under a local one in local mode (tests); else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 

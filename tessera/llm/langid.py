@@ -2,8 +2,8 @@
 
 The words of labelled texts give each language a table of log frequencies. A word met in training is scored by
 them. Any other word is scored by its characters: at each place the longest n-gram known there (four
-characters, else three, two, one) gives the log frequency; the mean over the places, times a weight, is the
-word's score. A text gets the language with the highest sum.
+characters, else three, two, one) gives its log frequency among the n-grams of that length; the mean over the
+places is the word's score. A text gets the language with the highest sum.
 """
 
 from __future__ import annotations
@@ -40,14 +40,20 @@ def grams(word: str) -> Iterator[str]:
             yield marked[i : i + n]
 
 
-def log_frequencies(counts: pa.Table, key: str, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Row of each key, and rows of log frequencies by language, add-a-half smoothed; ``counts`` has ``key, cls, n``."""
+def log_frequencies(counts: pa.Table, key: str, langs: list[str], by_length: bool = False) -> tuple[dict[str, int], np.ndarray]:
+    """Row of each key, and rows of log frequencies by language, add-a-half smoothed; ``counts`` has ``key, cls, n``.
+
+    ``by_length``: frequencies among the keys of the same length.
+    """
     rows: dict[str, int] = {}
     at = [rows.setdefault(k, len(rows)) for k in counts.column(key).to_pylist()]
     n = np.zeros((len(rows), len(langs)))
     place = {c: i for i, c in enumerate(langs)}
     n[at, [place[c] for c in counts.column("cls").to_pylist()]] = counts.column("n").to_numpy()
-    return rows, np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(rows)))
+    size = np.array([len(k) if by_length else 0 for k in rows], dtype=np.int64)
+    total, kinds = np.zeros((size.max(initial=0) + 1, len(langs))), np.bincount(size, minlength=1)
+    np.add.at(total, size, n)
+    return rows, np.log((n + 0.5) / (total[size] + 0.5 * kinds[size][:, None]))
 
 
 class LanguageModel:
@@ -97,7 +103,10 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageModel:
-    """From the rows with a language of folds 1 to 4, up to ``SAMPLED`` of each language (equal texts once)."""
+    """From the rows with a language of folds 1 to 4, up to ``SAMPLED`` of each language (equal texts once).
+
+    Null texts count as empty and teach nothing; without a labelled row the model knows no language.
+    """
     rows = docs.select("doc_id", F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & (id_fold(F.col("doc_id"), 5) != 0))
     sample = bounded_sample(rows, "doc_id", "lang", SAMPLED)
@@ -115,11 +124,16 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Lang
     spelled = arrow_map(counts, spell, "cls string, gram string, n long").groupBy("cls", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).toArrow()
     frequent = counts.filter(F.col("n") >= LEAST).toArrow()
     langs = sorted(set(spelled.column("cls").to_pylist()) | set(frequent.column("cls").to_pylist()))
-    return LanguageModel(langs, log_frequencies(frequent, "word", langs), log_frequencies(spelled, "gram", langs))
+    return LanguageModel(langs, log_frequencies(frequent, "word", langs), log_frequencies(spelled, "gram", langs, True))
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, lang_pred, score`` for every row. The model's size is bounded by its sample."""
+    """``id_col, lang_pred, score`` for every row. The model's size is bounded by its sample.
+
+    Null and empty texts, those without a letter and all texts of a model without languages give ``und`` and 0. A text is
+    read whole, however long, 5,000 words at a time. Repeated rows get equal results each; an empty table gives no rows;
+    further columns are left out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -11,8 +11,10 @@ each pass over the posteriors.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,18 @@ from pyspark.sql import functions as F
 from .common import arrow_map, bounded_sample, checkpointed, id_fold, table, utf8
 from .wordstats import class_words, plain_words
 
+log = logging.getLogger(__name__)
 #: Labelled texts of each domain used at most.
 SAMPLED = 3000
 #: Words known to the classifier occur so often in the sample.
 LEAST = 3
 #: Target shares of the tokens by domain. Domains: toxic, else low or high quality by the labels.
 TARGETS = {"high": 0.80, "low": 0.13, "toxic": 0.07}
-STEPS, TOLERANCE = 40, 1e-6
+#: A fit ends when the targets are met within ``TOLERANCE`` of all tokens, when the weighted squared residual changed by
+#: less than the share ``SETTLED`` in a step, or after ``STEPS`` passes over the table; ``Fit.met`` tells the first.
+STEPS, TOLERANCE, SETTLED = 60, 1e-4, 1e-5
+#: Where rates have a lower bound above zero, the budget follows what is reached, up to ``MOST_BUDGET`` times the least one.
+MOST_BUDGET = 8.0
 
 
 class DomainModel:
@@ -96,12 +103,14 @@ def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", tex
 def rates_after(posterior: np.ndarray, pulls: list[list[float]], floor: float = 0.0) -> np.ndarray:
     """Rates and look-ahead rates of the accelerated projected gradient after the given steps.
 
-    ``pulls``: for each step the weighted domain residuals. All rates start at one and are
-    projected to ``floor`` or more.
+    ``pulls``: for each step the weighted domain residuals, and 1 where the momentum is dropped first, else 0. All
+    rates start at one and are projected to ``floor`` or more.
     """
     rate = ahead = np.ones(len(posterior))
     t = 1.0
-    for pull in pulls:
+    for *pull, fresh in pulls:
+        if fresh:
+            ahead, t = rate, 1.0
         new = np.maximum(floor, ahead - posterior @ np.array(pull))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = new + (t - 1) / t_new * (new - rate)
@@ -113,13 +122,36 @@ def _posterior(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, steps: int = STEPS) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
-    """The pulls that lead to the rates, the domain totals they give, and the targets.
+@dataclass
+class Fit:
+    """``pulls`` lead to the rates; ``met`` tells whether the totals they give reach the targets, or are just the nearest."""
 
-    The budget is the least for which no domain has more tokens than its target, so that targets are met by
-    repeating documents and not by dropping them.
+    domains: list[str]
+    pulls: list[list[float]]
+    have: np.ndarray
+    reached: np.ndarray
+    target: np.ndarray
+    met: bool
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """``domain, tokens, reached, target, met``, a row for each domain."""
+        rows = [(d, *map(float, x), self.met) for d, *x in zip(self.domains, self.have, self.reached, self.target, strict=True)]
+        return spark.createDataFrame(rows, "domain string, tokens double, reached double, target double, met boolean")
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, steps: int = STEPS) -> Fit:
+    """Rates of ``floor`` or more whose expected domain totals are nearest to the targets.
+
+    The budget is the least for which no domain with a target has more tokens than that, so that targets are met by
+    repeating documents and not by dropping them. With a floor above zero, where documents of several domains can't be
+    turned down, each step takes the budget that is nearest to what is reached so far, if larger. A target of zero is no error: its domain's tokens are then
+    pulled to zero as far as the floor lets them. A fit that ends short of its targets says so in ``met`` and in the log.
     """
-    k = len(weights)
+    domains = sorted(targets)
+    weights = np.array([targets[d] for d in domains], dtype=float)
+    k = len(domains)
+    if weights.min() < 0 or not weights.sum() > 0:
+        raise ValueError("target weights must not be negative, nor all zero")
 
     def totals(pulls: list[list[float]]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -137,22 +169,29 @@ def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, step
 
     first = totals([])
     have, curve = first[:k], first[2 * k :].reshape(k, k)
-    w = np.array(weights) / sum(weights)
-    target = w * (have / w).max() if have.sum() else np.zeros(k)
+    w = weights / weights.sum()
     if not have.sum():
-        return [], have, target
+        return Fit(domains, [], have, have, np.zeros(k), True)
+    least = target = w * (have[w > 0] / w[w > 0]).max()
     # The residuals are weighted by the inverse of the domains' second moments, and rates moved in the metric of
     # their tokens: there the least squares problem has a largest curvature of one, however alike the domains are.
     weight = np.linalg.inv(curve + 1e-9 * np.trace(curve) * np.eye(k))
     pulls: list[list[float]] = []
-    now, ahead = have, have
-    for _ in range(steps):
-        if np.abs(now - target).max() <= TOLERANCE * target.sum():
+    now, ahead, before = have, have, np.inf
+    for step in range(steps + 1):
+        if floor > 0:
+            target = max(target.sum(), float(w @ weight @ now / (w @ weight @ w))) * w
+        met = bool(np.abs(now - target).max() <= TOLERANCE * target.sum())
+        off = float((now - target) @ weight @ (now - target))
+        if met or step == steps or abs(before - off) <= SETTLED * off or target.sum() > MOST_BUDGET * least.sum():
             break
-        pulls.append((weight @ (ahead - target)).tolist())
+        fresh, before = off > before, off
+        pulls.append([*(weight @ ((now if fresh else ahead) - target)).tolist(), float(fresh)])
         got = totals(pulls)
         now, ahead = got[:k], got[k : 2 * k]
-    return pulls, now, target
+    if not met:
+        log.warning("targets %s not met: totals %s after %d steps", dict(zip(domains, target.tolist(), strict=True)), now.tolist(), len(pulls))
+    return Fit(domains, pulls, have, now, target, met)
 
 
 def with_rates(members: DataFrame, pulls: list[list[float]], k: int, floor: float = 0.0) -> DataFrame:
@@ -173,24 +212,25 @@ def copies(rate: F.Column, doc_id: F.Column) -> F.Column:
     return (F.floor(rate) + (spread < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, floor: float = 0.0) -> DataFrame:
-    """doc_id, n_tokens, posterior, rate, copies for every row.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, floor: float = 0.0) -> tuple[DataFrame, Fit]:
+    """doc_id, n_tokens, posterior, rate, copies for every row; and the fit, with the totals reached.
 
     Texts without words (null ones among them) have the prior as posterior and no weight in the fit. Repeated
-    rows each get their own, equal, rate. Empty tables give no rows.
+    rows each get their own, equal, rate; a null id gets no copy beyond its rate's whole part by chance. Empty tables
+    give no rows. Further columns are left out. Texts are read whole.
     """
     domains = sorted(targets)
     members = checkpointed(memberships(docs, fit_domains(docs, labels, domains), "doc_id"))
-    pulls, _, _ = fit_rates(members, [targets[d] for d in domains], floor)
-    rated = with_rates(members, pulls, len(domains), floor)
-    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    fit = fit_rates(members, targets, floor)
+    rated = with_rates(members, fit.pulls, len(domains), floor)
+    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))), fit
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domain posteriors, rate and number of copies of every document."""
-    mixed = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    domains = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
-    return mixed.select("doc_id", "n_tokens", *domains, "rate", "copies")
+    """Domain posteriors, rate and number of copies of every document; ``met``: whether all domain totals meet their targets."""
+    mixed, fit = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    domains = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(fit.domains)]
+    return mixed.select("doc_id", "n_tokens", *domains, "rate", "copies", F.lit(fit.met).alias("met"))
 
 
 #: Targets for documents that a toxicity filter has passed.
@@ -201,21 +241,23 @@ def repeat_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, flo
     """The documents, each as often as its rate says, with all columns.
 
     Here rates are one or more: targets are met by repeating documents, and none is lost. A row's rate follows
-    from its text and the fitted steps, so the texts are read again but neither joined nor moved.
+    from its text and the fitted steps, so the texts are read again but neither joined nor moved. Null and empty texts
+    stay once or as often as the prior says; repeated rows are repeated each; an empty table stays empty.
     """
     domains = sorted(targets)
     model = fit_domains(docs, labels, domains)
-    members = checkpointed(memberships(docs, model, "doc_id"))
-    pulls, _, _ = fit_rates(members, [targets[d] for d in domains], floor=1.0)
-    shared = docs.sparkSession.sparkContext.broadcast((model, pulls))
+    fit = fit_rates(checkpointed(memberships(docs, model, "doc_id")), targets, floor=1.0)
+    shared = docs.sparkSession.sparkContext.broadcast((model, fit.pulls))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, steps = shared.value
-        for b in batches:
-            _, p = fitted.posteriors(utf8(b, "text"))
-            rate = rates_after(p.round(6), steps, 1.0)[:, 0].round(6)
-            spread = np.array([0 if i is None else zlib.crc32(f"copy{i}".encode()) % 1_000_000 for i in b.column("doc_id").to_pylist()]) / 1_000_000
-            times = np.floor(rate) + (spread < rate - np.floor(rate))
-            yield b.take(pa.array(np.repeat(np.arange(b.num_rows), times.astype(int))))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                _, p = fitted.posteriors(utf8(b, "text"))
+                rate = rates_after(p.round(6), steps, 1.0)[:, 0].round(6)
+                spread = np.array([0 if i is None else zlib.crc32(f"copy{i}".encode()) % 1_000_000 for i in b.column("doc_id").to_pylist()]) / 1_000_000
+                times = np.floor(rate) + (spread < rate - np.floor(rate))
+                yield b.take(pa.array(np.repeat(np.arange(b.num_rows), times.astype(int))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,10 +7,10 @@ ledger without reading the texts again; what each rule alone decides (ablation)
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,14 +64,21 @@ def measure(text: bytes) -> list[int]:
     n = len(words)
     lines = [x for x in text.split(b"\n") if x.strip()]
     repeated = 0
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) < len(windows):
-        times = Counter(windows)
-        reach = 0  # words before it are counted
-        for i, w in enumerate(windows):
-            if times[w] > 1:
-                repeated += i + 3 - max(reach, i)
-                reach = i + 3
+    if n > 2:
+        # Words, pairs and windows as numbers, so that a very long text takes some bytes a word.
+        number: dict[bytes, int] = {}
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
+        _, pair = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)
+        window = pair[:-1] * len(number) + ids[2:]
+        order = np.argsort(window, kind="stable")
+        same = window[order][1:] == window[order][:-1]
+        if same.any():
+            twice = np.zeros(n, dtype=bool)
+            twice[order[1:][same]] = twice[order[:-1][same]] = True
+            starts = twice.copy()
+            twice[1:] |= starts[:-1]
+            twice[2:] |= starts[:-2]
+            repeated = int(twice.sum())
     chars = text.decode("utf-8", "replace")
     blank = sum(chars.count(c) for c in " \t\n\r\x0b\x0c")
     letters = sum(map(str.isalpha, chars))
@@ -79,7 +86,11 @@ def measure(text: bytes) -> list[int]:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, the measurements and ``failed`` (bits), a row for each row; a null text has no words."""
+    """``id_col``, the measurements and ``failed`` (bits), a row for each row.
+
+    Null and empty texts have no words, so ``few_words`` fails. Very long texts are measured whole. Repeated rows and null
+    ids keep a row each; an empty table gives none; further columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -111,10 +122,11 @@ def ablations(kept_ledger: DataFrame, policy: Policy) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str, policy: Policy = STRICT) -> DataFrame:
-    """Measurements, failure bits and verdict for every document."""
+    """Measurements, failure bits and the verdicts of two policy versions for every document; ``kept`` is that of ``policy``."""
     kept = ledger(table(spark, sf_dir, "documents"))
     names = [m for m in MEASURES if m not in ("n_lines", "n_letters")]
-    return kept.select("doc_id", *names, (~BASE.keeps(F.col("failed"))).alias("base_failed"), (BASE.keeps(F.col("failed")) & policy.keeps(F.col("failed"))).alias("kept"), "n_lines", "n_letters", "failed")
+    return kept.select("doc_id", *names, (~BASE.keeps(F.col("failed"))).alias("base_failed"), (BASE.keeps(F.col("failed")) & policy.keeps(F.col("failed"))).alias("kept"), "n_lines", "n_letters", "failed",
+        F.lit(policy.version).alias("policy"), LENIENT.keeps(F.col("failed")).alias(f"kept_{LENIENT.version}"))
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -133,5 +145,5 @@ f AS (
   SELECT *, ((n_words < 50)::INT + 2 * (n_words > 1000000)::INT + 4 * (100 * n_repeat_words > 50 * n_words)::INT + 8 * (word_chars < 2 * n_words)::INT
     + 16 * (word_chars > 15 * n_words)::INT + 32 * (10 * n_symbols > n_words)::INT + 64 * (n_dup_lines > 3 AND 100 * n_dup_lines > 30 * n_lines)::INT
     + 128 * (100 * n_letters < 60 * word_chars)::INT)::BIGINT AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 5) <> 0 AS base_failed, failed = 0 AS kept, n_lines, n_letters, failed FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 5) <> 0 AS base_failed, failed = 0 AS kept, n_lines, n_letters, failed, 'v1' AS policy, bit_count(failed) <= 1 AS kept_v0 FROM f
 """

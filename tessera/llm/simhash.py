@@ -27,8 +27,9 @@ from .components import components
 
 #: Bands as masks; together they cover every bit once.
 BANDS = np.array([(1 << 21) - 1, ((1 << 21) - 1) << 21, ((1 << 22) - 1) << 42], dtype=np.uint64)
-#: The tree is fitted on so many distinct fingerprints at least and at most; in between, on 16 for each shard.
-SAMPLE, MOST_SAMPLE = 8192, 131_072
+#: The tree is fitted on so many distinct fingerprints at least and at most; in between, on 16 for each shard. The bound
+#: (8 MB at the driver) is that of the fit alone: every fingerprint is routed, and within its shard the tree goes on.
+SAMPLE, MOST_SAMPLE = 8192, 1 << 20
 #: A shard holds about so many fingerprints, a leaf within it at most so many.
 SHARD, LEAF = 6000, 256
 
@@ -58,15 +59,16 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``id_col, fp`` (the fingerprint's 64 bits as a signed long) for every row; null texts count as empty."""
+    """``id_col, text_hash, fp`` (the fingerprint's 64 bits as a signed long) for every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in utf8(b, "_text")], dtype=np.uint64)
-            yield {"_id": b.column("_id"), "fp": fps.view(np.int64)}
+            yield {"_id": b.column("_id"), "text_hash": b.column("text_hash"), "fp": fps.view(np.int64)}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run, f"_id {kind}, fp long").withColumnRenamed("_id", id_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_text"))
+    return arrow_map(rows, run, f"_id {kind}, text_hash long, fp long").withColumnRenamed("_id", id_col)
 
 
 def distances(points: np.ndarray, to: np.ndarray | np.uint64, mask: np.uint64) -> np.ndarray:
@@ -180,17 +182,13 @@ def spanning_forest(points: np.ndarray, mask: np.uint64, most: int) -> tuple[np.
     return child, roots[child]
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4, shingle: int = 4) -> DataFrame:
-    """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id``, a row for each row of ``docs``.
+def linked_fingerprints(fps: DataFrame, id_col: str = "doc_id", most: int = 4) -> DataFrame:
+    """``fp, root, name`` for each distinct fingerprint: the least fingerprint of its component, and the smallest id there.
 
-    Two fingerprints are linked if they differ in at most ``most`` (up to 4) bits; the component is named by the
-    smallest id that can be reached. Texts without words, null ones among them, have the fingerprint zero and
-    link like any other. Rows with a null id get their component too, but never name one: where no id of a
-    component is known, component_id is null. Repeated ids keep a row each.
+    ``fps`` is what ``fingerprints`` gives, checkpointed.
     """
     if not 0 <= most <= 4:
         raise ValueError("three bands find pairs of up to 4 differing bits")
-    fps = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     distinct = checkpointed(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
     n = distinct.count()
     size = min(MOST_SAMPLE, max(SAMPLE, 16 * n // SHARD))
@@ -213,12 +211,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.table({"a": points[child].view(np.int64), "b": points[parent].view(np.int64)})
 
     edges = arrow_map(distinct.select("fp"), shards, "band int, leaf int, fp long").groupBy("band", "leaf").applyInArrow(forest, "a long, b long")
-    groups = components(edges)
-    named = groups.join(distinct, groups.node == distinct.fp).select("fp", "component", "least")
-    names = named.groupBy("component").agg(F.min("least").alias("name"))
-    linked = named.join(names, "component").select(F.col("fp").alias("k"), "name")
-    whole = distinct.join(linked, distinct.fp == linked.k, "left").select(F.col("fp").alias("k"), F.when(F.col("k").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id"))
-    return fps.join(whole, fps.fp == whole.k, "left").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    groups = components(edges).select(F.col("node").alias("k"), "component")
+    named = distinct.join(groups, distinct.fp == groups.k, "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
+    names = named.groupBy("root").agg(F.min("least").alias("name"))
+    return named.join(names, "root").select("fp", "root", "name")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4, shingle: int = 4) -> DataFrame:
+    """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id``, a row for each row of ``docs``.
+
+    Two fingerprints are linked if they differ in at most ``most`` (up to 4) bits; the component is named by the
+    smallest id that can be reached. Texts without words, null ones among them, have the fingerprint zero and
+    link like any other. Rows with a null id get their component too, but never name one: where no id of a
+    component is known, component_id is null. Repeated ids keep a row each.
+    """
+    fps = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+    whole = linked_fingerprints(fps, id_col, most).select(F.col("fp").alias("k"), F.col("name").alias("component_id"))
+    return fps.join(whole, fps.fp == whole.k).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,10 +236,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their component (the smallest doc_id), with all columns.
+    """One row of each component, with all columns: that with the smallest doc_id, of these the smallest hash of the text.
 
-    Of rows that repeat the smallest id, one stays. Rows with a null id stay: they can't be told apart.
+    Rows are told apart by id and text, so a repeated id loses no text of a component of its own. Rows with a null id take
+    part; they stay only where no row of the component has an id. Of rows equal in both, one stays. A component of empty
+    and null texts keeps one row like any other. An empty table gives an empty one; further columns are kept as they are.
     """
-    found = simhash_components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    fps = checkpointed(fingerprints(docs))
+    rows = fps.join(linked_fingerprints(fps).select(F.col("fp").alias("k"), "root"), F.col("fp") == F.col("k"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
+    chosen = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    held = docs.withColumn("__text_hash", F.xxhash64("text"))
+    kept = held.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(docs.columns)

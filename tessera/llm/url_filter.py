@@ -1,13 +1,14 @@
 """URL filters: pattern rules indexed by their rarest literal token (DataFrame functions only).
 
-A rule is a regular expression over ``host + path`` with the literal tokens that any match must hold. Each
-rule is filed under that one of its tokens which the fewest URLs of the table hold. The tokens of a URL fetch
-candidate rules from the index, and only the candidates' expressions run. The index is a constant in the
-plan: an array of small maps, addressed by a hash of the token, so that a look-up does not scan the rule list
-and the job needs no shuffle beyond the one small token count.
+A rule is a regular expression over ``host + path`` with the literal tokens that any match must hold. Rules are a
+table, of any length. Each is filed under that one of its tokens which the fewest URLs hold. The tokens of a URL
+fetch candidate rules by an equality join on that token, and only the candidates' expressions run. Spark broadcasts
+the index where it is small (its size is known to the planner) and shuffles both sides where it is not; tokens that
+stand in very many URLs are the last that a rule is filed under.
 
 Null URLs, and those without ``://``, have an empty host and path: no rule fits, the verdict is ``allow``.
-Repeated rows are judged each for itself. An empty table gives an empty result.
+Repeated rows are judged each for itself, whatever their ids. An empty table gives an empty result; further columns
+are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, table
 
 TOKEN = "[a-z0-9]+"
-BUCKETS = 64
+RULE = "name string, pattern string, verdict string, rank int, tokens array<string>"
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,7 @@ def host_rule(verdict: str, host: str, path: str) -> UrlRule:
 
 def word_rule(name: str, *tokens: str) -> UrlRule:
     """A block rule for URLs that hold the tokens next to each other, split by anything but letters and digits."""
-    return UrlRule(name, "(^|[^a-z0-9])" + "[^a-z0-9]+".join(tokens) + "([^a-z0-9]|$)", "block", 0, tokens)
+    return UrlRule(name, "(?i)(^|[^a-z0-9])" + "[^a-z0-9]+".join(tokens) + "([^a-z0-9]|$)", "block", 0, tokens)
 
 
 #: The rules of the contract.
@@ -77,53 +78,41 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def rarest_tokens(tokens: DataFrame, rules: tuple[UrlRule, ...]) -> dict[str, str]:
-    """The index token of each rule. Counts cover every row; at most one row a rule token comes back."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    rows = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).filter(F.col("token").isin(wanted))
-    found = {r["token"]: r["n"] for r in rows.groupBy("token").agg(F.count("*").alias("n")).collect()}
-    return {r.name: min(r.tokens, key=lambda t: (found.get(t, 0), t)) for r in rules}
+def rules_table(spark: SparkSession, rules: tuple[UrlRule, ...] = HOST_RULES + WORD_RULES) -> DataFrame:
+    """The rules as a table of ``RULE``; longer lists are read from a file with these columns."""
+    row = lambda r: F.struct(F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("verdict"), F.lit(r.rank).alias("rank"), F.array(*map(F.lit, r.tokens)).alias("tokens"))
+    return spark.range(1).select(F.inline(F.array(*map(row, rules))))
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[UrlRule, ...] = HOST_RULES + WORD_RULES) -> DataFrame:
-    """``id_col``, host, path, rule (the best fitting one), pattern verdict and number of candidates, a row for each page."""
+def filed(rules: DataFrame, urls: DataFrame) -> DataFrame:
+    """``token, name, pattern, verdict, rank``: each rule under its token that the fewest of all URLs hold (ties: by name)."""
+    by_token = rules.select("name", F.explode("tokens").alias("token"))
+    held = urls.select(F.explode(F.array_distinct("tokens")).alias("token")).join(by_token.select("token").distinct(), "token", "left_semi")
+    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    least = by_token.join(counts, "token", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least"))
+    return rules.drop("tokens").join(least.select("name", F.col("least.token").alias("token")), "name")
+
+
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: DataFrame | None = None) -> DataFrame:
+    """``id_col``, host, path, rule (the best fitting one), its rank, verdict and number of candidates, a row for each page."""
     host, path = url_parts(F.col("_url"))
     urls = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).select("_id", host.alias("host"), path.alias("path"))
     site = F.concat("host", "path")
     urls = urls.withColumn("tokens", F.regexp_extract_all(ascii_lower(site), F.lit(f"({TOKEN})"), 1))
-    index: dict[int, dict[str, list[UrlRule]]] = {}
-    spark = pages.sparkSession
-    slots = {t: int(s) for t, s in _slots(spark, sorted({t for r in rules for t in r.tokens})).items()}
-    chosen = rarest_tokens(urls, rules)
-    for rule in rules:
-        index.setdefault(slots[chosen[rule.name]], {}).setdefault(chosen[rule.name], []).append(rule)
-
-    def entry(rule: UrlRule) -> Column:
-        return F.struct(F.lit(rule.rank).alias("rank"), F.lit(rule.name).alias("name"), F.lit(rule.pattern).alias("pattern"), F.lit(rule.verdict).alias("verdict"))
-
-    nothing = F.expr("cast(map() as map<string, array<struct<rank: int, name: string, pattern: string, verdict: string>>>)")
-    cells = []
-    for slot in range(BUCKETS):
-        held = index.get(slot)
-        cells.append(F.create_map(*[x for t, rs in held.items() for x in (F.lit(t), F.array(*map(entry, rs)))]) if held else nothing)
-    lookup = F.array(*cells)
-    slot_of = lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")
-    fetched = F.flatten(F.filter(F.transform(F.array_distinct("tokens"), lambda t: F.element_at(lookup, slot_of(t) + 1)[t]), lambda x: x.isNotNull()))
-    urls = urls.withColumn("candidates", fetched)
-    fits = F.filter("candidates", lambda c: F.regexp_like(site, c["pattern"]))
-    best = F.array_max(fits)
-    return urls.withColumn("best", best).select(
+    index = filed(rules_table(pages.sparkSession) if rules is None else rules, urls)
+    # One row for each token of a URL, one at least; the row's number brings them together again.
+    tokens = F.when(F.size("tokens") > 0, F.array_distinct("tokens")).otherwise(F.array(F.lit("")))
+    asked = urls.withColumn("row", F.monotonically_increasing_id()).select("row", "_id", "host", "path", F.posexplode(tokens).alias("at", "token"))
+    met = asked.join(index, "token", "left").filter(F.col("pattern").isNotNull() | (F.col("at") == 0))
+    fits = F.col("pattern").isNotNull() & F.regexp_like(site, F.col("pattern"))
+    best = F.max(F.when(fits, F.struct("rank", "name", "verdict"))).alias("best")
+    one = met.groupBy("row", "_id", "host", "path").agg(best, F.count("pattern").cast("int").alias("n_candidates"))
+    return one.select(
         F.col("_id").alias(id_col), "host", "path", F.col("best.name").alias("rule"), F.coalesce("best.rank", F.lit(-1)).alias("rank"),
-        F.coalesce("best.verdict", F.lit("allow")).alias("verdict"), F.size("candidates").alias("n_candidates"),
+        F.coalesce("best.verdict", F.lit("allow")).alias("verdict"), "n_candidates",
     )
 
 
-def _slots(spark: SparkSession, tokens: list[str]) -> dict[str, int]:
-    """The index slot of each rule token, by the same hash that the URLs' tokens get."""
-    values = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)).alias(f"t{i}") for i, t in enumerate(tokens)]).first()
-    return dict(zip(tokens, values, strict=True))
-
-
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page. ``rule`` names host rules alone; ``pattern`` names the word rule that blocked."""
     out = filter_urls(table(spark, sf_dir, "pages"))

@@ -148,7 +148,11 @@ def test_quality_policies_and_ablations(spark):
 
 def test_urls_by_trying_every_rule(spark):
     urls = ["http://a.example.org/es/x", "https://EXAMPLE.org/en/12?q", "ftp://x.com/fr/1#f", "http://com/de/2", "no scheme", None, "http://org", "http://www.cheap-pills.net/a", "http://x.net/casino/b", "http://notexample.org/es/"]
-    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    urls += ["http://x.net/Cheap-PILLS/b", "http://x.net/casino/b", "http://x.net/" + "a/" * 5000 + "warez"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "row", "token", "tokens", "pattern", "_id", "at")})
+    got = url_filter.filter_urls(pages).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(urls)))
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
     for r in got:
         fits = [(x.rank, x.name, x.verdict) for x in url_filter.HOST_RULES + url_filter.WORD_RULES if re.search(x.pattern, r.host + r.path)]
         assert (r.rule, r.verdict) == (max(fits)[1:] if fits else (None, "allow"))
@@ -273,9 +277,86 @@ def test_held_out_accuracy(spark):
 
 def test_rates_meet_targets(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    rows = mixing.mix(docs, labels).collect()
+    mixed, fit = mixing.mix(docs, labels)
+    rows = mixed.collect()
+    assert fit.met and {r.domain: r.met for r in fit.report(spark).collect()} == dict.fromkeys(mixing.TARGETS, True)
     totals = sum(r.rate * r.n_tokens * np.array(r.posterior) for r in rows)
     want = np.array([mixing.TARGETS[d] for d in sorted(mixing.TARGETS)])
     assert np.allclose(totals / totals.sum(), want, atol=1e-3) and min(r.rate for r in rows) >= 0
     kept = {r.doc_id for r in mixing.repeat_to_targets(docs, labels).select("doc_id").collect()}
     assert kept == {r.doc_id for r in rows}
+
+
+@pytest.mark.parametrize(("targets", "met"), [({"a": 0.0, "b": 1.0}, False), ({"a": 0.9, "b": 0.1}, True)])
+def test_rates_with_active_bounds(spark, targets, met):
+    """Targets that soft posteriors can't meet: the fit stops near the nearest totals and says so."""
+    posterior, tokens = np.array([[0.9, 0.1], [0.6, 0.4], [0.5, 0.5]]), np.array([1000, 700, 50])
+    rows = [(i, int(n), p.tolist()) for i, (n, p) in enumerate(zip(tokens, posterior, strict=True))]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>")
+    fit = mixing.fit_rates(members, targets)
+    got = np.array([r.rate for r in mixing.with_rates(members, fit.pulls, 2).orderBy("doc_id").collect()])
+    assert fit.met == met and got.min() >= 0 and np.isfinite(fit.target).all()
+    assert np.allclose((posterior * tokens[:, None]).T @ got, fit.reached, rtol=1e-4)
+    a = (posterior * tokens[:, None]).T
+    weight = np.linalg.inv(a @ posterior + 1e-9 * np.trace(a @ posterior) * np.eye(2))
+    off = lambda totals: float((totals - fit.target) @ weight @ (totals - fit.target))
+    best = np.ones(3)  # plain projected gradient in small steps, a row at a time
+    for _ in range(20_000):
+        pull = weight @ (a @ best - fit.target)
+        best = np.maximum(0.0, best - 0.5 * posterior @ pull)
+    assert off(fit.reached) <= 1.01 * off(a @ best) + 1e-3
+
+
+def test_repeats_meet_targets_or_say_so(spark):
+    """With rates of one or more the budget is raised until the shares are met."""
+    random = np.random.default_rng(1)
+    p = random.uniform(0.05, 0.95, 300)
+    members = spark.createDataFrame([(i, int(n), [float(x), float(1 - x)]) for i, (n, x) in enumerate(zip(random.integers(50, 500, 300), p, strict=True))], "doc_id long, n_tokens long, posterior array<double>")
+    fit = mixing.fit_rates(members, {"a": 0.6, "b": 0.4}, floor=1.0)
+    assert fit.met and np.allclose(fit.reached / fit.reached.sum(), [0.6, 0.4], atol=1e-3)
+    assert min(r.rate for r in mixing.with_rates(members, fit.pulls, 2, 1.0).collect()) >= 1
+    assert not mixing.fit_rates(members, {"a": 0.999, "b": 0.001}, floor=1.0, steps=3).met
+
+
+def test_one_row_of_each_component_stays(spark):
+    same, near = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "totally different words stand in this other text here now"
+    rows = [(1, same), (1, near), (2, same), (3, "a third text that nobody else has written so far today"), (None, near), (None, "no id and no copy of this one anywhere in the table"), (None, None), (7, ""), (3, "a third text that nobody else has written so far today")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, fp int")
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, same), (1, near), rows[3], rows[5], (7, "")], key=repr)
+    assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def test_novelty_recall_and_false_alarms():
+    """Random keys in sensitive contexts against paths, names and versions in the same contexts."""
+    random = np.random.default_rng(7)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    words = "user order customer payment invoice service session private access account client config database server cache storage report index value table column record".split()
+    contexts = ["Authorization: Bearer %s and more text follows here", "the private credential is %s for the site", "session cookie %s was set by the server", "aws access '%s' here", "login with key %s now please"]
+    some = lambda n: [words[x] for x in random.integers(0, len(words), n)]
+    plain = [lambda i: "/".join(some(4)) + f"/v{i}", lambda i: "_".join(some(4)) + f"_{i}", lambda i: "-".join(some(3)) + f"-2024-0{i}", lambda i: "".join(w.title() for w in some(4)) + f"V{i}", lambda i: "http/" + "/".join(some(3)) + f"/page{i}"]
+    found = lambda text: any(k == 3 for _, k, _ in secrets.secret_spans(text, " ".join(words)))
+    keys = ["".join(random.choice(letters, int(random.integers(20, 65)))) for _ in range(500)]
+    assert sum(found(contexts[i % 5] % key) for i, key in enumerate(keys)) >= 0.98 * len(keys)
+    assert sum(found(contexts[i % 5] % plain[i % 5](i % 10)) for i in range(500)) <= 0.05 * 500
+
+
+def test_novelty_by_plain_compression(spark):
+    """The spans of whole texts against a search that tries each token by itself."""
+    import zstandard
+
+    key, other = "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1Jk0", "user_account_settings_page_2024"
+    texts = [f"private {key} here", f"private {other} here", f"nothing {key} here", None, "", f"x {key} is the login", f"x {key} " + "w " * 60 + "login"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"spans": F.lit(1), "base": F.lit(2), "word": F.lit("w")})
+    learned = " ".join(secrets.common_words(docs))
+    content = zstandard.ZstdCompressionDict(" ".join([learned, *secrets.NAMES, secrets.FRAGMENTS]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda t: len(zstandard.ZstdCompressor(level=9, dict_data=content, write_checksum=False, write_content_size=False).compress(t.encode()))
+    for r in secrets.find_secrets(docs).collect():
+        t, want = texts[r.doc_id] or "", []
+        for m in re.finditer(r"\S{20,}", t):
+            around = t[max(0, m.start() - 80) : m.start()], t[m.end() : m.end() + 80]
+            if any(re.search("private|login|account", x) for x in around) and (size("".join(around) + m[0]) - size("".join(around))) / len(m[0]) > secrets.NOVELTY:
+                want.append(f"novel:{m.start()}:{m.end()}")
+        assert r.spans == ",".join(want)
+    assert docs.count() == 7 and [r.doc_id for r in secrets.find_secrets(docs).filter("n_novel > 0").orderBy("doc_id").collect()] == [0, 5]
