@@ -1,16 +1,19 @@
 """Exact top-k by inner product with an M-tree.
 
 Equal vectors are merged first, each with its smallest ids only (k + 1 are enough for any query). A bounded
-sample gives the routing objects of the root; every vector goes to the nearest. What a routing object holds is
-cut into pages by a hash, so that none outgrows a task. A page is a node of the tree: its entries are leaves
-with a routing object, a covering radius, the distance to the page's own routing object and the largest norm;
-a leaf's entries keep their distance to the leaf's routing object.
+sample gives the routing objects of the root; every vector goes to the nearest. What a routing object holds is cut
+into pages by the distance to it: a page is a ring, a metric node with its own inner and covering radius and largest
+norm. Inside a page, entries are leaves with a routing object, a covering radius and their distance to the page's
+routing object; a leaf's entries keep their distance to the leaf's routing object.
 
 With q·x = (|q|² + |x|² - d(q, x)²) / 2, a lower bound of a distance is an upper bound of a score. The triangle
 inequality gives such bounds from the stored distances before any new one is worked out. Each query first
-searches the routing object with the best bound, whose k-th score then rules out the others: those that can
-still hold a better or equal score are searched in a second round. Inside a page leaves are taken best bound
-first, until the best is under the query's k-th score.
+searches the page with the best bound, whose k-th score then rules out the others: only pages that can still hold a
+better or equal score are searched in a second round. Inside a page each query takes leaves best bound first, until
+the best is under its k-th score; queries that are at the same leaf are scored together.
+
+Scores are exact integers: vectors are held as whole doubles, products are summed in doubles where their sum stays
+under 2**53 and in Python's integers beyond. A score among a query's best that no long can hold is an error.
 """
 
 from __future__ import annotations
@@ -26,16 +29,17 @@ from pyspark.sql.window import Window
 
 from .common import FINE, arrow_map, checkpointed, table
 
-#: Vectors the routing objects are chosen from, and the most routing objects at the root.
-SAMPLE, ROUTES = 4096, 256
-#: Vectors of a page and of a leaf, about.
-PAGE, LEAF = 4096, 128
-#: Integer components are held within this, so that scores of up to 512 components are exact.
-MOST = 1 << 27
+#: Vectors the routing objects are chosen from, and the most routing objects and pages of each. The page table that all
+#: tasks get is so bounded (1 MB at most); pages of very large tables hold more, and are dealt to tasks in blocks.
+SAMPLE, ROUTES, RINGS = 4096, 256, 64
+#: Vectors of a page and of a leaf, and queries of a task, about.
+PAGE, LEAF, ASKED = 4096, 128, 20_000
+#: Components past this can't be squared in doubles.
+HUGE = 1e150
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float = 256.0) -> DataFrame:
-    """``id, vec``: floor(scale * x) as little-endian 32-bit integers, of the rows that take part.
+    """``id, vec``: floor(scale * x) as little-endian doubles, of the rows that take part.
 
     Left out are null ids, null vectors and those that hold a null, an infinity or no number. Trailing zeros
     are cut, so vectors of different lengths compare as if padded with zeros.
@@ -49,19 +53,21 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float = 256.
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(x).all():
-                    n = np.clip(np.floor(scale * x), -MOST, MOST).astype("<i4")
+                    n = np.floor(scale * x) + 0.0  # no negative zero
+                    if np.abs(n).max(initial=0) > HUGE:
+                        raise OverflowError(f"the components of vector {i} are too large to be squared")
                     ids.append(i)
-                    vecs.append(np.trim_zeros(n, "b").tobytes())
+                    vecs.append(np.trim_zeros(n, "b").astype("<f8").tobytes())
             yield {"id": ids, "vec": vecs}
 
     return arrow_map(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), run, "id long, vec binary")
 
 
 def matrix(vecs: list[bytes], width: int) -> np.ndarray:
-    """Rows padded with zeros; floats hold the integers exactly up to 2**53."""
+    """Rows padded with zeros."""
     out = np.zeros((len(vecs), width))
     for i, v in enumerate(vecs):
-        n = np.frombuffer(v, dtype="<i4")
+        n = np.frombuffer(v, dtype="<f8")
         out[i, : len(n)] = n
     return out
 
@@ -82,10 +88,22 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bound(q_norm2: np.ndarray | float, x_norm2: np.ndarray | float, least: np.ndarray) -> np.ndarray:
-    """Upper bound of the inner product given a lower bound of the distance; widened against rounding."""
-    least = np.maximum(0, least - 1e-6 * (1 + np.abs(least)))
-    top = (q_norm2 + x_norm2 - least**2) / 2
-    return top + 1e-6 * (1 + np.abs(top))
+    """Upper bound of the inner product given a lower bound of the distance; widened against rounding.
+
+    Rounding errors are in proportion to the squared norms, from which the distances come, not to the bound itself.
+    """
+    least = np.maximum(0, least)
+    size = q_norm2 + x_norm2 + least**2 + 1
+    return (q_norm2 + x_norm2 - least**2) / 2 + 1e-6 * size
+
+
+def scores(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Integer inner products, a row for each query: doubles where these are exact, else Python's integers."""
+    most = np.sqrt((points**2).sum(axis=1).max(initial=0) * (queries**2).sum(axis=1).max(initial=0))
+    if most < 2**52:
+        return queries @ points.T
+    whole = lambda x: np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
+    return whole(queries) @ whole(points).T
 
 
 class Leaf(NamedTuple):
@@ -102,36 +120,51 @@ class Page:
         centres = points[spread_out(points, max(1, -(-len(points) // LEAF)))]
         d = distance(points, centres)
         home = d.argmin(axis=1)
-        used = np.unique(home)
+        used = np.flatnonzero(np.bincount(home, minlength=len(centres)))
         self.centres = centres[used]
         self.leaves = [Leaf(rows := np.nonzero(home == j)[0], d[rows, j]) for j in used]
         self.radius = np.array([leaf.to_leaf.max() for leaf in self.leaves])
         self.most2 = np.array([self.norm2[leaf.rows].max() for leaf in self.leaves])
         self.to_page = distance(self.centres, route[None])[:, 0]
 
-    def search(self, q: np.ndarray, q_id: int, k: int, floor: float) -> list[tuple[int, int]]:
-        """Up to k (-score, id), best first, of those that score ``floor`` or more."""
-        q2 = float(q @ q)
-        to_route = float(np.sqrt(((q - self.route) ** 2).sum()))
+    def search(self, queries: np.ndarray, q_ids: list[int], k: int, floors: list[float]) -> list[list[tuple[int, int]]]:
+        """For each query up to k (-score, id), best first, of those that score its floor or more."""
+        q2 = (queries**2).sum(axis=1)
+        floor = np.array(floors, dtype=object)
+        to_route = np.sqrt(((queries - self.route) ** 2).sum(axis=1))
         # First by the stored parent distances alone; only leaves that pass have their distance worked out.
-        open_ = np.nonzero(bound(q2, self.most2, np.abs(to_route - self.to_page) - self.radius) >= floor)[0]
-        if not len(open_):
-            return []
-        d = np.sqrt(((self.centres[open_] - q) ** 2).sum(axis=1))
-        tops = bound(q2, self.most2[open_], d - self.radius[open_])
-        best: list[tuple[int, int]] = []
-        for j in np.argsort(-tops, kind="stable"):
-            if tops[j] < floor:
+        tops = bound(q2[:, None], self.most2, np.abs(to_route[:, None] - self.to_page) - self.radius)
+        open_ = tops >= floor.astype(float)[:, None]
+        asked, wanted = np.nonzero(open_.any(axis=1))[0], np.nonzero(open_.any(axis=0))[0]
+        best: list[list[tuple[int, int]]] = [[] for _ in q_ids]
+        if not len(asked):
+            return best
+        d = np.full(tops.shape, np.inf)
+        d[np.ix_(asked, wanted)] = distance(queries[asked], self.centres[wanted])
+        tops[np.ix_(asked, wanted)] = np.minimum(tops, bound(q2[:, None], self.most2, d - self.radius))[np.ix_(asked, wanted)]
+        tops[~open_] = -np.inf
+        order = np.argsort(-tops, axis=1, kind="stable")
+        for turn in range(order.shape[1]):
+            leaf_of = order[asked, turn]
+            asked = asked[(tops[asked, leaf_of] >= floor[asked].astype(float)) & np.isfinite(tops[asked, leaf_of])]
+            if not len(asked):
                 break
-            leaf = self.leaves[open_[j]]
-            rows = leaf.rows[bound(q2, self.norm2[leaf.rows], np.abs(d[j] - leaf.to_leaf)) >= floor]
-            scores = self.points[rows] @ q
-            near = scores >= floor
-            for row, s in zip(rows[near].tolist(), scores[near].tolist(), strict=True):
-                best += [(-int(s), i) for i in self.ids[row] if i != q_id]
-            best = sorted(best)[:k]
-            if len(best) == k:
-                floor = max(floor, -best[-1][0])
+            leaf_of = order[asked, turn]
+            for j in np.flatnonzero(np.bincount(leaf_of)):
+                group, leaf = asked[leaf_of == j], self.leaves[j]
+                # Rows that no query of the group can want, by their stored distance to the leaf's routing object.
+                near, far = d[group, j].min(), d[group, j].max()
+                gap = np.maximum(near - leaf.to_leaf, leaf.to_leaf - far)
+                rows = leaf.rows[bound(q2[group].max(), self.norm2[leaf.rows], gap) >= float(min(floor[group]))]
+                if not len(rows):
+                    continue
+                found = scores(self.points[rows], queries[group])
+                for at, q in enumerate(group.tolist()):
+                    for c in np.nonzero(found[at] >= floor[q])[0].tolist():
+                        best[q] += [(-int(found[at, c]), i) for i in self.ids[rows[c]] if i != q_ids[q]]
+                    best[q] = sorted(best[q])[:k]
+                    if len(best[q]) == k:
+                        floor[q] = max(floor[q], -best[q][-1][0])
         return best
 
 
@@ -139,7 +172,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     """``query_id, rank, id_col, score``: for each query the k best of ``vectors`` by integer inner product.
 
     Rows with the query's own id are no candidates; ties go to the smaller id. Rows that repeat an id with the
-    same vector count once. A query finds fewer than k where there are fewer; an empty table gives no rows.
+    same vector count once. A query finds fewer than k where there are fewer; an empty table gives no rows. Further
+    columns are left out. Vectors of any length and finite size take part; a best score that is no long is an error.
     """
     rows = quantised(vectors, id_col, vec_col)
     first = Window.partitionBy("vec").orderBy("id")
@@ -147,7 +181,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     merged = checkpointed(merged.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     asked = checkpointed(quantised(queries, id_col, vec_col).distinct())
     n, width = merged.agg(F.count("*"), F.max(F.length("vec"))).first()
-    width = max(1, (width or 0) // 4, (asked.agg(F.max(F.length("vec"))).first()[0] or 0) // 4)
+    n_asked, asked_width = asked.agg(F.count("*"), F.max(F.length("vec"))).first()
+    width = max(1, (width or 0) // 8, (asked_width or 0) // 8)
     spread = F.pmod(F.xxhash64("vec"), F.lit(FINE))
     sample = merged.filter(spread < max(1, int(FINE * min(1.0, SAMPLE / max(1, n))))).select("vec").toArrow().column("vec").to_pylist()
     points = matrix(sorted(sample) or [b""], width)
@@ -163,54 +198,74 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
                 yield {"vec": part.column("vec"), "ids": part.column("ids"), "route": home, "far": d[np.arange(len(home)), home], "norm2": (x**2).sum(axis=1)}
 
     routed = checkpointed(arrow_map(merged, route, "vec binary, ids array<long>, route int, far double, norm2 double"))
-    # One row for each of at most ROUTES routing objects.
-    nodes = {r["route"]: r for r in routed.groupBy("route").agg(F.max("far").alias("radius"), F.max("norm2").alias("most2"), F.count("*").alias("n")).collect()}
-    used = np.array(sorted(nodes), dtype=int)
-    radius, most2 = (np.array([nodes[r][c] for r in used.tolist()]) for c in ("radius", "most2"))
-    n_pages = {r: max(1, -(-nodes[r]["n"] // PAGE)) for r in nodes}
-    in_page = F.lit(0)
-    for r, parts in n_pages.items():
+    # One row for each of at most ROUTES routing objects: its size, and the distances at which its rings are cut.
+    cuts = F.percentile_approx("far", [i / RINGS for i in range(1, RINGS)], 1000)
+    sizes = {r["route"]: (r["n"], r["cuts"]) for r in routed.groupBy("route").agg(F.count("*").alias("n"), cuts.alias("cuts")).collect()}
+    borders = {}
+    for r, (size, at) in sizes.items():
+        rings = min(RINGS, -(-size // PAGE))
+        borders[r] = sorted({at[RINGS * i // rings - 1] for i in range(1, rings)})
+    ring = F.lit(0)
+    for r, at in borders.items():
+        if at:
+            ring = F.when(F.col("route") == r, sum((F.col("far") > x).cast("int") for x in at)).otherwise(ring)
+    pages = routed.withColumn("page", ring)
+    # One row for each page, at most ROUTES * RINGS: its own radii and largest norm.
+    ball = (F.min("far").alias("inner"), F.max("far").alias("outer"), F.max("norm2").alias("most2"), F.count("*").alias("n"))
+    nodes = sorted(tuple(r) for r in pages.groupBy("route", "page").agg(*ball).collect())
+    of_route, inner, outer, most2 = (np.array([x[i] for x in nodes]) for i in (0, 2, 3, 4))
+    # Pages that outgrow a task, and the queries, are dealt to tasks in blocks.
+    blocks = [max(1, -(-x[5] // (4 * PAGE))) for x in nodes]
+    n_blocks = F.lit(1)
+    for x, parts in zip(nodes, blocks, strict=True):
         if parts > 1:
-            in_page = F.when(F.col("route") == r, F.pmod(F.xxhash64("vec"), F.lit(parts)).cast("int")).otherwise(in_page)
-    pages = routed.select("vec", "ids", "route", in_page.alias("page"))
-
-    def bounds(q: np.ndarray) -> np.ndarray:
-        return bound((q**2).sum(axis=1)[:, None], most2, distance(q, routes[used]) - radius)
+            n_blocks = F.when((F.col("route") == x[0]) & (F.col("page") == x[1]), parts).otherwise(n_blocks)
+    turns = max(1, -(-n_asked // ASKED))
+    held = pages.withColumn("block", F.pmod(F.xxhash64("vec"), n_blocks).cast("int")).select("vec", "ids", "route", "page", "block", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+    asked = asked.withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int"))
 
     def send(batches: Iterator[pa.RecordBatch], second: bool) -> Iterator[dict]:
         for b in batches:
-            ids, vecs = b.column("id").to_pylist(), b.column("vec").to_pylist()
-            if not ids or not len(used):
-                continue
-            tops = bounds(matrix(vecs, width))
-            best = tops.argmax(axis=1)
-            floors = b.column("floor").to_pylist() if second else [None] * len(ids)
-            out: dict[str, list] = {"id": [], "vec": [], "route": [], "page": [], "floor": []}
-            for i, (q, v, floor) in enumerate(zip(ids, vecs, floors, strict=True)):
-                least = -np.inf if floor is None else float(floor)
-                for j in np.nonzero(tops[i] >= least)[0] if second else best[i : i + 1]:
-                    if second and j == best[i]:
-                        continue
-                    for page in range(n_pages[int(used[j])]):
-                        for c, value in (("id", q), ("vec", v), ("route", int(used[j])), ("page", page), ("floor", floor)):
-                            out[c].append(value)
-            yield out
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                ids, vecs, turn = (part.column(c).to_pylist() for c in ("id", "vec", "turn"))
+                if not len(nodes):
+                    continue
+                q = matrix(vecs, width)
+                d = distance(q, routes)[:, of_route]
+                tops = bound((q**2).sum(axis=1)[:, None], most2, np.maximum(d - outer, inner - d))
+                best = tops.argmax(axis=1)
+                floors = part.column("floor").to_pylist() if second else [None] * len(ids)
+                out: dict[str, list] = {c: [] for c in ("id", "vec", "route", "page", "block", "turn", "floor")}
+                for i, floor in enumerate(floors):
+                    least = -np.inf if floor is None else float(floor)
+                    for j in np.nonzero(tops[i] >= least)[0].tolist() if second else [int(best[i])]:
+                        if second and j == best[i]:
+                            continue
+                        for block in range(blocks[j]):
+                            for c, value in zip(out, (ids[i], vecs[i], nodes[j][0], nodes[j][1], block, turn[i], floor), strict=True):
+                                out[c].append(value)
+                yield out
 
     def look(key: tuple[pa.Scalar, ...], asked: pa.Table, held: pa.Table) -> pa.Table:
         found: list[tuple[int, int, int]] = []
         if asked.num_rows and held.num_rows:
             page = Page(matrix(held.column("vec").to_pylist(), width), held.column("ids").to_pylist(), routes[key[0].as_py()])
-            for q, v, floor in zip(asked.column("id").to_pylist(), matrix(asked.column("vec").to_pylist(), width), asked.column("floor").to_pylist(), strict=True):
-                found += [(q, i, -s) for s, i in page.search(v, q, k, -np.inf if floor is None else floor)]
+            ids, floors = asked.column("id").to_pylist(), [-np.inf if x is None else x for x in asked.column("floor").to_pylist()]
+            for at in range(0, len(ids), 1024):
+                part = slice(at, at + 1024)
+                for q, best in zip(ids[part], page.search(matrix(asked.column("vec")[part].to_pylist(), width), ids[part], k, floors[part]), strict=True):
+                    found += [(q, i, -s) for s, i in best]
         return pa.table({c: pa.array([x[i] for x in found], pa.int64()) for i, c in enumerate(("query_id", "found", "score"))})
 
+    keys = ("route", "page", "block", "turn")
+
     def search(sent: DataFrame) -> DataFrame:
-        left, right = sent.groupBy("route", "page"), pages.groupBy("route", "page")
-        return left.cogroup(right).applyInArrow(look, "query_id long, found long, score long")
+        return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(look, "query_id long, found long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "found")
     top = lambda rows: rows.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    columns = "id long, vec binary, route int, page int, floor long"
+    columns = "id long, vec binary, route int, page int, block int, turn int, floor long"
     one = checkpointed(top(search(arrow_map(asked, lambda b: send(b, False), columns))))
     kth = one.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     two = search(arrow_map(asked.join(kth, "id", "left"), lambda b: send(b, True), columns))

@@ -168,10 +168,31 @@ def test_top_k_with_copies_ties_and_odd_vectors(spark):
     for q in [i for i in good if i % 50 == 0]:
         want = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:5]
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+    clash = vectors.withColumns({c: F.lit(1) for c in ("id", "vec", "route", "page", "far", "rank", "score", "found", "turn")})
+    assert sorted(mtree.exact_top_k(clash, clash.filter("vec_id % 50 = 0")).collect()) == sorted(got)
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert mtree.exact_top_k(none, none).count() == 0
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    """Scores past what doubles hold are exact; pages in rings and blocks lose nothing."""
+    rows = [(0, [2.0**20, 1.0]), (1, [2.0**21, 0.0]), (2, [2.0**19, 5.0]), (3, [2.0**20 + 1 / 256, 1.0]), (4, [-(2.0**20), 7.0]), (5, [2.0**21, 1 / 256])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = mtree.exact_top_k(vectors, vectors.filter("vec_id = 0")).orderBy("rank").collect()
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = sorted((-sum(a * b for a, b in zip(whole[0], v, strict=True)), i) for i, v in whole.items() if i)[:5]
+    assert [(-r.score, r.vec_id) for r in got] == want and -want[0][0] == 144115188075855872 + 256
+    with pytest.raises(Exception, match="long|int|overflow|convert"):
+        mtree.exact_top_k(*[spark.createDataFrame([(0, [1e20]), (1, [1e20])], "vec_id long, embedding array<double>")] * 2).collect()
+    for name, value in (("PAGE", 40), ("LEAF", 8), ("ASKED", 5), ("RINGS", 4)):
+        monkeypatch.setattr(mtree, name, value)
+    points = np.random.default_rng(2).normal(size=(1500, 4))
+    vectors = spark.createDataFrame([(i, x) for i, x in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    n = np.floor(256 * points).astype(int)
+    for r in mtree.exact_top_k(vectors, vectors.filter("vec_id % 50 = 0")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("x")).collect():
+        assert [(-x.score, x.vec_id) for x in r.x] == sorted((-int(n[r.query_id] @ v), i) for i, v in enumerate(n) if i != r.query_id)[:5]
+
+
 def test_language_model_scores(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: suffix_tree_lm.tokens((r.text or "").encode()) for r in docs.collect()}
