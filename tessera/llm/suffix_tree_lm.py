@@ -1,33 +1,35 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The root holds the words' own distribution (add-one, one more class for words not met). A state is a context of
-one or two words; it is kept only if what follows it diverges from what its suffix says by a test. A text is
-scored word by word from the state of the longest kept suffix of what came before, down to the root: a
-follower that a state has stored has a smoothed probability there, any other one takes its share of what is
-left by the distribution of the state's suffix, so every state's distribution sums to one.
-
-Counting. Every word, and every context of one or two words with a follower that occurs ``LEAST`` times, counts: what
-is learned of a passage depends on its own count, not on the size of the table. Words that occur so often get numbers,
-and the texts are kept as arrays of these, so that pairs and triples are counted by a shuffle of integers, packed by slots of a hash. Counts, the
-divergence test and the states are distributed tables; nothing but totals goes to the driver.
-
-Scoring. Texts are dealt by a hash into buckets of bounded size. A bucket asks for the distinct words, pairs and
-triples it holds; these are joined to the states, and what is there is handed back to it.
+The root holds the words' own distribution (add-one, one more class for words not met). A state is a context of one or
+more words, as many as the data ask for: the root's children are the contexts of one word, and a context is examined if
+the one that is a word shorter is kept. It is kept if what follows it diverges from what its suffix says by a test:
+its count times the divergence. A text is scored word by word from the state of the longest kept suffix of what came
+before, down to the root: a follower that a state has stored has a smoothed probability there, any other one takes its
+share of what is left by the distribution of the state's suffix, so every state's distribution sums to one.
+
+Counting. Every context with a follower that occurs ``LEAST`` times counts: what is learned of a passage depends on its
+own count, not on the size of the table. Texts are cut into parts of bounded size. A part sends its distinct n-grams of
+one length, packed, to the slots of a hash; a slot adds up what all parts sent, and keeps what is frequent. The test is
+a partial aggregation over these; then each slot answers the parts that asked. An n-gram is sent only if those a word
+shorter within it are frequent, so that longer ones are few, and the tree ends where no context is kept. Nothing but
+totals goes to the driver; parts, slots and states are tables in the shared folder.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import gc
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpointed, id_fold, table, utf8
+from .common import arrow_map, delete_folder, id_fold, shared_dir, table, utf8
 
 #: The token after the last word; no word holds a line feed.
 END = b"\n"
@@ -37,102 +39,18 @@ LEAST = 3
 DIVERGENCE = 12.0
 #: Weight of the suffix's distribution in a state's.
 SMOOTH = 2.0
-#: Characters of a bucket, tokens of a part.
-BUCKET, PART = 12_000_000, 1_500_000
-#: Heads of triples start here, those of pairs are below; a word alone has head -1.
-TRIPLE = 1 << 32
-#: Grams are dealt to slots by sums modulo this prime.
-PRIME = 2**31 - 1
-#: Columns of a state.
-STATE = (("head", np.int64), ("next", np.int64), ("p", float), ("pass", float))
+#: Tokens of a part, and of what a slot adds up, about.
+PART, SLOT = 1_500_000, 700_000
+#: Stands for any follower: the count of the context itself.
+ANY = -1
+#: Columns of an answer about an n-gram: follower, context, count, log10 of the share that a kept context leaves (for ANY).
+ANSWER = (np.int64, np.int64, np.int64, float)
 
 
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``word binary, c`` of all tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        found: Counter = Counter()
-        for b in batches:
-            for t in utf8(b, "text"):
-                found.update(tokens(t))
-                if len(found) > 200_000:
-                    yield {"word": list(found), "n": list(found.values())}
-                    found = Counter()
-        yield {"word": list(found), "n": list(found.values())}
-
-    return arrow_map(texts.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-
-
-def numbered(counts: DataFrame) -> DataFrame:
-    """``word, c, number``: from 0 on for words that occur ``LEAST`` times, -1 - c for others. ``counts`` must be checkpointed."""
-    row = F.monotonically_increasing_id()
-    often = counts.filter(F.col("c") >= LEAST).withColumn("row", row)
-    # One row of each partition of the counts goes to the driver.
-    sizes = sorted(often.groupBy(F.shiftright("row", 33).alias("part")).agg(F.count("*").alias("n")).collect())
-    if sum(n for _, n in sizes) >= 1 << 31:
-        raise ValueError("more words than their numbers can tell apart")
-    first, at = {}, 0
-    for part, n in sizes:
-        first[part], at = at, at + n
-    offset = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.shiftright("row", 33)] if first else F.lit(0)
-    number = (offset + F.col("row").bitwiseAND((1 << 33) - 1)).cast("int")
-    return checkpointed(often.select("word", "c", number.alias("number")).union(counts.filter(F.col("c") < LEAST).select("word", "c", (-1 - F.col("c")).cast("int"))))
-
-
-def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The rows of ``_id, text, train`` with a bucket of bounded size, and how many buckets there are."""
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_buckets = max(1, -(-size // BUCKET))
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("_id", "text"), F.lit(n_buckets)).cast("int")), n_buckets
-
-
-def encoded(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """``_id, bucket, train, ids``: the texts as the numbers of their tokens; words not met in training are -1."""
-
-    def ask(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        found = {END}
-        for t in group.column("text").cast(pa.binary()):
-            found.update((t.as_py() or b"").lower().split())
-        return pa.table({"bucket": pa.array([key[0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
-
-    def encode(key: tuple[pa.Scalar, ...], group: pa.Table, known: pa.Table) -> pa.Table:
-        get = dict(zip(known.column("word").to_pylist(), known.column("number").to_pylist(), strict=True)).get
-        ids = [np.array([get(w, -1) for w in tokens(t.as_py() or b"")], dtype=np.int32) for t in group.column("text").cast(pa.binary())]
-        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)))
-        return pa.table({"_id": group.column("_id"), "bucket": group.column("bucket"), "train": group.column("train"), "ids": lists})
-
-    asked = rows.groupBy("bucket").applyInArrow(ask, "bucket int, word binary")
-    given = asked.join(words, "word").select("bucket", "word", "number")
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(encode, f"_id {kind}, bucket int, train boolean, ids array<int>")
-
-
-def flat(lists: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens one after another, and each one's place in its text."""
-    chunks = lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]
-    ids = np.concatenate([np.zeros(0, dtype=np.int64), *(c.flatten().to_numpy(zero_copy_only=False) for c in chunks)]).astype(np.int64)
-    sizes = np.concatenate([np.zeros(0, dtype=np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in chunks)]).astype(np.int64)
-    return ids, np.arange(len(ids)) - np.repeat(sizes.cumsum() - sizes, sizes)
-
-
-def grams(ids: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(head, next, count) of the distinct words, pairs and triples of numbered words; none goes over a text's start."""
-    held = ids >= 0
-    words, n = np.unique(ids[held], return_counts=True)
-    yield np.full(len(words), -1, dtype=np.int64), words, n
-    two = np.nonzero(held[1:] & held[:-1] & (place[1:] > 0))[0] + 1
-    three = two[1:][(two[1:] == two[:-1] + 1) & (place[two[1:]] > 1)]
-    for at, head in ((two, ids[two - 1]), (three, (ids[three - 2] + 1) << 32 | ids[three - 1])):
-        heads, number = np.unique(head, return_inverse=True)
-        keys, n = np.unique(number.astype(np.int64) << 32 | ids[at], return_counts=True)
-        yield heads[keys >> 32], keys & 0xFFFFFFFF, n
-
-
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of eight bytes, compressed; the first is best in order."""
     first, *rest = columns
@@ -140,266 +58,334 @@ def pack(*columns: np.ndarray) -> bytes:
     return zstandard.compress(both.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def unpack(blobs: list[bytes], kinds: list[type]) -> list[np.ndarray]:
+def unpack(blob: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
+    columns = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(len(kinds), -1)
+    return [c.cumsum() if i == 0 else c.view(kind) for i, (c, kind) in enumerate(zip(columns, kinds, strict=True))]
+
+
+def unpack_all(blobs: list[bytes], kinds: tuple[type, ...]) -> list[np.ndarray]:
     """The columns of several packs, one pack after another."""
-    out = [[np.zeros(0, dtype=k)] for k in kinds]
-    for blob in blobs:
-        raw = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
-        columns = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(len(kinds), -1)
-        for i, c in enumerate(columns):
-            out[i].append(c.cumsum() if i == 0 else c.view(kinds[i]))
-    return [np.concatenate(x) for x in out]
+    parts = [unpack(b, kinds) for b in blobs]
+    return [np.concatenate([np.zeros(0, dtype=kind), *(p[i] for p in parts)]) for i, kind in enumerate(kinds)]
+
+
+def mixed(head: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A context's number from that of its suffix and the word before it: 64 bits of a hash."""
+    x = head.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (word.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(29)).view(np.int64)
 
 
-def packs(slots: int, head: np.ndarray, next_: np.ndarray, *more: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """The slots that have rows, and the pack of each."""
-    slot = ((head % PRIME) * 7919 + next_ * 104729) % PRIME % slots
-    by = np.argsort(slot, kind="stable")
-    used, at = np.unique(slot[by], return_index=True)
-    return used.tolist(), [pack(*(c[i] for c in (head, next_, *more))) for i in np.split(by, at[1:])] if len(by) else []
+def slots_of(head: np.ndarray, next_: np.ndarray, slots: int) -> np.ndarray:
+    return (mixed(head, next_).view(np.uint64) % np.uint64(slots)).astype(np.int64)
 
 
-def slot_of(slots: int) -> Column:
-    """The same slot in a table with ``head`` and ``next``."""
-    return (((F.pmod("head", F.lit(PRIME)) * 7919 + F.col("next").cast("long") * 104729) % PRIME) % slots).cast("int")
+def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal rows are side by side, and where in it each run of them starts."""
+    order = np.lexsort(columns)
+    change = np.zeros(len(order), dtype=bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[order[1:]] != c[order[:-1]]
+    return order, np.nonzero(change)[0]
 
 
-def gram_counts(coded: DataFrame, slots: int) -> DataFrame:
-    """``head, next, n`` of all pairs and triples that occur ``LEAST`` times in training texts."""
+def cut(rows: DataFrame) -> DataFrame:
+    """Parts of ``rows`` (``_id, text, train``): ids, flags and sizes of the texts, tokens as places in the part's word list.
+
+    A part is a stretch of one partition, so that nothing is shuffled; ``n`` counts each word in its training texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        def counted(rows: list[pa.Array]) -> Iterator[dict]:
-            for columns in list(grams(*flat(pa.chunked_array(rows))))[1:]:
-                slot, packed = packs(slots, *columns)
-                yield {"slot": slot, "packed": packed}
+        part = TaskContext.get().partitionId() << 32
+        ids, train, codes, size = [], [], [], 0
+        number: dict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+
+        def finished() -> dict:
+            all_ = np.concatenate(codes)
+            sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+            n = np.bincount(all_[np.repeat(np.array(train, dtype=bool), sizes)], minlength=len(number))
+            return {
+                "part": [part], "ids": [ids], "train": [train], "sizes": [sizes], "n_tokens": [len(all_)],
+                "tokens": [zstandard.compress(all_.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)],
+                "words": [zstandard.compress(b" ".join(number), 3)], "n": [zstandard.compress(n.astype("<i8").tobytes(), 1)],
+            }
 
-        held, size = [], 0
         for b in batches:
-            held.append(b.column("ids"))
-            size += len(b.column("ids").flatten())
-            if size >= PART:
-                yield from counted(held)
-                held, size = [], 0
-        if held:
-            yield from counted(held)
-
-    def merge(group: pa.Table) -> pa.Table:
-        head, next_, n = unpack(group.column("packed").to_pylist(), [np.int64] * 3)
-        heads, number = np.unique(head, return_inverse=True)
-        keys, at = np.unique(number.astype(np.int64) << 32 | next_, return_inverse=True)
-        n = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
-        keys, n = keys[n >= LEAST], n[n >= LEAST]
-        return pa.table({"head": pa.array(heads[keys >> 32]), "next": pa.array((keys & 0xFFFFFFFF).astype(np.int32)), "n": pa.array(n)})
-
-    found = arrow_map(coded.filter("train").select("ids"), run, "slot int, packed binary")
-    return found.groupBy("slot").applyInArrow(merge, "head long, next int, n long")
-
-
-def kept(rows: DataFrame) -> DataFrame:
-    """``head, pass`` of the contexts that pass the test, from ``head, next, n, seen, before``; see ``SuffixTree.grow``."""
-    n, seen, before = F.col("n"), F.col("seen"), F.col("before")
-    sums = rows.groupBy("head").agg(
-        F.max(seen).alias("seen"), F.sum(n).alias("known"), F.sum(before).alias("before"), F.sum(n * F.log(n / seen / before)).alias("gain"),
-        F.sum((n + SMOOTH * before) / (seen + SMOOTH)).alias("stored"),
-    )
-    more, left_before = seen - F.col("known"), F.greatest(F.lit(1e-12), 1 - before)
-    gain = F.col("gain") + F.when(more > 0, more * F.log(more / seen / left_before)).otherwise(0.0)
-    return sums.filter(gain >= DIVERGENCE).select("head", F.log10(F.greatest(F.lit(1e-12), 1 - F.col("stored")) / left_before).alias("pass"))
+            for i, text, t in zip(b.column("_id").to_pylist(), utf8(b, "text"), b.column("train").to_pylist(), strict=True):
+                ids.append(i)
+                train.append(bool(t))
+                codes.append(np.array([*map(number.__getitem__, text.lower().split()), number[END]], dtype=np.int32))
+                size += len(codes[-1])
+                if size >= PART:
+                    yield finished()
+                    part += 1
+                    ids, train, codes, size = [], [], [], 0
+                    number.clear()
+        if ids:
+            yield finished()
 
+    kind = rows.schema["_id"].dataType.simpleString()
+    schema = f"part long, ids array<{kind}>, train array<boolean>, sizes array<long>, n_tokens long, tokens binary, words binary, n binary"
+    return arrow_map(rows.select("_id", "text", "train"), run, schema)
 
-def states(words: DataFrame, found: DataFrame, total: int, distinct: int) -> DataFrame:
-    """``head, next, p, pass``: log10 of a word's own, or of a stored follower's probability; of what the context leaves.
 
-    ``p`` or ``pass`` is null where a pair's context, or the pair as a context, is not kept.
-    """
-    stored = F.log10((F.col("n") + SMOOTH * F.col("before")) / (F.col("seen") + SMOOTH))
-    known = words.filter("number >= 0").select("number", "c")
-    root = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
-    pairs = found.filter(F.col("head") < TRIPLE).join(known.select(F.col("number").alias("next"), root.alias("before")), "next")
-    pairs = pairs.join(known.select(F.col("number").cast("long").alias("head"), F.col("c").alias("seen")), "head")
-    one = checkpointed(kept(pairs))
-    p = F.when(F.col("pass").isNotNull(), stored)
-    pairs = checkpointed(pairs.join(one, "head", "left").select("head", "next", "n", p.alias("p"), F.coalesce(F.pow(F.lit(10.0), p), "before").alias("before")))
-    as_context = ((F.col("head") + 1) * TRIPLE + F.col("next")).alias("head")
-    triples = found.filter(F.col("head") >= TRIPLE).withColumn("suffix", F.col("head") % TRIPLE)
-    triples = triples.join(pairs.select(F.col("head").alias("suffix"), "next", "before"), ["suffix", "next"]).join(pairs.select(as_context, F.col("n").alias("seen")), "head")
-    triples = checkpointed(triples.select("head", "next", "n", "seen", "before"))
-    two = checkpointed(kept(triples))
-    word_rows = known.select(F.col("number").cast("long").alias("head"), F.log10(root).alias("p")).join(one, "head", "left")
-    pair_rows = pairs.select("head", "next", "p", as_context.alias("context")).join(two.withColumnRenamed("head", "context"), "context", "left")
-    rows = word_rows.select(F.lit(-1).cast("long").alias("head"), F.col("head").cast("int").alias("next"), "p", "pass")
-    rows = rows.union(pair_rows.filter("p is not null or pass is not null").select("head", "next", "p", "pass"))
-    return rows.union(triples.join(two, "head").select("head", "next", stored.alias("p"), F.lit(None).cast("double")))
-
-
-@dataclass
-class SuffixTree:
-    """States of contexts of one and two words, in tables by word number: those that a bucket asked for, or all of a small tree.
-
-    ``pass1[w]`` is the log share that context w leaves to followers it has not stored (0: no state); ``keys1``
-    and ``logs1`` are its stored followers. ``contexts2`` are the kept pairs, with the same for their followers.
+def word_answers(parts: DataFrame, slots: int) -> DataFrame:
+    """``part, packed`` (place in the part's list, number, count of all training texts); and a row ``total, words`` for each slot."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for part, words, n in zip(b.column("part").to_pylist(), b.column("words").to_pylist(), b.column("n").to_pylist(), strict=True):
+                words = zstandard.decompress(words).split(b" ")
+                n = np.frombuffer(zstandard.decompress(n), dtype="<i8")
+                slot = np.fromiter((xxhash.xxh64_intdigest(w) % slots for w in words), np.int64, len(words))
+                order = np.argsort(slot, kind="stable")
+                places = np.split(order, np.nonzero(np.diff(slot[order]))[0] + 1)
+                yield {
+                    "slot": [int(slot[x[0]]) for x in places], "part": [part] * len(places), "packed": [pack(x, n[x]) for x in places],
+                    "words": [zstandard.compress(b" ".join([words[i] for i in x.tolist()]), 1) for x in places],
+                }
+
+    def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        number: dict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        asked = []
+        for part, words, packed in zip(*(group.column(c).to_pylist() for c in ("part", "words", "packed")), strict=True):
+            words = zstandard.decompress(words).split(b" ")
+            asked.append((part, np.fromiter(map(number.__getitem__, words), np.int64, len(words)), *unpack(packed, (np.int64, np.int64))))
+        counts = np.zeros(len(number), dtype=np.int64)
+        for _, at, _, n in asked:
+            counts[at] += n
+        # Numbers that differ between slots without a count of all words.
+        numbers = np.arange(len(number)) * slots + key[0].as_py()
+        return pa.table({
+            "part": pa.array([x[0] for x in asked] + [None], pa.int64()), "packed": pa.array([pack(place, numbers[at], counts[at]) for _, at, place, _ in asked] + [None], pa.binary()),
+            "total": pa.array([None] * len(asked) + [int(counts.sum())], pa.int64()), "words": pa.array([None] * len(asked) + [int((counts > 0).sum())], pa.int64()),
+        })
+
+    asked = arrow_map(parts.select("part", "words", "n"), ask, "slot int, part long, words binary, packed binary")
+    return asked.groupBy("slot").applyInArrow(merge, "part long, packed binary, total long, words long")
+
+
+class Part:
+    """The tokens of a part, with the state of each place in the tree as far as it is known.
+
+    ``logs``: log10 probability by the longest kept context so far. ``head``, ``open``: the context that is examined
+    next, and whether there is one. ``maybe``: whether the n-gram that ends here, as long as that context, may be frequent.
     """
 
-    words: list[bytes] | np.ndarray
-    pass1: np.ndarray
-    keys1: np.ndarray
-    logs1: np.ndarray
-    contexts2: np.ndarray
-    pass2: np.ndarray
-    keys2: np.ndarray
-    logs2: np.ndarray
+    def __init__(self, sizes: np.ndarray, train: np.ndarray, local: np.ndarray, numbers: np.ndarray, counts: np.ndarray, total: int, words: int):
+        self.word, count = numbers[local], counts[local]
+        self.starts = sizes.cumsum() - sizes
+        self.place = np.arange(len(local)) - np.repeat(self.starts, sizes)
+        self.train = np.repeat(train, sizes)
+        self.known = count > 0
+        self.root = np.log10((count + 1) / (total + words + 1))
+        self.logs = self.root.copy()
+        self.length = 0
+        self.head = np.zeros(len(local), dtype=np.int64)
+        self.maybe = count >= LEAST
+        self.open = np.ones(len(local), dtype=bool)
+        self._longer(self.open)
+
+    def _longer(self, kept: np.ndarray) -> None:
+        """Go on to contexts that are a word longer, where ``kept`` holds and the context itself may be frequent."""
+        self.length += 1
+        k = self.length
+        at = np.nonzero(kept & (self.place >= k))[0]
+        at = at[self.maybe[at - 1]]
+        self.open = np.zeros(len(self.word), dtype=bool)
+        self.open[at] = True
+        self.head[at] = self.word[at - 1] if k == 1 else mixed(self.head[at], self.word[at - k])
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(next, head, n, before) of the distinct contexts (next: ANY) and n-grams examined; n counts training texts."""
+        at = np.nonzero(self.open)[0]
+        with_next = at[self.maybe[at]]
+        next_ = np.concatenate([np.full(len(at), ANY), self.word[with_next]])
+        head = np.concatenate([self.head[at], self.head[with_next]])
+        n = np.concatenate([self.train[at], self.train[with_next]]).astype(np.int64)
+        before = np.concatenate([np.zeros(len(at)), 10 ** self.logs[with_next]])
+        order, first = runs(head, next_)
+        n = np.add.reduceat(n[order], first) if len(first) else n
+        order = order[first]
+        return next_[order], head[order], n, before[order]
+
+    def advance(self, next_: np.ndarray, head: np.ndarray, n: np.ndarray, left: np.ndarray) -> None:
+        """Take the answers about what was asked, and go on to longer contexts."""
+        at = np.nonzero(self.open)[0]
+        any_ = next_ == ANY
+        context, seen, rest = self._found(head[any_], self.head[at], n[any_], left[any_])
+        kept = np.zeros(len(self.word), dtype=bool)
+        kept[at] = context
+        # Followers are told by their context and word together.
+        code, mine = mixed(head[~any_], next_[~any_]), mixed(self.head[at], self.word[at])
+        frequent, times, _ = self._found(code, mine, n[~any_], left[~any_])
+        frequent &= self.maybe[at]
+        before = 10 ** self.logs[at]
+        self.logs[at] = np.where(context & frequent, np.log10((times + SMOOTH * before) / (seen + SMOOTH)), np.where(context, rest, 0.0) + self.logs[at])
+        maybe = np.zeros(len(self.word), dtype=bool)
+        maybe[1:] = self.maybe[1:] & self.maybe[:-1] & (self.place[1:] >= self.length)
+        maybe[at] = frequent
+        self.maybe = maybe
+        self._longer(kept)
 
     @staticmethod
-    def of_states(head: np.ndarray, next_: np.ndarray, p: np.ndarray, pass_: np.ndarray) -> tuple[SuffixTree, np.ndarray]:
-        """The tree of some rows of ``states`` (null is NaN), and log10 of its words' own probabilities; ``words`` are their numbers."""
-        word, two = head < 0, head >= TRIPLE
-        pair = ~word & ~two
-        order = np.argsort(next_[word])
-        names, root, pass1 = next_[word][order], p[word][order], pass_[word][order]
-        m = len(names) + 1
-        number = lambda x: np.searchsorted(names, x)
-        code = number(head[pair]) * m + number(next_[pair])
-        by = np.argsort(code)
-        code, stored, rest = code[by], p[pair][by], pass_[pair][by]
-        has, context = ~np.isnan(stored), ~np.isnan(rest)
-        contexts2 = code[context]
-        heads = head[two]
-        keys2 = np.searchsorted(contexts2, number((heads >> 32) - 1) * m + number(heads & 0xFFFFFFFF)) * m + number(next_[two])
-        by = np.argsort(keys2)
-        return SuffixTree(names, np.append(np.nan_to_num(pass1), 0.0), code[has], stored[has], contexts2, rest[context], keys2[by], p[two][by]), root
+    def _found(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Which wanted keys there are, and their values (zero for others)."""
+        if not len(keys):
+            return np.zeros(len(wanted), dtype=bool), *(np.zeros(len(wanted)) for _ in values)
+        order = np.argsort(keys)
+        at = np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)
+        hit = keys[order][at] == wanted
+        return hit, *(np.where(hit, v[order][at], 0) for v in values)
+
+
+def read_part(row: pa.Table, answers: pa.Table, total: int, words: int) -> Part:
+    """The part of one row of ``cut``, brought up to the level of the answers it got."""
+    packed: dict[int, list[bytes]] = defaultdict(list)
+    for level, blob in zip(answers.column("level").to_pylist(), answers.column("packed").to_pylist(), strict=True):
+        packed[level].append(blob)
+    place, number, count = unpack_all(packed[0], (np.int64,) * 3)
+    numbers, counts = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
+    numbers[place], counts[place] = number, count
+    raw = np.frombuffer(zstandard.decompress(row.column("tokens")[0].as_py()), dtype=np.uint8)
+    local = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4")[:, 0]
+    part = Part(np.array(row.column("sizes")[0].as_py()), np.array(row.column("train")[0].as_py()), local, numbers, counts, total, words)
+    for level in sorted(packed)[1:]:
+        part.advance(*unpack_all(packed[level], ANSWER))
+    return part
+
+
+def gathered(asked: DataFrame) -> DataFrame:
+    """What a slot keeps of ``slot, part, packed``: rows ``slot, head, next, n, before`` of all that occur ``LEAST`` times,
+    and for each part a row ``slot, part, packed`` of those of them that it asked for."""
+
+    def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        parts, blobs = group.column("part").to_pylist(), group.column("packed").to_pylist()
+        packs = [unpack(b, (np.int64, np.int64, np.int64, float)) for b in blobs]
+        next_, head, n, before = (np.concatenate([p[i] for p in packs]) for i in range(4))
+        order, first = runs(head, next_)
+        times = np.add.reduceat(n[order], first)
+        often = times >= LEAST
+        asked = np.zeros(len(order), dtype=bool)
+        asked[order] = np.repeat(often, np.diff(np.append(first, len(order))))
+        rows = order[first][often]
+        kept, at = [], 0
+        for part, p in zip(parts, packs, strict=True):
+            mine = asked[at : at + len(p[0])]
+            at += len(p[0])
+            if mine.any():
+                kept.append((part, pack(p[0][mine], p[1][mine])))
+        none = lambda m: [None] * m
+        return pa.table({
+            "slot": pa.array([key[0].as_py()] * (len(rows) + len(kept)), pa.int32()), "head": pa.array(head[rows].tolist() + none(len(kept)), pa.int64()),
+            "next": pa.array(next_[rows].tolist() + none(len(kept)), pa.int64()), "n": pa.array(times[often].tolist() + none(len(kept)), pa.int64()),
+            "before": pa.array(before[rows].tolist() + none(len(kept)), pa.float64()), "part": pa.array(none(len(rows)) + [x for x, _ in kept], pa.int64()),
+            "packed": pa.array(none(len(rows)) + [x for _, x in kept], pa.binary()),
+        })
+
+    return asked.groupBy("slot").applyInArrow(merge, "slot int, head long, next long, n long, before double, part long, packed binary")
+
+
+def kept_contexts(found: DataFrame) -> DataFrame:
+    """``head, left`` of the contexts that pass the test: log10 of the share of their suffix's rest that they leave."""
+    follows = F.col("next") != ANY
+    n, before = F.when(follows, F.col("n")), F.when(follows, F.col("before"))
+    sums = found.groupBy("head").agg(
+        F.max(F.when(~follows, F.col("n"))).cast("double").alias("seen"), F.sum(n).cast("double").alias("known"), F.sum(before).alias("before"), F.sum(n * (F.log(n) - F.log(before))).alias("gain"),
+    )
+    seen, known = F.col("seen"), F.col("known")
+    more, left_before = seen - known, F.greatest(F.lit(1e-12), 1 - F.col("before"))
+    gain = F.col("gain") - known * F.log(seen) + F.when(more > 0, more * F.log(more / seen / left_before)).otherwise(0.0)
+    stored = (known + SMOOTH * F.col("before")) / (seen + SMOOTH)
+    return sums.filter("known > 0 and seen is not null").filter(gain >= DIVERGENCE).select(F.col("head").alias("context"), F.log10(F.greatest(F.lit(1e-12), 1 - stored) / left_before).alias("left"))
 
-    @staticmethod
-    def grow(words: dict[bytes, int], total: int, distinct: int, pairs: dict[bytes, int], triples: dict[bytes, int]) -> SuffixTree:
-        """A small tree in memory; ``states`` makes the same as tables. ``words``: counts of all words in the pairs and triples."""
-        names = sorted({w for g in [*pairs, *triples] for w in g.split(b" ")})
-        number = {w: i for i, w in enumerate(names)}
-        m = len(names) + 1  # the last number is any other word
-        root = {w: (words.get(w, 0) + 1) / (total + distinct + 1) for w in names}
-
-        def states(grams: dict[bytes, int], suffix, held: dict[bytes, int]) -> dict[bytes, tuple[float, dict[bytes, float]]]:
-            by_context: dict[bytes, dict[bytes, int]] = {}
-            for g, n in grams.items():
-                context, _, word = g.rpartition(b" ")
-                by_context.setdefault(context, {})[word] = n
-            out = {}
-            for context, next_ in by_context.items():
-                seen, known = held.get(context, 0), sum(next_.values())
-                if seen < known:
-                    continue
-                before = {w: suffix(context, w) for w in next_}
-                left, left_before = (seen - known) / seen, max(1e-12, 1 - sum(before.values()))
-                gain = sum(n * np.log(n / seen / before[w]) for w, n in next_.items())
-                gain += (seen - known) * np.log(left / left_before) if left > 0 else 0.0
-                if gain >= DIVERGENCE:
-                    stored = {w: (n + SMOOTH * before[w]) / (seen + SMOOTH) for w, n in next_.items()}
-                    out[context] = max(1e-12, 1 - sum(stored.values())) / left_before, stored
-            return out
-
-        one = states(pairs, lambda _, w: root[w], words)
-
-        def by_one(context: bytes, w: bytes) -> float:
-            share_left, stored = one.get(context.rpartition(b" ")[2], (1.0, {}))
-            return stored[w] if w in stored else share_left * root[w]
-
-        two = states(triples, by_one, pairs)
-        pass1 = np.zeros(m)
-        for w, (rest, _) in one.items():
-            pass1[number[w]] = np.log10(rest)
-        flat1 = sorted((number[c] * m + number[w], np.log10(p)) for c, (_, stored) in one.items() for w, p in stored.items())
-        code = {c: number[c.split(b" ")[0]] * m + number[c.split(b" ")[1]] for c in two}
-        order = sorted(two, key=code.get)
-        flat2 = sorted((i * m + number[w], np.log10(p)) for i, c in enumerate(order) for w, p in two[c][1].items())
-        columns = lambda flat: (np.array([k for k, _ in flat], dtype=np.int64), np.array([x for _, x in flat], dtype=float))
-        contexts2 = np.array([code[c] for c in order], dtype=np.int64)
-        return SuffixTree(names, pass1, *columns(flat1), contexts2, np.array([np.log10(two[c][0]) for c in order], dtype=float), *columns(flat2))
-
-    def log10(self, ids: np.ndarray, root: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """log10 probability of each token. ``ids``: word numbers, ``root``: log10 at the root, ``start``: true at a text's first token."""
-        m = len(self.words) + 1
-        out = root.copy()
-        if len(ids) < 2:
-            return out
-        before = ids[:-1]
-        one = self.pass1[before] + root[1:]
-        one = _stored(self.keys1, self.logs1, before * m + ids[1:], one)
-        inner = ~start[1:]
-        out[1:] = np.where(inner, one, root[1:])
-        if len(ids) > 2 and len(self.contexts2):
-            pair = ids[:-2] * m + ids[1:-1]
-            at = np.minimum(np.searchsorted(self.contexts2, pair), len(self.contexts2) - 1)
-            held = (self.contexts2[at] == pair) & inner[1:] & inner[:-1]
-            two = _stored(self.keys2, self.logs2, at * m + ids[2:], self.pass2[at] + out[2:])
-            out[2:] = np.where(held, two, out[2:])
-        return out
-
-
-def _stored(keys: np.ndarray, logs: np.ndarray, wanted: np.ndarray, other: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return other
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, logs[at], other)
-
-
-def asked_states(coded: DataFrame, found: DataFrame, slots: int) -> DataFrame:
-    """``bucket, packed``: for each bucket the rows of ``found`` (``states``) for the words, pairs and triples that it holds."""
-
-    def ask(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        slot, packed = [], []
-        for head, next_, _ in grams(*flat(group.column("ids"))):
-            for out, x in zip((slot, packed), packs(slots, head, next_), strict=True):
-                out += x
-        return pa.table({"slot": pa.array(slot, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(slot), pa.int32()), "packed": pa.array(packed, pa.binary())})
+
+def answered(found: DataFrame) -> DataFrame:
+    """``part, packed`` (``ANSWER``): the frequent n-grams that each part asked for, and of its contexts those that are kept."""
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        head, next_, p, pass_ = (known.column(c).to_numpy().astype(kind) for c, kind in STATE)
-        heads = np.unique(head)
-        code = np.searchsorted(heads, head) << 32 | next_
-        by = np.argsort(code)
-        code = code[by]
-        bucket, packed = [], []
-        for number, blob in zip(asked.column("bucket").to_pylist(), asked.column("packed").to_pylist(), strict=True):
-            h, w = unpack([blob], [np.int64] * 2)
-            at = np.minimum(np.searchsorted(heads, h), len(heads) - 1)
-            want = (at << 32 | w)[heads[at] == h] if len(heads) else at[:0]
-            at = np.minimum(np.searchsorted(code, want), len(code) - 1)
-            rows = by[at[code[at] == want]]
+        next_, head, n, left = (known.column(c).to_numpy().astype(kind) for c, kind in zip(("next", "head", "n", "left"), ANSWER, strict=True))
+        code = mixed(head, next_)
+        order = np.argsort(code)
+        code = code[order]
+        part, packed = [], []
+        for number, blob in zip(asked.column("part").to_pylist(), asked.column("packed").to_pylist(), strict=True):
+            w, h = unpack(blob, (np.int64, np.int64))
+            want = mixed(h, w)
+            at = np.minimum(np.searchsorted(code, want), max(0, len(code) - 1))
+            rows = order[at[code[at] == want]] if len(code) else at[:0]
             if len(rows):
-                bucket.append(number)
-                packed.append(pack(head[rows], next_[rows], p[rows], pass_[rows]))
-        return pa.table({"bucket": pa.array(bucket, pa.int32()), "packed": pa.array(packed, pa.binary())})
+                part.append(number)
+                packed.append(pack(next_[rows], head[rows], n[rows], left[rows]))
+        return pa.table({"part": pa.array(part, pa.int64()), "packed": pa.array(packed, pa.binary())})
 
-    asked = coded.select("bucket", "ids").groupBy("bucket").applyInArrow(ask, "slot int, bucket int, packed binary")
-    placed = found.withColumn("slot", slot_of(slots))
-    return asked.groupBy("slot").cogroup(placed.groupBy("slot")).applyInArrow(answer, "bucket int, packed binary")
+    rows, asked = found.filter("packed is null"), found.filter("packed is not null").select(F.col("slot").alias("of_slot"), "part", "packed")
+    contexts = rows.filter(F.col("next") == ANY).join(kept_contexts(rows), F.col("head") == F.col("context"))
+    known = rows.filter(F.col("next") != ANY).select("slot", "next", "head", "n", F.lit(0.0).alias("left")).unionAll(contexts.select("slot", "next", "head", "n", "left"))
+    return asked.groupBy("of_slot").cogroup(known.groupBy("slot")).applyInArrow(answer, "part long, packed binary")
 
 
 def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> tuple[DataFrame, int]:
     """``id_col, train_col, n_tokens, n_known, base_score, score`` for every row, learned from those with ``train_col``; the training tokens.
 
-    Null texts are an end token alone.
+    Null and empty texts are an end token alone. A very long text is a part of its own. Repeated rows and null ids count
+    and are scored each. An empty table gives no rows; without training texts all words are unknown. Further columns are
+    left out.
     """
-    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(train_col).alias("train"))
-    counts = checkpointed(word_counts(rows.filter("train")))
-    total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    words = numbered(counts)
-    in_buckets, n_buckets = dealt(rows)
-    coded = checkpointed(encoded(in_buckets, words))
-    found = checkpointed(gram_counts(coded, 2 * n_buckets))
-    given = asked_states(coded, states(words, found, total, distinct), 2 * n_buckets)
-
-    def score(key: tuple[pa.Scalar, ...], group: pa.Table, known: pa.Table) -> pa.Table:
-        tree, root = SuffixTree.of_states(*unpack(known.column("packed").to_pylist(), [kind for _, kind in STATE]))
-        ids, place = flat(group.column("ids"))
-        local = np.where(ids >= 0, np.searchsorted(tree.words, ids), len(tree.words))
-        seldom = np.log10(np.maximum(-ids, 1) / (total + distinct + 1))
-        base = np.where(ids >= 0, np.append(root, 0.0)[local], seldom)
-        start = np.nonzero(place == 0)[0]
-        sums = lambda x: np.add.reduceat(x, start) if len(start) else np.zeros(0, dtype=x.dtype)
-        out = {"n_tokens": sums(np.ones(len(ids), dtype=np.int64)), "n_known": sums((ids != -1).astype(np.int64)), "base_score": sums(base), "score": sums(tree.log10(local, base, place == 0))}
-        return pa.table({"_id": group.column("_id"), "train": group.column("train")} | {k: pa.array(v) for k, v in out.items()})
+    spark = rows.sparkSession
+    folder = shared_dir(spark)
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
 
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(train_col).alias("train"))
     kind = rows.schema["_id"].dataType.simpleString()
-    scored = coded.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(score, f"_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    parts = stored(cut(rows), "parts")
+    slots = max(1, -(-(parts.agg(F.sum("n_tokens")).first()[0] or 0) // SLOT))
+    words = stored(word_answers(parts, slots), "words")
+    total, distinct = (x or 0 for x in words.agg(F.sum("total"), F.sum("words")).first())
+    answers = words.filter("part is not null").select("part", F.lit(0).alias("level"), "packed")
+
+    def ask(key: tuple[pa.Scalar, ...], row: pa.Table, given: pa.Table) -> pa.Table:
+        next_, head, n, before = read_part(row, given, total, distinct).asked()
+        slot = slots_of(head, next_, slots)
+        order = np.argsort(slot, kind="stable")
+        groups = np.split(order, np.nonzero(np.diff(slot[order]))[0] + 1) if len(order) else []
+        by_next = [x[np.argsort(next_[x], kind="stable")] for x in groups]
+        return pa.table({
+            "slot": pa.array([int(slot[x[0]]) for x in groups], pa.int32()), "part": pa.array([key[0].as_py()] * len(groups), pa.int64()),
+            "packed": pa.array([pack(next_[x], head[x], n[x], before[x]) for x in by_next], pa.binary()),
+        })
+
+    def score(key: tuple[pa.Scalar, ...], row: pa.Table, given: pa.Table) -> pa.Table:
+        part = read_part(row, given, total, distinct)
+        sums = lambda x: np.add.reduceat(x, part.starts)
+        out = {"n_tokens": sums(np.ones(len(part.word), dtype=np.int64)), "n_known": sums(part.known.astype(np.int64)), "base_score": sums(part.root), "score": sums(part.logs)}
+        ids, train = (row.column(c).combine_chunks().flatten() for c in ("ids", "train"))
+        return pa.table({"_id": ids, "train": train} | {k: pa.array(v) for k, v in out.items()})
+
+    def with_parts(fn, schema: str) -> DataFrame:  # noqa: ANN001
+        return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(fn, schema)
+
+    level = 0
+    while True:
+        level += 1
+        found = stored(gathered(with_parts(ask, "slot int, part long, packed binary")), f"found{level}")
+        given = stored(answered(found), f"answers{level}")
+        delete_folder(spark, f"{folder}/found{level}")
+        # Shuffle files of a finished level go when the driver has collected what refers to them.
+        del found
+        gc.collect()
+        spark._jvm.System.gc()
+        if given.isEmpty():
+            break
+        answers = answers.unionAll(given.select("part", F.lit(level).alias("level"), "packed"))
+    scored = with_parts(score, f"_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumnsRenamed({"_id": id_col, "train": train_col}), total
 
 

@@ -207,22 +207,75 @@ def test_language_model_scores(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_suffix_tree_sums_to_one():
-    end = suffix_tree_lm.END
-    words = {b"a": 400, b"b": 400, b"c": 300, end: 100}
-    tree = suffix_tree_lm.SuffixTree.grow(words, 1200, 4, {b"a b": 200, b"b c": 250, b"b \n": 50}, {b"a b c": 195})
-    assert len(tree.keys1) and len(tree.contexts2)
-    number = {w: i for i, w in enumerate(tree.words)}
-    everything = [*words, b"unknown"]
-    root = {w: math.log10((words.get(w, 0) + 1) / 1205) for w in everything}
-    for before in ([], [b"a"], [b"b"], [b"a", b"b"], [b"c", b"b"]):
-        total = 0.0
-        for w in everything:
-            row = [*before, w]
-            ids = np.array([number.get(x, len(number)) for x in row])
-            start = np.array([True] + [False] * (len(row) - 1))
-            total += 10 ** tree.log10(ids, np.array([root[x] for x in row]), start)[-1]
-        assert math.isclose(total, 1.0, rel_tol=1e-9)
+class PlainTree:
+    """The suffix tree by its definition, in dictionaries."""
+
+    def __init__(self, texts):
+        self.c = Counter(w for t in texts for w in t)
+        self.total, self.distinct = sum(self.c.values()), len(self.c)
+        self.kept = {}
+        level = [()]
+        while level:
+            follow = {}
+            for t in texts:
+                for i in range(len(level[0]) + 1, len(t)):
+                    context = tuple(t[i - len(level[0]) - 1 : i])
+                    if context[1:] in set(level) if len(level[0]) else True:
+                        follow.setdefault(context, Counter())[t[i]] += 1
+            level = []
+            for context, n in follow.items():
+                stored, seen = {w: x for w, x in n.items() if x >= suffix_tree_lm.LEAST}, sum(n.values())
+                if not stored:
+                    continue
+                before = {w: self.p(context[1:], w) for w in stored}
+                gain = sum(x * math.log(x / seen / before[w]) for w, x in stored.items())
+                more, rest = seen - sum(stored.values()), max(1e-12, 1 - sum(before.values()))
+                gain += more * math.log(more / seen / rest) if more else 0
+                if gain >= suffix_tree_lm.DIVERGENCE:
+                    p = {w: (x + suffix_tree_lm.SMOOTH * before[w]) / (seen + suffix_tree_lm.SMOOTH) for w, x in stored.items()}
+                    self.kept[context] = p, max(1e-12, 1 - sum(p.values())) / rest
+                    level.append(context)
+
+    def p(self, context, word):
+        """By the longest kept suffix: each longer one is kept only if the shorter is."""
+        p = (self.c[word] + 1) / (self.total + self.distinct + 1)
+        for k in range(1, len(context) + 1):
+            if context[-k:] not in self.kept:
+                break
+            stored, rest = self.kept[context[-k:]]
+            p = stored.get(word, rest * p)
+        return p
+
+    def score(self, t):
+        return sum(math.log10(self.p(tuple(t[max(0, i - 12) : i]), w)) for i, w in enumerate(t))
+
+
+def test_suffix_tree_against_its_definition(spark, tmp_path, monkeypatch):
+    """Scores of every text by a tree in dictionaries; parts and slots so small that counts cross them; depth past two."""
+    monkeypatch.setattr(suffix_tree_lm, "PART", 700)
+    monkeypatch.setattr(suffix_tree_lm, "SLOT", 300)
+    random = np.random.default_rng(3)
+    rows = [" ".join(f"w{x}" for x in random.integers(0, 60, 40)) for _ in range(60)] + ["rare passage about otters in a cold river"] * 8
+    bias = random.beta(0.3, 0.3, 8)  # of a chain whose next word depends on the last three
+    for _ in range(40):
+        chain = [0, 1, 0]
+        for _ in range(90):
+            chain.append(int(random.random() < bias[chain[-3] * 4 + chain[-2] * 2 + chain[-1]]))
+        rows.append(" ".join("ab"[x] for x in chain))
+    rows += ["once met", None, "", "z" + " z" * 500, "WORDS that no one else has used"]
+    folder = tables(spark, tmp_path / "tree", [(i, t, None, None, None) for i, t in enumerate(rows)])
+    texts = [suffix_tree_lm.tokens((t or "").encode()) for t in rows]
+    tree = PlainTree([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2])
+    assert max(map(len, tree.kept)) >= 3
+    got = {r.doc_id: r for r in suffix_tree_lm.op8_lm_scores(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i].score, tree.score(t), rel_tol=1e-9), rows[i]
+        if (rows[i] or "").startswith("rare passage"):
+            assert got[i].score > got[i].base_score + 4
+    everything = [*tree.c, b"unknown"]
+    for context in ((), (b"a",), (b"then",), (b"a", b"go", b"on", b"then"), (b"rare", b"passage"), (b"unknown",)):
+        assert math.isclose(sum(tree.p(context, w) for w in everything), 1.0, rel_tol=1e-9)
 
 
 def test_whole_secrets_are_redacted():
@@ -258,35 +311,6 @@ def test_rare_toxic_rows_fit_a_curve(spark, tmp_path, monkeypatch, curve_has_tox
     assert {i for i in held if got[i]} == toxic & set(held)
 
 
-def test_suffix_tree_states_by_absolute_counts(spark, tmp_path):
-    """Against the tree in memory, in a table so large that a passage met several times was under its share."""
-    filler = np.random.default_rng(3).integers(0, 400, 300_000)
-    rows = [" ".join(f"w{x}" for x in filler[i : i + 3000]) for i in range(0, len(filler), 3000)] + ["rare passage about otters"] * 8 + ["once met", None]
-    many = 24_000
-    rows += ["z" + " z" * (many - 1)] * 100
-    folder = tables(spark, tmp_path / "absolute", [(i, t, None, None, None) for i, t in enumerate(rows)])
-    texts = {i: suffix_tree_lm.tokens((t or "").encode()) for i, t in enumerate(rows)}
-    c, pairs, triples = Counter(), Counter(), Counter()
-    for i, t in texts.items():
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            c.update(t)
-            pairs.update(b" ".join(g) for g in zip(t, t[1:], strict=False))
-            triples.update(b" ".join(g) for g in zip(t, t[1:], t[2:], strict=False))
-    total, often = sum(c.values()), lambda grams: {g: n for g, n in grams.items() if n >= 3}
-    assert triples[b"rare passage about"] < 4e-6 * total
-    tree = suffix_tree_lm.SuffixTree.grow(c, total, len(c), often(pairs), often(triples))
-    number = {w: i for i, w in enumerate(tree.words)}
-    got = {r.doc_id: r for r in suffix_tree_lm.op8_lm_scores(spark, folder).collect()}
-    assert len(got) == len(rows)
-    for i, t in texts.items():
-        ids = np.array([number.get(w, len(number)) for w in t])
-        root = np.array([math.log10((c[w] + 1) / (total + len(c) + 1)) for w in t])
-        want = tree.log10(ids, root, np.arange(len(t)) == 0).sum()
-        assert math.isclose(got[i].score, want, rel_tol=1e-9)
-        if rows[i] == "rare passage about otters":
-            assert got[i].score > got[i].base_score + 4
-
-
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
