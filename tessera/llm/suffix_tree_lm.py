@@ -2,7 +2,8 @@
 
 The root holds the words' own distribution (add-one, one more class for words not met). A state is a context of one or
 more words, as many as the data ask for: the root's children are the contexts of one word, and a context is examined if
-the one that is a word shorter is kept. It is kept if what follows it diverges from what its suffix says by a test:
+it occurs ``LEAST`` times, the one without its first word is kept and the one without its last word was examined (so that
+its count is known). It is kept if what follows it diverges from what its suffix says by a test:
 its count times the divergence. A text is scored word by word from the state of the longest kept suffix of what came
 before, down to the root: a follower that a state has stored has a smoothed probability there, any other one takes its
 share of what is left by the distribution of the state's suffix, so every state's distribution sums to one.
@@ -40,11 +41,16 @@ DIVERGENCE = 12.0
 #: Weight of the suffix's distribution in a state's.
 SMOOTH = 2.0
 #: Tokens of a part, and of what a slot adds up, about.
-PART, SLOT = 1_500_000, 700_000
+PART, SLOT = 1_000_000, 1_500_000
 #: Stands for any follower: the count of the context itself.
 ANY = -1
-#: Columns of an answer about an n-gram: follower, context, count, log10 of the share that a kept context leaves (for ANY).
-ANSWER = (np.int64, np.int64, np.int64, float)
+#: Parts tell slots log10 of the suffix's probability as a whole number of this size; states use the same rounded value.
+GRAIN = 1e-6
+#: Columns of what a part asks about n-grams: follower, suffix's log10 probability in grains, context, count; and about
+#: contexts: number, count. Columns of the answers: follower, context, count, the n-gram's number; and of a kept context:
+#: number, count, log10 of the share that it leaves.
+GRAMS, CONTEXTS = (np.int64,) * 4, (np.int64,) * 2
+FOUND, KEPT = (np.int64,) * 4, (np.int64, np.int64, float)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -77,6 +83,10 @@ def mixed(head: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(29)).view(np.int64)
 
 
+#: Size of a pack without rows.
+EMPTY = len(pack(np.zeros(0, dtype=np.int64)))
+
+
 def slots_of(head: np.ndarray, next_: np.ndarray, slots: int) -> np.ndarray:
     return (mixed(head, next_).view(np.uint64) % np.uint64(slots)).astype(np.int64)
 
@@ -172,64 +182,64 @@ def word_answers(parts: DataFrame, slots: int) -> DataFrame:
 class Part:
     """The tokens of a part, with the state of each place in the tree as far as it is known.
 
-    ``logs``: log10 probability by the longest kept context so far. ``head``, ``open``: the context that is examined
-    next, and whether there is one. ``maybe``: whether the n-gram that ends here, as long as that context, may be frequent.
+    ``logs``: log10 probability by the longest kept context so far. ``gram``, ``times``: number and count of the n-gram that
+    ends here and is as long as the context examined next, -1 if it isn't frequent or wasn't examined. ``open``: whether
+    the context before this place is examined next; it is the n-gram that ends at the place before.
     """
 
     def __init__(self, sizes: np.ndarray, train: np.ndarray, local: np.ndarray, numbers: np.ndarray, counts: np.ndarray, total: int, words: int):
-        self.word, count = numbers[local], counts[local]
+        self.word, self.times = numbers[local], counts[local]
         self.starts = sizes.cumsum() - sizes
-        self.place = np.arange(len(local)) - np.repeat(self.starts, sizes)
+        self.first = np.zeros(len(local), dtype=bool)
+        self.first[self.starts] = True
         self.train = np.repeat(train, sizes)
-        self.known = count > 0
-        self.root = np.log10((count + 1) / (total + words + 1))
+        self.known = self.times > 0
+        self.root = np.log10((self.times + 1) / (total + words + 1))
         self.logs = self.root.copy()
-        self.length = 0
-        self.head = np.zeros(len(local), dtype=np.int64)
-        self.maybe = count >= LEAST
-        self.open = np.ones(len(local), dtype=bool)
-        self._longer(self.open)
+        self.gram = np.where(self.times >= LEAST, self.word, -1)
+        self._longer(np.ones(len(local), dtype=bool))
 
     def _longer(self, kept: np.ndarray) -> None:
-        """Go on to contexts that are a word longer, where ``kept`` holds and the context itself may be frequent."""
-        self.length += 1
-        k = self.length
-        at = np.nonzero(kept & (self.place >= k))[0]
-        at = at[self.maybe[at - 1]]
-        self.open = np.zeros(len(self.word), dtype=bool)
-        self.open[at] = True
-        self.head[at] = self.word[at - 1] if k == 1 else mixed(self.head[at], self.word[at - k])
-
-    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(next, head, n, before) of the distinct contexts (next: ANY) and n-grams examined; n counts training texts."""
+        """Go on to contexts that are a word longer: where the suffix is kept and the context itself is a frequent n-gram."""
+        self.open = kept & ~self.first
+        self.open[1:] &= self.gram[:-1] >= 0
+
+    def before(self, at: np.ndarray) -> np.ndarray:
+        """log10 of what the suffix says of the words at these places, in grains."""
+        return np.rint(self.logs[at] / GRAIN).astype(np.int64)
+
+    def asked(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """``GRAMS`` and ``CONTEXTS``, each row once. Counts of n-grams are of training texts. An n-gram is only asked about
+        if the one without its first word is frequent."""
         at = np.nonzero(self.open)[0]
-        with_next = at[self.maybe[at]]
-        next_ = np.concatenate([np.full(len(at), ANY), self.word[with_next]])
-        head = np.concatenate([self.head[at], self.head[with_next]])
-        n = np.concatenate([self.train[at], self.train[with_next]]).astype(np.int64)
-        before = np.concatenate([np.zeros(len(at)), 10 ** self.logs[with_next]])
-        order, first = runs(head, next_)
+        head, seen = self.gram[at - 1], self.times[at - 1]
+        order, first = runs(head)
+        contexts = [head[order[first]], seen[order[first]]]
+        at = at[self.gram[at] >= 0]
+        head, next_, before, n = self.gram[at - 1], self.word[at], self.before(at), self.train[at].astype(np.int64)
+        order, first = runs(head, before, next_)
         n = np.add.reduceat(n[order], first) if len(first) else n
         order = order[first]
-        return next_[order], head[order], n, before[order]
+        return [next_[order], before[order], head[order], n], contexts
 
-    def advance(self, next_: np.ndarray, head: np.ndarray, n: np.ndarray, left: np.ndarray) -> None:
-        """Take the answers about what was asked, and go on to longer contexts."""
+    def advance(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> None:
+        """Take the answers (``FOUND``, ``KEPT``) about what was asked, and go on to longer contexts."""
         at = np.nonzero(self.open)[0]
-        any_ = next_ == ANY
-        context, seen, rest = self._found(head[any_], self.head[at], n[any_], left[any_])
+        head, seen, left = contexts
+        next_, of, n, number = grams
+        context, seen, left = self._found(head, self.gram[at - 1], seen, left)
+        # N-grams are told by their context's place among the contexts and the word.
+        heads = np.sort(of)[np.append(True, np.diff(np.sort(of)) > 0)] if len(of) else of
+        code = lambda h, w: np.searchsorted(heads, h) << 40 | w
+        there, place = self._found(heads, self.gram[at - 1], np.arange(len(heads)))
+        frequent, times, number = self._found(code(of, next_), np.where(there, place.astype(np.int64) << 40 | self.word[at], -1), n, number)
+        frequent &= self.gram[at] >= 0
+        before = 10 ** (self.before(at) * GRAIN)
+        self.logs[at] = np.where(context & frequent, np.log10((times + SMOOTH * before) / (seen + SMOOTH)), np.where(context, left, 0.0) + self.logs[at])
         kept = np.zeros(len(self.word), dtype=bool)
         kept[at] = context
-        # Followers are told by their context and word together.
-        code, mine = mixed(head[~any_], next_[~any_]), mixed(self.head[at], self.word[at])
-        frequent, times, _ = self._found(code, mine, n[~any_], left[~any_])
-        frequent &= self.maybe[at]
-        before = 10 ** self.logs[at]
-        self.logs[at] = np.where(context & frequent, np.log10((times + SMOOTH * before) / (seen + SMOOTH)), np.where(context, rest, 0.0) + self.logs[at])
-        maybe = np.zeros(len(self.word), dtype=bool)
-        maybe[1:] = self.maybe[1:] & self.maybe[:-1] & (self.place[1:] >= self.length)
-        maybe[at] = frequent
-        self.maybe = maybe
+        self.gram, self.times = np.full(len(self.word), -1), np.zeros(len(self.word), dtype=np.int64)
+        self.gram[at], self.times[at] = np.where(frequent, number, -1), times
         self._longer(kept)
 
     @staticmethod
@@ -244,89 +254,104 @@ class Part:
 
 
 def read_part(row: pa.Table, answers: pa.Table, total: int, words: int) -> Part:
-    """The part of one row of ``cut``, brought up to the level of the answers it got."""
+    """The part of one row of ``cut``, brought up to the level of the answers it got.
+
+    Answers about words have the kind 0, those about n-grams and contexts of level k 2k - 1 and 2k.
+    """
     packed: dict[int, list[bytes]] = defaultdict(list)
-    for level, blob in zip(answers.column("level").to_pylist(), answers.column("packed").to_pylist(), strict=True):
-        packed[level].append(blob)
+    for kind, blob in zip(answers.column("kind").to_pylist(), answers.column("packed").to_pylist(), strict=True):
+        packed[kind].append(blob)
     place, number, count = unpack_all(packed[0], (np.int64,) * 3)
     numbers, counts = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
     numbers[place], counts[place] = number, count
     raw = np.frombuffer(zstandard.decompress(row.column("tokens")[0].as_py()), dtype=np.uint8)
     local = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4")[:, 0]
     part = Part(np.array(row.column("sizes")[0].as_py()), np.array(row.column("train")[0].as_py()), local, numbers, counts, total, words)
-    for level in sorted(packed)[1:]:
-        part.advance(*unpack_all(packed[level], ANSWER))
+    for level in range(1, max(packed) // 2 + 1):
+        part.advance(unpack_all(packed[2 * level - 1], FOUND), unpack_all(packed[2 * level], KEPT))
     return part
 
 
-def gathered(asked: DataFrame) -> DataFrame:
-    """What a slot keeps of ``slot, part, packed``: rows ``slot, head, next, n, before`` of all that occur ``LEAST`` times,
-    and for each part a row ``slot, part, packed`` of those of them that it asked for."""
+def gathered(asked: DataFrame, slots: int) -> DataFrame:
+    """What a slot keeps of ``slot, part, grams, contexts`` (packed): rows ``slot, head, next, n, before, number`` of the n-grams
+    that occur ``LEAST`` times and of the contexts (next: ANY), and for each part what it asked for of them, packed."""
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        parts, blobs = group.column("part").to_pylist(), group.column("packed").to_pylist()
-        packs = [unpack(b, (np.int64, np.int64, np.int64, float)) for b in blobs]
-        next_, head, n, before = (np.concatenate([p[i] for p in packs]) for i in range(4))
+        slot = key[0].as_py()
+        parts = group.column("part").to_pylist()
+        packs = [unpack(b, GRAMS) for b in group.column("grams").to_pylist()]
+        next_, before, head, n = (np.concatenate([p[i] for p in packs]) for i in range(4))
         order, first = runs(head, next_)
-        times = np.add.reduceat(n[order], first)
+        times = np.add.reduceat(n[order], first) if len(first) else n
         often = times >= LEAST
         asked = np.zeros(len(order), dtype=bool)
         asked[order] = np.repeat(often, np.diff(np.append(first, len(order))))
         rows = order[first][often]
-        kept, at = [], 0
-        for part, p in zip(parts, packs, strict=True):
-            mine = asked[at : at + len(p[0])]
-            at += len(p[0])
-            if mine.any():
-                kept.append((part, pack(p[0][mine], p[1][mine])))
-        none = lambda m: [None] * m
-        return pa.table({
-            "slot": pa.array([key[0].as_py()] * (len(rows) + len(kept)), pa.int32()), "head": pa.array(head[rows].tolist() + none(len(kept)), pa.int64()),
-            "next": pa.array(next_[rows].tolist() + none(len(kept)), pa.int64()), "n": pa.array(times[often].tolist() + none(len(kept)), pa.int64()),
-            "before": pa.array(before[rows].tolist() + none(len(kept)), pa.float64()), "part": pa.array(none(len(rows)) + [x for x, _ in kept], pa.int64()),
-            "packed": pa.array(none(len(rows)) + [x for _, x in kept], pa.binary()),
-        })
-
-    return asked.groupBy("slot").applyInArrow(merge, "slot int, head long, next long, n long, before double, part long, packed binary")
+        cuts = np.cumsum([len(p[0]) for p in packs])[:-1]
+        mine = [pack(w[m], h[m]) for w, h, m in zip(*(np.split(x, cuts) for x in (next_, head, asked)), strict=True)]
+        contexts = group.column("contexts").to_pylist()
+        whole, seen = unpack_all(contexts, CONTEXTS)
+        order, first = runs(whole)
+        whole, seen = whole[order[first]], seen[order[first]]
+        m, k = len(rows), len(whole)
+        of_rows = {
+            "head": np.concatenate([head[rows], whole]), "next": np.concatenate([next_[rows], np.full(k, ANY)]), "n": np.concatenate([times[often], seen]),
+            "before": np.concatenate([10 ** (before[rows] * GRAIN), np.zeros(k)]), "number": np.concatenate([np.arange(m) * slots + slot, np.zeros(k, dtype=np.int64)]),
+        }
+        columns = {"slot": pa.array(np.full(m + k + len(parts), slot, dtype=np.int32))}
+        columns |= {c: pa.concat_arrays([pa.array(x), pa.nulls(len(parts), pa.array(x).type)]) for c, x in of_rows.items()}
+        columns |= {c: pa.concat_arrays([pa.nulls(m + k, kind), pa.array(x, kind)]) for c, kind, x in (("part", pa.int64(), parts), ("grams", pa.binary(), mine), ("contexts", pa.binary(), contexts))}
+        return pa.table(columns)
+
+    return asked.groupBy("slot").applyInArrow(merge, "slot int, head long, next long, n long, before double, number long, part long, grams binary, contexts binary")
 
 
 def kept_contexts(found: DataFrame) -> DataFrame:
-    """``head, left`` of the contexts that pass the test: log10 of the share of their suffix's rest that they leave."""
+    """``slot, head, seen, left`` of the contexts that pass the test: count, and log10 of the share of their suffix's rest that they leave."""
     follows = F.col("next") != ANY
     n, before = F.when(follows, F.col("n")), F.when(follows, F.col("before"))
     sums = found.groupBy("head").agg(
-        F.max(F.when(~follows, F.col("n"))).cast("double").alias("seen"), F.sum(n).cast("double").alias("known"), F.sum(before).alias("before"), F.sum(n * (F.log(n) - F.log(before))).alias("gain"),
+        F.max(F.when(~follows, F.col("n"))).cast("double").alias("seen"), F.max(F.when(~follows, F.col("slot"))).alias("slot"),
+        F.sum(n).cast("double").alias("known"), F.sum(before).alias("before"), F.sum(n * (F.log(n) - F.log(before))).alias("gain"),
     )
     seen, known = F.col("seen"), F.col("known")
     more, left_before = seen - known, F.greatest(F.lit(1e-12), 1 - F.col("before"))
     gain = F.col("gain") - known * F.log(seen) + F.when(more > 0, more * F.log(more / seen / left_before)).otherwise(0.0)
     stored = (known + SMOOTH * F.col("before")) / (seen + SMOOTH)
-    return sums.filter("known > 0 and seen is not null").filter(gain >= DIVERGENCE).select(F.col("head").alias("context"), F.log10(F.greatest(F.lit(1e-12), 1 - stored) / left_before).alias("left"))
+    left = F.log10(F.greatest(F.lit(1e-12), 1 - stored) / left_before)
+    return sums.filter("known > 0").filter(gain >= DIVERGENCE).select("slot", "head", seen.cast("long").alias("seen"), left.alias("left"))
 
 
 def answered(found: DataFrame) -> DataFrame:
-    """``part, packed`` (``ANSWER``): the frequent n-grams that each part asked for, and of its contexts those that are kept."""
+    """``part, grams, contexts``: packed ``FOUND`` of the frequent n-grams that each part asked for, ``KEPT`` of its kept contexts."""
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        next_, head, n, left = (known.column(c).to_numpy().astype(kind) for c, kind in zip(("next", "head", "n", "left"), ANSWER, strict=True))
-        code = mixed(head, next_)
-        order = np.argsort(code)
-        code = code[order]
-        part, packed = [], []
-        for number, blob in zip(asked.column("part").to_pylist(), asked.column("packed").to_pylist(), strict=True):
-            w, h = unpack(blob, (np.int64, np.int64))
-            want = mixed(h, w)
-            at = np.minimum(np.searchsorted(code, want), max(0, len(code) - 1))
-            rows = order[at[code[at] == want]] if len(code) else at[:0]
-            if len(rows):
-                part.append(number)
-                packed.append(pack(next_[rows], head[rows], n[rows], left[rows]))
-        return pa.table({"part": pa.array(part, pa.int64()), "packed": pa.array(packed, pa.binary())})
-
-    rows, asked = found.filter("packed is null"), found.filter("packed is not null").select(F.col("slot").alias("of_slot"), "part", "packed")
-    contexts = rows.filter(F.col("next") == ANY).join(kept_contexts(rows), F.col("head") == F.col("context"))
-    known = rows.filter(F.col("next") != ANY).select("slot", "next", "head", "n", F.lit(0.0).alias("left")).unionAll(contexts.select("slot", "next", "head", "n", "left"))
-    return asked.groupBy("of_slot").cogroup(known.groupBy("slot")).applyInArrow(answer, "part long, packed binary")
+        next_, head, n, number, left = (known.column(c).to_numpy() for c in ("next", "head", "n", "number", "left"))
+        of_context = next_ == ANY
+        contexts = [x[of_context][np.argsort(head[of_context])] for x in (head, n, left)]
+        next_, head, n, number = (x[~of_context] for x in (next_, head, n, number))
+        order = np.lexsort((head, next_))
+        next_, head, n, number = (x[order] for x in (next_, head, n, number))
+        words = next_[np.append(True, next_[1:] != next_[:-1])[: len(next_)]]
+        code = np.searchsorted(words, next_) << 42 | head
+        out: dict[str, list] = {"part": [], "grams": [], "contexts": []}
+        for part, grams, asked_contexts in zip(*(asked.column(c).to_pylist() for c in out), strict=True):
+            # All n-grams in a part's list are frequent, so they are there.
+            w, h = unpack(grams, (np.int64, np.int64))
+            rows = np.searchsorted(code, np.searchsorted(words, w) << 42 | h)
+            asked_heads, _ = unpack(asked_contexts, CONTEXTS)
+            at = np.minimum(np.searchsorted(contexts[0], asked_heads), max(0, len(contexts[0]) - 1))
+            at = at[contexts[0][at] == asked_heads] if len(contexts[0]) else at[:0]
+            if len(rows) or len(at):
+                for c, x in zip(out, (part, pack(next_[rows], head[rows], n[rows], number[rows]), pack(*(x[at] for x in contexts))), strict=True):
+                    out[c].append(x)
+        return pa.table({c: pa.array(x, pa.int64() if c == "part" else pa.binary()) for c, x in out.items()})
+
+    rows = found.filter("part is null").select("slot", "head", "next", "n", "before", "number")
+    asked = found.filter("part is not null").select(F.col("slot").alias("of_slot"), "part", "grams", "contexts")
+    follows = rows.filter(F.col("next") != ANY).select("slot", "next", "head", "n", "number", F.lit(0.0).alias("left"))
+    kept = kept_contexts(rows).select("slot", F.lit(ANY).cast("long").alias("next"), "head", F.col("seen").alias("n"), F.lit(0).cast("long").alias("number"), "left")
+    return asked.groupBy("of_slot").cogroup(follows.unionAll(kept).groupBy("slot")).applyInArrow(answer, "part long, grams binary, contexts binary")
 
 
 def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> tuple[DataFrame, int]:
@@ -349,18 +374,19 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slots = max(1, -(-(parts.agg(F.sum("n_tokens")).first()[0] or 0) // SLOT))
     words = stored(word_answers(parts, slots), "words")
     total, distinct = (x or 0 for x in words.agg(F.sum("total"), F.sum("words")).first())
-    answers = words.filter("part is not null").select("part", F.lit(0).alias("level"), "packed")
+    answers = words.filter("part is not null").select("part", F.lit(0).alias("kind"), "packed")
+    coded = parts.select("part", "ids", "train", "sizes", "tokens")
 
     def ask(key: tuple[pa.Scalar, ...], row: pa.Table, given: pa.Table) -> pa.Table:
-        next_, head, n, before = read_part(row, given, total, distinct).asked()
-        slot = slots_of(head, next_, slots)
-        order = np.argsort(slot, kind="stable")
-        groups = np.split(order, np.nonzero(np.diff(slot[order]))[0] + 1) if len(order) else []
-        by_next = [x[np.argsort(next_[x], kind="stable")] for x in groups]
-        return pa.table({
-            "slot": pa.array([int(slot[x[0]]) for x in groups], pa.int32()), "part": pa.array([key[0].as_py()] * len(groups), pa.int64()),
-            "packed": pa.array([pack(next_[x], head[x], n[x], before[x]) for x in by_next], pa.binary()),
-        })
+        asked = read_part(row, given, total, distinct).asked()
+        packs: dict[int, list[bytes]] = defaultdict(lambda: [pack(*[np.zeros(0, dtype=np.int64)] * len(kind)) for kind in (GRAMS, CONTEXTS)])
+        for which, columns in enumerate(asked):
+            slot = slots_of(columns[2], columns[0], slots) if which == 0 else slots_of(columns[0], np.full(len(columns[0]), ANY), slots)
+            order = np.argsort(slot, kind="stable")
+            for x in np.split(order, np.nonzero(np.diff(slot[order]))[0] + 1) if len(order) else []:
+                packs[int(slot[x[0]])][which] = pack(*(c[x] for c in columns))
+        columns = {"grams": [p[0] for p in packs.values()], "contexts": [p[1] for p in packs.values()]}
+        return pa.table({"slot": pa.array(list(packs), pa.int32()), "part": pa.array([key[0].as_py()] * len(packs), pa.int64())} | {c: pa.array(x, pa.binary()) for c, x in columns.items()})
 
     def score(key: tuple[pa.Scalar, ...], row: pa.Table, given: pa.Table) -> pa.Table:
         part = read_part(row, given, total, distinct)
@@ -370,21 +396,23 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"_id": ids, "train": train} | {k: pa.array(v) for k, v in out.items()})
 
     def with_parts(fn, schema: str) -> DataFrame:  # noqa: ANN001
-        return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(fn, schema)
+        return coded.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(fn, schema)
 
     level = 0
     while True:
         level += 1
-        found = stored(gathered(with_parts(ask, "slot int, part long, packed binary")), f"found{level}")
+        found = stored(gathered(with_parts(ask, "slot int, part long, grams binary, contexts binary"), slots), f"found{level}")
         given = stored(answered(found), f"answers{level}")
+        kept = given.filter(F.length("contexts") > EMPTY).limit(1).count()
         delete_folder(spark, f"{folder}/found{level}")
         # Shuffle files of a finished level go when the driver has collected what refers to them.
         del found
         gc.collect()
         spark._jvm.System.gc()
-        if given.isEmpty():
+        if not kept:
             break
-        answers = answers.unionAll(given.select("part", F.lit(level).alias("level"), "packed"))
+        for i, column in enumerate(("grams", "contexts")):
+            answers = answers.unionAll(given.select("part", F.lit(2 * level - 1 + i).alias("kind"), F.col(column).alias("packed")))
     scored = with_parts(score, f"_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumnsRenamed({"_id": id_col, "train": train_col}), total
 

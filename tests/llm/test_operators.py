@@ -213,28 +213,29 @@ class PlainTree:
     def __init__(self, texts):
         self.c = Counter(w for t in texts for w in t)
         self.total, self.distinct = sum(self.c.values()), len(self.c)
-        self.kept = {}
-        level = [()]
+        self.kept, examined, frequent = {}, {()}, {(w,) for w, n in self.c.items() if n >= suffix_tree_lm.LEAST}
+        level = {()}
         while level:
+            k = len(min(level)) + 1
             follow = {}
             for t in texts:
-                for i in range(len(level[0]) + 1, len(t)):
-                    context = tuple(t[i - len(level[0]) - 1 : i])
-                    if context[1:] in set(level) if len(level[0]) else True:
+                for i in range(k, len(t)):
+                    context = tuple(t[i - k : i])
+                    if context[1:] in level and context[:-1] in examined and context in frequent:
                         follow.setdefault(context, Counter())[t[i]] += 1
-            level = []
+            level, examined, frequent = set(), set(follow), {(*c, w) for c, n in follow.items() for w, x in n.items() if x >= suffix_tree_lm.LEAST}
             for context, n in follow.items():
                 stored, seen = {w: x for w, x in n.items() if x >= suffix_tree_lm.LEAST}, sum(n.values())
                 if not stored:
                     continue
-                before = {w: self.p(context[1:], w) for w in stored}
+                before = {w: 10 ** (round(math.log10(self.p(context[1:], w)) / suffix_tree_lm.GRAIN) * suffix_tree_lm.GRAIN) for w in stored}
                 gain = sum(x * math.log(x / seen / before[w]) for w, x in stored.items())
                 more, rest = seen - sum(stored.values()), max(1e-12, 1 - sum(before.values()))
                 gain += more * math.log(more / seen / rest) if more else 0
                 if gain >= suffix_tree_lm.DIVERGENCE:
                     p = {w: (x + suffix_tree_lm.SMOOTH * before[w]) / (seen + suffix_tree_lm.SMOOTH) for w, x in stored.items()}
                     self.kept[context] = p, max(1e-12, 1 - sum(p.values())) / rest
-                    level.append(context)
+                    level.add(context)
 
     def p(self, context, word):
         """By the longest kept suffix: each longer one is kept only if the shorter is."""
@@ -275,7 +276,7 @@ def test_suffix_tree_against_its_definition(spark, tmp_path, monkeypatch):
             assert got[i].score > got[i].base_score + 4
     everything = [*tree.c, b"unknown"]
     for context in ((), (b"a",), (b"then",), (b"a", b"go", b"on", b"then"), (b"rare", b"passage"), (b"unknown",)):
-        assert math.isclose(sum(tree.p(context, w) for w in everything), 1.0, rel_tol=1e-9)
+        assert math.isclose(sum(tree.p(context, w) for w in everything), 1.0, rel_tol=1e-4)
 
 
 def test_whole_secrets_are_redacted():
