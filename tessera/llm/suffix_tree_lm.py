@@ -21,6 +21,7 @@ from __future__ import annotations
 import gc
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -83,10 +84,6 @@ def mixed(head: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(29)).view(np.int64)
 
 
-#: Size of a pack without rows.
-EMPTY = len(pack(np.zeros(0, dtype=np.int64)))
-
-
 def slots_of(head: np.ndarray, next_: np.ndarray, slots: int) -> np.ndarray:
     return (mixed(head, next_).view(np.uint64) % np.uint64(slots)).astype(np.int64)
 
@@ -179,97 +176,91 @@ def word_answers(parts: DataFrame, slots: int) -> DataFrame:
     return asked.groupBy("slot").applyInArrow(merge, "part long, packed binary, total long, words long")
 
 
-class Part:
-    """The tokens of a part, with the state of each place in the tree as far as it is known.
+def found_in(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which wanted keys there are, and their values (zero for others)."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=bool), *(np.zeros(len(wanted), dtype=v.dtype) for v in values)
+    order = np.argsort(keys)
+    at = np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)
+    hit = keys[order][at] == wanted
+    return hit, *(np.where(hit, v[order][at], 0).astype(v.dtype) for v in values)
+
 
-    ``logs``: log10 probability by the longest kept context so far. ``gram``, ``times``: number and count of the n-gram that
-    ends here and is as long as the context examined next, -1 if it isn't frequent or wasn't examined. ``open``: whether
-    the context before this place is examined next; it is the n-gram that ends at the place before.
+@dataclass
+class Places:
+    """The places of a part whose next longer context is examined, in order.
+
+    ``head``, ``seen``: number and count of that context. ``gram``: number of the n-gram that ends here and is as long as
+    the context, -1 if it isn't frequent. ``logs``: log10 probability by the longest kept context so far.
     """
 
-    def __init__(self, sizes: np.ndarray, train: np.ndarray, local: np.ndarray, numbers: np.ndarray, counts: np.ndarray, total: int, words: int):
-        self.word, self.times = numbers[local], counts[local]
-        self.starts = sizes.cumsum() - sizes
-        self.first = np.zeros(len(local), dtype=bool)
-        self.first[self.starts] = True
-        self.train = np.repeat(train, sizes)
-        self.known = self.times > 0
-        self.root = np.log10((self.times + 1) / (total + words + 1))
-        self.logs = self.root.copy()
-        self.gram = np.where(self.times >= LEAST, self.word, -1)
-        self._longer(np.ones(len(local), dtype=bool))
-
-    def _longer(self, kept: np.ndarray) -> None:
-        """Go on to contexts that are a word longer: where the suffix is kept and the context itself is a frequent n-gram."""
-        self.open = kept & ~self.first
-        self.open[1:] &= self.gram[:-1] >= 0
-
-    def before(self, at: np.ndarray) -> np.ndarray:
-        """log10 of what the suffix says of the words at these places, in grains."""
-        return np.rint(self.logs[at] / GRAIN).astype(np.int64)
-
-    def asked(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """``GRAMS`` and ``CONTEXTS``, each row once. Counts of n-grams are of training texts. An n-gram is only asked about
-        if the one without its first word is frequent."""
-        at = np.nonzero(self.open)[0]
-        head, seen = self.gram[at - 1], self.times[at - 1]
-        order, first = runs(head)
-        contexts = [head[order[first]], seen[order[first]]]
-        at = at[self.gram[at] >= 0]
-        head, next_, before, n = self.gram[at - 1], self.word[at], self.before(at), self.train[at].astype(np.int64)
-        order, first = runs(head, before, next_)
-        n = np.add.reduceat(n[order], first) if len(first) else n
-        order = order[first]
-        return [next_[order], before[order], head[order], n], contexts
+    at: np.ndarray
+    head: np.ndarray
+    seen: np.ndarray
+    word: np.ndarray
+    gram: np.ndarray
+    logs: np.ndarray
 
-    def advance(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> None:
-        """Take the answers (``FOUND``, ``KEPT``) about what was asked, and go on to longer contexts."""
-        at = np.nonzero(self.open)[0]
-        head, seen, left = contexts
-        next_, of, n, number = grams
-        context, seen, left = self._found(head, self.gram[at - 1], seen, left)
-        # N-grams are told by their context's place among the contexts and the word.
-        heads = np.sort(of)[np.append(True, np.diff(np.sort(of)) > 0)] if len(of) else of
-        code = lambda h, w: np.searchsorted(heads, h) << 40 | w
-        there, place = self._found(heads, self.gram[at - 1], np.arange(len(heads)))
-        frequent, times, number = self._found(code(of, next_), np.where(there, place.astype(np.int64) << 40 | self.word[at], -1), n, number)
-        frequent &= self.gram[at] >= 0
-        before = 10 ** (self.before(at) * GRAIN)
-        self.logs[at] = np.where(context & frequent, np.log10((times + SMOOTH * before) / (seen + SMOOTH)), np.where(context, left, 0.0) + self.logs[at])
-        kept = np.zeros(len(self.word), dtype=bool)
-        kept[at] = context
-        self.gram, self.times = np.full(len(self.word), -1), np.zeros(len(self.word), dtype=np.int64)
-        self.gram[at], self.times[at] = np.where(frequent, number, -1), times
-        self._longer(kept)
+    def packed(self) -> bytes:
+        return pack(*vars(self).values())
 
     @staticmethod
-    def _found(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Which wanted keys there are, and their values (zero for others)."""
-        if not len(keys):
-            return np.zeros(len(wanted), dtype=bool), *(np.zeros(len(wanted)) for _ in values)
-        order = np.argsort(keys)
-        at = np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)
-        hit = keys[order][at] == wanted
-        return hit, *(np.where(hit, v[order][at], 0) for v in values)
-
+    def of(blob: bytes) -> Places:
+        return Places(*unpack(blob, (np.int64,) * 5 + (float,)))
+
+    def before(self) -> np.ndarray:
+        """log10 of what the suffixes say of the words, in grains."""
+        return np.rint(self.logs / GRAIN).astype(np.int64)
+
+    def asked(self, train: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """``GRAMS`` and ``CONTEXTS``, each row once; ``train`` tells the places of training texts, which alone are counted.
+
+        An n-gram is only asked about if the one without its first word is frequent.
+        """
+        order, first = runs(self.head)
+        contexts = [self.head[order[first]], self.seen[order[first]]]
+        likely = self.gram >= 0
+        head, next_, before, n = self.head[likely], self.word[likely], self.before()[likely], train[likely].astype(np.int64)
+        order, first = runs(head, next_)
+        n = np.add.reduceat(n[order], first) if len(first) else n
+        order = order[first]
+        return [next_[order], before[order], head[order], n], contexts
 
-def read_part(row: pa.Table, answers: pa.Table, total: int, words: int) -> Part:
-    """The part of one row of ``cut``, brought up to the level of the answers it got.
+    def advance(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> tuple[Places, np.ndarray]:
+        """Take the answers (``FOUND``, ``KEPT``); the places with longer contexts to examine, and what each ``logs`` gained.
 
-    Answers about words have the kind 0, those about n-grams and contexts of level k 2k - 1 and 2k.
-    """
-    packed: dict[int, list[bytes]] = defaultdict(list)
-    for kind, blob in zip(answers.column("kind").to_pylist(), answers.column("packed").to_pylist(), strict=True):
-        packed[kind].append(blob)
-    place, number, count = unpack_all(packed[0], (np.int64,) * 3)
-    numbers, counts = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
-    numbers[place], counts[place] = number, count
-    raw = np.frombuffer(zstandard.decompress(row.column("tokens")[0].as_py()), dtype=np.uint8)
-    local = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4")[:, 0]
-    part = Part(np.array(row.column("sizes")[0].as_py()), np.array(row.column("train")[0].as_py()), local, numbers, counts, total, words)
-    for level in range(1, max(packed) // 2 + 1):
-        part.advance(unpack_all(packed[2 * level - 1], FOUND), unpack_all(packed[2 * level], KEPT))
-    return part
+        A longer context is examined where its suffix is kept and the context itself is a frequent n-gram, which is the
+        one that ends at the place before.
+        """
+        next_, of, n, number = grams
+        kept, seen, left = found_in(contexts[0], self.head, *contexts[1:])
+        # N-grams are told by their context's place in a list and the word.
+        order, first = runs(of)
+        heads = of[order[first]]
+        there, place = found_in(heads, self.head, np.arange(len(heads)))
+        frequent, times, number = found_in(np.searchsorted(heads, of) << 40 | next_, np.where(there, place << 40 | self.word, -1), n, number)
+        frequent &= self.gram >= 0
+        before = 10 ** (self.before() * GRAIN)
+        stored = np.log10((times + SMOOTH * before) / (seen + SMOOTH))
+        logs = np.where(kept & frequent, stored, np.where(kept, left, 0.0) + self.logs)
+        gram = np.where(frequent, number, -1)
+        rows = np.nonzero(kept)[0]
+        rows = rows[(rows > 0) & (self.at[rows - 1] == self.at[rows] - 1)]
+        rows = rows[gram[rows - 1] >= 0]
+        return Places(self.at[rows], gram[rows - 1], times[rows - 1], self.word[rows], gram[rows], logs[rows]), logs - self.logs
+
+
+def texts_of(sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which text of a part each place is in."""
+    return np.searchsorted(np.cumsum(sizes), at, side="right")
+
+
+def sums_by_text(sizes: np.ndarray, at: np.ndarray, values: np.ndarray) -> bytes:
+    """Packed (text, sum of its values)."""
+    texts = texts_of(sizes, at)
+    sums = np.bincount(texts, weights=values, minlength=len(sizes))
+    some = np.nonzero(sums)[0]
+    return pack(some, sums[some])
 
 
 def gathered(asked: DataFrame, slots: int) -> DataFrame:
@@ -368,52 +359,91 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
+    def dropped(*names: str) -> None:
+        """Tables of finished steps go at once; their shuffle files when the driver has collected what refers to them."""
+        for name in names:
+            delete_folder(spark, f"{folder}/{name}")
+        gc.collect()
+        spark._jvm.System.gc()
+
     rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(train_col).alias("train"))
     kind = rows.schema["_id"].dataType.simpleString()
     parts = stored(cut(rows), "parts")
     slots = max(1, -(-(parts.agg(F.sum("n_tokens")).first()[0] or 0) // SLOT))
     words = stored(word_answers(parts, slots), "words")
     total, distinct = (x or 0 for x in words.agg(F.sum("total"), F.sum("words")).first())
-    answers = words.filter("part is not null").select("part", F.lit(0).alias("kind"), "packed")
-    coded = parts.select("part", "ids", "train", "sizes", "tokens")
-
-    def ask(key: tuple[pa.Scalar, ...], row: pa.Table, given: pa.Table) -> pa.Table:
-        asked = read_part(row, given, total, distinct).asked()
-        packs: dict[int, list[bytes]] = defaultdict(lambda: [pack(*[np.zeros(0, dtype=np.int64)] * len(kind)) for kind in (GRAMS, CONTEXTS)])
-        for which, columns in enumerate(asked):
-            slot = slots_of(columns[2], columns[0], slots) if which == 0 else slots_of(columns[0], np.full(len(columns[0]), ANY), slots)
-            order = np.argsort(slot, kind="stable")
-            for x in np.split(order, np.nonzero(np.diff(slot[order]))[0] + 1) if len(order) else []:
-                packs[int(slot[x[0]])][which] = pack(*(c[x] for c in columns))
-        columns = {"grams": [p[0] for p in packs.values()], "contexts": [p[1] for p in packs.values()]}
-        return pa.table({"slot": pa.array(list(packs), pa.int32()), "part": pa.array([key[0].as_py()] * len(packs), pa.int64())} | {c: pa.array(x, pa.binary()) for c, x in columns.items()})
-
-    def score(key: tuple[pa.Scalar, ...], row: pa.Table, given: pa.Table) -> pa.Table:
-        part = read_part(row, given, total, distinct)
-        sums = lambda x: np.add.reduceat(x, part.starts)
-        out = {"n_tokens": sums(np.ones(len(part.word), dtype=np.int64)), "n_known": sums(part.known.astype(np.int64)), "base_score": sums(part.root), "score": sums(part.logs)}
+    state = "part long, sizes array<long>, train array<boolean>, places binary, n_places long, gained binary"
+
+    def state_row(part: int, sizes: np.ndarray, train: np.ndarray, places: Places, gained: bytes | None) -> dict:
+        return {"part": [part], "sizes": [sizes], "train": [train], "places": [places.packed()], "n_places": [len(places.at)], "gained": [gained]}
+
+    def as_table(columns: dict) -> pa.Table:
+        kinds = {"part": pa.int64(), "sizes": pa.list_(pa.int64()), "train": pa.list_(pa.bool_()), "places": pa.binary(), "n_places": pa.int64(), "gained": pa.binary()}
+        return pa.table({c: pa.array(x, kinds[c]) for c, x in columns.items()})
+
+    def begin(key: tuple[pa.Scalar, ...], row: pa.Table, given: pa.Table) -> pa.Table:
+        """The places of a part at the root; ``gained`` has the texts' tokens, known tokens and base scores."""
+        place, number, count = unpack_all(given.column("packed").to_pylist(), (np.int64,) * 3)
+        numbers, counts = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
+        numbers[place], counts[place] = number, count
+        raw = np.frombuffer(zstandard.decompress(row.column("tokens")[0].as_py()), dtype=np.uint8)
+        local = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4")[:, 0]
+        word, times = numbers[local], counts[local]
+        sizes, train = np.array(row.column("sizes")[0].as_py()), np.array(row.column("train")[0].as_py())
+        starts = sizes.cumsum() - sizes
+        root = np.log10((times + 1) / (total + distinct + 1))
+        gram = np.where(times >= LEAST, word, -1)
+        inner = np.ones(len(word), dtype=bool)
+        inner[starts] = False
+        at = np.nonzero(inner)[0]
+        at = at[gram[at - 1] >= 0]
+        base = pack(sizes, np.add.reduceat((times > 0).astype(np.int64), starts), np.add.reduceat(root, starts))
+        return as_table(state_row(key[0].as_py(), sizes, train, Places(at, gram[at - 1], times[at - 1], word[at], gram[at], root[at]), base))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for i, part in enumerate(b.column("part").to_pylist()):
+                places, sizes, train = Places.of(b.column("places")[i].as_py()), np.array(b.column("sizes")[i].as_py()), np.array(b.column("train")[i].as_py())
+                asked = places.asked(train[texts_of(sizes, places.at)])
+                packs: dict[int, list[bytes]] = defaultdict(lambda: [pack(*[np.zeros(0, dtype=np.int64)] * len(kind)) for kind in (GRAMS, CONTEXTS)])
+                for which, columns in enumerate(asked):
+                    slot = slots_of(columns[2], columns[0], slots) if which == 0 else slots_of(columns[0], np.full(len(columns[0]), ANY), slots)
+                    order = np.argsort(slot, kind="stable")
+                    for x in np.split(order, np.nonzero(np.diff(slot[order]))[0] + 1) if len(order) else []:
+                        x = x[np.argsort(columns[0][x], kind="stable")]
+                        packs[int(slot[x[0]])][which] = pack(*(c[x] for c in columns))
+                yield {"slot": list(packs), "part": [part] * len(packs), "grams": [p[0] for p in packs.values()], "contexts": [p[1] for p in packs.values()]}
+
+    def advance(key: tuple[pa.Scalar, ...], row: pa.Table, given: pa.Table) -> pa.Table:
+        places, sizes, train = Places.of(row.column("places")[0].as_py()), np.array(row.column("sizes")[0].as_py()), np.array(row.column("train")[0].as_py())
+        longer, gained = places.advance(*(unpack_all(given.column(c).to_pylist(), kinds) for c, kinds in (("grams", FOUND), ("contexts", KEPT))))
+        return as_table(state_row(key[0].as_py(), sizes, train, longer, sums_by_text(sizes, places.at, gained)))
+
+    def score(key: tuple[pa.Scalar, ...], row: pa.Table, gains: pa.Table) -> pa.Table:
+        n_tokens, n_known, base = unpack(row.column("gained")[0].as_py(), (np.int64, np.int64, float))
         ids, train = (row.column(c).combine_chunks().flatten() for c in ("ids", "train"))
+        whole = base.copy()
+        for blob in gains.column("gain").to_pylist():
+            text, gained = unpack(blob, (np.int64, float))
+            whole[text] += gained
+        out = {"n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": whole}
         return pa.table({"_id": ids, "train": train} | {k: pa.array(v) for k, v in out.items()})
 
-    def with_parts(fn, schema: str) -> DataFrame:  # noqa: ANN001
-        return coded.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(fn, schema)
-
+    given = words.filter("part is not null").select("part", "packed")
+    live = stored(parts.select("part", "sizes", "train", "tokens").groupBy("part").cogroup(given.groupBy("part")).applyInArrow(begin, state), "level0")
+    texts = parts.select("part", "ids", "train").join(live.select(F.col("part").alias("k"), "gained"), F.col("part") == F.col("k")).drop("k")
+    gains = spark.createDataFrame([], "of_part long, gain binary")
+    dropped("words")
     level = 0
-    while True:
+    while live.agg(F.sum("n_places")).first()[0]:
         level += 1
-        found = stored(gathered(with_parts(ask, "slot int, part long, grams binary, contexts binary"), slots), f"found{level}")
-        given = stored(answered(found), f"answers{level}")
-        kept = given.filter(F.length("contexts") > EMPTY).limit(1).count()
-        delete_folder(spark, f"{folder}/found{level}")
-        # Shuffle files of a finished level go when the driver has collected what refers to them.
+        found = stored(gathered(arrow_map(live, ask, "slot int, part long, grams binary, contexts binary"), slots), f"found{level}")
+        live = stored(live.filter("n_places > 0").groupBy("part").cogroup(answered(found).groupBy("part")).applyInArrow(advance, state), f"level{level}")
+        gains = gains.unionAll(live.select(F.col("part").alias("of_part"), F.col("gained").alias("gain")))
         del found
-        gc.collect()
-        spark._jvm.System.gc()
-        if not kept:
-            break
-        for i, column in enumerate(("grams", "contexts")):
-            answers = answers.unionAll(given.select("part", F.lit(2 * level - 1 + i).alias("kind"), F.col(column).alias("packed")))
-    scored = with_parts(score, f"_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+        dropped(f"found{level}")
+    schema = f"_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = texts.groupBy("part").cogroup(gains.groupBy("of_part")).applyInArrow(score, schema)
     return scored.withColumnsRenamed({"_id": id_col, "train": train_col}), total
 
 
