@@ -45,7 +45,7 @@ SMOOTH = 2.0
 PART, SLOT = 1_000_000, 1_500_000
 #: Stands for any follower: the count of the context itself.
 ANY = -1
-#: Parts tell slots log10 of the suffix's probability as a whole number of this size; states use the same rounded value.
+#: log10 probabilities of places are held as whole numbers of this size.
 GRAIN = 1e-6
 #: Columns of what a part asks about n-grams: follower, suffix's log10 probability in grains, context, count; and about
 #: contexts: number, count. Columns of the answers: follower, context, count, the n-gram's number; and of a kept context:
@@ -59,16 +59,26 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of eight bytes, compressed; the first is best in order."""
-    first, *rest = columns
-    both = np.concatenate([np.diff(first, prepend=0), *(c.view(np.int64) for c in rest)])
-    return zstandard.compress(both.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Columns of whole numbers or doubles, compressed, in four bytes a value where all fit; the first is best in order."""
+    out = []
+    for i, c in enumerate(columns):
+        raw = np.diff(c, prepend=0) if i == 0 else c.view(np.int64)
+        small = not len(raw) or -(1 << 31) <= raw.min() and raw.max() < 1 << 31
+        raw = raw.astype("<i4") if small else raw
+        size = 4 if small else 8
+        out.append(bytes([size]) + raw.view(np.uint8).reshape(-1, size).T.tobytes())
+    return len(columns[0]).to_bytes(8, "little") + zstandard.compress(b"".join(out), 1)
 
 
 def unpack(blob: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
-    columns = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(len(kinds), -1)
-    return [c.cumsum() if i == 0 else c.view(kind) for i, (c, kind) in enumerate(zip(columns, kinds, strict=True))]
+    n, raw, at, out = int.from_bytes(blob[:8], "little"), zstandard.decompress(blob[8:]), 0, []
+    for i, kind in enumerate(kinds):
+        size = raw[at]
+        c = np.frombuffer(raw, np.uint8, n * size, at + 1).reshape(size, n).T
+        c = np.ascontiguousarray(c).view(f"<i{size}").reshape(n).astype(np.int64)
+        out.append(c.cumsum() if i == 0 else c.view(kind))
+        at += 1 + n * size
+    return out
 
 
 def unpack_all(blobs: list[bytes], kinds: tuple[type, ...]) -> list[np.ndarray]:
@@ -89,12 +99,17 @@ def slots_of(head: np.ndarray, next_: np.ndarray, slots: int) -> np.ndarray:
 
 
 def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order in which equal rows are side by side, and where in it each run of them starts."""
-    order = np.lexsort(columns)
+    """An order in which equal rows of one or two columns are side by side, and where in it each run of them starts."""
+    one = columns[0]
+    if len(columns) == 2:
+        fits = not len(one) or all(c.min() >= 0 and c.max() < 1 << 31 for c in columns)
+        one = one << 32 | columns[1] if fits else None
+    order = np.lexsort(columns) if one is None else np.argsort(one)
     change = np.zeros(len(order), dtype=bool)
     change[:1] = True
-    for c in columns:
-        change[1:] |= c[order[1:]] != c[order[:-1]]
+    for c in columns if one is None else [one]:
+        x = c[order]
+        change[1:] |= x[1:] != x[:-1]
     return order, np.nonzero(change)[0]
 
 
@@ -176,22 +191,12 @@ def word_answers(parts: DataFrame, slots: int) -> DataFrame:
     return asked.groupBy("slot").applyInArrow(merge, "part long, packed binary, total long, words long")
 
 
-def found_in(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Which wanted keys there are, and their values (zero for others)."""
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=bool), *(np.zeros(len(wanted), dtype=v.dtype) for v in values)
-    order = np.argsort(keys)
-    at = np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)
-    hit = keys[order][at] == wanted
-    return hit, *(np.where(hit, v[order][at], 0).astype(v.dtype) for v in values)
-
-
 @dataclass
 class Places:
     """The places of a part whose next longer context is examined, in order.
 
     ``head``, ``seen``: number and count of that context. ``gram``: number of the n-gram that ends here and is as long as
-    the context, -1 if it isn't frequent. ``logs``: log10 probability by the longest kept context so far.
+    the context, -1 if it isn't frequent. ``logs``: log10 probability by the longest kept context so far, in grains.
     """
 
     at: np.ndarray
@@ -206,11 +211,7 @@ class Places:
 
     @staticmethod
     def of(blob: bytes) -> Places:
-        return Places(*unpack(blob, (np.int64,) * 5 + (float,)))
-
-    def before(self) -> np.ndarray:
-        """log10 of what the suffixes say of the words, in grains."""
-        return np.rint(self.logs / GRAIN).astype(np.int64)
+        return Places(*unpack(blob, (np.int64,) * 6))
 
     def asked(self, train: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """``GRAMS`` and ``CONTEXTS``, each row once; ``train`` tells the places of training texts, which alone are counted.
@@ -220,7 +221,7 @@ class Places:
         order, first = runs(self.head)
         contexts = [self.head[order[first]], self.seen[order[first]]]
         likely = self.gram >= 0
-        head, next_, before, n = self.head[likely], self.word[likely], self.before()[likely], train[likely].astype(np.int64)
+        head, next_, before, n = self.head[likely], self.word[likely], self.logs[likely], train[likely].astype(np.int64)
         order, first = runs(head, next_)
         n = np.add.reduceat(n[order], first) if len(first) else n
         order = order[first]
@@ -233,21 +234,29 @@ class Places:
         one that ends at the place before.
         """
         next_, of, n, number = grams
-        kept, seen, left = found_in(contexts[0], self.head, *contexts[1:])
-        # N-grams are told by their context's place in a list and the word.
-        order, first = runs(of)
-        heads = of[order[first]]
-        there, place = found_in(heads, self.head, np.arange(len(heads)))
-        frequent, times, number = found_in(np.searchsorted(heads, of) << 40 | next_, np.where(there, place << 40 | self.word, -1), n, number)
-        frequent &= self.gram >= 0
-        before = 10 ** (self.before() * GRAIN)
-        stored = np.log10((times + SMOOTH * before) / (seen + SMOOTH))
-        logs = np.where(kept & frequent, stored, np.where(kept, left, 0.0) + self.logs)
-        gram = np.where(frequent, number, -1)
+        # Contexts by their place in the list of all that are asked about, n-grams by that and the word.
+        heads = np.sort(self.head)
+        heads = heads[np.append(True, heads[1:] != heads[:-1])[: len(heads)]]
+        place = np.searchsorted(heads, self.head)
+        seen, left = np.zeros(len(heads)), np.full(len(heads), np.nan)
+        at = np.searchsorted(heads, contexts[0])
+        seen[at], left[at] = contexts[1:]
+        seen, left = seen[place], left[place]
+        kept, likely = ~np.isnan(left), np.nonzero(self.gram >= 0)[0]
+        order = np.argsort(code := np.searchsorted(heads, of) << 40 | next_)
+        code, want = code[order], place[likely] << 40 | self.word[likely]
+        at = np.minimum(np.searchsorted(code, want), max(0, len(code) - 1))
+        hit = code[at] == want if len(code) else np.zeros(len(want), dtype=bool)
+        rows, at = likely[hit], order[at[hit]]
+        times, gram = np.zeros(len(self.at), dtype=np.int64), np.full(len(self.at), -1)
+        times[rows], gram[rows] = n[at], number[at]
+        frequent = gram >= 0
+        stored = np.log10((times + SMOOTH * 10 ** (self.logs * GRAIN)) / (seen + SMOOTH)) / GRAIN
+        logs = np.rint(np.where(kept & frequent, stored, np.where(kept, np.nan_to_num(left) / GRAIN, 0.0) + self.logs)).astype(np.int64)
         rows = np.nonzero(kept)[0]
         rows = rows[(rows > 0) & (self.at[rows - 1] == self.at[rows] - 1)]
         rows = rows[gram[rows - 1] >= 0]
-        return Places(self.at[rows], gram[rows - 1], times[rows - 1], self.word[rows], gram[rows], logs[rows]), logs - self.logs
+        return Places(self.at[rows], gram[rows - 1], times[rows - 1], self.word[rows], gram[rows], logs[rows]), (logs - self.logs) * GRAIN
 
 
 def texts_of(sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -398,7 +407,7 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at = np.nonzero(inner)[0]
         at = at[gram[at - 1] >= 0]
         base = pack(sizes, np.add.reduceat((times > 0).astype(np.int64), starts), np.add.reduceat(root, starts))
-        return as_table(state_row(key[0].as_py(), sizes, train, Places(at, gram[at - 1], times[at - 1], word[at], gram[at], root[at]), base))
+        return as_table(state_row(key[0].as_py(), sizes, train, Places(at, gram[at - 1], times[at - 1], word[at], gram[at], np.rint(root[at] / GRAIN).astype(np.int64)), base))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:

@@ -271,7 +271,7 @@ def test_suffix_tree_against_its_definition(spark, tmp_path, monkeypatch):
     got = {r.doc_id: r for r in suffix_tree_lm.op8_lm_scores(spark, folder).collect()}
     assert len(got) == len(rows)
     for i, t in enumerate(texts):
-        assert math.isclose(got[i].score, tree.score(t), rel_tol=1e-9), rows[i]
+        assert math.isclose(got[i].score, tree.score(t), abs_tol=2e-6 * len(t)), rows[i]  # places are rounded to grains
         if (rows[i] or "").startswith("rare passage"):
             assert got[i].score > got[i].base_score + 4
     everything = [*tree.c, b"unknown"]
