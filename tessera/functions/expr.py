@@ -66,11 +66,23 @@ def positive_number(text: Column) -> Column:
 
 
 def plausible_phone(text: Column) -> Column:
-    """7 to 15 digits with usual separators, neither one digit repeated nor a plain sequence."""
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    repeated = F.replace(digits, F.substring(digits, 1, 1), F.lit("")) == ""
-    sequence = F.contains(F.lit("012345678901234567890"), digits) | F.contains(F.lit("098765432109876543210"), digits)
-    return F.coalesce(text.rlike(r"^\+?[0-9 ().-]+$") & F.length(digits).between(7, 15) & ~repeated & ~sequence, F.lit(False))
+    """7 to 15 digits with usual separators; the national number is neither one digit repeated nor a run up or down.
+
+    An international number starts with ``+`` or ``00``; behind the prefix of Portugal the national number is judged,
+    behind any other a subscriber number of seven or more equal digits is refused.
+    """
+    phone = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    digits = F.regexp_replace(F.regexp_replace(phone, "^00", ""), "[^0-9]", "")
+    abroad = phone.rlike(r"^(\+|00)")
+    national = F.when(abroad & digits.startswith("351"), F.substr(digits, F.lit(4))).otherwise(digits)
+    repeated = national.rlike(r"^(\d)\1*$") & (F.length(national) != 1) | (national == "")
+    placeholder = abroad & ~digits.startswith("351") & digits.rlike(r"^[1-9]\d{0,2}(\d)\1{6,}$")
+    # A run goes on from nine to zero once, so its length is bound by where it starts.
+    steps = lambda by: F.forall(F.sequence(F.lit(2), F.length(national)), lambda i: F.pmod(F.substr(national, i, F.lit(1)).cast("int") - F.substr(national, i - 1, F.lit(1)).cast("int"), F.lit(10)) == by)
+    first, n = F.substring(national, 1, 1).cast("int"), F.length(national)
+    run = (n > 1) & ((steps(1) & (n <= 20 - first)) | (steps(9) & (n <= 11 + first)))
+    well_formed = phone.rlike(r"(?U)^\+?[0-9\s().-]+$") & F.length(digits).between(7, 15)
+    return F.coalesce(F.when(well_formed, ~repeated & ~placeholder & ((n == 1) | ~run)), F.lit(False))
 
 
 def reasons(*rules: tuple[str, Column]) -> Column:

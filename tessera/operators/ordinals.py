@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.io import materialised
+
 
 def with_ordinals(rows: DataFrame, group: str, order: list[Column], name: str = "ordinal") -> DataFrame:
     """``rows`` with the position (from 1) of each row in its group.
@@ -13,7 +15,8 @@ def with_ordinals(rows: DataFrame, group: str, order: list[Column], name: str =
     the group's rows in earlier partitions; of those counts there is one for each group and partition.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, F.col(group), *order).withColumn("_part", F.spark_partition_id())
+    # Both branches below must see one and the same dealing: its borders are sampled anew each time it is planned.
+    dealt = materialised(rows.repartitionByRange(n, F.col(group), *order).withColumn("_part", F.spark_partition_id()))
     counts = dealt.groupBy("_part", group).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_part").alias("_p"), F.col(group).alias("_g"), "_shift")

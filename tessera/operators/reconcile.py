@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.expr import reasons
 
 
-def eligibility(staged: DataFrame, live: DataFrame) -> DataFrame:
-    """``id, locale, reasons, eligible`` of staged items against live ones.
+def eligibility(staged: DataFrame, live: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, locale, reasons, eligible`` of staged items against live ones, and the columns of staged items to ``keep``.
 
     Both have ``id, locale, slug``; staged ones ``is_draft`` and ``is_archived`` too, where null means unknown.
     Live rows are one an id and locale. A slug is compared after the join, so that a change of it has a reason of its own.
@@ -23,7 +23,7 @@ def eligibility(staged: DataFrame, live: DataFrame) -> DataFrame:
         ("blank-id", F.col("id").isNull()), ("blank-locale", blank("locale")), ("blank-slug", blank("slug")),
         ("not-live", F.col("l_id").isNull()), ("slug-mismatch", F.col("l_slug").isNotNull() & (F.col("l_slug") != F.col("slug"))),
     )
-    return joined.select("id", "locale", found.alias("reasons"), (F.size(found) == 0).alias("eligible"))
+    return joined.select("id", "locale", found.alias("reasons"), (F.size(found) == 0).alias("eligible"), *keep)
 
 
 def only_in_inventory(inventory: DataFrame, staged: DataFrame, live: DataFrame, key: str) -> DataFrame:

@@ -15,8 +15,11 @@ from .registry import query
 STATES = {"O": "active", "P": "reserved", "F": "sold"}
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listings(spark: SparkSession, sf_dir: str, *states: str) -> DataFrame:
+    """Orders as listings, those in the given states only. The stored code is filtered, so that the scan gets the filter."""
     o = read_table(spark, sf_dir, "orders")
+    if states:
+        o = o.filter(F.col("o_orderstatus").isin([code for code, state in STATES.items() if state in states]))
     state = F.element_at(F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv]), F.col("o_orderstatus"))
     return o.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", state.alias("state"))
 
@@ -24,19 +27,19 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'active' ELSE 'reserved' END AS state, o_orderdate FROM orders WHERE o_orderstatus IN ('O', 'P')""")
 def available_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir).filter(F.col("state").isin("active", "reserved"))
+    rows = listings(spark, sf_dir, "active", "reserved")
     return rows.select("o_orderkey", "state", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 5")
 def recent_sold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings(spark, sf_dir).filter("state = 'sold'").select("o_orderkey", "o_orderdate").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey").limit(5)
+    return listings(spark, sf_dir, "sold").select("o_orderkey", "o_orderdate").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey").limit(5)
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority IS DISTINCT FROM '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 3")
 def featured_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A null banner passes."""
-    rows = listings(spark, sf_dir).filter((F.col("state") == "active") & ~F.col("o_orderpriority").eqNullSafe("1-URGENT"))
+    rows = listings(spark, sf_dir, "active").filter(~F.col("o_orderpriority").eqNullSafe("1-URGENT"))
     return rows.select("o_orderkey", "o_orderdate").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey").limit(3)
 
 

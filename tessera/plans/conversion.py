@@ -26,7 +26,7 @@ def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = o.join(galleries(lines, by_file, by_url), F.col("o_orderkey") == F.col("item_id"), "left")
     label, doc_id = decoded(F.col("o_orderstatus"), CODES), stable_id(F.lit("doc"), F.col("o_orderkey"), F.lower(F.col("o_orderpriority")))
     fault = first_fault(("document-id", doc_id.isNull()), ("unknown-status", label.isNull()), ("unmatched-slot", F.col("unmatched") > 0))
-    return whole.select("o_orderkey", "o_orderstatus", doc_id.alias("document_id"), label.alias("label"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.concat_ws(",", "refs").alias("refs"), fault.alias("error"))
+    return whole.select("o_orderkey", "o_orderstatus", "o_orderpriority", doc_id.alias("document_id"), label.alias("label"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.concat_ws(",", "refs").alias("refs"), fault.alias("error"))
 
 
 _CONVERTED = f"""g AS (SELECT l_orderkey, count(*) AS n_slots, count(*) FILTER (l_partkey % 7 = 0 AND l_suppkey % 2 <> 0) AS unmatched,
@@ -40,7 +40,7 @@ c AS (SELECT o_orderkey, o_orderstatus, CASE WHEN regexp_full_match(i, '[A-Za-z0
 
 @query(f"WITH {_CONVERTED} SELECT * FROM c")
 def document_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return converted(spark, sf_dir)
+    return converted(spark, sf_dir).drop("o_orderpriority")
 
 
 @query(f"""WITH {_CONVERTED} SELECT o_orderstatus AS status, coalesce(error, 'converted') AS outcome, count(*) AS n, sum(n_slots)::BIGINT AS slots, min(o_orderkey) AS first_id FROM c GROUP BY 1, 2""")
@@ -57,8 +57,8 @@ SELECT *, CASE WHEN samples = 0 THEN 'no-sample' WHEN bad_samples > 0 THEN 'inel
 def migration_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligible items, slots and samples (every hundredth item) of each collection and of all, with the gate's first reason."""
     staged = staged_items(spark, sf_dir)
-    judged = eligibility(staged, live_items(spark, sf_dir)).select("id", "eligible")
-    rows = judged.join(converted(spark, sf_dir), F.col("id") == F.col("o_orderkey"))
+    judged = eligibility(staged, live_items(spark, sf_dir), keep=("source_locale",)).select("id", "source_locale", "eligible")
+    rows = judged.join(converted(spark, sf_dir), (F.col("id") == F.col("o_orderkey")) & F.col("source_locale").eqNullSafe(F.col("o_orderpriority")))
     ok, sample = F.col("eligible"), F.col("id") % 100 == 1
     counts = rows.rollup("o_orderstatus").agg(
         F.count_if(ok).alias("eligible"), F.coalesce(F.sum(F.when(ok, F.col("n_slots"))), F.lit(0)).alias("slots"), F.count_if(sample).alias("samples"),

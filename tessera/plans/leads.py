@@ -80,11 +80,13 @@ _PHONE = r"\+?[0-9][0-9 ().-]{5,18}[0-9]"
 _MAIL = r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z.]+"
 
 
-@query(rf"""WITH c AS (SELECT doc_id, regexp_extract_all(text, '{_PHONE}') AS p, regexp_extract_all(text, '{_MAIL}') AS m FROM documents),
-x AS (SELECT doc_id, len(p) AS candidates, len(m) AS mails, len(list_filter(p, lambda s: length(regexp_replace(s, '[^0-9]', '', 'g')) BETWEEN 7 AND 15
-  AND replace(regexp_replace(s, '[^0-9]', '', 'g'), substr(regexp_replace(s, '[^0-9]', '', 'g'), 1, 1), '') <> ''
-  AND NOT contains('012345678901234567890', regexp_replace(s, '[^0-9]', '', 'g')) AND NOT contains('098765432109876543210', regexp_replace(s, '[^0-9]', '', 'g')))) AS phones FROM c)
-SELECT doc_id, candidates::INT AS candidates, phones::INT AS phones, mails::INT AS mails FROM x WHERE candidates > 0 OR mails > 0""")
+@query(rf"""WITH c AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '{_PHONE}') AS p, regexp_extract_all(text, '{_MAIL}') AS m FROM documents),
+each AS (SELECT r, s LIKE '+%' OR s LIKE '00%' AS abroad, regexp_replace(regexp_replace(s, '^00', ''), '[^0-9]', '', 'g') AS d FROM (SELECT r, unnest(p) AS s FROM c)),
+national AS (SELECT r, d, abroad, CASE WHEN abroad AND d LIKE '351%' THEN substr(d, 4) ELSE d END AS x FROM each),
+good AS (SELECT r, count(*) AS n FROM national WHERE length(d) BETWEEN 7 AND 15 AND replace(x, x[1], '') <> ''
+  AND NOT contains(repeat('0123456789', 2), x) AND NOT contains(repeat('9876543210', 2), x)
+  AND NOT (abroad AND d NOT LIKE '351%' AND d[1] <> '0' AND list_bool_or(list_transform([1, 2, 3], lambda k: length(d) >= k + 7 AND replace(substr(d, k + 1), d[k + 1], '') = ''))) GROUP BY r)
+SELECT doc_id, len(p)::INT AS candidates, coalesce(n, 0)::INT AS phones, len(m)::INT AS mails FROM c LEFT JOIN good USING (r) WHERE len(p) > 0 OR len(m) > 0""")
 def contact_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with phone- or mail-like text: how many candidates there are, and how many hold as phones and mails."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(f"({_PHONE})"), 1).alias("p"), F.regexp_extract_all("text", F.lit(f"({_MAIL})"), 1).alias("m"))

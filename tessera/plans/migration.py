@@ -20,7 +20,7 @@ def staged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     draft = F.when(k % 17 == 0, F.lit(None)).otherwise(k % 7 == 0)
     archived = F.when(k % 19 == 0, F.lit(None)).otherwise(k % 11 == 0)
     return o.select(k.alias("id"), F.when(k % 23 == 0, "").otherwise(F.col("o_orderpriority")).alias("locale"), F.concat(F.lit("item-"), k.cast("string")).alias("slug"),
-                    draft.cast("boolean").alias("is_draft"), archived.cast("boolean").alias("is_archived"), F.col("o_orderstatus").alias("status"))
+                    draft.cast("boolean").alias("is_draft"), archived.cast("boolean").alias("is_archived"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("source_locale"))
 
 
 def live_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ FROM elig LEFT JOIN slots ON id = l_orderkey WHERE reasons = '' GROUP BY status"
 def eligible_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots are counted before the join, so that it sees a row an item."""
     staged = staged_items(spark, sf_dir)
-    good = eligibility(staged, live_items(spark, sf_dir)).filter("eligible").select("id").join(staged.select("id", "status"), "id")
+    good = eligibility(staged, live_items(spark, sf_dir), keep=("status",)).filter("eligible")
     slots = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("g"))
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return good.join(slots, "id", "left").groupBy("status").agg(F.count("*").alias("items"), zero("n").alias("photos"), zero("g").alias("gallery"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +22,24 @@ EXPORT = T.StructType([T.StructField("collections", T.ArrayType(T.StructType([
 ])))])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder in the shared checkpoint folder. Where none is set, a local one in local mode (tests); else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows as they are now, kept in the shared checkpoint folder, so that every later use sees the same."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

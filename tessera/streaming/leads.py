@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,11 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def stream_folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared checkpoint folder; a local one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tessera-streams")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+from tessera.sources.io import shared_folder
 
 
 def _events(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +28,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 def _run(rows: DataFrame, spark: SparkSession) -> DataFrame:
     """Append a stream to Parquet and read what it has written."""
-    folder = stream_folder(spark)
+    folder = shared_folder(spark)
     written = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     written.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
@@ -52,7 +45,7 @@ def stream_daily(spark: SparkSession, path: str) -> DataFrame:
 
     The sink is appended to by batch number, so a batch that is run again replaces its own counts.
     """
-    folder = stream_folder(spark)
+    folder = shared_folder(spark)
 
     def add(batch: DataFrame, number: int) -> None:
         day = F.to_date(F.from_utc_timestamp("ts", "Europe/Lisbon"))
