@@ -259,6 +259,24 @@ class Places:
         return Places(self.at[rows], gram[rows - 1], times[rows - 1], self.word[rows], gram[rows], logs[rows]), (logs - self.logs) * GRAIN
 
 
+def token_counts(tokens: bytes, numbers: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Number and training count of each token of a part, from its coded tokens and its words' packed numbers and counts."""
+    raw = np.frombuffer(zstandard.decompress(tokens), dtype=np.uint8)
+    local = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4")[:, 0]
+    number, count = unpack(numbers, (np.int64, np.int64))
+    return number[local], count[local]
+
+
+def root_places(word: np.ndarray, times: np.ndarray, sizes: np.ndarray, grains: np.ndarray) -> Places:
+    """The places at the root: all behind a frequent word; ``grains``: log10 of the words' own probabilities."""
+    gram = np.where(times >= LEAST, word, -1)
+    inner = np.ones(len(word), dtype=bool)
+    inner[sizes.cumsum() - sizes] = False
+    at = np.nonzero(inner)[0]
+    at = at[gram[at - 1] >= 0]
+    return Places(at, gram[at - 1], times[at - 1], word[at], gram[at], grains[at])
+
+
 def texts_of(sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which text of a part each place is in."""
     return np.searchsorted(np.cumsum(sizes), at, side="right")
@@ -381,38 +399,36 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slots = max(1, -(-(parts.agg(F.sum("n_tokens")).first()[0] or 0) // SLOT))
     words = stored(word_answers(parts, slots), "words")
     total, distinct = (x or 0 for x in words.agg(F.sum("total"), F.sum("words")).first())
-    state = "part long, sizes array<long>, train array<boolean>, places binary, n_places long, gained binary"
+    state = f"part long, ids array<{kind}>, sizes array<long>, train array<boolean>, tokens binary, numbers binary, places binary, n_places long, gained binary"
 
-    def state_row(part: int, sizes: np.ndarray, train: np.ndarray, places: Places, gained: bytes | None) -> dict:
-        return {"part": [part], "sizes": [sizes], "train": [train], "places": [places.packed()], "n_places": [len(places.at)], "gained": [gained]}
+    def log_root(times: np.ndarray) -> np.ndarray:
+        return np.log10((times + 1) / (total + distinct + 1))
 
-    def as_table(columns: dict) -> pa.Table:
-        kinds = {"part": pa.int64(), "sizes": pa.list_(pa.int64()), "train": pa.list_(pa.bool_()), "places": pa.binary(), "n_places": pa.int64(), "gained": pa.binary()}
-        return pa.table({c: pa.array(x, kinds[c]) for c, x in columns.items()})
+    def places_of(tokens: bytes | None, numbers: bytes | None, places: bytes | None, sizes: np.ndarray) -> Places:
+        """Those of a row of ``state``; at the root they follow from the tokens, which take less room."""
+        if places is not None:
+            return Places.of(places)
+        word, times = token_counts(tokens, numbers)
+        return root_places(word, times, sizes, np.rint(log_root(times) / GRAIN).astype(np.int64))
 
     def begin(key: tuple[pa.Scalar, ...], row: pa.Table, given: pa.Table) -> pa.Table:
-        """The places of a part at the root; ``gained`` has the texts' tokens, known tokens and base scores."""
+        """A part at the root; ``gained`` has the texts' tokens, known tokens and base scores."""
         place, number, count = unpack_all(given.column("packed").to_pylist(), (np.int64,) * 3)
         numbers, counts = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
         numbers[place], counts[place] = number, count
-        raw = np.frombuffer(zstandard.decompress(row.column("tokens")[0].as_py()), dtype=np.uint8)
-        local = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4")[:, 0]
-        word, times = numbers[local], counts[local]
-        sizes, train = np.array(row.column("sizes")[0].as_py()), np.array(row.column("train")[0].as_py())
+        tokens, packed, sizes = row.column("tokens")[0].as_py(), pack(numbers, counts), np.array(row.column("sizes")[0].as_py())
+        word, times = token_counts(tokens, packed)
         starts = sizes.cumsum() - sizes
-        root = np.log10((times + 1) / (total + distinct + 1))
-        gram = np.where(times >= LEAST, word, -1)
-        inner = np.ones(len(word), dtype=bool)
-        inner[starts] = False
-        at = np.nonzero(inner)[0]
-        at = at[gram[at - 1] >= 0]
-        base = pack(sizes, np.add.reduceat((times > 0).astype(np.int64), starts), np.add.reduceat(root, starts))
-        return as_table(state_row(key[0].as_py(), sizes, train, Places(at, gram[at - 1], times[at - 1], word[at], gram[at], np.rint(root[at] / GRAIN).astype(np.int64)), base))
+        base = pack(sizes, np.add.reduceat((times > 0).astype(np.int64), starts), np.add.reduceat(log_root(times), starts))
+        n = len(root_places(word, times, sizes, times).at)
+        columns = {c: row.column(c) for c in ("part", "ids", "sizes", "train", "tokens")}
+        return pa.table(columns | {"numbers": pa.array([packed], pa.binary()), "places": pa.nulls(1, pa.binary()), "n_places": pa.array([n], pa.int64()), "gained": pa.array([base], pa.binary())})
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for i, part in enumerate(b.column("part").to_pylist()):
-                places, sizes, train = Places.of(b.column("places")[i].as_py()), np.array(b.column("sizes")[i].as_py()), np.array(b.column("train")[i].as_py())
+                sizes, train = np.array(b.column("sizes")[i].as_py()), np.array(b.column("train")[i].as_py())
+                places = places_of(*(b.column(c)[i].as_py() for c in ("tokens", "numbers", "places")), sizes)
                 asked = places.asked(train[texts_of(sizes, places.at)])
                 packs: dict[int, list[bytes]] = defaultdict(lambda: [pack(*[np.zeros(0, dtype=np.int64)] * len(kind)) for kind in (GRAMS, CONTEXTS)])
                 for which, columns in enumerate(asked):
@@ -424,9 +440,13 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield {"slot": list(packs), "part": [part] * len(packs), "grams": [p[0] for p in packs.values()], "contexts": [p[1] for p in packs.values()]}
 
     def advance(key: tuple[pa.Scalar, ...], row: pa.Table, given: pa.Table) -> pa.Table:
-        places, sizes, train = Places.of(row.column("places")[0].as_py()), np.array(row.column("sizes")[0].as_py()), np.array(row.column("train")[0].as_py())
+        sizes = np.array(row.column("sizes")[0].as_py())
+        places = places_of(*(row.column(c)[0].as_py() for c in ("tokens", "numbers", "places")), sizes)
         longer, gained = places.advance(*(unpack_all(given.column(c).to_pylist(), kinds) for c, kinds in (("grams", FOUND), ("contexts", KEPT))))
-        return as_table(state_row(key[0].as_py(), sizes, train, longer, sums_by_text(sizes, places.at, gained)))
+        none = {c: pa.nulls(1, row.schema.field(c).type) for c in ("ids", "tokens", "numbers")}
+        new = {"places": [longer.packed()], "gained": [sums_by_text(sizes, places.at, gained)]}
+        columns = {c: row.column(c) for c in ("part", "sizes", "train")} | none | {c: pa.array(x, pa.binary()) for c, x in new.items()} | {"n_places": pa.array([len(longer.at)], pa.int64())}
+        return pa.table({c: columns[c] for c in row.schema.names})
 
     def score(key: tuple[pa.Scalar, ...], row: pa.Table, gains: pa.Table) -> pa.Table:
         n_tokens, n_known, base = unpack(row.column("gained")[0].as_py(), (np.int64, np.int64, float))
@@ -439,18 +459,18 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"_id": ids, "train": train} | {k: pa.array(v) for k, v in out.items()})
 
     given = words.filter("part is not null").select("part", "packed")
-    live = stored(parts.select("part", "sizes", "train", "tokens").groupBy("part").cogroup(given.groupBy("part")).applyInArrow(begin, state), "level0")
-    texts = parts.select("part", "ids", "train").join(live.select(F.col("part").alias("k"), "gained"), F.col("part") == F.col("k")).drop("k")
+    live = stored(parts.select("part", "ids", "sizes", "train", "tokens").groupBy("part").cogroup(given.groupBy("part")).applyInArrow(begin, state), "level0")
+    texts = live.select("part", "ids", "train", "gained")
     gains = spark.createDataFrame([], "of_part long, gain binary")
-    dropped("words")
+    dropped("parts", "words")
     level = 0
     while live.agg(F.sum("n_places")).first()[0]:
         level += 1
         found = stored(gathered(arrow_map(live, ask, "slot int, part long, grams binary, contexts binary"), slots), f"found{level}")
-        live = stored(live.filter("n_places > 0").groupBy("part").cogroup(answered(found).groupBy("part")).applyInArrow(advance, state), f"level{level}")
+        live = stored(live.filter("n_places > 0").groupBy("part").cogroup(answered(found).withColumnRenamed("part", "of_part").groupBy("of_part")).applyInArrow(advance, state), f"level{level}")
         gains = gains.unionAll(live.select(F.col("part").alias("of_part"), F.col("gained").alias("gain")))
         del found
-        dropped(f"found{level}")
+        dropped(f"found{level}")  # what a level gained is read at the end
     schema = f"_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double"
     scored = texts.groupBy("part").cogroup(gains.groupBy("of_part")).applyInArrow(score, schema)
     return scored.withColumnsRenamed({"_id": id_col, "train": train_col}), total
