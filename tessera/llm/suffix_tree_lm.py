@@ -467,6 +467,7 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while live.agg(F.sum("n_places")).first()[0]:
         level += 1
         found = stored(gathered(arrow_map(live, ask, "slot int, part long, grams binary, contexts binary"), slots), f"found{level}")
+        dropped()
         live = stored(live.filter("n_places > 0").groupBy("part").cogroup(answered(found).withColumnRenamed("part", "of_part").groupBy("of_part")).applyInArrow(advance, state), f"level{level}")
         gains = gains.unionAll(live.select(F.col("part").alias("of_part"), F.col("gained").alias("gain")))
         del found
