@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Unpublished documents carry one of these before their id.
+#: Prefixes, reserved words and shapes that published data obey. Unpublished documents carry one of these before their id.
 UNPUBLISHED = ("drafts.", "versions.")
 #: Languages and reserved words that no slug may take.
 RESERVED_SLUGS = ("admin", "api", "index", "sitemap")
@@ -88,3 +92,23 @@ def plausible_phone(text: Column) -> Column:
 def reasons(*rules: tuple[str, Column]) -> Column:
     """The names of the rules whose condition holds, in order; a null condition counts as false."""
     return F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in rules]))
+
+
+def first_failing(*rules: tuple[str, Column]) -> Column:
+    """The name of the first rule whose condition holds; null if none does. A null condition counts as false."""
+    return F.coalesce(*[F.when(condition, F.lit(name)) for name, condition in rules])
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\ufeff]+|[\s\ufeff]+$", "")
+
+
+@F.pandas_udf(StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
+def nfc(text: Column) -> Column:
+    """Unicode form C; no JVM function gives it, so non-ASCII rows go through Python in Arrow batches."""
+    return _composed(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +12,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessera.sources.io import shared_folder
 
 
-def _events(spark: SparkSession, path: str) -> DataFrame:
-    """A file stream of the events; a single file is read through its folder."""
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    """A file stream of a table; a single file is read through its folder."""
     folder, _, name = path.rstrip("/").rpartition("/")
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
-    rows = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def _timed(spark: SparkSession, path: str) -> DataFrame:
+    return _rows(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -36,7 +39,7 @@ def _run(rows: DataFrame, spark: SparkSession) -> DataFrame:
 
 def stream_first_by_key(spark: SparkSession, path: str) -> DataFrame:
     """The first event of each user and hour, repeats dropped within 23 hours of the watermark."""
-    rows = _events(spark, path).withColumn("key", F.concat("user_id", F.lit(":"), F.date_format("ts", "yyyyMMddHH")))
+    rows = _timed(spark, path).withColumn("key", F.concat("user_id", F.lit(":"), F.date_format("ts", "yyyyMMddHH")))
     return _run(rows.withWatermark("ts", "23 hours").dropDuplicatesWithinWatermark(["key"]), spark)
 
 
@@ -52,7 +55,7 @@ def stream_daily(spark: SparkSession, path: str) -> DataFrame:
         counts = batch.groupBy(day.alias("day"), "event_type").agg(F.count("*").alias("n"))
         counts.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = _events(spark, path).writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = _timed(spark, path).writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.schema("day date, event_type string, n long").parquet(f"{folder}/out")
     return rows.groupBy("day", "event_type").agg(F.sum("n").alias("n"))
@@ -76,6 +79,23 @@ def stream_lease_states(spark: SparkSession, path: str) -> DataFrame:
         state.update((int(at.iloc[-1]),))
         yield pd.DataFrame({"event_id": rows["event_id"], "state": told})
 
-    rows = _events(spark, path).select("user_id", "event_id", F.unix_millis("ts").alias("ms"))
+    rows = _timed(spark, path).select("user_id", "event_id", F.unix_millis("ts").alias("ms"))
     judged = rows.groupBy("user_id").applyInPandasWithState(judge, "event_id long, state string", "at long", "append", GroupStateTimeout.NoTimeout)
     return _run(judged, spark)
+
+
+def stream_lead_split(spark: SparkSession, path: str, judge: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Submissions that ``judge`` accepts (null ``error``) and those it refuses, each written to a sink of its own.
+
+    A micro-batch writes its folder anew, so one that is run again leaves no row twice.
+    """
+    folder = shared_folder(spark)
+
+    def split(batch: DataFrame, number: int) -> None:
+        rows = judge(batch)
+        for sink, part in (("accepted", rows.filter("error is null")), ("refused", rows.filter("error is not null"))):
+            part.write.mode("overwrite").parquet(f"{folder}/{sink}/batch={number}")
+
+    _rows(spark, path).writeStream.foreachBatch(split).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = judge(spark.createDataFrame([], spark.read.parquet(path).schema)).schema
+    return tuple(spark.read.schema(schema).parquet(f"{folder}/{sink}") for sink in ("accepted", "refused"))
