@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tessera.functions.expr import EMAIL, first_failing, nfc, plausible_phone, trimmed, window_state
+from tessera.operators.folds import sorted_fold
 
 #: Subjects of a contact, the campaign's questions and their answers (the first one is the plain no).
 SUBJECTS = ("Comprar", "Vender", "Outro")
@@ -130,21 +128,13 @@ def step(state: State | None, event_id: int, at: int, kind: str, payload: str, t
 def lease_outcomes(events: DataFrame) -> DataFrame:
     """``event_id, outcome`` of ``events(key, event_id, at, kind, payload, token, receipt)``, each key's by (at, event_id).
 
-    Keys are dealt by hash and sorted in their partition, so a task holds one key's state and one batch of rows, however
-    many rows a key has. Null keys are one key; an empty table gives no rows.
+    Null keys are one key; an empty table gives no rows.
     """
-    columns = ["key", "event_id", "at", "kind", "payload", "token", "receipt"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        started, last, state = False, None, None
-        for b in batches:
-            told = []
-            for key, *event, token, receipt in b[columns].astype(object).where(b[columns].notna(), None).itertuples(index=False):
-                if not started or key != last:
-                    started, last, state = True, key, None
-                state, outcome = step(state, *event, token, receipt)
-                told.append(outcome)
-            yield pd.DataFrame({"event_id": b["event_id"], "outcome": told})
 
+    def told(state: State | None, row: tuple) -> tuple[State | None, tuple]:
+        state, outcome = step(state, *row[1:])
+        return state, (row[1], outcome)
+
+    rows = events.select("key", "event_id", "at", "kind", "payload", "token", "receipt")
     schema = StructType([StructField("event_id", LongType()), StructField("outcome", StringType())])
-    return events.select(columns).repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(run, schema)
+    return sorted_fold(rows, "key", ["at", "event_id"], told, schema)

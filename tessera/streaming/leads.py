@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.functions.web import shared_link
 from tessera.sources.io import shared_folder
 
 
@@ -99,3 +100,15 @@ def stream_lead_split(spark: SparkSession, path: str, judge: Callable[[DataFrame
     _rows(spark, path).writeStream.foreachBatch(split).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     schema = judge(spark.createDataFrame([], spark.read.parquet(path).schema)).schema
     return tuple(spark.read.schema(schema).parquet(f"{folder}/{sink}") for sink in ("accepted", "refused"))
+
+
+def stream_share_views(spark: SparkSession, path: str, link: Column) -> DataFrame:
+    """``slug, views`` of links that were shared with a token; each micro-batch adds its partial counts."""
+    folder = shared_folder(spark)
+
+    def add(batch: DataFrame, number: int) -> None:
+        views = batch.select(shared_link(link).alias("s")).filter("s is not null")
+        views.groupBy("s.slug").agg(F.count("*").alias("views")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    _rows(spark, path).writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("slug string, views long").parquet(f"{folder}/out").groupBy("slug").agg(F.sum("views").alias("views"))
