@@ -61,8 +61,8 @@ def merge_history(old: DataFrame, new: DataFrame, key: str, value: str) -> DataF
 
 
 def content_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: ``n`` and two sums over the rows' SHA-256, equal for equal multisets of rows in any order."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]).cast("binary"), 256)
+    """One row: ``n`` and two sums over the SHA-256 of the rows as JSON arrays, equal for equal multisets of rows in any order."""
+    row = F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])).cast("binary"), 256)
     part: list[Column] = [F.sum(F.conv(F.substring(row, at, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias(name) for at, name in ((1, "digest_a"), (13, "digest_b"))]
     return rows.agg(F.count("*").alias("n"), *part)
 

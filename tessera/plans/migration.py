@@ -170,7 +170,7 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("s_nationkey", F.floor((F.col("ordinal") - 1) / 20).alias("chunk")).agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first_key"), F.max("s_suppkey").alias("last_key"))
 
 
-@query("""WITH h AS (SELECT sha256(p_partkey || '|' || p_name || '|' || p_brand || '|' || p_size) AS x FROM part)
+@query("""WITH h AS (SELECT sha256(to_json([p_partkey::VARCHAR, p_name, p_brand, p_size::VARCHAR])::VARCHAR) AS x FROM part)
 SELECT count(*) AS n, sum(('0x' || substr(x, 1, 12))::BIGINT)::VARCHAR AS digest_a, sum(('0x' || substr(x, 13, 12))::BIGINT)::VARCHAR AS digest_b FROM h""")
 def content_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_digest(read_table(spark, sf_dir, "part"), ["p_partkey", "p_name", "p_brand", "p_size"])

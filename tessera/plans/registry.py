@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import catalogue, conversion, intake, leads, migration, publishing, site  # noqa: E402, F401
+from . import assets, catalogue, conversion, intake, leads, migration, publishing, site  # noqa: E402, F401

@@ -64,6 +64,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(listed).alias("doc"))
 
 
+def read_answers(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
+    """``row`` (variant): the records of a service's answers, one file each, in any of its envelopes.
+
+    An answer is an array, or an object that holds one under the first of ``fields`` that it has, or a record by itself.
+    Malformed files give no rows.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).filter("v is not null")
+    arrays = [F.expr("try_variant_get(v, '$', 'array<variant>')"), *[F.try_variant_get("v", f"$.{name}", "array<variant>") for name in fields]]
+    return raw.select(F.explode(F.coalesce(*arrays, F.array("v"))).alias("row"))
+
+
 def read_built_routes(spark: SparkSession, root: str) -> DataFrame:
     """``route`` of every built HTML file: ``index.html`` stands for its folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(root).select("path")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expr import plausible_phone
 from tessera.operators.ordinals import with_ordinals
-from tessera.operators.reconcile import eligibility
+from tessera.operators.reconcile import content_digest, eligibility
 
 #: Numbers that are placeholders or malformed, and plausible ones.
 REFUSED = ["000000000", "111111111", "999 999 999", "+351 000 000 000", "00351 111111111", "+44 0000000000", "123456789", "987654321", "+351 123456789", "00351 987654321", "+ 351 123456789", "00 351 123456789", "+35 1 987654321", "12345", "+1234567890123456", "abc912345678", "912+345678", "9/12345678", "", None, "+351"]
@@ -31,3 +31,10 @@ def test_eligibility_by_id_and_locale(spark):
     live = spark.createDataFrame([(1, "pt", "a"), (1, "en", "a"), (2, "pt", "b"), (3, "pt", "c-old")], "id int, locale string, slug string")
     got = {(r.id, r.locale): (r.eligible, r.reasons, r.status) for r in eligibility(staged, live, keep=("status",)).collect()}
     assert got == {(1, "pt"): (True, [], "x"), (1, "en"): (False, ["draft"], "y"), (2, "pt"): (False, ["unknown-draft"], "x"), (3, "pt"): (False, ["slug-mismatch"], "x")}
+
+
+def test_digest_tells_rows_apart(spark):
+    """Separators and nulls in values don't make different rows equal; the order of rows doesn't matter."""
+    digest = lambda *rows: tuple(content_digest(spark.createDataFrame(rows, "a string, b string"), ["a", "b"]).first())
+    assert len({digest(r) for r in [("a|b", "c"), ("a", "b|c"), ("~", "c"), (None, "c"), ('a","b', "c"), ("null", "c")]}) == 6
+    assert digest(("a", "b"), ("c", None)) == digest(("c", None), ("a", "b"))
