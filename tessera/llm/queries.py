@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, mtree, quality, secrets, sentencepiece_codec, simhash, suffix_tree_lm, toxicity, url_filter
+from . import cross_polytope, langid, mixing, mtree, prefix_trie, quality, secrets, sentencepiece_codec, simhash, spelling, suffix_tree_lm, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_lm_scores": suffix_tree_lm.op8_lm_scores,
     "op9_exact_top_k": mtree.op9_exact_top_k,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_nearest_neighbours": cross_polytope.op12_nearest_neighbours,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 #: The others can't be expressed in SQL; tests hold them against brute force, a round trip or held-out labels.
@@ -22,4 +25,6 @@ ORACLES = {
     "op2_quality_rules": quality.OP2_SQL,
     "op4_url_filters": url_filter.OP4_SQL,
     "op9_exact_top_k": mtree.OP9_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op13_spelling_variants": spelling.OP13_SQL,
 }
