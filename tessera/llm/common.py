@@ -56,6 +56,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in a fresh shared folder; unlike a checkpoint, the plan then knows their size alone.
+
+    For loops: estimates of joins multiply, so round after round on checkpoints they grow to numbers of millions of digits.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow whose function yields columns as dicts of lists, cast to ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import arrow_map, checkpointed, table
+from .common import arrow_map, checkpointed, stored, table
 
 #: Words below a child that are kept with its edge; words of a node that share a salt; counts held before they are handed on.
 PAGE, SALT, FLUSH = 16, 4096, 200_000
@@ -57,53 +58,48 @@ def counted_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def bit(of: Column) -> Column:
-    """One of 64 bits, as a long."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(of, F.lit(64)).cast("int"))
+    """One of 32 bits, as a long; the letters a to z have bits of their own."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), of.bitwiseAND(F.lit(31)))
 
 
-def has(bits: Column, of: Column) -> Column:
-    return F.call_function("shiftright", bits, F.pmod(of, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+def ahead(left: Column, c1: Column, c2: Column, c3: Column) -> tuple[Column, Column]:
+    """What lies ahead as bits of two longs: how many letters, and the next three (0 past the end); lengths of 31 and more share a bit."""
+    high = lambda a, b: F.call_function("shiftleft", bit(a), F.lit(32)).bitwiseOR(bit(b))
+    return high(F.least(left, F.lit(31)), c1), high(c2, c3)
 
 
 def letter(word: Column, at: Column) -> Column:
-    """The letter at a place from 0; empty past the end."""
-    return F.substring(word, at + 1, F.lit(1))
+    """The code point at a place from 0; 0 past the end."""
+    return F.ascii(F.substring(word, at + 1, F.lit(1)))
 
 
 def rest(word: Column, at: Column) -> Column:
     return F.substring(word, at + 1, F.length(word))
 
 
-def lengths(n: Column) -> Column:
-    """Lengths of 63 and more share a bit."""
-    return F.least(n, F.lit(63))
-
-
 def trie(words: DataFrame, page: int = PAGE) -> DataFrame:
-    """``node, salt, letter, child, depth, salts, itself, bits, next1..next3, below``: the edges down to children with up to ``page`` words below.
+    """``node, salt, letter, child, depth, salts, itself, sees, then, below, tails``: the edges down to children with up to ``page`` words below.
 
-    Levels are built one after another: only words whose prefix more than ``page`` words share go on to the next. A node
+    Edges are sums over the prefixes of all words; those under a node with no more than ``page`` words are left out. A node
     has an edge for each letter at most, so its edges are repeated once for every ``SALT`` words below it: the words at
-    the upper nodes are dealt over that many salts. ``itself`` is the child's prefix where that is a word.
+    the upper nodes are dealt over that many salts. ``itself`` is the child's prefix where that is a word,
+    ``tails`` what the words in ``below`` have after it.
     """
+    words = stored(words.select("word", F.monotonically_increasing_id().alias("number")))
+    word, depth = F.col("word"), F.col("depth")
+    prefix = words.select("*", F.explode(F.sequence(F.lit(1), F.length(word))).alias("depth"))
+    prefix = prefix.withColumns({"child": F.xxhash64(F.substring(word, F.lit(1), depth)), "node": F.xxhash64(F.substring(word, F.lit(1), depth - 1)), "letter": letter(word, depth - 1)})
+    left, edge = F.length(word) - depth, ["node", "letter", "child", "depth"]
+    sees, then = ahead(left, *(letter(word, depth + j) for j in range(3)))
+    edges = stored(prefix.groupBy(edge).agg(F.count("*").alias("n"), F.max(F.when(left == 0, word)).alias("itself"), F.bit_or(sees).alias("sees"), F.bit_or(then).alias("then")))
+    above = edges.groupBy(F.col("child").alias("node")).agg(F.sum("n").alias("of")).filter(F.col("of") > page)
+    top = edges.filter("depth = 1").withColumn("of", F.sum("n").over(Window.partitionBy("depth")))  # an edge for each letter
+    edges = top.unionByName(edges.filter("depth > 1").join(above, "node"))
+    small = prefix.select("number", *edge).join(edges.filter(F.col("n") <= page).select(edge), edge).join(words, "number")
+    small = small.groupBy(edge).agg(F.collect_list(F.struct("word", rest(word, depth).alias("tail"))).alias("below")).select(*edge, F.col("below.word").alias("below"), F.col("below.tail").alias("tails"))
     salts = lambda n: F.ceil(n / SALT).cast("int")
-    n = words.count()
-    live, out, level = words.select("word", root(), F.lit(max(1, -(-n // SALT))).alias("of")), None, 0
-    edge = ["node", "of", "letter", "child"]
-    while True:
-        word = F.col("word")
-        ahead = [F.bit_or(F.when(F.length(word) > level + 1 + j, bit(F.ascii(letter(word, F.lit(level + 1 + j))))).otherwise(F.lit(0).cast("long"))).alias(f"next{j + 1}") for j in range(3)]
-        left = F.length(word) - level - 1
-        rows = live.filter(left >= 0).withColumn("letter", letter(word, F.lit(level))).withColumn("child", F.xxhash64(F.substring(word, 1, level + 1)))
-        edges = rows.groupBy(edge).agg(F.count("*").alias("n"), F.max(F.when(left == 0, word)).alias("itself"), F.bit_or(bit(lengths(left))).alias("bits"), *ahead)
-        small = rows.join(edges.filter(F.col("n") <= page).select(edge), edge).groupBy(edge).agg(F.collect_list("word").alias("below"))
-        edges = checkpointed(edges.join(small, edge, "left").withColumn("depth", F.lit(level + 1)))
-        live = checkpointed(rows.join(edges.filter(F.col("n") > page).select(*edge, "n"), edge).select("word", F.col("child").alias("node"), salts(F.col("n")).alias("of")))
-        edges = edges.withColumn("salts", salts(F.col("n"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("of", "n")
-        out = edges if out is None else out.unionByName(edges)
-        level += 1
-        if live.isEmpty():
-            return out
+    edges = edges.join(small, edge, "left").withColumns({"salts": salts(F.col("n")), "salt": F.explode(F.sequence(F.lit(0), salts(F.col("of")) - 1))})
+    return stored(edges.drop("n", "of"))
 
 
 def root() -> Column:
@@ -115,12 +111,12 @@ def neighbours(words: DataFrame, page: int = PAGE) -> DataFrame:
 
     There are as many rounds as the longest prefix that more than ``page`` words share has letters, and one.
     """
-    edges = checkpointed(trie(words, page))
+    edges = trie(words, page)
     salts = max(1, -(-words.count() // SALT))
     frontier = words.select("word", F.lit(0).alias("at"), root(), F.lit(0).alias("used"), F.lit(salts).alias("salts"))
     ended: DataFrame | None = None
     while True:
-        both = checkpointed(step(frontier, edges))
+        both = stored(step(frontier, edges))
         frontier, found = both.filter(F.col("near").isNull()).drop("near"), both.filter(F.col("near").isNotNull()).select("word", "near")
         ended = found if ended is None else ended.unionByName(found)
         if frontier.isEmpty():
@@ -128,35 +124,40 @@ def neighbours(words: DataFrame, page: int = PAGE) -> DataFrame:
 
 
 def step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """``word, at, node, used, salts, near``: the states one level down, and as rows with ``near`` the neighbours that this level gives."""
+    """``word, at, node, used, salts, goes_on, near``: the states one level down, and as rows with ``near`` the neighbours that this level gives."""
     word, at, size = F.col("word"), F.col("at"), F.length("word")
-    clean, same = F.col("used") == 0, F.col("letter") == letter(word, at)
-
-    def fits(to: Column) -> Column:
-        """With one edit used: the rest of the word may lie below the child."""
-        left = size - to
-        ok = has(F.col("bits"), lengths(left))
-        for j in range(3):
-            ok &= (left <= j) | has(F.col(f"next{j + 1}"), F.ascii(letter(word, to + j)))
-        return ok
-
-    def move(when: Column, to: Column, used: int) -> Column:
-        return F.when(when & (fits(to) if used else F.lit(True)), F.struct(to.alias("to"), F.lit(used).alias("used")))
-
-    skip = (at + 1 < size) & (F.col("letter") == letter(word, at + 1))
-    moves = F.array_compact(F.array(
-        move(clean & same, at + 1, 0), move(~clean & same, at + 1, 1), move(clean & ~same & (at < size), at + 1, 1), move(clean & ~same, at, 1), move(clean & ~same & skip, at + 2, 1),
-    ))
-    states = frontier.withColumn("salt", F.pmod(F.hash("word"), F.col("salts"))).drop("salts")
-    went = states.join(edges, ["node", "salt"]).filter(clean | same)
-    went = went.select("word", "child", "salts", "depth", "itself", "below", F.inline(moves))
+    left, clean = F.col("left"), F.col("used") == 0
+    # What a state needs to see once it has its edit, with none, one or two letters left behind; worked out once for each state.
+    states = frontier.select("*", F.pmod(F.hash("word"), F.col("salts")).alias("salt"), (size - at).alias("left"), *[letter(word, at + i).alias(f"c{i}") for i in range(5)]).drop("salts")
+    needs = {f"{name}{i}": x for i in range(3) for name, x in zip(("sees", "then"), ahead(left - i, *(F.col(f"c{i + j}") for j in range(3))), strict=True)}
+    states = states.withColumns(needs).drop("c2", "c3", "c4")
+    # A state that has its edit asks for one edge only.
+    went = states.filter("used = 0").join(edges, ["node", "salt"]).unionByName(states.filter("used = 1").withColumn("letter", F.col("c0")).join(edges, ["node", "salt", "letter"]))
+    own = F.col("letter")
+    same = own == F.col("c0")
+    fits = [(F.col(f"sees{i}").bitwiseAND(F.col("sees")) == F.col(f"sees{i}")) & (F.col(f"then{i}").bitwiseAND(F.col("then")) == F.col(f"then{i}")) for i in range(3)]
+
+    def move(when: Column, gone: int, used: int) -> Column:
+        return F.when(when & fits[gone] if used else when, F.struct((at + gone).alias("to"), F.lit(used).alias("used")))
+
+    skip = (left > 1) & (own == F.col("c1"))
+    edited = clean & ~same
+    moves = F.array(move(same, 1, 0), move(edited & (left > 0), 1, 1), move(edited, 0, 1), move(edited & skip, 2, 1))
+    # A state that has its edit goes on by its own letter, a clean one as it is or with an edit.
+    moves = F.when(clean, moves).otherwise(F.array(move(same, 1, 1)))
+    possible = F.when(same, clean | fits[1]).otherwise(fits[0] | fits[1] | (skip & fits[2]))
+    columns = ("word", "child", "salts", "depth", "itself", "below", "tails")
+    went = went.filter(possible).select(*columns, F.explode(moves).alias("m")).filter(F.col("m").isNotNull()).select(*columns, F.col("m.to").alias("to"), F.col("m.used").alias("used"))
     to, used = F.col("to"), F.col("used")
-    # In a page the words with the same rest, or, on the word's own way, those that may be one edit apart.
-    paged = F.filter("below", lambda w: (w != word) & F.when(used == 1, rest(w, F.col("depth")) == rest(word, to)).otherwise(F.abs(F.length(w) - size) <= 1))
-    here = F.when(to + 1 - used == size, F.array_compact(F.array("itself")))
-    near = F.when(F.col("below").isNotNull(), paged).otherwise(F.coalesce(here, F.array().cast("array<string>")))
-    on = F.col("below").isNull() & ((used == 0) | (to < size))
-    told = F.concat(near, F.when(on, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    # In a page the word with the same rest, or, on the word's own way, those that may be one edit apart.
+    place = F.array_position("tails", rest(word, to))
+    own_page = F.filter("below", lambda w: (w != word) & (F.abs(F.length(w) - size) <= 1))
+    here, on = (to + 1 - used == size) & F.col("itself").isNotNull(), (used == 0) | (to < size)
+    state = F.lit(None).cast("string")
+    told = (
+        F.when(F.col("below").isNotNull() & (used == 1), F.when(place > 0, F.array(F.element_at("below", place.cast("int")))))
+        .when(F.col("below").isNotNull(), own_page).when(here & on, F.array(F.col("itself"), state)).when(here, F.array("itself")).when(on, F.array(state))
+    )
     return went.select("word", to.alias("at"), F.col("child").alias("node"), "used", "salts", F.explode(told).alias("near"))
 
 
@@ -176,7 +177,7 @@ def with_forms(words: DataFrame, times: int = 5) -> DataFrame:
     ways = out.filter(F.col("form").isNotNull()).select("word", F.col("form").alias("root"))
     while True:
         on = ways.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = checkpointed(ways.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        moved = stored(ways.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         ways = moved.drop("moved")
         if not moved.filter("moved").limit(1).count():
             break
