@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 UNPUBLISHED = ("drafts.", "versions.")
 #: Languages and reserved words that no slug may take.
 RESERVED_SLUGS = ("admin", "api", "index", "sitemap")
-EMAIL = r"^[^@ ]+@[^@ ]+\.[^@ ]+$"
+EMAIL = r"(?U)^[^@\s\ufeff]+@[^@\s\ufeff]+\.[^@\s\ufeff]+\z"
 IDEMPOTENCY_KEY = r"^[A-Za-z0-9._:-]{8,200}$"
 SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"

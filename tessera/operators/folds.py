@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
@@ -17,16 +18,18 @@ def sorted_fold(rows: DataFrame, key: str, order: list[str], step: Callable[[Any
     holds one key's state and one batch of rows, however many rows a key has. Null keys are one key.
     """
     columns, at = rows.columns, rows.columns.index(key)
+    target = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         started, last, state = False, None, None
         for b in batches:
             told = []
-            for row in b.astype(object).where(b.notna(), None).itertuples(index=False, name=None):
+            # Python's own whole numbers and nulls: pandas would turn a long beside a null into a double.
+            for row in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
                 if not started or row[at] != last:
                     started, last, state = True, row[at], None
                 state, outcome = step(state, row)
                 told.append(outcome)
-            yield pd.DataFrame(told, columns=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in told], type=f.type) for i, f in enumerate(target)], schema=target)
 
-    return rows.select(columns).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return rows.select(columns).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -72,7 +72,7 @@ def judged(leads: DataFrame, permissions: DataFrame, form_fields: DataFrame, cam
         ("invalid-fields", F.col("fields").isNull()),
         ("unsupported-field", F.exists(F.map_keys("fields"), lambda k: ~F.array_contains("allowed", k))),
         ("consent-required", (F.col("form_type") != "newsletter") & (F.coalesce(f("consent"), F.lit("")) != "true")),
-        ("invalid-email", ~F.coalesce(F.lower(email).rlike(EMAIL) & (F.length(email) <= EMAIL_CHARS), F.lit(False))),
+        ("invalid-email", ~F.coalesce(F.lower(email).rlike(EMAIL) & (F.length(email) <= EMAIL_CHARS) & ~f("email").rlike("[\r\n]"), F.lit(False))),
         ("invalid-name", (F.col("form_type") == "contact") & (F.coalesce(f("name"), F.lit("")) == "")),
         ("invalid-field", F.exists(F.map_entries("fields"), wrong)),
         ("invalid-phone", (F.coalesce(f("phone"), F.lit("")) != "") & ~plausible_phone(trimmed(f("phone")))),
@@ -86,55 +86,70 @@ def judged(leads: DataFrame, permissions: DataFrame, form_fields: DataFrame, cam
                        F.when(accepted, F.coalesce("qualified", F.lit(False))).alias("qualified"))
 
 
+def normalised(fields: Column) -> Column:
+    """All fields as they are stored: trimmed, empty ones left out, the mail address in lower case, sorted by name."""
+    pairs = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), F.when(e["key"] == "email", F.lower(trimmed(e["value"]))).otherwise(trimmed(e["value"])).alias("value")))
+    return F.map_from_entries(F.array_sort(F.filter(pairs, lambda e: F.coalesce(e["value"], F.lit("")) != "")))
+
+
+def payload_hash(form_type: Column, route: Column, fields: Column) -> Column:
+    """SHA-256 of form, route and all normalised fields as JSON, so that no field can change under one key unseen."""
+    payload = F.to_json(F.struct(form_type.alias("formType"), route.alias("route"), normalised(fields).alias("fields")))
+    return F.sha2(payload.cast("binary"), 256)
+
+
 def lead_rows(accepted: DataFrame) -> DataFrame:
     """Accepted leads as flat rows: names and contact, the reference of a property's route, and the payload's digest."""
     f = lambda name: F.nullif(trimmed(F.col("fields")[name]), F.lit(""))
-    fields = F.struct(F.lower(f("email")).alias("email"), *[f(c).alias(c) for c in ("name", "phone", "message")])
-    payload = F.to_json(F.struct(F.col("form_type").alias("formType"), "route", fields.alias("fields")))
     first = F.coalesce(f("firstName"), F.nullif(F.substring_index(f("name"), " ", 1), F.lit("")), F.lit("Cliente"))
     reference = F.when(F.startswith("route", F.lit("/imoveis/")), F.substr("route", F.lit(len("/imoveis/") + 1)))
     return accepted.select("lead_id", "form_type", "route", reference.alias("property_reference"), F.lower(f("email")).alias("email"), f("phone").alias("phone"),
-                           first.alias("first_name"), F.sha2(payload.cast("binary"), 256).alias("payload_hash"), "mode", "campaign")
+                           first.alias("first_name"), payload_hash(F.col("form_type"), F.col("route"), F.col("fields")).alias("payload_hash"), "mode", "campaign")
 
 
-#: A key's state: payload, status, seconds of its reservation and last change, token of its claim.
-State = tuple[str, str, int, int, int | None]
+#: A key's state: payload, status, seconds of its reservation and last change, token of its claim, and how it is announced.
+State = tuple[str, str, int, int, int | None, str | None]
 
 
-def step(state: State | None, event_id: int, at: int, kind: str, payload: str, token: int | None, receipt: str | None) -> tuple[State | None, str]:
+def step(state: State | None, event_id: int, at: int, kind: str, payload: str, token: int | None, receipt: str | None, mode: str | None = None) -> tuple[State | None, str]:
     """The next state and what the event's sender is told. A claim's token is the id of the event that made it.
 
     ``reserve`` stores a key without a claim, ``claim`` stores it if it is new and asks for its delivery; ``accept`` and
-    ``fail`` close a claim, and are ``late`` unless they carry its token; a receipt has 1 to 200 characters.
+    ``fail`` close a claim, and are ``late`` unless they carry its token; a receipt has 1 to 200 characters. The ``mode`` of
+    announcement is that of the event that stored the key, whatever later ones say.
     """
     if kind in ("accept", "fail"):
         good = kind == "fail" or receipt is not None and 0 < len(receipt) <= 200
         if state is None or state[1] != "sending" or state[4] != token or not good:
             return state, "late"
         status = "accepted" if kind == "accept" else "failed"
-        return (state[0], status, state[2], at, state[4]), status
+        return (state[0], status, state[2], at, *state[4:]), status
     if state is None:
-        state = (payload, "pending", at, at, None)
+        state = (payload, "pending", at, at, None, mode)
     if state[0] != payload:
         return state, "conflict"
     if kind == "reserve" or state[1] == "accepted":
         return state, "accepted" if state[1] == "accepted" else "reserved"
     young = state[2] >= at - RETRIES
     if young and (state[1] == "pending" or state[3] <= at - LEASE):
-        return (payload, "sending", state[2], at, event_id), "claimed"
+        return (payload, "sending", state[2], at, event_id, state[5]), "claimed"
     return state, "manual" if state[1] == "pending" else "sending"
 
 
-def lease_outcomes(events: DataFrame) -> DataFrame:
-    """``event_id, outcome`` of ``events(key, event_id, at, kind, payload, token, receipt)``, each key's by (at, event_id).
+#: What an event of a delivery carries, in the order that ``step`` takes it, and what its sender is told.
+EVENT = ("event_id", "at", "kind", "payload", "token", "receipt", "mode")
+TOLD = StructType([StructField("event_id", LongType()), StructField("outcome", StringType()), StructField("mode", StringType())])
 
-    Null keys are one key; an empty table gives no rows.
-    """
 
-    def told(state: State | None, row: tuple) -> tuple[State | None, tuple]:
-        state, outcome = step(state, *row[1:])
-        return state, (row[1], outcome)
+def told(state: State | None, event: tuple) -> tuple[State | None, tuple]:
+    """``step`` on an event's values; a claim that is granted is told the mode that was stored with its key."""
+    state, outcome = step(state, *event)
+    return state, (event[0], outcome, state[5] if outcome == "claimed" else None)
+
 
-    rows = events.select("key", "event_id", "at", "kind", "payload", "token", "receipt")
-    schema = StructType([StructField("event_id", LongType()), StructField("outcome", StringType())])
-    return sorted_fold(rows, "key", ["at", "event_id"], told, schema)
+def lease_outcomes(events: DataFrame) -> DataFrame:
+    """``event_id, outcome, mode`` of ``events(key, event_id, at, kind, payload, token, receipt, mode)``, each key's by (at, event_id).
+
+    ``mode`` is told with granted claims only. Null keys are one key; an empty table gives no rows.
+    """
+    return sorted_fold(events.select("key", *EVENT), "key", ["at", "event_id"], lambda state, row: told(state, row[1:]), TOLD)

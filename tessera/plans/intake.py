@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.leads import ANSWERS, QUESTIONS, judged, lease_outcomes, lead_rows
-from tessera.sources.io import read_table
+from tessera.sources.io import read_table, shared_folder
 from tessera.streaming.leads import stream_lead_split
+from tessera.streaming.stateful import committed, in_slices, leases, run_once, source
 
 from .registry import query
 
@@ -84,8 +85,8 @@ def lead_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
   || CASE WHEN n % 8 = 3 THEN upper('{QUESTIONS[1]}') ELSE '{QUESTIONS[1]}' END || ': ' || a2 AS message FROM j WHERE error IS NULL)
 SELECT n AS lead_id, form AS form_type, route, CASE WHEN route LIKE '/imoveis/%' THEN substr(route, 10) END AS property_reference, email, CASE WHEN form <> 'newsletter' THEN phone END AS phone,
 CASE WHEN form = 'newsletter' OR name = '' THEN 'Cliente' ELSE 'Ana' END AS first_name, mode, {_TITLE.replace("error IS NULL AND ", "")} AS campaign,
-sha256('{{"formType":"' || form || '","route":"' || route || '","fields":{{"email":"' || email || '"' || CASE WHEN form = 'newsletter' THEN '' ELSE
-  CASE WHEN name = '' THEN '' ELSE ',"name":"' || name || '"' END || ',"phone":"' || phone || '","message":"' || replace(message, chr(10), '\\n') || '"' END || '}}}}') AS payload_hash FROM m""")
+sha256('{{"formType":"' || form || '","route":"' || route || '","fields":{{' || CASE WHEN form = 'newsletter' THEN '"email":"' || email || '"' ELSE
+  '"consent":"true","email":"' || email || '","message":"' || replace(message, chr(10), '\\n') || '"' || CASE WHEN name = '' THEN '' ELSE ',"name":"' || name || '"' END || ',"phone":"' || phone || '"' END || '}}}}') AS payload_hash FROM m""")
 def accepted_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The submissions that hold, as rows of the lead table."""
     return lead_rows(judge(leads_of(read_table(spark, sf_dir, "documents"))).filter("error is null"))
@@ -104,6 +105,10 @@ def leads_by_form_and_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("form_type", "day").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("accepted"))
 
 
+#: How a campaign's leads may be announced.
+MODES = ("individual", "daily", "immediate-and-daily")
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user and day as those of a key; who accepts or fails carries the token of the last attempt before."""
     e = read_table(spark, sf_dir, "events")
@@ -111,25 +116,45 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.create_map(*[F.lit(x) for x in ("click", "claim", "signup", "claim", "view", "reserve", "purchase", "accept", "error", "fail")]), F.col("event_type"))
     w = Window.partitionBy("key").orderBy("at", "event_id")
     rows = e.select(F.concat_ws(":", "user_id", F.date_format("ts", "yyyyMMdd")).alias("key"), "event_id", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("at"),
-                    F.coalesce(kind, F.lit("claim")).alias("kind"), F.when(k % 10 == 0, "b").otherwise("a").alias("payload"), F.when(k % 5 != 1, F.concat(F.lit("r"), k)).alias("receipt"))
+                    F.coalesce(kind, F.lit("claim")).alias("kind"), F.when(k % 10 == 0, "b").otherwise("a").alias("payload"), F.when(k % 5 != 1, F.concat(F.lit("r"), k)).alias("receipt"),
+                    F.element_at(F.array(*map(F.lit, MODES)), F.pmod(k, F.lit(3)) + 1).alias("mode"))
     return rows.withColumn("token", F.when(F.col("kind").isin("accept", "fail"), F.last(F.when(F.col("kind") == "claim", F.col("event_id")), ignorenulls=True).over(w)))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id || ':' || strftime(ts, '%Y%m%d') AS key, event_id, epoch_ms(ts) // 1000 AS sec, (regexp_extract(props, '"k": ([0-9]+)', 1))::INT AS k,
+_MACHINE = """WITH RECURSIVE e AS (SELECT user_id || ':' || strftime(ts, '%Y%m%d') AS key, event_id, epoch_ms(ts) // 1000 AS sec, (regexp_extract(props, '"k": ([0-9]+)', 1))::INT AS k,
   CASE event_type WHEN 'view' THEN 'reserve' WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'fail' ELSE 'claim' END AS kind FROM events),
 o AS (SELECT *, row_number() OVER w AS i, last_value(CASE WHEN kind = 'claim' THEN event_id END IGNORE NULLS) OVER w AS token, CASE WHEN k % 10 = 0 THEN 'b' ELSE 'a' END AS payload,
   kind IN ('claim', 'reserve') AS opens FROM e WINDOW w AS (PARTITION BY key ORDER BY sec, event_id)),
-f AS (SELECT key, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS p, 'none' AS status, 0::BIGINT AS born, 0::BIGINT AS changed, NULL::BIGINT AS holder, NULL::VARCHAR AS outcome FROM (SELECT DISTINCT key FROM o)
+f AS (SELECT key, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS p, 'none' AS status, 0::BIGINT AS born, 0::BIGINT AS changed, NULL::BIGINT AS holder, NULL::VARCHAR AS mode, NULL::VARCHAR AS outcome FROM (SELECT DISTINCT key FROM o)
 UNION ALL SELECT key, i, event_id, p, CASE outcome WHEN 'claimed' THEN 'sending' WHEN 'accepted' THEN 'accepted' WHEN 'failed' THEN 'failed' ELSE status END, born,
-  CASE WHEN outcome IN ('claimed', 'failed') OR (outcome = 'accepted' AND kind = 'accept') THEN sec ELSE changed END, CASE WHEN outcome = 'claimed' THEN event_id ELSE holder END, outcome
+  CASE WHEN outcome IN ('claimed', 'failed') OR (outcome = 'accepted' AND kind = 'accept') THEN sec ELSE changed END, CASE WHEN outcome = 'claimed' THEN event_id ELSE holder END, mode, outcome
 FROM (SELECT *, CASE
     WHEN NOT opens THEN CASE WHEN status <> 'sending' OR holder IS DISTINCT FROM token OR (kind = 'accept' AND k % 5 = 1) THEN 'late' WHEN kind = 'accept' THEN 'accepted' ELSE 'failed' END
     WHEN p <> payload THEN 'conflict' WHEN status = 'accepted' THEN 'accepted' WHEN kind = 'reserve' THEN 'reserved'
     WHEN born >= sec - 82800 AND (status = 'pending' OR changed <= sec - 60) THEN 'claimed' WHEN status = 'pending' THEN 'manual' ELSE 'sending' END AS outcome
-  FROM (SELECT o.key, o.i, o.event_id, o.sec, o.k, o.kind, o.token, o.payload, o.opens, f.holder, CASE WHEN f.status = 'none' AND o.opens THEN o.payload ELSE f.p END AS p,
+  FROM (SELECT o.key, o.i, o.event_id, o.sec, o.k, o.kind, o.token, o.payload, o.opens, f.holder, CASE WHEN f.status = 'none' AND o.opens THEN ['individual', 'daily', 'immediate-and-daily'][o.k % 3 + 1] ELSE f.mode END AS mode, CASE WHEN f.status = 'none' AND o.opens THEN o.payload ELSE f.p END AS p,
       CASE WHEN f.status = 'none' AND o.opens THEN 'pending' ELSE f.status END AS status, CASE WHEN f.status = 'none' AND o.opens THEN o.sec ELSE f.born END AS born,
-      CASE WHEN f.status = 'none' AND o.opens THEN o.sec ELSE f.changed END AS changed FROM o JOIN f ON o.key = f.key AND o.i = f.i + 1)))
-SELECT event_id, outcome FROM f WHERE i > 0""")
+      CASE WHEN f.status = 'none' AND o.opens THEN o.sec ELSE f.changed END AS changed FROM o JOIN f ON o.key = f.key AND o.i = f.i + 1)))"""
+_TOLD = f"{_MACHINE} SELECT event_id, outcome, CASE WHEN outcome = 'claimed' THEN mode END AS mode FROM f WHERE i > 0"
+
+
+@query(f"{_MACHINE} SELECT event_id, outcome FROM f WHERE i > 0")
 def delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every attempt, acceptance and failure is told by a lease guarded by tokens."""
+    return lease_outcomes(deliveries(spark, sf_dir)).select("event_id", "outcome")
+
+
+@query(_TOLD)
+def delivery_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with how a granted claim is announced: as the key's first event had it, whatever later ones say."""
     return lease_outcomes(deliveries(spark, sf_dir))
+
+
+@query(_TOLD)
+def stream_lease(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream in four micro-batches, whose state is what was reserved, the claim, and timers."""
+    folder, rows = shared_folder(spark), deliveries(spark, sf_dir)
+    path = in_slices(rows, "at", 4, folder)
+    out = leases(source(spark, path, rows.schema))
+    run_once(out, folder)
+    return committed(spark, folder, out.schema)

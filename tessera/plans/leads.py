@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import EMAIL, lisbon_day, plausible_phone, reasons, window_state
-from tessera.sources.io import read_table
-from tessera.streaming.leads import stream_daily, stream_first_by_key, stream_lease_states
+from tessera.sources.io import read_table, shared_folder
+from tessera.streaming.leads import stream_daily, stream_first_by_key
+from tessera.streaming.stateful import committed, in_slices, intake, run_once, source
 
 from .registry import query
 
@@ -22,8 +23,11 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUB = "s AS (SELECT *, user_id || ':' || strftime(ts, '%Y%m%d%H') AS key, sha256(event_type || '|' || props) AS payload FROM events)"
 
 
-@query(f"""WITH {_SUB}, f AS (SELECT key, min_by(payload, event_id) AS p, min(event_id) AS first_id FROM s GROUP BY key)
-SELECT event_id, s.key, CASE WHEN event_id = first_id THEN 'first' WHEN payload = p THEN 'replay' ELSE 'conflict' END AS outcome FROM s JOIN f ON s.key = f.key""")
+_INTAKE = f"""WITH {_SUB}, f AS (SELECT key, min_by(payload, event_id) AS p, min(event_id) AS first_id FROM s GROUP BY key)
+SELECT event_id, s.key, CASE WHEN event_id = first_id THEN 'first' WHEN payload = p THEN 'replay' ELSE 'conflict' END AS outcome FROM s JOIN f ON s.key = f.key"""
+
+
+@query(_INTAKE)
 def lead_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First row of a key is kept, the same payload again is a replay, another one a conflict."""
     s = submissions(spark, sf_dir)
@@ -118,7 +122,11 @@ def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_daily(spark, f"{sf_dir}/events.parquet")
 
 
-@query(_LEASES)
-def stream_lease(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lease states from a stream of the events."""
-    return stream_lease_states(spark, f"{sf_dir}/events.parquet")
+@query(_INTAKE)
+def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of ``lead_intake`` from a stream in four micro-batches, with a sink that commits each once."""
+    folder, rows = shared_folder(spark), submissions(spark, sf_dir).select("event_id", "key", "payload")
+    path = in_slices(rows, "event_id", 4, folder)
+    out = intake(source(spark, path, rows.schema))
+    run_once(out, folder)
+    return committed(spark, folder, out.schema)

@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from tessera.operators.leads import QUESTIONS, judged, lease_outcomes
+from tessera.operators.leads import QUESTIONS, judged, lead_rows, lease_outcomes
 
 DAY = datetime.date(2024, 1, 5)
 YES = f"{QUESTIONS[0]}: Não\n{QUESTIONS[1]}: Sim, a vender"
@@ -28,6 +28,10 @@ CASES = [
     (("contact", "/c", DAY, GOOD | {"utm": "1"}), ("unsupported-field", None)),
     (("contact", "/c", DAY, GOOD | {"consent": "yes"}), ("consent-required", None)),
     (("contact", "/c", DAY, GOOD | {"email": "a b@c.pt"}), ("invalid-email", None)),
+    (("contact", "/c", DAY, GOOD | {"email": "a\tb@c.pt"}), ("invalid-email", None)),
+    (("contact", "/c", DAY, GOOD | {"email": "a\nb@c.pt"}), ("invalid-email", None)),
+    (("contact", "/c", DAY, GOOD | {"email": "a@c.pt\n"}), ("invalid-email", None)),
+    (("contact", "/c", DAY, GOOD | {"email": "a\u00a0b@c.pt"}), ("invalid-email", None)),
     (("contact", "/c", DAY, GOOD | {"email": "a@" + "b" * 320 + ".pt"}), ("invalid-email", None)),
     (("contact", "/c", DAY, GOOD | {"name": ""}), ("invalid-name", None)),
     (("contact", "/c", DAY, GOOD | {"lastName": "a\nb"}), ("invalid-field", None)),
@@ -81,7 +85,21 @@ def test_deliveries(spark, copies):
             first = len(rows)
             for at, kind, payload, token, receipt, outcome in events:
                 want[len(rows)] = outcome
-                rows.append((None if key is None else f"{key} {c}", len(rows), at, kind, payload, None if token is None else first + token, receipt))
-    schema = "key string, event_id long, at long, kind string, payload string, token long, receipt string"
+                rows.append((None if key is None else f"{key} {c}", len(rows), at, kind, payload, None if token is None else first + token, receipt, None))
+    schema = "key string, event_id long, at long, kind string, payload string, token long, receipt string, mode string"
     assert {r.event_id: r.outcome for r in lease_outcomes(spark.createDataFrame(rows, schema)).collect()} == want
     assert lease_outcomes(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_ids_past_doubles(spark):
+    big = 2**53
+    rows = [("a", big + 1, 0, "claim", "p", None, None, None), ("a", big + 2, 1, "accept", "p", big + 1, "r", None)]
+    got = lease_outcomes(spark.createDataFrame(rows, "key string, event_id long, at long, kind string, payload string, token long, receipt string, mode string"))
+    assert {r.event_id: r.outcome for r in got.collect()} == {big + 1: "claimed", big + 2: "accepted"}
+
+
+def test_payload_hash_covers_all_fields(spark):
+    fields = [GOOD | {"propertyType": "casa"}, GOOD | {"propertyType": "terreno"}, GOOD | {"propertyType": " casa ", "location": ""}, dict(reversed((GOOD | {"propertyType": "casa"}).items()))]
+    rows = spark.createDataFrame([(i, "valuation", "/v", x, None, None) for i, x in enumerate(fields)], "lead_id long, form_type string, route string, fields map<string,string>, mode string, campaign string")
+    h = {r.lead_id: r.payload_hash for r in lead_rows(rows).collect()}
+    assert h[0] == h[2] == h[3] != h[1]
