@@ -31,6 +31,8 @@ from .common import FINE, arrow_map, checkpointed, table
 FITTED, RECALL, TABLES, BUCKETS = 128, 0.95, (1, 2, 4, 8), 65_536
 #: Bytes of vectors that meet in a task, queries that do, and scores held at a time.
 HELD, ASKED, SCORES = 8 << 20, 4096, 4 << 20
+#: What rounding may change in an inner product, as a share of both lengths.
+SLACK = 1e-12
 #: Components past this can't be squared in doubles.
 HUGE = 1e150
 
@@ -141,27 +143,40 @@ def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return reduce(lambda s, j: s + a[:, j] * b[:, j], range(a.shape[1]), np.zeros(len(a)))
 
 
-def best_of(q: np.ndarray, x: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of queries and of rows that may be among a query's k best of ``rows``; widened against rounding."""
-    if len(rows) <= k:
-        return np.repeat(np.arange(len(q)), len(rows)), np.tile(rows, len(q))
+def best_of(q: np.ndarray, x: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of queries and of rows that may be among a query's k best of ``rows``, and their rounded scores; widened against rounding."""
     found = []
     few = max(1, SCORES // len(rows))
     size = norms(x[rows]).max()
     for at in range(0, len(q), few):
         part = q[at : at + few]
         s = part @ x[rows].T
-        least = np.partition(s, len(rows) - k, axis=1)[:, len(rows) - k] - 1e-12 * norms(part) * size
+        least = np.full(len(part), -np.inf) if len(rows) <= k else np.partition(s, len(rows) - k, axis=1)[:, len(rows) - k] - SLACK * norms(part) * size
         i, j = np.nonzero(s >= least[:, None])
-        found.append((i + at, rows[j]))
+        found.append((i + at, rows[j], s[i, j]))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def still_best(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of several tables and blocks, each once, that may be among a query's k best of them all."""
+    order = np.lexsort((j, i))
+    i, j, s = i[order], j[order], s[order]
+    new = np.ones(len(i), dtype=bool)
+    new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    i, j, s = i[new], j[new], s[new]
+    order = np.lexsort((-s, i))
+    i, j, s = i[order], j[order], s[order]
+    first = np.searchsorted(i, i)
+    last = np.minimum(first + k, np.searchsorted(i, i, side="right")) - 1
+    keep = s >= s[last] - SLACK * norms(q)[i] * norms(x).max()
+    return i[keep], j[keep]
+
+
 def ranked(q: np.ndarray, q_ids: list[int], x: np.ndarray, ids: list[list[int]], i: np.ndarray, j: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """``(query id, id, score)`` of the k best of each query among the pairs (i, j), exact, without the query's own rows."""
     if not len(i):
         return []
-    pairs = np.unique(np.stack((i, j)), axis=1)
+    pairs = np.stack((i, j))
     best: dict[int, list[tuple[float, int]]] = {}
     for at in range(0, pairs.shape[1], SCORES // 64):
         a, b = pairs[:, at : at + SCORES // 64]
@@ -214,7 +229,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 part = b.slice(at, 4096)
                 vecs, ids = part.column("vec").to_pylist(), part.column("ids").to_pylist()
                 x = matrix(vecs, width, kind)
-                i, j = best_of(fit, x, np.arange(len(x)), k + 1)
+                i, j, _ = best_of(fit, x, np.arange(len(x)), k + 1)
                 keep = [(a, c) for a, c in zip(i.tolist(), j.tolist(), strict=True) if ids[c] != [fit_ids[a]]]
                 yield {"q": [a for a, _ in keep], "vec": [vecs[c] for _, c in keep], "score": fold(fit[[a for a, _ in keep]], x[[c for _, c in keep]])}
 
@@ -234,8 +249,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         for tables in TABLES:
             lie = ranks[:tables].min(axis=0)
             probes = int(np.quantile(lie, RECALL)) + 1 if len(lie) else 1
-            # Rows compared, and what a message and an index row cost beside them.
-            choices.append((tables * probes * (n / buckets + 64 * len(bands)) + tables * n / 50, tables, probes, layout))
+            # Rows compared, and what a probe and an index row cost beside them.
+            choices.append((n_asked * tables * probes * (n / buckets + 64 * len(bands)) + 1000 * tables * n, tables, probes, layout))
     _, tables, probes, layout = min(choices)
     buckets = int(np.prod([2 * y for y in layout]))
 
@@ -275,10 +290,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 for u, who in wants.items():
                     who = np.array([a for a in who if at <= a < at + ASKED], dtype=int)
                     if u in rows and len(who):
-                        i, j = best_of(q[who], x, np.unique(rows[u]), k + 1)
-                        pairs.append((who[i], j))
+                        i, j, s = best_of(q[who], x, np.unique(rows[u]), k + 1)
+                        pairs.append((who[i], j, s))
                 if pairs:
-                    found += ranked(q, q_ids, x, ids, *(np.concatenate(c) for c in zip(*pairs, strict=True)), k)
+                    found += ranked(q, q_ids, x, ids, *still_best(q, x, *(np.concatenate(c) for c in zip(*pairs, strict=True)), k + 1), k)
         return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "found": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
 
     def search(who: DataFrame, tables: int, probes: int) -> DataFrame:
