@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 from tessera.sources.io import materialised
 
 
-def with_ordinals(rows: DataFrame, group: str, order: list[Column], name: str = "ordinal") -> DataFrame:
-    """``rows`` with the position (from 1) of each row in its group.
+def with_sums(rows: DataFrame, group: str, order: list[Column], **sums: Column) -> DataFrame:
+    """``rows`` with running sums of long columns along each group, the row itself included; a null counts as nothing.
 
-    Rows are range-partitioned by group and order, numbered within each partition, and shifted by the number of
-    the group's rows in earlier partitions; of those counts there is one for each group and partition.
+    Rows are range-partitioned by group and order, summed within each partition, and shifted by the sums of
+    the group's rows in earlier partitions; of those there is one for each group and partition.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names, columns = list(sums), [F.coalesce(c, F.lit(0)).cast("long").alias(f"_v_{name}") for name, c in sums.items()]
     # Both branches below must see one and the same dealing: its borders are sampled anew each time it is planned.
-    dealt = materialised(rows.repartitionByRange(n, F.col(group), *order).withColumn("_part", F.spark_partition_id()))
-    counts = dealt.groupBy("_part", group).agg(F.count("*").alias("_n"))
+    dealt = materialised(rows.select("*", *columns).repartitionByRange(n, F.col(group), *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part", group).agg(*[F.sum(f"_v_{name}").alias(f"_n_{name}") for name in names])
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_part").alias("_p"), F.col(group).alias("_g"), "_shift")
-    inside = Window.partitionBy("_part", group).orderBy(*order)
-    numbered = dealt.withColumn("_i", F.row_number().over(inside))
-    joined = numbered.join(shift, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
-    return joined.select(*rows.columns, (F.col("_i") + F.col("_shift")).alias(name))
+    shifts = [F.coalesce(F.sum(f"_n_{name}").over(before), F.lit(0)).alias(f"_s_{name}") for name in names]
+    shift = counts.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), *shifts)
+    inside = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.select("*", *[F.sum(f"_v_{name}").over(inside).alias(f"_i_{name}") for name in names])
+    joined = summed.join(shift, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return joined.select(*rows.columns, *[(F.col(f"_i_{name}") + F.col(f"_s_{name}")).alias(name) for name in names])
+
+
+def with_ordinals(rows: DataFrame, group: str, order: list[Column], name: str = "ordinal") -> DataFrame:
+    """``rows`` with the position (from 1) of each row in its group."""
+    return with_sums(rows, group, order, **{name: F.lit(1)})
 
 
 def pages(rows: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:

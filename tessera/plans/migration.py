@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.ordinals import with_ordinals
-from tessera.operators.packing import batches, oversize, pack
+from tessera.operators.packing import batches, oversize, pack, pack_whole
 from tessera.operators.reconcile import content_digest, differences, eligibility, gate, merge_history, only_in_inventory
 from tessera.sources.io import read_table
 
@@ -164,6 +164,20 @@ def request_packing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversize(packed_documents(spark, sf_dir), "doc_id", "shard", "bytes", LIMIT, ENVELOPE)
 
 
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, source, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM d WHERE {ENVELOPE} + bytes <= {LIMIT}),
+p AS (SELECT doc_id, source, bytes, i, 1::BIGINT AS batch, {ENVELOPE} + bytes AS held FROM o WHERE i = 1
+  UNION ALL SELECT o.doc_id, o.source, o.bytes, o.i, CASE WHEN held + 1 + o.bytes > {LIMIT} THEN batch + 1 ELSE batch END, CASE WHEN held + 1 + o.bytes > {LIMIT} THEN {ENVELOPE} + o.bytes ELSE held + 1 + o.bytes END
+  FROM p JOIN o ON o.source IS NOT DISTINCT FROM p.source AND o.i = p.i + 1)
+SELECT source, batch, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, (sum(bytes) + {ENVELOPE} + count(*) - 1)::BIGINT AS request_bytes FROM p GROUP BY 1, 2""")
+def source_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of each whole source in order of its documents, as one packer after another row would fill them."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("bytes"))
+    rows = pack_whole(d, "source", "doc_id", "bytes", LIMIT, ENVELOPE).filter("batch > 0")
+    total = (F.sum("bytes") + ENVELOPE + F.count("*") - 1).alias("request_bytes")
+    return rows.groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), total)
+
+
 @query("""SELECT s_nationkey, (rn - 1) // 20 AS chunk, count(*) AS n, min(s_suppkey) AS first_key, max(s_suppkey) AS last_key FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier) GROUP BY 1, 2""")
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_ordinals(read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", [F.col("s_suppkey")])
