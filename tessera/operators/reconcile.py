@@ -71,3 +71,24 @@ def gate(entries: DataFrame, passed: str, precedence: str, reason: str) -> DataF
     """One row: whether every entry passed, and the first failing reason."""
     failing = F.when(~F.col(passed), F.col(precedence))
     return entries.agg(F.coalesce(F.bool_and(passed), F.lit(False)).alias("passed"), F.count_if(~F.col(passed)).alias("n_failed"), F.min_by(F.when(~F.col(passed), F.col(reason)), failing).alias("reason"))
+
+
+def three_way(target: DataFrame, expected: DataFrame, approved: DataFrame) -> DataFrame:
+    """``key, verdict`` of every key of three relations ``(key, digest)``: what a target holds, what the source expects, what was approved.
+
+    One grouped pass over all rows, each tagged by its relation, in place of two full joins. A key that a relation has twice is that
+    relation's duplicate (target first); then come ``unexpected`` (not in the source), ``not-approved``, ``missing`` (approved, not in the
+    target), ``approved-differs`` (approved is not what the source expects), ``target-differs`` (the target is not what was approved)
+    and ``equal``. Null keys are one key; a null digest equals a null one only.
+    """
+    sides = {"target": target, "expected": expected, "approved": approved}
+    rows = [df.select("key", "digest", F.lit(side).alias("side")) for side, df in sides.items()]
+    both = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    at = lambda side: F.col("side") == side
+    keys = both.groupBy("key").agg(*[F.count_if(at(s)).alias(f"n_{s}") for s in sides], *[F.max(F.when(at(s), F.col("digest"))).alias(f"d_{s}") for s in sides])
+    verdict = F.when(F.lit(False), "")
+    for s in sides:
+        verdict = verdict.when(F.col(f"n_{s}") > 1, f"duplicate-{s}")
+    verdict = verdict.when(F.col("n_expected") == 0, "unexpected").when(F.col("n_approved") == 0, "not-approved").when(F.col("n_target") == 0, "missing")
+    verdict = verdict.when(~F.col("d_approved").eqNullSafe(F.col("d_expected")), "approved-differs").when(~F.col("d_target").eqNullSafe(F.col("d_approved")), "target-differs")
+    return keys.select("key", verdict.otherwise("equal").alias("verdict"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import clean_text, url_host, url_path, xml_escape
+from tessera.functions.expr import url_host, url_path, xml_escape
 from tessera.operators.ordinals import runs
+from tessera.operators.pagecontract import contracts, link_differences, links
 from tessera.sources.io import read_table
 
 from .registry import query
@@ -41,12 +42,15 @@ def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.withColumn("xml", F.concat(F.lit("<url><loc>"), xml_escape(F.col("loc")), F.lit("</loc></url>")))
 
 
+def page_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The promises of the raw pages."""
+    return contracts(read_table(spark, sf_dir, "pages"))
+
+
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``page_id, pos, href, label`` of every link in the raw HTML; scripts and in-page anchors are left out."""
-    p = read_table(spark, sf_dir, "pages").select("page_id", "html")
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), 1).alias("href"), F.regexp_extract_all("html", F.lit(ANCHOR), 2).alias("label"))
-    rows = p.select("page_id", F.posexplode(pairs).alias("pos", "a")).select("page_id", "pos", F.col("a.href").alias("href"), clean_text(F.col("a.label")).alias("label"))
-    return rows.filter(~F.startswith("href", F.lit("#")) & ~F.startswith("href", F.lit("javascript:")))
+    """``page_id, pos, href, label`` of every visible link; scripts and in-page anchors are left out."""
+    rows = page_contract(spark, sf_dir).filter((F.col("kind") == "link") & F.col("visible") & ~F.startswith("value", F.lit("#")) & ~F.startswith("value", F.lit("javascript:")))
+    return rows.select("page_id", "pos", F.col("value").alias("href"), "label")
 
 
 _ANCHORS = rf"""a AS (SELECT page_id, unnest(range(len(h))) AS pos, unnest(h) AS href, unnest(l) AS label FROM
@@ -56,18 +60,16 @@ links AS (SELECT page_id, href, min_by(label, pos) AS label FROM a WHERE NOT sta
 
 @query(rf"WITH {_ANCHORS} SELECT page_id, href, trim(regexp_replace(label, '[ \t\n\r\f\x0b\x{{00a0}}]+', ' ', 'g')) AS label FROM links")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anchors(spark, sf_dir).groupBy("page_id", "href").agg(F.min_by("label", "pos").alias("label"))
+    return links(page_contract(spark, sf_dir)).select("page_id", "href", "label")
 
 
 @query(f"""WITH {_ANCHORS} SELECT coalesce(s.page_id, t.page_id - 1) AS page_id, coalesce(s.href, t.href) AS href, CASE WHEN t.href IS NULL THEN 'source-only' ELSE 'target-only' END AS side
 FROM (SELECT * FROM links WHERE page_id % 2 = 0) s FULL JOIN (SELECT * FROM links WHERE page_id % 2 = 1) t ON t.page_id = s.page_id + 1 AND s.href = t.href WHERE s.href IS NULL OR t.href IS NULL""")
 def page_link_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of every even page against the page after it."""
-    links = anchors(spark, sf_dir).select("page_id", "href").distinct()
-    s = links.filter("page_id % 2 = 0")
-    t = links.filter("page_id % 2 = 1").select((F.col("page_id") - 1).alias("t_id"), F.col("href").alias("t_href"))
-    joined = s.join(t, (F.col("page_id") == F.col("t_id")) & (F.col("href") == F.col("t_href")), "full").filter("href is null or t_href is null")
-    return joined.select(F.coalesce("page_id", "t_id").alias("page_id"), F.coalesce("href", "t_href").alias("href"), F.when(F.col("t_href").isNull(), "source-only").otherwise("target-only").alias("side"))
+    found = links(page_contract(spark, sf_dir))
+    target = found.filter("page_id % 2 = 1").withColumn("page_id", F.col("page_id") - 1)
+    return link_differences(found.filter("page_id % 2 = 0"), target).select("page_id", "href", "side")
 
 
 TAGS = ("p", "h1", "h2", "li", "b", "a")
@@ -75,7 +77,18 @@ TAGS = ("p", "h1", "h2", "li", "b", "a")
 
 @query("SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '<{t}[ >]'))::INT AS n_{t}" for t in TAGS) + " FROM pages")
 def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages").select("page_id", *[F.regexp_count("html", F.lit(f"<{t}[ >]")).alias(f"n_{t}") for t in TAGS])
+    rows = page_contract(spark, sf_dir).filter("kind = 'tag'")
+    n = lambda t: F.coalesce(F.max(F.when(F.col("name") == t, F.col("value").cast("int"))), F.lit(0)).alias(f"n_{t}")
+    return rows.groupBy("page_id").agg(*map(n, TAGS))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS n_links,
+len(regexp_extract_all(html, '<form[ >]'))::BIGINT AS n_forms FROM pages""")
+def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, links and forms of each page."""
+    kind = F.col("kind")
+    title = F.max(F.when((kind == "meta") & (F.col("name") == "title"), F.col("value"))).alias("title")
+    return page_contract(spark, sf_dir).groupBy("page_id").agg(title, F.count_if(kind == "link").alias("n_links"), F.count_if(kind == "form").alias("n_forms"))
 
 
 _RUNS = """r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM
