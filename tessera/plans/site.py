@@ -82,7 +82,7 @@ def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("page_id").agg(*map(n, TAGS))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS n_links,
+@query(r"""SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS n_links,
 len(regexp_extract_all(html, '<form[ >]'))::BIGINT AS n_forms FROM pages""")
 def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, links and forms of each page."""
