@@ -89,11 +89,13 @@ def bounded_sample(rows: DataFrame, key: str, by: str, most: int) -> DataFrame:
     """About ``most`` rows of each value of ``by`` (all, if fewer), chosen by a hash of ``key``.
 
     The share is the same for every row of a class, so the sample is not a prefix; its size is bounded by
-    ``most`` up to the spread of the hash. Only the class counts go to the driver.
+    ``most`` up to the spread of the hash. Any number of classes, null among them: only those with more than
+    ``most`` rows stand in the table of shares, which is stored, so that the planner knows its size: it is
+    broadcast where it is small and shuffled where it is not.
     """
-    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    share = (F.lit(float(FINE)) * (F.lit(float(most)) / F.col("_n"))).cast("long")
+    large = rows.groupBy(F.col(by).alias("_class")).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    shares = stored(large.select("_class", share.alias("_share")))
     spread = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(FINE))
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = F.when(F.col(by).eqNullSafe(F.lit(value)), spread < int(FINE * min(1.0, most / n))).otherwise(keep)
-    return rows.filter(keep)
+    joined = rows.join(shares, F.col(by).eqNullSafe(F.col("_class")), "left")
+    return joined.filter(spread < F.coalesce("_share", F.lit(FINE))).drop("_class", "_share")

@@ -32,8 +32,8 @@ from .common import FINE, arrow_map, checkpointed, table
 #: Vectors the routing objects are chosen from, and the most routing objects and pages of each. The page table that all
 #: tasks get is so bounded (1 MB at most); pages of very large tables hold more, and are dealt to tasks in blocks.
 SAMPLE, ROUTES, RINGS = 4096, 256, 64
-#: Vectors of a page and of a leaf, and queries of a task, about.
-PAGE, LEAF, ASKED = 4096, 128, 20_000
+#: Vectors of a page and of a leaf, about.
+PAGE, LEAF = 4096, 128
 #: Components past this can't be squared in doubles.
 HUGE = 1e150
 
@@ -181,7 +181,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     merged = checkpointed(merged.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     asked = checkpointed(quantised(queries, id_col, vec_col).distinct())
     n, width = merged.agg(F.count("*"), F.max(F.length("vec"))).first()
-    n_asked, asked_width = asked.agg(F.count("*"), F.max(F.length("vec"))).first()
+    asked_width = asked.agg(F.max(F.length("vec"))).first()[0]
     width = max(1, (width or 0) // 8, (asked_width or 0) // 8)
     spread = F.pmod(F.xxhash64("vec"), F.lit(FINE))
     sample = merged.filter(spread < max(1, int(FINE * min(1.0, SAMPLE / max(1, n))))).select("vec").toArrow().column("vec").to_pylist()
@@ -205,30 +205,25 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     for r, (size, at) in sizes.items():
         rings = min(RINGS, -(-size // PAGE))
         borders[r] = sorted({at[RINGS * i // rings - 1] for i in range(1, rings)})
-    ring = F.lit(0)
-    for r, at in borders.items():
-        if at:
-            ring = F.when(F.col("route") == r, sum((F.col("far") > x).cast("int") for x in at)).otherwise(ring)
-    pages = routed.withColumn("page", ring)
+    # Both tables of this kind are broadcast: one has ROUTES rows of RINGS numbers at most, the other ROUTES * RINGS rows.
+    spark = vectors.sparkSession
+    rings = F.broadcast(spark.createDataFrame(list(borders.items()), "route int, at array<double>"))
+    ring = F.size(F.filter("at", lambda x: F.col("far") > x))
+    pages = routed.join(rings, "route").withColumn("page", ring).drop("at")
     # One row for each page, at most ROUTES * RINGS: its own radii and largest norm.
     ball = (F.min("far").alias("inner"), F.max("far").alias("outer"), F.max("norm2").alias("most2"), F.count("*").alias("n"))
     nodes = sorted(tuple(r) for r in pages.groupBy("route", "page").agg(*ball).collect())
     of_route, inner, outer, most2 = (np.array([x[i] for x in nodes]) for i in (0, 2, 3, 4))
     # Pages that outgrow a task, and the queries, are dealt to tasks in blocks.
     blocks = [max(1, -(-x[5] // (4 * PAGE))) for x in nodes]
-    n_blocks = F.lit(1)
-    for x, parts in zip(nodes, blocks, strict=True):
-        if parts > 1:
-            n_blocks = F.when((F.col("route") == x[0]) & (F.col("page") == x[1]), parts).otherwise(n_blocks)
-    turns = max(1, -(-n_asked // ASKED))
-    held = pages.withColumn("block", F.pmod(F.xxhash64("vec"), n_blocks).cast("int")).select("vec", "ids", "route", "page", "block", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
-    asked = asked.withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int"))
+    sizes_of = F.broadcast(spark.createDataFrame([(x[0], x[1], parts) for x, parts in zip(nodes, blocks, strict=True)], "route int, page int, n_blocks int"))
+    held = pages.join(sizes_of, ["route", "page"]).withColumn("block", F.pmod(F.xxhash64("vec"), F.col("n_blocks")).cast("int"))
 
     def send(batches: Iterator[pa.RecordBatch], second: bool) -> Iterator[dict]:
         for b in batches:
             for start in range(0, b.num_rows, 512):
                 part = b.slice(start, 512)
-                ids, vecs, turn = (part.column(c).to_pylist() for c in ("id", "vec", "turn"))
+                ids, vecs = (part.column(c).to_pylist() for c in ("id", "vec"))
                 if not len(nodes):
                     continue
                 q = matrix(vecs, width)
@@ -236,36 +231,56 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
                 tops = bound((q**2).sum(axis=1)[:, None], most2, np.maximum(d - outer, inner - d))
                 best = tops.argmax(axis=1)
                 floors = part.column("floor").to_pylist() if second else [None] * len(ids)
-                out: dict[str, list] = {c: [] for c in ("id", "vec", "route", "page", "block", "turn", "floor")}
+                out: dict[str, list] = {c: [] for c in ("id", "vec", "route", "page", "block", "floor")}
                 for i, floor in enumerate(floors):
                     least = -np.inf if floor is None else float(floor)
                     for j in np.nonzero(tops[i] >= least)[0].tolist() if second else [int(best[i])]:
                         if second and j == best[i]:
                             continue
                         for block in range(blocks[j]):
-                            for c, value in zip(out, (ids[i], vecs[i], nodes[j][0], nodes[j][1], block, turn[i], floor), strict=True):
+                            for c, value in zip(out, (ids[i], vecs[i], nodes[j][0], nodes[j][1], block, floor), strict=True):
                                 out[c].append(value)
                 yield out
 
-    def look(key: tuple[pa.Scalar, ...], asked: pa.Table, held: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        if asked.num_rows and held.num_rows:
-            page = Page(matrix(held.column("vec").to_pylist(), width), held.column("ids").to_pylist(), routes[key[0].as_py()])
-            ids, floors = asked.column("id").to_pylist(), [-np.inf if x is None else x for x in asked.column("floor").to_pylist()]
-            for at in range(0, len(ids), 1024):
-                part = slice(at, at + 1024)
-                for q, best in zip(ids[part], page.search(matrix(asked.column("vec")[part].to_pylist(), width), ids[part], k, floors[part]), strict=True):
-                    found += [(q, i, -s) for s, i in best]
-        return pa.table({c: pa.array([x[i] for x in found], pa.int64()) for i, c in enumerate(("query_id", "found", "score"))})
+    keys = ("route", "page", "block")
 
-    keys = ("route", "page", "block", "turn")
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """Rows sorted by page, its vectors before its queries: one page is held at a time, queries stream past it."""
+        at, parts, page = None, [], None
+        for b in batches:
+            places = list(zip(*(b.column(c).to_pylist() for c in keys), strict=True))
+            asks = b.column("asks").to_pylist()
+            start = 0
+            while start < b.num_rows:
+                end = start
+                while end < b.num_rows and end - start < 1024 and places[end] == places[start] and asks[end] == asks[start]:
+                    end += 1
+                if places[start] != at:
+                    at, parts, page = places[start], [], None
+                run = b.slice(start, end - start)
+                if not asks[start]:
+                    parts.append(run.select(["vec", "ids"]))
+                elif parts or page is not None:
+                    if page is None:
+                        rows, parts = pa.Table.from_batches(parts), []
+                        page = Page(matrix(rows.column("vec").to_pylist(), width), rows.column("ids").to_pylist(), routes[at[0]])
+                    ids, floors = run.column("id").to_pylist(), [-np.inf if x is None else x for x in run.column("floor").to_pylist()]
+                    found = page.search(matrix(run.column("vec").to_pylist(), width), ids, k, floors)
+                    hits = [(q, i, -s) for q, best in zip(ids, found, strict=True) for s, i in best]
+                    yield {c: [x[i] for x in hits] for i, c in enumerate(("query_id", "found", "score"))}
+                start = end
 
     def search(sent: DataFrame) -> DataFrame:
-        return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(look, "query_id long, found long, score long")
+        """What each page finds for the queries sent to it. A vector is shuffled once, whatever the number of queries."""
+        none = F.lit(None)
+        rows = held.select(*keys, F.lit(False).alias("asks"), "vec", "ids", none.cast("long").alias("id"), none.cast("long").alias("floor"))
+        queries = sent.select(*keys, F.lit(True).alias("asks"), "vec", none.cast("array<long>").alias("ids"), "id", "floor")
+        dealt = rows.unionByName(queries).repartition(*keys).sortWithinPartitions(*keys, "asks")
+        return arrow_map(dealt, look, "query_id long, found long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "found")
     top = lambda rows: rows.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    columns = "id long, vec binary, route int, page int, block int, turn int, floor long"
+    columns = "id long, vec binary, route int, page int, block int, floor long"
     one = checkpointed(top(search(arrow_map(asked, lambda b: send(b, False), columns))))
     kth = one.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     two = search(arrow_map(asked.join(kth, "id", "left"), lambda b: send(b, True), columns))

@@ -6,6 +6,9 @@ fetch candidate rules by an equality join on that token, and only the candidates
 the index where it is small (its size is known to the planner) and shuffles both sides where it is not; tokens that
 stand in very many URLs are the last that a rule is filed under.
 
+A rule may have no token, or none that is a whole run of lower-case letters and digits: it is tried on every URL, filed
+under each of ``SALTS`` marks of which every URL has one. Rules may share a name; equal ones count once.
+
 Null URLs, and those without ``://``, have an empty host and path: no rule fits, the verdict is ``allow``.
 Repeated rows are judged each for itself, whatever their ids. An empty table gives an empty result; further columns
 are left out.
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, table
 
 TOKEN = "[a-z0-9]+"
+#: Marks that split the URLs evenly where rules without tokens are tried on all of them.
+SALTS = 64
 RULE = "name string, pattern string, verdict string, rank int, tokens array<string>"
 
 
@@ -85,12 +90,20 @@ def rules_table(spark: SparkSession, rules: tuple[UrlRule, ...] = HOST_RULES + W
 
 
 def filed(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """``token, name, pattern, verdict, rank``: each rule under its token that the fewest of all URLs hold (ties: by name)."""
-    by_token = rules.select("name", F.explode("tokens").alias("token"))
+    """``token, name, pattern, verdict, rank``: each rule under its token that the fewest of all URLs hold (ties: by token).
+
+    A rule is told by all its columns, not by its name. One without a token is filed under every mark.
+    """
+    literal = F.coalesce(F.filter("tokens", lambda t: t.isNotNull() & F.regexp_like(t, F.lit(f"^{TOKEN}$"))), F.array().cast("array<string>"))
+    whole = ("name", "pattern", "verdict", "rank")
+    told = rules.select(*whole, literal.alias("tokens")).distinct()
+    by_token = told.select(*whole, "tokens", F.explode("tokens").alias("token"))
     held = urls.select(F.explode(F.array_distinct("tokens")).alias("token")).join(by_token.select("token").distinct(), "token", "left_semi")
     counts = held.groupBy("token").agg(F.count("*").alias("n"))
-    least = by_token.join(counts, "token", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least"))
-    return rules.drop("tokens").join(least.select("name", F.col("least.token").alias("token")), "name")
+    least = by_token.join(counts, "token", "left").groupBy(*whole, "tokens").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least"))
+    marks = F.array(*[F.lit(f"#{i}") for i in range(SALTS)])
+    everywhere = told.filter(F.size("tokens") == 0).select(F.explode(marks).alias("token"), *whole)
+    return least.select(F.col("least.token").alias("token"), *whole).unionByName(everywhere)
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: DataFrame | None = None) -> DataFrame:
@@ -100,8 +113,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     site = F.concat("host", "path")
     urls = urls.withColumn("tokens", F.regexp_extract_all(ascii_lower(site), F.lit(f"({TOKEN})"), 1))
     index = filed(rules_table(pages.sparkSession) if rules is None else rules, urls)
-    # One row for each token of a URL, one at least; the row's number brings them together again.
-    tokens = F.when(F.size("tokens") > 0, F.array_distinct("tokens")).otherwise(F.array(F.lit("")))
+    # One row for each token of a URL and one for its mark; the row's number brings them together again.
+    mark = F.concat(F.lit("#"), F.pmod("row", F.lit(SALTS)).cast("string"))
+    tokens = F.concat(F.array(mark), F.array_distinct("tokens"))
     asked = urls.withColumn("row", F.monotonically_increasing_id()).select("row", "_id", "host", "path", F.posexplode(tokens).alias("at", "token"))
     met = asked.join(index, "token", "left").filter(F.col("pattern").isNotNull() | (F.col("at") == 0))
     fits = F.col("pattern").isNotNull() & F.regexp_like(site, F.col("pattern"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import langid, mixing, mtree, quality, secrets, sentencepiece_codec, simhash, suffix_tree_lm, toxicity, url_filter
+from tessera.llm.common import bounded_sample
 from tessera.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -158,6 +159,47 @@ def test_urls_by_trying_every_rule(spark):
         assert (r.rule, r.verdict) == (max(fits)[1:] if fits else (None, "allow"))
 
 
+def test_no_rule_is_lost(spark):
+    """Rules of one name, without tokens, with null or impossible tokens, and repeated ones, against trying each."""
+    rules = [
+        ("no token", "^[0-9.]+/", "block", 5, []), ("same", "^a\\.", "block", 7, ["a"]), ("same", "^b\\.", "block", 7, ["b", "net"]), ("same", "^b\\.", "block", 7, ["b", "net"]),
+        ("null token", "zz", "block", 3, [None]), ("null list", "/q7", "allow", 9, None), ("capital", "(?i)CASINO", "block", 2, ["CASINO"]),
+    ]
+    rng = np.random.default_rng(8)
+    words = ["a", "b", "net", "org", "casino", "zz", "q7", "x", "10"]
+    rules += [(f"r{i % 9}", f"{x}[^a-z0-9]+{y}", ("block", "allow")[i % 2], 10 + i, [x, y][: i % 3]) for i in range(40) for x, y in [rng.choice(words, 2).tolist()]]
+    urls = ["http://10.0.0.1/x", "http://b.net/q", "http://a.org/", "http://", None] + [f"http://{'.'.join(rng.choice(words, 2))}/{'/'.join(rng.choice(words, 3))}" for _ in range(300)]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=spark.createDataFrame(rules, url_filter.RULE)).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(urls)))
+    for r in got:
+        fits = [(rank, name, verdict) for name, pattern, verdict, rank, _ in rules if re.search(pattern, r.host + r.path)]
+        assert (r.rule, r.verdict) == (max(fits)[1:] if fits else (None, "allow")), r
+
+
+def test_sample_of_many_classes(spark):
+    """Thousands of classes, null among them: small ones whole, large ones near the bound, each row at most once."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 1, None).when(F.col("id") % 4 == 0, "hot").otherwise(F.concat(F.lit("l"), F.col("id") % 3000)).alias("lang"), F.lit(1).alias("_n"))
+    got = {r.lang: (r.n, r.d) for r in bounded_sample(rows, "doc_id", "lang", 100).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).collect()}
+    whole = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert len(whole) > 1000 and got.keys() == whole.keys() and all(n == d for n, d in got.values())
+    assert all(got[x][0] == n for x, n in whole.items() if n <= 100) and all(60 < got[x][0] < 140 for x in ("hot", None))
+
+
+def test_top_k_of_many_split_pages(spark, monkeypatch):
+    """Hundreds of pages, each in blocks, and many queries for one of them."""
+    for name, value in (("PAGE", 1), ("LEAF", 8)):
+        monkeypatch.setattr(mtree, name, value)
+    points = np.random.default_rng(4).normal(size=(20_000, 4)).astype(int)[:, :]
+    points = points + np.random.default_rng(5).integers(-40, 40, points.shape)
+    vectors = spark.createDataFrame([(i, x) for i, x in enumerate((points / 256).tolist())], "vec_id long, embedding array<double>")
+    got = {r.query_id: [tuple(x) for x in r.x] for r in mtree.exact_top_k(vectors, vectors.filter("vec_id % 100 = 0")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("x")).collect()}
+    assert len(got) == 200
+    for q, found in got.items():
+        scores = points @ points[q]
+        best = [i for i in np.lexsort((np.arange(len(points)), -scores))[:6].tolist() if i != q][:5]
+        assert found == [(n + 1, i, int(scores[i])) for n, i in enumerate(best)]
+
+
 def test_top_k_with_copies_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(1000 + i, [0.5] * 8) for i in range(60)]
@@ -184,7 +226,7 @@ def test_top_k_of_large_components(spark, monkeypatch):
     assert [(-r.score, r.vec_id) for r in got] == want and -want[0][0] == 144115188075855872 + 256
     with pytest.raises(Exception, match="long|int|overflow|convert"):
         mtree.exact_top_k(*[spark.createDataFrame([(0, [1e20]), (1, [1e20])], "vec_id long, embedding array<double>")] * 2).collect()
-    for name, value in (("PAGE", 40), ("LEAF", 8), ("ASKED", 5), ("RINGS", 4)):
+    for name, value in (("PAGE", 40), ("LEAF", 8), ("RINGS", 4)):
         monkeypatch.setattr(mtree, name, value)
     points = np.random.default_rng(2).normal(size=(1500, 4))
     vectors = spark.createDataFrame([(i, x) for i, x in enumerate(points.tolist())], "vec_id long, embedding array<double>")
