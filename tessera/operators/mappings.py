@@ -179,8 +179,10 @@ def _parts(keyed: DataFrame, assets: DataFrame, rules: Sequence[Rule]) -> DataFr
     if images:
         slots = keyed.select("_key", F.explode(F.flatten(F.filter(F.array(*images), lambda x: x.isNotNull()))).alias("s")).select("_key", "s.*").dropDuplicates(["_key", "target", "pos"])
         by_url = known.select(F.col("_asset").alias("_by_url"), F.col("_ref").alias("_url_ref"))
-        # The URL is asked only for slots whose file is unknown.
-        tried = slots.join(known, slots.file_id == known._asset, "left").withColumn("_ask", F.when(F.col("_ref").isNull(), F.col("url")))
+        # The URL is asked only for slots whose file is unknown. What is not asked has a key of the item's own, as nulls would all meet in one task.
+        alone = F.concat(F.lit("\0"), "_key")
+        tried = slots.withColumn("_file", F.coalesce("file_id", alone)).join(known, F.col("_file") == F.col("_asset"), "left")
+        tried = tried.withColumn("_ask", F.coalesce(F.when(F.col("_ref").isNull(), F.col("url")), alone))
         named = tried.join(by_url, F.col("_ask") == F.col("_by_url"), "left").withColumn("ref", F.coalesce("_ref", "_url_ref"))
         fault = F.when(F.col("file_id").isNull(), "missing file id").when(F.col("url").isNull(), "missing url").when(~F.coalesce(F.startswith("ref", F.lit("image-")), F.lit(False)), "no asset")
         out.append(named.select("_key", "target", "pos", "file_id", "alt", "ref", F.lit(None).cast(f"array<{BLOCK}>").alias("blocks"), fault.alias("fault")))
