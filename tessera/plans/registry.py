@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import assets, catalogue, conversion, health, intake, leads, mapping, migration, publishing, revision, site  # noqa: E402, F401
+from . import assets, catalogue, conversion, health, identity, intake, leads, mapping, migration, publishing, revision, site  # noqa: E402, F401
