@@ -1,11 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has a model of words: its discounted counts, and for the rest of the mass the shared backoff, the
-Kneser-Ney continuation probability (in how many different contexts a word follows, over both classes). The
-discounts of counts 1, 2 and 3+ are estimated from the counts of counts. A text is compared by its
-length-normalised log-likelihood ratio, over the whole and over its best windows of 1, 4, 16 and 64 words, so
-that a toxic passage of a long text is not thinned out. A logistic curve over these figures, fitted on labelled
-texts that the models have not counted, gives the score.
+Each class has a model of words: its discounted counts (of texts that have the word, so that a name that one text
+repeats is no evidence), and for the rest of the mass the shared backoff, the Kneser-Ney continuation probability (in how
+many different contexts a word follows, over both classes). Every word counts, those met once too: most of their
+probability is the backoff's, which both classes share. The discounts of counts 1, 2 and 3+ are estimated from the counts
+of counts. A text is compared by its length-normalised log-likelihood ratio, over the whole, over its best windows of 1,
+4, 16 and 64 words, by the next best words, and by the shares of words whose ratio passes 1, 2, 3 and 4, so that a toxic
+passage of a long text is not thinned out. A logistic curve over these figures, fitted on labelled texts that the models
+have not counted, gives the score.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,12 @@ from .wordstats import class_pairs, plain_words
 #: Labelled texts used of each class: to count words, and to fit the curve.
 COUNTED, CURVE = 6000, 6000
 WINDOWS = (1, 4, 16, 64)
+#: Log-likelihood ratios from which words are counted.
+STEPS = (1, 2, 3, 4)
+#: Weight of the penalty on the curve's squared weights.
+RIDGE = 0.5
+#: Figures of a text.
+WIDTH = 1 + len(WINDOWS) + 2 + len(STEPS) + 1
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -34,11 +43,15 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 
 
 class KneserNeyPair:
-    """Log-likelihood ratios of words, and the curve over a text's figures."""
+    """Log-likelihood ratios of words, and the curve over a text's figures.
 
-    def __init__(self, words: list[bytes], toxic: np.ndarray, other: np.ndarray, contexts: np.ndarray):
-        shared = (contexts + 0.5) / (contexts.sum() + 0.5 * (len(words) + 1))
-        unseen = 0.5 / (contexts.sum() + 0.5 * (len(words) + 1))
+    Words are known by their XXH64 (seed 42), sorted: 16 bytes a word, whatever its length. ``toxic`` and ``other`` are
+    texts that have the word, ``contexts`` the different words that it follows.
+    """
+
+    def __init__(self, keys: np.ndarray, toxic: np.ndarray, other: np.ndarray, contexts: np.ndarray):
+        shared = (contexts + 0.5) / (contexts.sum() + 0.5 * (len(keys) + 1))
+        unseen = 0.5 / (contexts.sum() + 0.5 * (len(keys) + 1))
         logs, log_unseen = [], []
         for n in (toxic, other):
             d = discounts(n)[np.minimum(n, 3)]
@@ -46,34 +59,37 @@ class KneserNeyPair:
             rest = max(d.sum(), 1e-9) / total
             logs.append(np.log((n - d) / total + rest * shared))
             log_unseen.append(np.log(rest * unseen))
-        ratio = logs[0] - logs[1]
+        order = np.argsort(keys)
+        self.keys, self.ratio = keys[order], (logs[0] - logs[1])[order]
         self.unseen = float(log_unseen[0] - log_unseen[1])
-        # Words met once can't tell the classes apart; they count as unseen, and so the table stays small.
-        often = toxic + other > 1
-        self.ratio = {w: r for w, r, o in zip(words, ratio.tolist(), often, strict=True) if o}
         self.mean = self.spread = self.weights = np.zeros(0)
 
+    def ratios(self, text: bytes) -> np.ndarray:
+        """The log-likelihood ratio of each word of a text."""
+        words, of = plain_words(text), xxhash.xxh64_intdigest
+        h = np.fromiter((of(w, 42) for w in words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.ratio[at], self.unseen)
+
     def figures(self, text: bytes) -> list[float]:
         """Zeros for a text without words."""
-        get, unseen = self.ratio.get, self.unseen
-        r = np.array([get(w, unseen) for w in plain_words(text)])
+        r = self.ratios(text)
         if not len(r):
-            return [0.0] * (len(WINDOWS) + 5)
+            return [0.0] * WIDTH
         total = np.concatenate([[0.0], r.cumsum()])
         windows = [(total[k:] - total[:-k]).max() / k if len(r) > k else r.mean() for k in WINDOWS]
         top = np.sort(np.partition(r, -min(3, len(r)))[-3:])[::-1].tolist() + [0.0, 0.0]
-        return [r.mean(), *windows, top[1], top[2], 100 * (r > 2).mean(), np.log(len(r) + 1)]
+        return [r.mean(), *windows, top[1], top[2], *(100 * (r > s).mean() for s in STEPS), np.log(len(r) + 1)]
 
-    def fit_curve(self, texts: list[bytes], labels: np.ndarray, odds: float = 1.0) -> None:
-        """``odds``: the sampling rate of toxic texts over that of others, by which the intercept is corrected."""
-        x = np.array([self.figures(t) for t in texts])
+    def fit_curve(self, x: np.ndarray, labels: np.ndarray, odds: float = 1.0) -> None:
+        """``x``: the figures of the curve's texts; ``odds``: the sampling rate of toxic texts over that of others, by which the intercept is corrected."""
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = np.column_stack([(x - self.mean) / self.spread, np.ones(len(x))])
         w = np.zeros(z.shape[1])
         for _ in range(25):  # Newton steps
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            curve = (z * (p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(len(w))
-            w -= np.linalg.solve(curve, z.T @ (p - labels) + 0.05 * w)
+            curve = (z * (p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(w))
+            w -= np.linalg.solve(curve, z.T @ (p - labels) + RIDGE * w)
         w[-1] -= np.log(odds)
         self.weights = w
 
@@ -114,21 +130,39 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> KneserNeyPa
     once = texts(counted).groupBy("label", F.xxhash64("text"), F.length("text")).agg(F.first("text").alias("text"))
     pairs = class_pairs(once, "label")
     words = pairs.groupBy("word").agg(
-        F.sum(F.when(F.col("cls") == "1", F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("cls") != "1", F.col("n")).otherwise(0)).alias("other"),
+        F.sum(F.when(F.col("cls") == "1", F.col("texts")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("cls") != "1", F.col("texts")).otherwise(0)).alias("other"),
         F.count_distinct("left").alias("contexts"),
-    ).toArrow()
-    toxic, other, contexts = (words.column(c).to_numpy() for c in ("toxic", "other", "contexts"))
-    held = texts(curve).select("text", "label").toArrow()
-    y = np.array([int(v == 1) for v in held.column("label").to_pylist()], dtype=float)
-    if not (toxic.sum() and other.sum() and 0 < y.sum() < len(y)):
+    ).select(F.xxhash64("word").alias("key"), "toxic", "other", "contexts").toArrow()
+    keys, toxic, other, contexts = (words.column(c).to_numpy() for c in ("key", "toxic", "other", "contexts"))
+    if not (toxic.sum() and other.sum()):
         return share
-    model = KneserNeyPair(words.column("word").to_pylist(), toxic, other, contexts)
-    model.fit_curve([t.encode() if t else b"" for t in held.column("text").to_pylist()], y, rate[True] / rate[False])
+    model = KneserNeyPair(keys.view(np.uint64), toxic, other, contexts)
+    x, y = curve_figures(texts(curve), model)
+    if not 0 < y.sum() < len(y):
+        return share
+    model.fit_curve(x, y, rate[True] / rate[False])
     return model
 
 
+def curve_figures(rows: DataFrame, model: KneserNeyPair) -> tuple[np.ndarray, np.ndarray]:
+    """Figures and labels (1 or 0) of ``rows(text, label)``; texts are read in tasks, and only their figures come back."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            yield {"x": [shared.value.figures(t) for t in utf8(b, "text")], "y": [float(v == 1) for v in b.column("label").to_pylist()]}
+
+    held = arrow_map(rows.select("text", "label"), run, "x array<double>, y double").toArrow()
+    shared.unpersist()
+    return np.array(held.column("x").to_pylist()).reshape(-1, WIDTH), held.column("y").to_numpy()
+
+
 def score_toxicity(docs: DataFrame, model: KneserNeyPair | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, score`` for every row; null texts count as empty. The model's size is bounded by its sample."""
+    """``id_col, score`` for every row, repeated ones and null ids too; an empty table gives none, further columns are left out.
+
+    Null texts count as empty; texts without words get the curve's value at zero. Texts are read whole, however long;
+    equal texts have equal scores. The model's size is bounded by its sample.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -149,7 +183,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score under a half, with all columns; each row is judged by its own text."""
+    """The documents that score under a half, with all columns; each row, repeated or without an id, is judged by its own text (null as empty), and an empty table stays one."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

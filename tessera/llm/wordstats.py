@@ -32,15 +32,20 @@ def class_words(rows: DataFrame, class_col: str, text_col: str = "text", words:
 
 
 def class_pairs(rows: DataFrame, class_col: str, text_col: str = "text") -> DataFrame:
-    """``cls, left, word, n`` for each word with the one before it; the first of a text follows the empty word."""
+    """``cls, left, word, texts`` for each word with the one before it; the first of a text follows the empty word.
+
+    ``texts`` summed over a word's pairs is the number of texts that have the word: only its first place in a text counts.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             found: Counter = Counter()
             for cls, text in zip(b.column("cls").to_pylist(), utf8(b, "text"), strict=True):
-                w = plain_words(text)
-                found.update((cls, x, y) for x, y in zip([b"", *w], w, strict=False))
-            yield {"cls": [k[0] for k in found], "left": [k[1] for k in found], "word": [k[2] for k in found], "n": list(found.values())}
+                w, seen = plain_words(text), set()
+                for x, y in zip([b"", *w], w, strict=False):
+                    found[cls, x, y] += y not in seen
+                    seen.add(y)
+            yield {"cls": [k[0] for k in found], "left": [k[1] for k in found], "word": [k[2] for k in found], "texts": list(found.values())}
 
     rows = rows.select(F.col(class_col).cast("string").alias("cls"), F.col(text_col).alias("text"))
-    return arrow_map(rows, count, "cls string, left binary, word binary, n long").groupBy("cls", "left", "word").agg(F.sum("n").alias("n"))
+    return arrow_map(rows, count, "cls string, left binary, word binary, texts long").groupBy("cls", "left", "word").agg(F.sum("texts").alias("texts"))

@@ -4,7 +4,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import langid, mixing, mtree, quality, secrets, sentencepiece_codec, simhash, suffix_tree_lm, toxicity, url_filter
+from tessera.llm import langid, mixing, mtree, quality, secrets, sentencepiece_codec, simhash, suffix_tree_lm, toxicity, url_filter, wordstats
 from tessera.llm.common import bounded_sample
 from tessera.llm.queries import ORACLES, QUERIES
 
@@ -339,6 +339,45 @@ def test_whole_secrets_are_redacted():
     assert secrets.redact("auth my_api_key=abc123def456ghi789jkl") == "auth my_api_key=[assign]"
 
 
+def test_kneser_ney_ratios_equal_plain_ones(spark):
+    """Every word's ratio, single and unseen ones too, against counts in dictionaries."""
+    random = np.random.default_rng(5)
+    texts = {1: [" ".join(f"w{x}" for x in random.zipf(1.4, 12) if x < 500) + " Vile vile" for _ in range(40)], 0: [" ".join(f"w{x}" for x in random.zipf(1.4, 20) if x < 500) for _ in range(60)]}
+    rows = spark.createDataFrame([(c, t) for c, of in texts.items() for t in of], "label int, text string")
+    pairs = wordstats.class_pairs(rows, "label").collect()
+    n, left = {0: Counter(), 1: Counter()}, defaultdict(set)
+    for c, of in texts.items():
+        for t in of:
+            w = t.lower().split()
+            n[c].update(set(w))
+            for a, b in zip(["", *w], w, strict=False):
+                left[b].add(a)
+    got, met = {0: Counter(), 1: Counter()}, defaultdict(set)
+    for r in pairs:
+        got[int(r.cls)][r.word.decode()] += r.texts
+        met[r.word.decode()].add(r.left.decode())
+    assert got == n and met == left
+    words = sorted(left)
+    key = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], np.uint64)
+    model = toxicity.KneserNeyPair(key, *(np.array([c[w] for w in words]) for c in (n[1], n[0])), np.array([len(left[w]) for w in words]))
+    kinds = sum(len(v) for v in left.values())
+    once = [w for w in words if n[0][w] + n[1][w] == 1]
+    assert once
+    for w in [*words, "never"]:
+        logs = []
+        for c in (1, 0):
+            of = Counter(n[c].values())
+            n1, n2, n3, n4 = (max(1, of[k]) for k in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2)
+            cut = [0, min(max(1 - 2 * y * n2 / n1, 0.1), 0.9), min(max(2 - 3 * y * n3 / n2, 0.1), 1.8), min(max(3 - 4 * y * n4 / n3, 0.1), 2.7)]
+            total = sum(n[c].values())
+            rest = sum(cut[min(v, 3)] for v in n[c].values()) / total
+            backoff = (len(left[w]) if w in left else 0) + 0.5
+            logs.append(math.log((n[c][w] - cut[min(n[c][w], 3)]) / total + rest * backoff / (kinds + 0.5 * (len(words) + 1))))
+        assert model.ratios(w.encode()).tolist() == pytest.approx([logs[0] - logs[1]], abs=1e-9)
+    assert model.figures(b" ") == [0.0] * toxicity.WIDTH
+
+
 @pytest.mark.parametrize("curve_has_toxic", [True, False])
 def test_rare_toxic_rows_fit_a_curve(spark, tmp_path, monkeypatch, curve_has_toxic):
     """A sample of the curve's rows that is small against the table still has its toxic rows; so has one whose fold has none."""
