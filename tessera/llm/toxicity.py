@@ -1,7 +1,6 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has a model of words: its discounted counts (of texts that have the word, so that a name that one text
-repeats is no evidence), and for the rest of the mass the shared backoff, the Kneser-Ney continuation probability (in how
+Each class has a model of words: its discounted counts, and for the rest of the mass the shared backoff, the Kneser-Ney continuation probability (in how
 many different contexts a word follows, over both classes). Every word counts, those met once too: most of their
 probability is the backoff's, which both classes share. The discounts of counts 1, 2 and 3+ are estimated from the counts
 of counts. A text is compared by its length-normalised log-likelihood ratio, over the whole, over its best windows of 1,
@@ -46,7 +45,7 @@ class KneserNeyPair:
     """Log-likelihood ratios of words, and the curve over a text's figures.
 
     Words are known by their XXH64 (seed 42), sorted: 16 bytes a word, whatever its length. ``toxic`` and ``other`` are
-    texts that have the word, ``contexts`` the different words that it follows.
+    its counts in the classes, ``contexts`` the different words that it follows.
     """
 
     def __init__(self, keys: np.ndarray, toxic: np.ndarray, other: np.ndarray, contexts: np.ndarray):
@@ -130,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> KneserNeyPa
     once = texts(counted).groupBy("label", F.xxhash64("text"), F.length("text")).agg(F.first("text").alias("text"))
     pairs = class_pairs(once, "label")
     words = pairs.groupBy("word").agg(
-        F.sum(F.when(F.col("cls") == "1", F.col("texts")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("cls") != "1", F.col("texts")).otherwise(0)).alias("other"),
+        F.sum(F.when(F.col("cls") == "1", F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("cls") != "1", F.col("n")).otherwise(0)).alias("other"),
         F.count_distinct("left").alias("contexts"),
     ).select(F.xxhash64("word").alias("key"), "toxic", "other", "contexts").toArrow()
     keys, toxic, other, contexts = (words.column(c).to_numpy() for c in ("key", "toxic", "other", "contexts"))

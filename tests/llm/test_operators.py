@@ -349,12 +349,12 @@ def test_kneser_ney_ratios_equal_plain_ones(spark):
     for c, of in texts.items():
         for t in of:
             w = t.lower().split()
-            n[c].update(set(w))
+            n[c].update(w)
             for a, b in zip(["", *w], w, strict=False):
                 left[b].add(a)
     got, met = {0: Counter(), 1: Counter()}, defaultdict(set)
     for r in pairs:
-        got[int(r.cls)][r.word.decode()] += r.texts
+        got[int(r.cls)][r.word.decode()] += r.n
         met[r.word.decode()].add(r.left.decode())
     assert got == n and met == left
     words = sorted(left)
