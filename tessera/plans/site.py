@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,13 +86,39 @@ def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("page_id").agg(*map(n, TAGS))
 
 
-@query(r"""SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS n_links,
-len(regexp_extract_all(html, '<form[ >]'))::BIGINT AS n_forms FROM pages""")
+def _values(pairs: Iterable[tuple[int | str, str]]) -> str:
+    quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in pairs) + ")"
+
+
+#: SQL of HTML's character references: the names of the standard, which may end without their semicolon, and the numbers that stand for another text than their own.
+_OTHERS = (*range(160), *range(0xFDD0, 0xFDF0), *(plane * 0x10000 + low for plane in range(17) for low in (0xFFFE, 0xFFFF)))
+_NAMES, _NUMBERS = _values(html5.items()), _values((n, t) for n in _OTHERS if (t := unescape(f"&#{n};")) != chr(n))
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_TITLES = rf"""raw AS (SELECT page_id, regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>', 1) AS text FROM pages),
+refs AS (SELECT page_id, unnest(range(1, len(r) + 1)) AS i, unnest(r) AS ref FROM (SELECT page_id, regexp_extract_all(text, '{_REFERENCE}') AS r FROM raw)),
+digits AS (SELECT *, ltrim(regexp_extract(ref, '^&#([0-9]+)', 1), '0') AS dec, lower(ltrim(regexp_extract(ref, '^&#[xX]([0-9a-fA-F]+)', 1), '0')) AS hex FROM refs WHERE starts_with(ref, '&#')),
+numbers AS (SELECT page_id, i, CASE WHEN length(dec) > 7 OR length(hex) > 6 THEN 1114112 WHEN dec <> '' THEN dec::BIGINT
+  ELSE list_sum([0] || list_transform(range(1, length(hex) + 1), lambda k: ((instr('0123456789abcdef', hex[k]) - 1) * pow(16, length(hex) - k))::BIGINT))::BIGINT END AS n FROM digits),
+names AS (SELECT page_id, i, max_by(value || substr(ref, length(name) + 2), length(name)) AS got FROM (SELECT *, unnest(range(2, length(ref))) AS k FROM refs WHERE NOT starts_with(ref, '&#'))
+  JOIN {_NAMES} names(name, value) ON substr(ref, 2, k) = name GROUP BY ALL),
+got AS (SELECT page_id, i, coalesce(names.got, CASE WHEN numbers.n IS NULL THEN ref WHEN other.value IS NOT NULL THEN other.value WHEN numbers.n > 1114111 OR numbers.n BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(numbers.n::INT) END) AS got
+  FROM refs LEFT JOIN names USING (page_id, i) LEFT JOIN numbers USING (page_id, i) LEFT JOIN {_NUMBERS} other(code, value) ON other.code = numbers.n),
+plain AS (SELECT page_id, unnest(range(len(s))) AS i, unnest(s) AS between FROM (SELECT page_id, string_split_regex(text, '{_REFERENCE}') AS s FROM raw)),
+titles AS (SELECT page_id, nullif(trim(regexp_replace(regexp_replace(string_agg(coalesce(got, '') || between, '' ORDER BY i), '[\x{{200b}}-\x{{200d}}\x{{feff}}]', '', 'g'), '{_SPACES}', ' ', 'g')), '') AS title
+  FROM plain LEFT JOIN got USING (page_id, i) GROUP BY page_id)"""
+
+
+@query(f"""WITH {_TITLES} SELECT page_id, title, coalesce(len(regexp_extract_all(html, '<a [^>]*href=')), 0)::BIGINT AS n_links,
+coalesce(len(regexp_extract_all(html, '<form[ >]')), 0)::BIGINT AS n_forms FROM pages LEFT JOIN titles USING (page_id)""")
 def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title, links and forms of each page."""
+    """Title (character references read, null where it is empty), links and forms of each page, also of those that promise nothing."""
     kind = F.col("kind")
+    rows = page_contract(spark, sf_dir).select("page_id", "kind", "name", "value")
+    every = read_table(spark, sf_dir, "pages").select("page_id", *[F.lit(None).cast("string").alias(c) for c in ("kind", "name", "value")])
     title = F.max(F.when((kind == "meta") & (F.col("name") == "title"), F.col("value"))).alias("title")
-    return page_contract(spark, sf_dir).groupBy("page_id").agg(title, F.count_if(kind == "link").alias("n_links"), F.count_if(kind == "form").alias("n_forms"))
+    return rows.unionByName(every).groupBy("page_id").agg(title, F.count_if(kind == "link").alias("n_links"), F.count_if(kind == "form").alias("n_forms"))
 
 
 _RUNS = """r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM

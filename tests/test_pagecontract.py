@@ -1,8 +1,10 @@
 """Page contracts from HTML as people write it."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessera.operators.pagecontract import contracts, link_differences, links
+from tessera.plans.registry import ORACLES, QUERIES
 
 PAGE = """<!doctype html><TITLE>  A &amp; B </TITLE><meta name=description content='x'><meta property="og:url" content="/u"><link rel="alternate Canonical" href=/c>
 <a href='/one'><b>One</b> <i>more</i></a><A HREF="/one">again</A><a href="/one" target=_blank>new</a><a href="/aria" aria-label="Aria">text</a><a href="/t" title="T"></a>
@@ -37,3 +39,19 @@ def test_links_differ_by_target(spark):
     b = spark.createDataFrame([(1, "/a", None), (1, "/b", None), (3, "/c", None)], schema)
     got = {tuple(r) for r in link_differences(a, b).collect()}
     assert got == {(1, "/b", "_blank", "source-only"), (1, "/b", None, "target-only"), (2, "/c", None, "source-only"), (3, "/c", None, "target-only")}
+
+
+def test_titles_have_their_character_references_read_by_query_and_sql(spark, tmp_path):
+    titles = {
+        "a&quot;b &amp;lt; &lt;": 'a"b &lt; <', "x&amp": "x&", "&ampersand &notit; &notin; &unknown; &": "&ersand ¬it; ∉ &unknown; &", "&#65;&#x41;&#X0042&#0;&#128;&#xD800;&#1114112;&#99999999999;": "AAB\ufffd€\ufffd\ufffd\ufffd",
+        "&#1;a&#xFFFE;b&apos;": "ab'", "&nbsp; a&nbsp;\n b\u200b&ZeroWidthSpace; ": "a b", "": None, "&nbsp;": None, "&NotEqualTilde;": "≂̸",
+    }
+    rows = [(i, f"<html><title>{t}</title><a href='/x'>x</a>") for i, t in enumerate(titles)]
+    want = {i: (t, 1, 0) for i, t in enumerate(titles.values())}
+    rows, want = [*rows, (90, "<p>no title</p>"), (91, None), (92, "")], want | dict.fromkeys((90, 91, 92), (None, 0, 0))
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r[0]: tuple(r)[1:] for r in QUERIES["page_summaries"](spark, str(tmp_path)).select("page_id", "title", "n_links", "n_forms").collect()}
+    assert got == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.sql(f"SELECT page_id, title, n_links, n_forms FROM ({ORACLES['page_summaries']})").fetchall()} == want
