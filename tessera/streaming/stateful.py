@@ -149,3 +149,22 @@ def in_slices(rows: DataFrame, order: str, slices: int, folder: str) -> str:
         part = rows if least is None else rows.filter(F.col(order).between(least + i * step, least + (i + 1) * step - 1))
         part.coalesce(1).write.mode("append").parquet(path)
     return path
+
+
+def in_turn(rows: DataFrame, order: str, slices: int, folder: str, stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``stream`` commits over a table in ``slices`` ranges of ``order``, each a micro-batch that all tasks write and read.
+
+    The table is worked out once and stored. A slice is put into the source when the one before it is through, so it may have
+    any number of files and none is read with another's.
+    """
+    spark, path = rows.sparkSession, f"{folder}/source"
+    rows.write.parquet(f"{folder}/table")
+    kept = spark.read.schema(rows.schema).parquet(f"{folder}/table")
+    least, most = kept.agg(F.min(order), F.max(order)).first()
+    step = 0 if least is None else (most - least) // slices + 1
+    for i in range(slices):
+        part = kept if least is None else kept.filter(F.col(order).between(least + i * step, least + (i + 1) * step - 1))
+        part.write.mode("append").parquet(path)
+        out = stream(source(spark, path, rows.schema, files=2**31 - 1))
+        run_once(out, folder)
+    return committed(spark, folder, out.schema)

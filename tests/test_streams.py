@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.operators.leads import RETRIES, lease_outcomes
 from tessera.plans.intake import deliveries
 from tessera.plans.leads import lead_intake, submissions
-from tessera.streaming.stateful import KEEP, committed, in_slices, intake, leases, run_once, source
+from tessera.streaming.stateful import KEEP, committed, in_slices, in_turn, intake, leases, run_once, source
 
 SF = "/root/testdata/sf0.001"
 EVENTS = "key string, event_id long, at long, kind string, payload string, token long, receipt string, mode string"
@@ -68,3 +68,11 @@ def test_empty_stream(spark, tmp_path):
     out = leases(source(spark, in_slices(rows, "at", 2, str(tmp_path)), rows.schema))
     run_once(out, str(tmp_path))
     assert committed(spark, str(tmp_path), out.schema).count() == 0
+
+
+def test_slices_are_written_by_many_tasks_and_kept_apart(spark, tmp_path):
+    """A micro-batch of several files each: one task wrote all of a slice before."""
+    rows, folder = submissions(spark, SF).select("event_id", "key", "payload").repartition(3), str(tmp_path)
+    got = in_turn(rows, "event_id", 2, folder, intake)
+    assert len(list((tmp_path / "source").glob("*.parquet"))) > 2 and len(list((tmp_path / "commits").iterdir())) == 2
+    assert told(got) == told(lead_intake(spark, SF))
