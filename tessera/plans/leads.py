@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.expr import EMAIL, lisbon_day, plausible_phone, reasons, window_state
 from tessera.sources.io import read_table, shared_folder
 from tessera.streaming.leads import stream_daily, stream_first_by_key
-from tessera.streaming.stateful import committed, in_slices, intake, run_once, source
+from tessera.streaming.stateful import in_turn, intake
 
 from .registry import query
 
@@ -126,7 +126,4 @@ def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outcomes of ``lead_intake`` from a stream in four micro-batches, with a sink that commits each once."""
     folder, rows = shared_folder(spark), submissions(spark, sf_dir).select("event_id", "key", "payload")
-    path = in_slices(rows, "event_id", 4, folder)
-    out = intake(source(spark, path, rows.schema))
-    run_once(out, folder)
-    return committed(spark, folder, out.schema)
+    return in_turn(rows, "event_id", 4, folder, intake)
