@@ -18,7 +18,6 @@ totals goes to the driver; parts, slots and states are tables in the shared fold
 
 from __future__ import annotations
 
-import gc
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,8 +46,10 @@ PART, SLOT = 1_000_000, 1_500_000
 ANY = -1
 #: log10 probabilities of places are held as whole numbers of this size.
 GRAIN = 1e-6
+#: Setting by which Spark removes the shuffle files of a query when it ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Columns of what a part asks about n-grams: follower, suffix's log10 probability in grains, context, count; and about
-#: contexts: number, count. Columns of the answers: follower, context, count, the n-gram's number; and of a kept context:
+#: contexts: number, count. Columns of the answers: the n-gram's number, follower, context, count; and of a kept context:
 #: number, count, log10 of the share that it leaves.
 GRAMS, CONTEXTS = (np.int64,) * 4, (np.int64,) * 2
 FOUND, KEPT = (np.int64,) * 4, (np.int64, np.int64, float)
@@ -207,11 +208,19 @@ class Places:
     logs: np.ndarray
 
     def packed(self) -> bytes:
-        return pack(*vars(self).values())
+        return pack(self.at, self.head - self.before(), self.seen, self.word, self.gram, self.logs)
 
     @staticmethod
     def of(blob: bytes) -> Places:
-        return Places(*unpack(blob, (np.int64,) * 6))
+        places = Places(*unpack(blob, (np.int64,) * 6))
+        places.head = places.head + places.before()
+        return places
+
+    def before(self) -> np.ndarray:
+        """The n-gram that ends at the place before, which is the context there: it is stored once. Zero if that place isn't examined."""
+        out = np.zeros(len(self.at), dtype=np.int64)
+        out[1:] = np.where(np.diff(self.at) == 1, self.gram[:-1], 0)
+        return out
 
     def asked(self, train: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """``GRAMS`` and ``CONTEXTS``, each row once; ``train`` tells the places of training texts, which alone are counted.
@@ -233,7 +242,7 @@ class Places:
         A longer context is examined where its suffix is kept and the context itself is a frequent n-gram, which is the
         one that ends at the place before.
         """
-        next_, of, n, number = grams
+        number, next_, of, n = grams
         # Contexts by their place in the list of all that are asked about, n-grams by that and the word.
         heads = np.sort(self.head)
         heads = heads[np.append(True, heads[1:] != heads[:-1])[: len(heads)]]
@@ -292,21 +301,22 @@ def sums_by_text(sizes: np.ndarray, at: np.ndarray, values: np.ndarray) -> bytes
 
 def gathered(asked: DataFrame, slots: int) -> DataFrame:
     """What a slot keeps of ``slot, part, grams, contexts`` (packed): rows ``slot, head, next, n, before, number`` of the n-grams
-    that occur ``LEAST`` times and of the contexts (next: ANY), and for each part what it asked for of them, packed."""
+    that occur ``LEAST`` times and of the contexts (next: ANY), and for each part which of these n-grams (their places in the slot's
+    list, in order of number) and contexts it asked for, packed."""
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         slot = key[0].as_py()
         parts = group.column("part").to_pylist()
         packs = [unpack(b, GRAMS) for b in group.column("grams").to_pylist()]
         next_, before, head, n = (np.concatenate([p[i] for p in packs]) for i in range(4))
-        order, first = runs(head, next_)
+        order, first = runs(next_, head)
         times = np.add.reduceat(n[order], first) if len(first) else n
         often = times >= LEAST
-        asked = np.zeros(len(order), dtype=bool)
-        asked[order] = np.repeat(often, np.diff(np.append(first, len(order))))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), np.diff(np.append(first, len(order))))
         rows = order[first][often]
         cuts = np.cumsum([len(p[0]) for p in packs])[:-1]
-        mine = [pack(w[m], h[m]) for w, h, m in zip(*(np.split(x, cuts) for x in (next_, head, asked)), strict=True)]
+        mine = [pack(x[x >= 0]) for x in np.split(place, cuts)]
         contexts = group.column("contexts").to_pylist()
         whole, seen = unpack_all(contexts, CONTEXTS)
         order, first = runs(whole)
@@ -348,20 +358,16 @@ def answered(found: DataFrame) -> DataFrame:
         of_context = next_ == ANY
         contexts = [x[of_context][np.argsort(head[of_context])] for x in (head, n, left)]
         next_, head, n, number = (x[~of_context] for x in (next_, head, n, number))
-        order = np.lexsort((head, next_))
+        order = np.argsort(number)
         next_, head, n, number = (x[order] for x in (next_, head, n, number))
-        words = next_[np.append(True, next_[1:] != next_[:-1])[: len(next_)]]
-        code = np.searchsorted(words, next_) << 42 | head
         out: dict[str, list] = {"part": [], "grams": [], "contexts": []}
         for part, grams, asked_contexts in zip(*(asked.column(c).to_pylist() for c in out), strict=True):
-            # All n-grams in a part's list are frequent, so they are there.
-            w, h = unpack(grams, (np.int64, np.int64))
-            rows = np.searchsorted(code, np.searchsorted(words, w) << 42 | h)
+            (rows,) = unpack(grams, (np.int64,))
             asked_heads, _ = unpack(asked_contexts, CONTEXTS)
             at = np.minimum(np.searchsorted(contexts[0], asked_heads), max(0, len(contexts[0]) - 1))
             at = at[contexts[0][at] == asked_heads] if len(contexts[0]) else at[:0]
             if len(rows) or len(at):
-                for c, x in zip(out, (part, pack(next_[rows], head[rows], n[rows], number[rows]), pack(*(x[at] for x in contexts))), strict=True):
+                for c, x in zip(out, (part, pack(number[rows], next_[rows], head[rows], n[rows]), pack(*(x[at] for x in contexts))), strict=True):
                     out[c].append(x)
         return pa.table({c: pa.array(x, pa.int64() if c == "part" else pa.binary()) for c, x in out.items()})
 
@@ -383,15 +389,19 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     folder = shared_dir(spark)
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+        """The rows as a table; the shuffle files of its writing go with it, as the driver's collection of garbage may come too late."""
+        before = spark.conf.get(CLEANED)
+        spark.conf.set(CLEANED, "true")
+        try:
+            df.write.parquet(f"{folder}/{name}")
+        finally:
+            spark.conf.set(CLEANED, before)
         return spark.read.parquet(f"{folder}/{name}")
 
     def dropped(*names: str) -> None:
-        """Tables of finished steps go at once; their shuffle files when the driver has collected what refers to them."""
+        """Tables of finished steps go at once."""
         for name in names:
             delete_folder(spark, f"{folder}/{name}")
-        gc.collect()
-        spark._jvm.System.gc()
 
     rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(train_col).alias("train"))
     kind = rows.schema["_id"].dataType.simpleString()
@@ -460,18 +470,17 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     given = words.filter("part is not null").select("part", "packed")
     live = stored(parts.select("part", "ids", "sizes", "train", "tokens").groupBy("part").cogroup(given.groupBy("part")).applyInArrow(begin, state), "level0")
-    texts = live.select("part", "ids", "train", "gained")
+    texts = stored(live.select("part", "ids", "train", "gained"), "texts")
     gains = spark.createDataFrame([], "of_part long, gain binary")
     dropped("parts", "words")
     level = 0
     while live.agg(F.sum("n_places")).first()[0]:
         level += 1
         found = stored(gathered(arrow_map(live, ask, "slot int, part long, grams binary, contexts binary"), slots), f"found{level}")
-        dropped()
         live = stored(live.filter("n_places > 0").groupBy("part").cogroup(answered(found).withColumnRenamed("part", "of_part").groupBy("of_part")).applyInArrow(advance, state), f"level{level}")
-        gains = gains.unionAll(live.select(F.col("part").alias("of_part"), F.col("gained").alias("gain")))
-        del found
-        dropped(f"found{level}")  # what a level gained is read at the end
+        gains = gains.unionAll(stored(live.select(F.col("part").alias("of_part"), F.col("gained").alias("gain")), f"gains{level}"))
+        dropped(f"found{level}", f"level{level - 1}")  # what a level gained is read at the end
+    dropped(f"level{level}")
     schema = f"_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double"
     scored = texts.groupBy("part").cogroup(gains.groupBy("of_part")).applyInArrow(score, schema)
     return scored.withColumnsRenamed({"_id": id_col, "train": train_col}), total

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -321,6 +322,24 @@ def test_suffix_tree_against_its_definition(spark, tmp_path, monkeypatch):
         assert math.isclose(sum(tree.p(context, w) for w in everything), 1.0, rel_tol=1e-4)
 
 
+def test_suffix_tree_keeps_no_files_of_finished_steps(spark, tmp_path, monkeypatch):
+    """Only the texts and what each level gained are left on the disk; shuffle files go with the step that wrote them (those of totals, a few bytes, later)."""
+    monkeypatch.setattr(suffix_tree_lm, "PART", 100)
+    monkeypatch.setattr(suffix_tree_lm, "shared_dir", lambda _: f"file://{tmp_path}/steps")
+    spill = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle") and f.length() > 1000}
+    before, setting = spill(), spark.conf.get(suffix_tree_lm.CLEANED)
+    rows = spark.createDataFrame([(i, "a cold river runs by " * 9, i % 7 != 2) for i in range(40)], "doc_id long, text string, train boolean")
+    scored, _ = suffix_tree_lm.score_texts(rows)
+    for _ in range(50):  # files are removed by messages to the block managers
+        if not (left := spill() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(suffix_tree_lm.CLEANED) == setting
+    kept = {p.name for p in (tmp_path / "steps").iterdir()}
+    assert "texts" in kept and "gains2" in kept and all(n == "texts" or n.startswith("gains") for n in kept)
+    assert scored.count() == 40
+
+
 def test_whole_secrets_are_redacted():
     """All lines of a private key, all parts of a bearer token, a token around a run of hex digits, context behind."""
     random = np.random.default_rng(11)
