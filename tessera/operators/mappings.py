@@ -1,8 +1,9 @@
 """Source items to documents of six kinds, by tables of rules that are compiled into one projection.
 
 A rule says where a value of a document comes from, how it is taken, and whether it must be there. ``mapped`` turns
-all rules into one select: a document and a ledger of its faults, in the order of the rules. Images and rich texts are
-exploded to narrow rows, resolved by joins and by the parser, and come back with one grouping on the item's digest.
+all rules into one select: a document and a ledger of its faults, in the order of the rules. An item's fields are taken
+apart once, into a struct of those that rules name. What items ask of images and rich texts is told apart by its digest:
+each distinct one is exploded to narrow rows, resolved by joins and by the parser, and joined to the items that ask it.
 """
 
 from __future__ import annotations
@@ -129,18 +130,26 @@ CODES = {
     },
 }
 #: White space that is cut from both ends of a text.
-BLANK = r"[\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
+BLANK = "\t\n\v\f\r \u00A0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 
 def cut(text: Column) -> Column:
     """The text without white space at its ends; null where nothing is left."""
-    return F.nullif(F.regexp_replace(text, f"^{BLANK}|{BLANK}$", ""), F.lit(""))
+    return F.nullif(F.btrim(text, F.lit(BLANK)), F.lit(""))
+
+
+def taken_apart(sources: Sequence[str]) -> Column:
+    """``_fields`` as a struct of the fields that stand first in ``sources``, each a variant; null if it is no object."""
+    names = dict.fromkeys(s.split(".")[0] for s in sources if not s.startswith("@"))
+    return F.try_variant_get(F.col("_fields"), "$", ", ".join(f"`{n}`: variant" for n in names).join(("struct<", ">")))
 
 
 def at(source: str, as_type: str = "variant") -> Column:
-    """What is found in ``_fields`` at a path of names, each quoted."""
-    path = "$" + "".join(f'["{name}"]' for name in source.split("."))
-    return F.try_variant_get(F.col("_fields"), path, as_type)
+    """What is found in ``_top``, the fields taken apart, at a path of names."""
+    top, *below = source.split(".")
+    found = F.col("_top").getField(top)
+    path = "$" + "".join(f'["{name}"]' for name in below)
+    return found if path == "$" and as_type == "variant" else F.try_variant_get(found, path, as_type)
 
 
 def shape(value: Column) -> Column:
@@ -162,41 +171,49 @@ _PARTS = f"array<struct<target: string, pos: int, file_id: string, alt: string,
 
 
 def _slots(rule: Rule) -> Column:
-    """The image slots of one rule: ``target, pos, file_id, url, alt``, of all kinds of items."""
+    """What one rule asks: ``target, pos, file_id, url, alt, rich, html`` of each image or of a rich text; null if nothing."""
+    if rule.take.startswith("html"):
+        none = F.lit(None).cast("string")
+        html = F.struct(F.lit(rule.target).alias("target"), F.lit(0).alias("pos"), none.alias("file_id"), none.alias("url"), none.alias("alt"), F.lit(True).alias("rich"), text_at(rule.source).alias("html"))
+        return F.when(given(rule.source), F.array(html))
     found = F.array(at(rule.source)) if rule.take == "image" else at(rule.source, "array<variant>")
-    asked = (F.col("_kind") == rule.kind) & (given(rule.source) if rule.take == "image" else shape(at(rule.source)).startswith("ARRAY"))
+    asked = given(rule.source) if rule.take == "image" else shape(at(rule.source)).startswith("ARRAY")
     text = lambda v, name: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING", cut(F.try_variant_get(v, f"$.{name}", "string")))
-    slot = lambda v, i: F.struct(F.lit(rule.target).alias("target"), i.alias("pos"), text(v, "fileId").alias("file_id"), text(v, "url").alias("url"), text(v, "alt").alias("alt"))
+    slot = lambda v, i: F.struct(F.lit(rule.target).alias("target"), i.alias("pos"), text(v, "fileId").alias("file_id"), text(v, "url").alias("url"), text(v, "alt").alias("alt"), F.lit(False).alias("rich"), F.lit(None).cast("string").alias("html"))
     return F.when(asked, F.transform(found, slot))
 
 
-def _parts(keyed: DataFrame, assets: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``_key, parts``: images resolved and texts parsed, of each item that has any."""
-    images = [_slots(r) for r in rules if r.take in ("image", "images")]
-    texts = [F.when((F.col("_kind") == r.kind) & given(r.source), F.struct(F.lit(r.target).alias("target"), text_at(r.source).alias("html"))) for r in rules if r.take.startswith("html")]
+def _asks(rules: Sequence[Rule]) -> Column:
+    """All that an item asks, by its kind; of two rules with one target the second where the first asks nothing."""
+    out = F.lit(None).cast("array<struct<target: string, pos: int, file_id: string, url: string, alt: string, rich: boolean, html: string>>")
+    for kind in dict.fromkeys(r.kind for r in rules):
+        by_target: dict[str, list[Column]] = {}
+        for r in rules:
+            if r.kind == kind and r.take.rstrip("!") in ("image", "images", "html"):
+                by_target.setdefault(r.target, []).append(_slots(r))
+        if by_target:
+            all_ = F.flatten(F.filter(F.array(*[F.coalesce(*x) for x in by_target.values()]), lambda x: x.isNotNull()))
+            out = F.when(F.col("_kind") == kind, all_).otherwise(out)
+    return out
+
+
+def _parts(asked: DataFrame, assets: DataFrame) -> DataFrame:
+    """``_key, parts``: images resolved and texts parsed of each row of ``_key, _asks``, whose keys differ."""
     known = assets.select(F.col("key").alias("_asset"), F.col("ref").alias("_ref")).filter("_asset is not null and _ref is not null").groupBy("_asset").agg(F.min("_ref").alias("_ref"))
-    out = []
-    if images:
-        slots = keyed.select("_key", F.explode(F.flatten(F.filter(F.array(*images), lambda x: x.isNotNull()))).alias("s")).select("_key", "s.*").dropDuplicates(["_key", "target", "pos"])
-        by_url = known.select(F.col("_asset").alias("_by_url"), F.col("_ref").alias("_url_ref"))
-        # The URL is asked only for slots whose file is unknown. What is not asked has a key of the item's own, as nulls would all meet in one task.
-        alone = F.concat(F.lit("\0"), "_key")
-        tried = slots.withColumn("_file", F.coalesce("file_id", alone)).join(known, F.col("_file") == F.col("_asset"), "left")
-        tried = tried.withColumn("_ask", F.coalesce(F.when(F.col("_ref").isNull(), F.col("url")), alone))
-        named = tried.join(by_url, F.col("_ask") == F.col("_by_url"), "left").withColumn("ref", F.coalesce("_ref", "_url_ref"))
-        fault = F.when(F.col("file_id").isNull(), "missing file id").when(F.col("url").isNull(), "missing url").when(~F.coalesce(F.startswith("ref", F.lit("image-")), F.lit(False)), "no asset")
-        out.append(named.select("_key", "target", "pos", "file_id", "alt", "ref", F.lit(None).cast(f"array<{BLOCK}>").alias("blocks"), fault.alias("fault")))
-    if texts:
-        html = keyed.select("_key", F.explode(F.filter(F.array(*texts), lambda x: x.isNotNull())).alias("s"))
-        named = html.select(F.concat_ws("#", "_key", "s.target").alias("place"), "s.html").dropDuplicates(["place"])
-        read = rich_text(named, "place", "html")
-        none = F.lit(None).cast("string")
-        place = F.split("place", "#", 2)
-        out.append(read.select(place[0].alias("_key"), place[1].alias("target"), F.lit(0).alias("pos"), none.alias("file_id"), none.alias("alt"), none.alias("ref"), "blocks", F.col("error").alias("fault")))
-    if not out:
-        return keyed.select("_key", F.lit(None).cast(_PARTS).alias("parts")).limit(0)
-    rows = out[0] if len(out) == 1 else out[0].unionByName(out[1])
-    return rows.groupBy("_key").agg(F.collect_list(F.struct("target", "pos", "file_id", "alt", "ref", "blocks", "fault")).alias("parts"))
+    each = lambda rich: asked.select("_key", F.explode(F.filter("_asks", lambda x: x["rich"] == rich)).alias("s")).select("_key", "s.*")
+    by_url = known.select(F.col("_asset").alias("_by_url"), F.col("_ref").alias("_url_ref"))
+    # The URL is asked only for slots whose file is unknown. What is not asked has a key of the item's own, as nulls would all meet in one task.
+    alone = F.concat(F.lit("\0"), "_key")
+    tried = each(False).withColumn("_file", F.coalesce("file_id", alone)).join(known, F.col("_file") == F.col("_asset"), "left")
+    tried = tried.withColumn("_ask", F.coalesce(F.when(F.col("_ref").isNull(), F.col("url")), alone))
+    named = tried.join(by_url, F.col("_ask") == F.col("_by_url"), "left").withColumn("ref", F.coalesce("_ref", "_url_ref"))
+    fault = F.when(F.col("file_id").isNull(), "missing file id").when(F.col("url").isNull(), "missing url").when(~F.coalesce(F.startswith("ref", F.lit("image-")), F.lit(False)), "no asset")
+    images = named.select("_key", "target", "pos", "file_id", "alt", "ref", F.lit(None).cast(f"array<{BLOCK}>").alias("blocks"), fault.alias("fault"))
+    read = rich_text(each(True).select(F.concat_ws("#", "_key", "target").alias("place"), "html"), "place", "html")
+    none = F.lit(None).cast("string")
+    place = F.split("place", "#", 2)
+    texts = read.select(place[0].alias("_key"), place[1].alias("target"), F.lit(0).alias("pos"), none.alias("file_id"), none.alias("alt"), none.alias("ref"), "blocks", F.col("error").alias("fault"))
+    return images.unionByName(texts).groupBy("_key").agg(F.collect_list(F.struct("target", "pos", "file_id", "alt", "ref", "blocks", "fault")).alias("parts"))
 
 
 def _taken(rule: Rule, codes: dict[str, dict[str, str]]) -> tuple[Column, Column]:
@@ -275,11 +292,19 @@ def mapped(items: DataFrame, assets: DataFrame, rules: Sequence[Rule] = RULES, c
     count as empty. In the document nothing is null, and no object is empty. Equal items have equal rows, as many as there are.
     """
     keyed = items.select(F.col("kind").alias("_kind"), F.col("id").cast("string").alias("_id"), F.col("locale").alias("_locale"), F.col("created").alias("_created"), F.col("fields").alias("_fields"))
-    # Equal items share a digest, and with it their parts.
-    keyed = keyed.withColumn("_key", F.sha2(F.to_json(F.struct("_kind", "_fields")).cast("binary"), 256))
-    parts = _parts(keyed, assets, rules)
-    whole = keyed.join(parts.withColumnRenamed("_key", "_part_key"), F.col("_key") == F.col("_part_key"), "left")
-    whole = whole.withColumn("parts", F.coalesce("parts", F.array().cast(_PARTS)))
+    media = [r.source for r in rules if r.take.rstrip("!") in ("image", "images", "html")]
+    if media:
+        asking = keyed.withColumn("_top", taken_apart(media)).withColumn("_asks", _asks(rules)).drop("_top")
+        # Items that ask the same share a digest, and with it the parts. What asks nothing has a key of its own, as nulls would all meet in one task.
+        # No filter and no null here: the optimiser would push these below all that takes the fields apart, which then is done once a reference.
+        asking = asking.withColumn("_key", F.coalesce(F.when(F.size("_asks") > 0, F.sha2(F.to_json("_asks").cast("binary"), 256)), F.lit("")))
+        parts = _parts(asking.select("_key", "_asks").distinct(), assets).withColumnRenamed("_key", "_part_key")
+        alone = F.concat(F.lit("\0"), F.coalesce("_id", F.lit("")))
+        whole = asking.drop("_asks").withColumn("_key", F.when(F.col("_key") == "", alone).otherwise(F.col("_key"))).join(parts, F.col("_key") == F.col("_part_key"), "left")
+        whole = whole.withColumn("parts", F.coalesce("parts", F.array().cast(_PARTS)))
+    else:
+        whole = keyed.withColumn("parts", F.array().cast(_PARTS))
+    whole = whole.withColumn("_top", taken_apart(["slug", *(r.source for r in rules if r.source not in media)]))
     document, faults = F.lit(None).cast("string"), F.array(F.struct(F.lit("kind").alias("field"), F.lit("unknown").alias("fault")))
     for kind in dict.fromkeys(r.kind for r in rules):
         text, told = _document(kind, [r for r in rules if r.kind == kind], codes)

@@ -1,10 +1,12 @@
 """Items of six kinds against documents written by hand."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
-from tessera.operators.mappings import CODES, RULES, mapped
+from tessera.operators.mappings import CODES, RULES, cut, mapped
+from tessera.plans.mapping import mapped_documents, mapping_faults
 
 CODE = {table: {label: code for code, label in codes.items()} for table, codes in CODES.items()}
 ASSETS = [("f1", "image-1"), ("u2", "image-2"), ("f2", None), ("f3", "file-3"), ("f1", "image-9"), ("f4", "image-4"), ("u4", "image-u4")]
@@ -89,3 +91,17 @@ def test_empty_tables_and_names_of_rules(spark):
     items = spark.createDataFrame([], "kind string, id string, locale string, created string").withColumn("fields", F.try_parse_json("id"))
     assert mapped(items, spark.createDataFrame([], "key string, ref string")).count() == 0
     assert all(r.codes in CODES for r in RULES if r.codes)
+
+
+def test_fields_are_taken_apart_once(spark):
+    """No filter repeats what the projections work out, and what items ask is resolved once for all that ask the same."""
+    for query in (mapped_documents, mapping_faults):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        nodes = re.split(r"\n(?=[ :]*[+:]- )", plan)
+        assert not [n[:200] for n in nodes if n.lstrip(" :+-").startswith("Filter") and "try_variant_get" in n]
+        assert any("Aggregate [_key" in n and "_asks" in n for n in nodes)
+
+
+def test_no_space_is_cut_within_a_text(spark):
+    rows = spark.createDataFrame([(" a\u3000",), ("a \u0085",), ("\ufeff\v",)], "t string")
+    assert [r[0] for r in rows.select(cut(F.col("t"))).collect()] == ["a", "a \u0085", None]
