@@ -11,26 +11,29 @@ share of what is left by the distribution of the state's suffix, so every state'
 Counting. Every context with a follower that occurs ``LEAST`` times counts: what is learned of a passage depends on its
 own count, not on the size of the table. Texts are cut into parts of bounded size. A part sends its distinct n-grams of
 one length, packed, to the slots of a hash; a slot adds up what all parts sent, and keeps what is frequent. The test is
-a partial aggregation over these; then each slot answers the parts that asked. An n-gram is sent only if those a word
+an aggregation over the slots' sums; then each slot answers the parts that asked. Questions of a part are in an order that
+it can work out again, so answers name places in it and repeat no question. An n-gram is sent only if those a word
 shorter within it are frequent, so that longer ones are few, and the tree ends where no context is kept. Nothing but
-totals goes to the driver; parts, slots and states are tables in the shared folder.
+totals goes to the driver; parts, slots and states are tables in the shared folder, states in buckets by part, so that
+they stay where they are and only answers are shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, delete_folder, id_fold, shared_dir, table, utf8
+from .common import arrow_map, delete_folder, id_fold, shared_dir, table
 
 #: The token after the last word; no word holds a line feed.
 END = b"\n"
@@ -48,17 +51,36 @@ ANY = -1
 GRAIN = 1e-6
 #: Setting by which Spark removes the shuffle files of a query when it ends.
 CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Columns of what a part asks about n-grams: follower, suffix's log10 probability in grains, context, count; and about
-#: contexts: number, count. Columns of the answers: the n-gram's number, follower, context, count; and of a kept context:
-#: number, count, log10 of the share that it leaves.
+#: Bytes of texts that are taken apart at once, about; most buckets of a table of states.
+PIECE, BUCKETS = 8_000_000, 4096
+#: Columns of what a part asks about n-grams: context, follower, suffix's log10 probability in grains, count; and about
+#: contexts: number, count. Columns of the answers: a frequent n-gram's number, steps to its place among those asked about,
+#: count; and of a kept context: its place among those asked about, log10 of the share that it leaves.
 GRAMS, CONTEXTS = (np.int64,) * 4, (np.int64,) * 2
-FOUND, KEPT = (np.int64,) * 4, (np.int64, np.int64, float)
+FOUND, KEPT = (np.int64,) * 3, (np.int64, float)
 
 
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on; a copy into place, as a transposed array's tobytes() is slow."""
+    view = values.view(np.uint8).reshape(len(values), values.itemsize)
+    out = np.empty(view.shape[::-1], dtype=np.uint8)
+    out[:] = view.T
+    return out.tobytes()
+
+
+def from_planes(raw: bytes, size: int, n: int, at: int = 0) -> np.ndarray:
+    """``n`` whole numbers of so many bytes."""
+    planes_ = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+    out = np.empty((n, size), dtype=np.uint8)
+    for i in range(size):
+        out[:, i] = planes_[i]
+    return out.view(f"<i{size}").reshape(n)
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of whole numbers or doubles, compressed, in four bytes a value where all fit; the first is best in order."""
     out = []
@@ -67,7 +89,7 @@ def pack(*columns: np.ndarray) -> bytes:
         small = not len(raw) or -(1 << 31) <= raw.min() and raw.max() < 1 << 31
         raw = raw.astype("<i4") if small else raw
         size = 4 if small else 8
-        out.append(bytes([size]) + raw.view(np.uint8).reshape(-1, size).T.tobytes())
+        out += [bytes([size]), planes(raw)]
     return len(columns[0]).to_bytes(8, "little") + zstandard.compress(b"".join(out), 1)
 
 
@@ -75,8 +97,7 @@ def unpack(blob: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
     n, raw, at, out = int.from_bytes(blob[:8], "little"), zstandard.decompress(blob[8:]), 0, []
     for i, kind in enumerate(kinds):
         size = raw[at]
-        c = np.frombuffer(raw, np.uint8, n * size, at + 1).reshape(size, n).T
-        c = np.ascontiguousarray(c).view(f"<i{size}").reshape(n).astype(np.int64)
+        c = from_planes(raw, size, n, at + 1).astype(np.int64, copy=False)
         out.append(c.cumsum() if i == 0 else c.view(kind))
         at += 1 + n * size
     return out
@@ -99,21 +120,31 @@ def slots_of(head: np.ndarray, next_: np.ndarray, slots: int) -> np.ndarray:
     return (mixed(head, next_).view(np.uint64) % np.uint64(slots)).astype(np.int64)
 
 
-def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order in which equal rows of one or two columns are side by side, and where in it each run of them starts."""
-    one = columns[0]
-    if len(columns) == 2:
-        fits = not len(one) or all(c.min() >= 0 and c.max() < 1 << 31 for c in columns)
-        one = one << 32 | columns[1] if fits else None
-    order = np.lexsort(columns) if one is None else np.argsort(one)
-    change = np.zeros(len(order), dtype=bool)
-    change[:1] = True
-    for c in columns if one is None else [one]:
-        x = c[order]
-        change[1:] |= x[1:] != x[:-1]
+def runs(first: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order by one or two columns, equal rows side by side, and where in it each run of them starts."""
+    one = first
+    if second is not None:
+        small = not len(first) or all(c.min() >= 0 and c.max() < 1 << 31 for c in (first, second))
+        first, second = (first, second) if small else (np.unique(c, return_inverse=True)[1] for c in (first, second))
+        one = first << 32 | second
+    order = np.argsort(one)
+    one = one[order]
+    change = np.ones(len(order), dtype=bool)
+    change[1:] = one[1:] != one[:-1]
     return order, np.nonzero(change)[0]
 
 
+def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of runs of values."""
+    return np.add.reduceat(values, starts) if len(starts) else values[:0]
+
+
+def by_slot(slot: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by slot, which keeps that of equal ones, and where in it each slot starts (and the last one ends)."""
+    narrow = slot.astype(np.uint16) if slots < 1 << 16 else slot
+    return np.argsort(narrow, kind="stable"), np.append(0, np.bincount(slot, minlength=slots).cumsum())
+
+
 def cut(rows: DataFrame) -> DataFrame:
     """Parts of ``rows`` (``_id, text, train``): ids, flags and sizes of the texts, tokens as places in the part's word list.
 
@@ -122,31 +153,47 @@ def cut(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         part = TaskContext.get().partitionId() << 32
-        ids, train, codes, size = [], [], [], 0
-        number: dict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
+        ids, train, words, sizes, size = [], [], [], [], 0
 
         def finished() -> dict:
-            all_ = np.concatenate(codes)
-            sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-            n = np.bincount(all_[np.repeat(np.array(train, dtype=bool), sizes)], minlength=len(number))
+            coded, each = pa.chunked_array(words, pa.string()).dictionary_encode(), np.concatenate(sizes)
+            known = coded.chunk(coded.num_chunks - 1).dictionary.cast(pa.binary())
+            listed = [pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known), b" ")[0].as_py()] if len(known) else []
+            all_ = np.full(each.sum(), len(known), dtype="<i4")
+            inner = np.ones(len(all_), dtype=bool)
+            inner[each.cumsum() - 1] = False
+            all_[inner] = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
+            n = np.bincount(all_[np.repeat(np.array(train, dtype=bool), each)], minlength=len(known) + 1)
             return {
-                "part": [part], "ids": [ids], "train": [train], "sizes": [sizes], "n_tokens": [len(all_)],
-                "tokens": [zstandard.compress(all_.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)],
-                "words": [zstandard.compress(b" ".join(number), 3)], "n": [zstandard.compress(n.astype("<i8").tobytes(), 1)],
+                "part": [part], "ids": [ids], "train": [train], "sizes": [each], "n_tokens": [len(all_)],
+                "tokens": [zstandard.compress(planes(all_), 3)], "words": [zstandard.compress(b" ".join([*listed, END]), 3)], "n": [zstandard.compress(n.astype("<i8").tobytes(), 1)],
             }
 
         for b in batches:
-            for i, text, t in zip(b.column("_id").to_pylist(), utf8(b, "text"), b.column("train").to_pylist(), strict=True):
-                ids.append(i)
-                train.append(bool(t))
-                codes.append(np.array([*map(number.__getitem__, text.lower().split()), number[END]], dtype=np.int32))
-                size += len(codes[-1])
-                if size >= PART:
-                    yield finished()
-                    part += 1
-                    ids, train, codes, size = [], [], [], 0
-                    number.clear()
+            texts = pc.fill_null(b.column("text"), "")
+            length = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+            starts = np.unique(np.searchsorted(length, np.arange(0, length[-1] + 1 if len(length) else 0, PIECE), side="right"))
+            starts = np.unique(np.append(0, starts[starts < len(length)]))
+            for start, end in zip(starts, [*starts[1:], len(length)], strict=True):
+                split = pc.ascii_split_whitespace(pc.ascii_lower(texts[start:end]))
+                found = split.flatten()
+                some = pc.binary_length(found).to_numpy(zero_copy_only=False) > 0  # blanks at a text's ends give empty ones
+                ends = np.append(0, some.cumsum())[pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()]
+                found = found.filter(pa.array(some))
+                tokens = np.diff(ends, prepend=0) + 1
+                at, lasts = 0, tokens.cumsum()
+                while at < len(tokens):
+                    done = lasts[at - 1] if at else 0
+                    to = min(len(tokens), int(np.searchsorted(lasts, done + PART - size)) + 1)  # the text that fills the part is its last
+                    words.append(found[ends[at - 1] if at else 0 : ends[to - 1]])
+                    sizes.append(tokens[at:to])
+                    ids += b.column("_id")[start + at : start + to].to_pylist()
+                    train += [bool(t) for t in b.column("train")[start + at : start + to].to_pylist()]
+                    size, at = size + int(lasts[to - 1] - done), to
+                    if size >= PART:
+                        yield finished()
+                        part += 1
+                        ids, train, words, sizes, size = [], [], [], [], 0
         if ids:
             yield finished()
 
@@ -163,26 +210,23 @@ def word_answers(parts: DataFrame, slots: int) -> DataFrame:
             for part, words, n in zip(b.column("part").to_pylist(), b.column("words").to_pylist(), b.column("n").to_pylist(), strict=True):
                 words = zstandard.decompress(words).split(b" ")
                 n = np.frombuffer(zstandard.decompress(n), dtype="<i8")
-                slot = np.fromiter((xxhash.xxh64_intdigest(w) % slots for w in words), np.int64, len(words))
-                order = np.argsort(slot, kind="stable")
-                places = np.split(order, np.nonzero(np.diff(slot[order]))[0] + 1)
+                slot = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % slots
+                order, starts = by_slot(slot, slots)
+                places = [order[a:b] for a, b in zip(starts, starts[1:]) if b > a]
                 yield {
                     "slot": [int(slot[x[0]]) for x in places], "part": [part] * len(places), "packed": [pack(x, n[x]) for x in places],
                     "words": [zstandard.compress(b" ".join([words[i] for i in x.tolist()]), 1) for x in places],
                 }
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
-        asked = []
-        for part, words, packed in zip(*(group.column(c).to_pylist() for c in ("part", "words", "packed")), strict=True):
-            words = zstandard.decompress(words).split(b" ")
-            asked.append((part, np.fromiter(map(number.__getitem__, words), np.int64, len(words)), *unpack(packed, (np.int64, np.int64))))
-        counts = np.zeros(len(number), dtype=np.int64)
+        packs = [unpack(b, (np.int64, np.int64)) for b in group.column("packed").to_pylist()]
+        coded = pa.chunked_array([pc.split_pattern(pa.array([zstandard.decompress(w)], pa.binary()), pattern=b" ").flatten() for w in group.column("words").to_pylist()]).dictionary_encode()
+        asked = [(part, c.indices.to_numpy(), *p) for part, c, p in zip(group.column("part").to_pylist(), coded.chunks, packs, strict=True)]
+        counts = np.zeros(len(coded.chunk(coded.num_chunks - 1).dictionary), dtype=np.int64)
         for _, at, _, n in asked:
             counts[at] += n
         # Numbers that differ between slots without a count of all words.
-        numbers = np.arange(len(number)) * slots + key[0].as_py()
+        numbers = np.arange(len(counts)) * slots + key[0].as_py()
         return pa.table({
             "part": pa.array([x[0] for x in asked] + [None], pa.int64()), "packed": pa.array([pack(place, numbers[at], counts[at]) for _, at, place, _ in asked] + [None], pa.binary()),
             "total": pa.array([None] * len(asked) + [int(counts.sum())], pa.int64()), "words": pa.array([None] * len(asked) + [int((counts > 0).sum())], pa.int64()),
@@ -222,56 +266,76 @@ class Places:
         out[1:] = np.where(np.diff(self.at) == 1, self.gram[:-1], 0)
         return out
 
-    def asked(self, train: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """``GRAMS`` and ``CONTEXTS``, each row once; ``train`` tells the places of training texts, which alone are counted.
-
-        An n-gram is only asked about if the one without its first word is frequent.
+    def asked(self, slots: int) -> Asked:
+        """What the part asks about; an n-gram only if the one without its first word is frequent."""
+        order, first = runs(self.head, self.word)
+        start = np.zeros(len(order), dtype=np.int64)
+        start[first] = 1
+        of = np.empty(len(order), dtype=np.int64)
+        of[order] = start.cumsum() - 1
+        one = order[first]
+        heads = self.head[one]
+        new = np.ones(len(heads), dtype=bool)
+        new[1:] = heads[1:] != heads[:-1]
+        likely = np.nonzero(self.gram[one] >= 0)[0]
+        order, gram_starts = by_slot(slots_of(heads[likely], self.word[one[likely]], slots), slots)
+        contexts, context_starts = by_slot(slots_of(heads[new], np.full(new.sum(), ANY), slots), slots)
+        return Asked(of, one, new.cumsum() - 1, one[new], likely[order], gram_starts, contexts, context_starts)
+
+    def advance(self, asked: Asked, number: np.ndarray, times: np.ndarray, left: np.ndarray) -> tuple[Places, np.ndarray]:
+        """Take the answers: numbers (-1: not frequent) and counts of n-grams, what contexts leave (NaN: not kept).
+
+        The places with longer contexts to examine, and what each ``logs`` gained. A longer context is examined where its
+        suffix is kept and the context itself is a frequent n-gram, which is the one that ends at the place before.
         """
-        order, first = runs(self.head)
-        contexts = [self.head[order[first]], self.seen[order[first]]]
-        likely = self.gram >= 0
-        head, next_, before, n = self.head[likely], self.word[likely], self.logs[likely], train[likely].astype(np.int64)
-        order, first = runs(head, next_)
-        n = np.add.reduceat(n[order], first) if len(first) else n
-        order = order[first]
-        return [next_[order], before[order], head[order], n], contexts
+        seen, left, before = self.seen[asked.first][asked.context], left[asked.context], self.logs[asked.one]
+        kept, frequent = ~np.isnan(left), number >= 0
+        logs = np.rint(np.where(kept, np.nan_to_num(left) / GRAIN, 0.0) + before)
+        some = np.nonzero(kept & frequent)[0]
+        logs[some] = np.rint(np.log10((times[some] + SMOOTH * 10 ** (before[some] * GRAIN)) / (seen[some] + SMOOTH)) / GRAIN)
+        logs = logs.astype(np.int64)
+        rows = np.nonzero(kept[asked.of])[0]
+        rows = rows[(rows > 0) & (self.at[rows - 1] == self.at[rows] - 1)]
+        rows = rows[frequent[asked.of[rows - 1]]]
+        old, new = asked.of[rows - 1], asked.of[rows]
+        return Places(self.at[rows], number[old], times[old], self.word[rows], number[new], logs[new]), ((logs - before) * GRAIN)[asked.of]
 
-    def advance(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> tuple[Places, np.ndarray]:
-        """Take the answers (``FOUND``, ``KEPT``); the places with longer contexts to examine, and what each ``logs`` gained.
 
-        A longer context is examined where its suffix is kept and the context itself is a frequent n-gram, which is the
-        one that ends at the place before.
-        """
-        number, next_, of, n = grams
-        # Contexts by their place in the list of all that are asked about, n-grams by that and the word.
-        heads = np.sort(self.head)
-        heads = heads[np.append(True, heads[1:] != heads[:-1])[: len(heads)]]
-        place = np.searchsorted(heads, self.head)
-        seen, left = np.zeros(len(heads)), np.full(len(heads), np.nan)
-        at = np.searchsorted(heads, contexts[0])
-        seen[at], left[at] = contexts[1:]
-        seen, left = seen[place], left[place]
-        kept, likely = ~np.isnan(left), np.nonzero(self.gram >= 0)[0]
-        order = np.argsort(code := np.searchsorted(heads, of) << 40 | next_)
-        code, want = code[order], place[likely] << 40 | self.word[likely]
-        at = np.minimum(np.searchsorted(code, want), max(0, len(code) - 1))
-        hit = code[at] == want if len(code) else np.zeros(len(want), dtype=bool)
-        rows, at = likely[hit], order[at[hit]]
-        times, gram = np.zeros(len(self.at), dtype=np.int64), np.full(len(self.at), -1)
-        times[rows], gram[rows] = n[at], number[at]
-        frequent = gram >= 0
-        stored = np.log10((times + SMOOTH * 10 ** (self.logs * GRAIN)) / (seen + SMOOTH)) / GRAIN
-        logs = np.rint(np.where(kept & frequent, stored, np.where(kept, np.nan_to_num(left) / GRAIN, 0.0) + self.logs)).astype(np.int64)
-        rows = np.nonzero(kept)[0]
-        rows = rows[(rows > 0) & (self.at[rows - 1] == self.at[rows] - 1)]
-        rows = rows[gram[rows - 1] >= 0]
-        return Places(self.at[rows], gram[rows - 1], times[rows - 1], self.word[rows], gram[rows], logs[rows]), (logs - self.logs) * GRAIN
+@dataclass
+class Asked:
+    """The distinct n-grams of places (context and follower, in this order) and their contexts.
+
+    ``of``: each place's n-gram. ``one``, ``context``: a place of each n-gram, its context. ``first``: a place of each
+    context. ``grams``, ``contexts``: those asked about, by slot, and where in them each slot starts.
+    """
+
+    of: np.ndarray
+    one: np.ndarray
+    context: np.ndarray
+    first: np.ndarray
+    grams: np.ndarray
+    gram_starts: np.ndarray
+    contexts: np.ndarray
+    context_starts: np.ndarray
+
+    def answers(self, slots: list[int], grams: list[bytes | None], contexts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Packed ``FOUND`` or ``KEPT`` of slots as number and count of each n-gram, and what each context leaves."""
+        number, times, left = np.full(len(self.one), -1), np.zeros(len(self.one), dtype=np.int64), np.full(len(self.first), np.nan)
+        for slot, found, kept in zip(slots, grams, contexts, strict=True):
+            if found is not None:
+                x, steps, n = unpack(found, FOUND)
+                at = self.grams[self.gram_starts[slot] + steps.cumsum()]
+                number[at], times[at] = x, n
+            if kept is not None:
+                at, share = unpack(kept, KEPT)
+                left[self.contexts[self.context_starts[slot] + at]] = share
+        return number, times, left
 
 
 def token_counts(tokens: bytes, numbers: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Number and training count of each token of a part, from its coded tokens and its words' packed numbers and counts."""
-    raw = np.frombuffer(zstandard.decompress(tokens), dtype=np.uint8)
-    local = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4")[:, 0]
+    raw = zstandard.decompress(tokens)
+    local = from_planes(raw, 4, len(raw) // 4)
     number, count = unpack(numbers, (np.int64, np.int64))
     return number[local], count[local]
 
@@ -288,7 +352,7 @@ def root_places(word: np.ndarray, times: np.ndarray, sizes: np.ndarray, grains:
 
 def texts_of(sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which text of a part each place is in."""
-    return np.searchsorted(np.cumsum(sizes), at, side="right")
+    return np.repeat(np.arange(len(sizes)), sizes)[at]
 
 
 def sums_by_text(sizes: np.ndarray, at: np.ndarray, values: np.ndarray) -> bytes:
@@ -300,82 +364,87 @@ def sums_by_text(sizes: np.ndarray, at: np.ndarray, values: np.ndarray) -> bytes
 
 
 def gathered(asked: DataFrame, slots: int) -> DataFrame:
-    """What a slot keeps of ``slot, part, grams, contexts`` (packed): rows ``slot, head, next, n, before, number`` of the n-grams
-    that occur ``LEAST`` times and of the contexts (next: ANY), and for each part which of these n-grams (their places in the slot's
-    list, in order of number) and contexts it asked for, packed."""
+    """What a slot finds of ``slot, part, grams, contexts`` (packed): rows ``slot, head, known, before, gain`` of sums over the
+    followers that occur ``LEAST`` times, ``slot, head, seen`` of the contexts, and ``slot, part, grams, contexts`` with the answers
+    about n-grams, packed ``FOUND``, and the contexts that are asked about."""
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         slot = key[0].as_py()
-        parts = group.column("part").to_pylist()
         packs = [unpack(b, GRAMS) for b in group.column("grams").to_pylist()]
-        next_, before, head, n = (np.concatenate([p[i] for p in packs]) for i in range(4))
-        order, first = runs(next_, head)
-        times = np.add.reduceat(n[order], first) if len(first) else n
+        head, next_, before, n = (np.concatenate([p[i] for p in packs]) for i in range(4))
+        cuts = np.cumsum([len(p[0]) for p in packs])[:-1]
+        del packs
+        order, first = runs(head, next_)
+        times = sums(n[order], first)
         often = times >= LEAST
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), np.diff(np.append(first, len(order))))
-        rows = order[first][often]
-        cuts = np.cumsum([len(p[0]) for p in packs])[:-1]
-        mine = [pack(x[x >= 0]) for x in np.split(place, cuts)]
+        rows, times = order[first][often], times[often]
+        mine = []
+        for x in np.split(place, cuts):
+            at = np.nonzero(x >= 0)[0]
+            mine.append(pack(x[at] * slots + slot, np.diff(at, prepend=0), times[x[at]]) if len(at) else None)
         contexts = group.column("contexts").to_pylist()
         whole, seen = unpack_all(contexts, CONTEXTS)
         order, first = runs(whole)
         whole, seen = whole[order[first]], seen[order[first]]
-        m, k = len(rows), len(whole)
-        of_rows = {
-            "head": np.concatenate([head[rows], whole]), "next": np.concatenate([next_[rows], np.full(k, ANY)]), "n": np.concatenate([times[often], seen]),
-            "before": np.concatenate([10 ** (before[rows] * GRAIN), np.zeros(k)]), "number": np.concatenate([np.arange(m) * slots + slot, np.zeros(k, dtype=np.int64)]),
-        }
-        columns = {"slot": pa.array(np.full(m + k + len(parts), slot, dtype=np.int32))}
-        columns |= {c: pa.concat_arrays([pa.array(x), pa.nulls(len(parts), pa.array(x).type)]) for c, x in of_rows.items()}
-        columns |= {c: pa.concat_arrays([pa.nulls(m + k, kind), pa.array(x, kind)]) for c, kind, x in (("part", pa.int64(), parts), ("grams", pa.binary(), mine), ("contexts", pa.binary(), contexts))}
-        return pa.table(columns)
+        heads, logs = head[rows], before[rows] * (GRAIN * np.log(10))
+        starts = np.nonzero(np.append(True, heads[1:] != heads[:-1])[: len(heads)])[0]
+        m, k, q = len(starts), len(whole), len(contexts)
+        absent = lambda n, kind: pa.nulls(n, kind)
+        long, double, binary = pa.int64(), pa.float64(), pa.binary()
+        return pa.table({
+            "slot": pa.array(np.full(m + k + q, slot, dtype=np.int32)),
+            "head": pa.concat_arrays([pa.array(heads[starts], long), pa.array(whole, long), absent(q, long)]),
+            "seen": pa.concat_arrays([absent(m, long), pa.array(seen, long), absent(q, long)]),
+            "known": pa.concat_arrays([pa.array(sums(times, starts), long), absent(k + q, long)]),
+            "before": pa.concat_arrays([pa.array(sums(np.exp(logs), starts), double), absent(k + q, double)]),
+            "gain": pa.concat_arrays([pa.array(sums(times * (np.log(times) - logs), starts), double), absent(k + q, double)]),
+            "part": pa.concat_arrays([absent(m + k, long), group.column("part").combine_chunks().cast(long)]),
+            "grams": pa.concat_arrays([absent(m + k, binary), pa.array(mine, binary)]),
+            "contexts": pa.concat_arrays([absent(m + k, binary), pa.array(contexts, binary)]),
+        })
 
-    return asked.groupBy("slot").applyInArrow(merge, "slot int, head long, next long, n long, before double, number long, part long, grams binary, contexts binary")
+    return asked.groupBy("slot").applyInArrow(merge, "slot int, head long, seen long, known long, before double, gain double, part long, grams binary, contexts binary")
 
 
 def kept_contexts(found: DataFrame) -> DataFrame:
-    """``slot, head, seen, left`` of the contexts that pass the test: count, and log10 of the share of their suffix's rest that they leave."""
-    follows = F.col("next") != ANY
-    n, before = F.when(follows, F.col("n")), F.when(follows, F.col("before"))
-    sums = found.groupBy("head").agg(
-        F.max(F.when(~follows, F.col("n"))).cast("double").alias("seen"), F.max(F.when(~follows, F.col("slot"))).alias("slot"),
-        F.sum(n).cast("double").alias("known"), F.sum(before).alias("before"), F.sum(n * (F.log(n) - F.log(before))).alias("gain"),
+    """``slot, head, left`` of the contexts that pass the test: log10 of the share of their suffix's rest that they leave."""
+    sums_ = found.groupBy("head").agg(
+        F.max("seen").cast("double").alias("seen"), F.max(F.when(F.col("seen").isNotNull(), F.col("slot"))).alias("slot"),
+        F.sum("known").cast("double").alias("known"), F.sum("before").alias("before"), F.sum("gain").alias("gain"),
     )
     seen, known = F.col("seen"), F.col("known")
     more, left_before = seen - known, F.greatest(F.lit(1e-12), 1 - F.col("before"))
     gain = F.col("gain") - known * F.log(seen) + F.when(more > 0, more * F.log(more / seen / left_before)).otherwise(0.0)
     stored = (known + SMOOTH * F.col("before")) / (seen + SMOOTH)
     left = F.log10(F.greatest(F.lit(1e-12), 1 - stored) / left_before)
-    return sums.filter("known > 0").filter(gain >= DIVERGENCE).select("slot", "head", seen.cast("long").alias("seen"), left.alias("left"))
+    return sums_.filter("known > 0").filter(gain >= DIVERGENCE).select("slot", "head", left.alias("left"))
 
 
 def answered(found: DataFrame) -> DataFrame:
-    """``part, grams, contexts``: packed ``FOUND`` of the frequent n-grams that each part asked for, ``KEPT`` of its kept contexts."""
+    """``of_part, slot, grams, contexts``: packed ``FOUND`` of the n-grams that a part asked a slot about, or ``KEPT`` of the contexts."""
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        next_, head, n, number, left = (known.column(c).to_numpy() for c in ("next", "head", "n", "number", "left"))
-        of_context = next_ == ANY
-        contexts = [x[of_context][np.argsort(head[of_context])] for x in (head, n, left)]
-        next_, head, n, number = (x[~of_context] for x in (next_, head, n, number))
-        order = np.argsort(number)
-        next_, head, n, number = (x[order] for x in (next_, head, n, number))
-        out: dict[str, list] = {"part": [], "grams": [], "contexts": []}
-        for part, grams, asked_contexts in zip(*(asked.column(c).to_pylist() for c in out), strict=True):
-            (rows,) = unpack(grams, (np.int64,))
-            asked_heads, _ = unpack(asked_contexts, CONTEXTS)
-            at = np.minimum(np.searchsorted(contexts[0], asked_heads), max(0, len(contexts[0]) - 1))
-            at = at[contexts[0][at] == asked_heads] if len(contexts[0]) else at[:0]
-            if len(rows) or len(at):
-                for c, x in zip(out, (part, pack(number[rows], next_[rows], head[rows], n[rows]), pack(*(x[at] for x in contexts))), strict=True):
-                    out[c].append(x)
-        return pa.table({c: pa.array(x, pa.int64() if c == "part" else pa.binary()) for c, x in out.items()})
-
-    rows = found.filter("part is null").select("slot", "head", "next", "n", "before", "number")
-    asked = found.filter("part is not null").select(F.col("slot").alias("of_slot"), "part", "grams", "contexts")
-    follows = rows.filter(F.col("next") != ANY).select("slot", "next", "head", "n", "number", F.lit(0.0).alias("left"))
-    kept = kept_contexts(rows).select("slot", F.lit(ANY).cast("long").alias("next"), "head", F.col("seen").alias("n"), F.lit(0).cast("long").alias("number"), "left")
-    return asked.groupBy("of_slot").cogroup(follows.unionAll(kept).groupBy("slot")).applyInArrow(answer, "part long, grams binary, contexts binary")
+        heads, left = (known.column(c).to_numpy() for c in ("head", "left"))
+        order = np.argsort(heads)
+        heads, left = heads[order], left[order]
+        parts, packs = [], []
+        for part, blob in zip(asked.column("part").to_pylist(), asked.column("contexts").to_pylist(), strict=True):
+            asked_heads, _ = unpack(blob, CONTEXTS)
+            at = np.minimum(np.searchsorted(heads, asked_heads), max(0, len(heads) - 1))
+            hit = np.nonzero(heads[at] == asked_heads)[0] if len(heads) else at[:0]
+            if len(hit):
+                parts.append(part)
+                packs.append(pack(hit, left[at[hit]]))
+        slot = asked.column("of_slot")[0].as_py() if len(parts) else 0
+        return pa.table({"of_part": pa.array(parts, pa.int64()), "slot": pa.array([slot] * len(parts), pa.int32()), "grams": pa.nulls(len(parts), pa.binary()), "contexts": pa.array(packs, pa.binary())})
+
+    asked = found.filter("part is not null").select(F.col("slot").alias("of_slot"), "part", "contexts")
+    kept = kept_contexts(found.filter("part is null").select("slot", "head", "seen", "known", "before", "gain"))
+    of_contexts = asked.groupBy("of_slot").cogroup(kept.groupBy("slot")).applyInArrow(answer, "of_part long, slot int, grams binary, contexts binary")
+    of_grams = found.filter("part is not null and grams is not null").select(F.col("part").alias("of_part"), "slot", "grams", F.lit(None).cast("binary").alias("contexts"))
+    return of_grams.unionAll(of_contexts)
 
 
 def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> tuple[DataFrame, int]:
@@ -386,7 +455,7 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left out.
     """
     spark = rows.sparkSession
-    folder = shared_dir(spark)
+    folder, catalogued = shared_dir(spark), f"suffix_tree_{uuid.uuid4().hex}"
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         """The rows as a table; the shuffle files of its writing go with it, as the driver's collection of garbage may come too late."""
@@ -398,15 +467,28 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             spark.conf.set(CLEANED, before)
         return spark.read.parquet(f"{folder}/{name}")
 
+    def by_part(df: DataFrame, name: str) -> DataFrame:
+        """The rows as a table in buckets by part: what is joined by part is shuffled to them, they are not."""
+        before = spark.conf.get(CLEANED)
+        spark.conf.set(CLEANED, "true")
+        try:
+            df.write.format("parquet").bucketBy(buckets, "part").option("path", f"{folder}/{name}").saveAsTable(f"{catalogued}_{name}")
+        finally:
+            spark.conf.set(CLEANED, before)
+        return spark.table(f"{catalogued}_{name}")
+
     def dropped(*names: str) -> None:
         """Tables of finished steps go at once."""
         for name in names:
+            if name.startswith("level"):
+                spark.sql(f"DROP TABLE IF EXISTS {catalogued}_{name}")
             delete_folder(spark, f"{folder}/{name}")
 
     rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(train_col).alias("train"))
     kind = rows.schema["_id"].dataType.simpleString()
     parts = stored(cut(rows), "parts")
-    slots = max(1, -(-(parts.agg(F.sum("n_tokens")).first()[0] or 0) // SLOT))
+    n_tokens, n_parts = parts.agg(F.sum("n_tokens"), F.count("*")).first()
+    slots, buckets = max(1, -(-(n_tokens or 0) // SLOT)), min(BUCKETS, max(1, n_parts // 2))
     words = stored(word_answers(parts, slots), "words")
     total, distinct = (x or 0 for x in words.agg(F.sum("total"), F.sum("words")).first())
     state = f"part long, ids array<{kind}>, sizes array<long>, train array<boolean>, tokens binary, numbers binary, places binary, n_places long, gained binary"
@@ -439,20 +521,19 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i, part in enumerate(b.column("part").to_pylist()):
                 sizes, train = np.array(b.column("sizes")[i].as_py()), np.array(b.column("train")[i].as_py())
                 places = places_of(*(b.column(c)[i].as_py() for c in ("tokens", "numbers", "places")), sizes)
-                asked = places.asked(train[texts_of(sizes, places.at)])
-                packs: dict[int, list[bytes]] = defaultdict(lambda: [pack(*[np.zeros(0, dtype=np.int64)] * len(kind)) for kind in (GRAMS, CONTEXTS)])
-                for which, columns in enumerate(asked):
-                    slot = slots_of(columns[2], columns[0], slots) if which == 0 else slots_of(columns[0], np.full(len(columns[0]), ANY), slots)
-                    order = np.argsort(slot, kind="stable")
-                    for x in np.split(order, np.nonzero(np.diff(slot[order]))[0] + 1) if len(order) else []:
-                        x = x[np.argsort(columns[0][x], kind="stable")]
-                        packs[int(slot[x[0]])][which] = pack(*(c[x] for c in columns))
-                yield {"slot": list(packs), "part": [part] * len(packs), "grams": [p[0] for p in packs.values()], "contexts": [p[1] for p in packs.values()]}
+                asked = places.asked(slots)
+                n = np.bincount(asked.of[train[texts_of(sizes, places.at)]], minlength=len(asked.one))
+                grams, contexts = asked.one[asked.grams], asked.first[asked.contexts]
+                of_grams, of_contexts = [x[grams] for x in (places.head, places.word, places.logs)] + [n[asked.grams]], [x[contexts] for x in (places.head, places.seen)]
+                some = np.nonzero((np.diff(asked.gram_starts) > 0) | (np.diff(asked.context_starts) > 0))[0].tolist()
+                packs = [[pack(*(c[starts[s] : starts[s + 1]] for c in columns)) for s in some] for columns, starts in ((of_grams, asked.gram_starts), (of_contexts, asked.context_starts))]
+                yield {"slot": some, "part": [part] * len(some), "grams": packs[0], "contexts": packs[1]}
 
     def advance(key: tuple[pa.Scalar, ...], row: pa.Table, given: pa.Table) -> pa.Table:
         sizes = np.array(row.column("sizes")[0].as_py())
         places = places_of(*(row.column(c)[0].as_py() for c in ("tokens", "numbers", "places")), sizes)
-        longer, gained = places.advance(*(unpack_all(given.column(c).to_pylist(), kinds) for c, kinds in (("grams", FOUND), ("contexts", KEPT))))
+        asked = places.asked(slots)
+        longer, gained = places.advance(asked, *asked.answers(*(given.column(c).to_pylist() for c in ("slot", "grams", "contexts"))))
         none = {c: pa.nulls(1, row.schema.field(c).type) for c in ("ids", "tokens", "numbers")}
         new = {"places": [longer.packed()], "gained": [sums_by_text(sizes, places.at, gained)]}
         columns = {c: row.column(c) for c in ("part", "sizes", "train")} | none | {c: pa.array(x, pa.binary()) for c, x in new.items()} | {"n_places": pa.array([len(longer.at)], pa.int64())}
@@ -469,7 +550,7 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"_id": ids, "train": train} | {k: pa.array(v) for k, v in out.items()})
 
     given = words.filter("part is not null").select("part", "packed")
-    live = stored(parts.select("part", "ids", "sizes", "train", "tokens").groupBy("part").cogroup(given.groupBy("part")).applyInArrow(begin, state), "level0")
+    live = by_part(parts.select("part", "ids", "sizes", "train", "tokens").groupBy("part").cogroup(given.groupBy("part")).applyInArrow(begin, state), "level0")
     texts = stored(live.select("part", "ids", "train", "gained"), "texts")
     gains = spark.createDataFrame([], "of_part long, gain binary")
     dropped("parts", "words")
@@ -477,7 +558,7 @@ def score_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while live.agg(F.sum("n_places")).first()[0]:
         level += 1
         found = stored(gathered(arrow_map(live, ask, "slot int, part long, grams binary, contexts binary"), slots), f"found{level}")
-        live = stored(live.filter("n_places > 0").groupBy("part").cogroup(answered(found).withColumnRenamed("part", "of_part").groupBy("of_part")).applyInArrow(advance, state), f"level{level}")
+        live = by_part(live.filter("n_places > 0").groupBy("part").cogroup(answered(found).groupBy("of_part")).applyInArrow(advance, state), f"level{level}")
         gains = gains.unionAll(stored(live.select(F.col("part").alias("of_part"), F.col("gained").alias("gain")), f"gains{level}"))
         dropped(f"found{level}", f"level{level - 1}")  # what a level gained is read at the end
     dropped(f"level{level}")
