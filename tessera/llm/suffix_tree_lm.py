@@ -54,10 +54,13 @@ CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of texts that are taken apart at once, about; most buckets of a table of states.
 PIECE, BUCKETS = 8_000_000, 4096
 #: Columns of what a part asks about n-grams: context, follower, suffix's log10 probability in grains, count; and about
-#: contexts: number, count. Columns of the answers: a frequent n-gram's number, steps to its place among those asked about,
+#: contexts: number, count. Columns of the answers: a frequent n-gram's number in its slot, steps to its place among those asked about,
 #: count; and of a kept context: its place among those asked about, log10 of the share that it leaves.
 GRAMS, CONTEXTS = (np.int64,) * 4, (np.int64,) * 2
 FOUND, KEPT = (np.int64,) * 3, (np.int64, float)
+#: Of a slot's frequent n-grams, for the slot of their context: context, count, suffix's log10 probability in grains of those
+#: alone with their context there; else context and the sums of counts, probabilities and counts times log ratios.
+ALONE, SUMMED = (np.int64,) * 3, (np.int64, np.int64, float, float)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -120,6 +123,10 @@ def slots_of(head: np.ndarray, next_: np.ndarray, slots: int) -> np.ndarray:
     return (mixed(head, next_).view(np.uint64) % np.uint64(slots)).astype(np.int64)
 
 
+def contexts_slots(number: np.ndarray, slots: int) -> np.ndarray:
+    return slots_of(number, np.full(len(number), ANY), slots)
+
+
 def runs(first: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The order by one or two columns, equal rows side by side, and where in it each run of them starts."""
     one = first
@@ -157,12 +164,12 @@ def cut(rows: DataFrame) -> DataFrame:
 
         def finished() -> dict:
             coded, each = pa.chunked_array(words, pa.string()).dictionary_encode(), np.concatenate(sizes)
-            known = coded.chunk(coded.num_chunks - 1).dictionary.cast(pa.binary())
+            known = coded.chunk(coded.num_chunks - 1).dictionary.cast(pa.binary()) if coded.num_chunks else []  # no word at all
             listed = [pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known), b" ")[0].as_py()] if len(known) else []
             all_ = np.full(each.sum(), len(known), dtype="<i4")
             inner = np.ones(len(all_), dtype=bool)
             inner[each.cumsum() - 1] = False
-            all_[inner] = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
+            all_[inner] = np.concatenate([np.zeros(0, dtype=np.int32), *(c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks)])
             n = np.bincount(all_[np.repeat(np.array(train, dtype=bool), each)], minlength=len(known) + 1)
             return {
                 "part": [part], "ids": [ids], "train": [train], "sizes": [each], "n_tokens": [len(all_)],
@@ -225,8 +232,9 @@ def word_answers(parts: DataFrame, slots: int) -> DataFrame:
         counts = np.zeros(len(coded.chunk(coded.num_chunks - 1).dictionary), dtype=np.int64)
         for _, at, _, n in asked:
             counts[at] += n
-        # Numbers that differ between slots without a count of all words.
-        numbers = np.arange(len(counts)) * slots + key[0].as_py()
+        # Numbers that differ between slots without a count of all words; frequent words have small ones, which pack well.
+        numbers = np.empty(len(counts), dtype=np.int64)
+        numbers[np.argsort(-counts)] = np.arange(len(counts)) * slots + key[0].as_py()
         return pa.table({
             "part": pa.array([x[0] for x in asked] + [None], pa.int64()), "packed": pa.array([pack(place, numbers[at], counts[at]) for _, at, place, _ in asked] + [None], pa.binary()),
             "total": pa.array([None] * len(asked) + [int(counts.sum())], pa.int64()), "words": pa.array([None] * len(asked) + [int((counts > 0).sum())], pa.int64()),
@@ -279,7 +287,7 @@ class Places:
         new[1:] = heads[1:] != heads[:-1]
         likely = np.nonzero(self.gram[one] >= 0)[0]
         order, gram_starts = by_slot(slots_of(heads[likely], self.word[one[likely]], slots), slots)
-        contexts, context_starts = by_slot(slots_of(heads[new], np.full(new.sum(), ANY), slots), slots)
+        contexts, context_starts = by_slot(contexts_slots(heads[new], slots), slots)
         return Asked(of, one, new.cumsum() - 1, one[new], likely[order], gram_starts, contexts, context_starts)
 
     def advance(self, asked: Asked, number: np.ndarray, times: np.ndarray, left: np.ndarray) -> tuple[Places, np.ndarray]:
@@ -325,7 +333,7 @@ class Asked:
             if found is not None:
                 x, steps, n = unpack(found, FOUND)
                 at = self.grams[self.gram_starts[slot] + steps.cumsum()]
-                number[at], times[at] = x, n
+                number[at], times[at] = x * (len(self.gram_starts) - 1) + slot, n
             if kept is not None:
                 at, share = unpack(kept, KEPT)
                 left[self.contexts[self.context_starts[slot] + at]] = share
@@ -364,9 +372,9 @@ def sums_by_text(sizes: np.ndarray, at: np.ndarray, values: np.ndarray) -> bytes
 
 
 def gathered(asked: DataFrame, slots: int) -> DataFrame:
-    """What a slot finds of ``slot, part, grams, contexts`` (packed): rows ``slot, head, known, before, gain`` of sums over the
-    followers that occur ``LEAST`` times, ``slot, head, seen`` of the contexts, and ``slot, part, grams, contexts`` with the answers
-    about n-grams, packed ``FOUND``, and the contexts that are asked about."""
+    """What a slot finds of ``slot, part, grams, contexts`` (packed): rows ``slot, alone, summed`` for the slots of the contexts of
+    n-grams that occur ``LEAST`` times, packed, and ``slot, part, grams, contexts`` with the answers about n-grams, packed
+    ``FOUND``, and the contexts that are asked about. A frequent context sends each slot a row at most."""
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         slot = key[0].as_py()
@@ -383,66 +391,69 @@ def gathered(asked: DataFrame, slots: int) -> DataFrame:
         mine = []
         for x in np.split(place, cuts):
             at = np.nonzero(x >= 0)[0]
-            mine.append(pack(x[at] * slots + slot, np.diff(at, prepend=0), times[x[at]]) if len(at) else None)
-        contexts = group.column("contexts").to_pylist()
-        whole, seen = unpack_all(contexts, CONTEXTS)
-        order, first = runs(whole)
-        whole, seen = whole[order[first]], seen[order[first]]
-        heads, logs = head[rows], before[rows] * (GRAIN * np.log(10))
+            mine.append(pack(x[at], np.diff(at, prepend=0), times[x[at]]) if len(at) else None)
+        heads, logs = head[rows], before[rows]
         starts = np.nonzero(np.append(True, heads[1:] != heads[:-1])[: len(heads)])[0]
-        m, k, q = len(starts), len(whole), len(contexts)
-        absent = lambda n, kind: pa.nulls(n, kind)
-        long, double, binary = pa.int64(), pa.float64(), pa.binary()
+        single = np.diff(np.append(starts, len(heads))) == 1
+        to, (p, lone) = contexts_slots(heads[starts], slots), (sums(10 ** (logs * GRAIN), starts), starts[single])
+        gain = sums(times * (np.log(times) - logs * (GRAIN * np.log(10))), starts)
+        columns = [(heads[lone], times[lone], logs[lone]), tuple(x[~single] for x in (heads[starts], sums(times, starts), p, gain))]
+        packs: dict[int, list[bytes | None]] = {}
+        for which, (xs, slot_of) in enumerate(zip(columns, (to[single], to[~single]), strict=True)):
+            order, ends = by_slot(slot_of, slots)
+            xs = [x[order] for x in xs]
+            for s in np.nonzero(np.diff(ends))[0].tolist():
+                packs.setdefault(s, [None, None])[which] = pack(*(x[ends[s] : ends[s + 1]] for x in xs))
+        m, q = len(packs), len(mine)
+        binary = pa.binary()
+        none = lambda n, kind=binary: pa.nulls(n, kind)
         return pa.table({
-            "slot": pa.array(np.full(m + k + q, slot, dtype=np.int32)),
-            "head": pa.concat_arrays([pa.array(heads[starts], long), pa.array(whole, long), absent(q, long)]),
-            "seen": pa.concat_arrays([absent(m, long), pa.array(seen, long), absent(q, long)]),
-            "known": pa.concat_arrays([pa.array(sums(times, starts), long), absent(k + q, long)]),
-            "before": pa.concat_arrays([pa.array(sums(np.exp(logs), starts), double), absent(k + q, double)]),
-            "gain": pa.concat_arrays([pa.array(sums(times * (np.log(times) - logs), starts), double), absent(k + q, double)]),
-            "part": pa.concat_arrays([absent(m + k, long), group.column("part").combine_chunks().cast(long)]),
-            "grams": pa.concat_arrays([absent(m + k, binary), pa.array(mine, binary)]),
-            "contexts": pa.concat_arrays([absent(m + k, binary), pa.array(contexts, binary)]),
+            "slot": pa.array([*packs, *[slot] * q], pa.int32()),
+            "alone": pa.concat_arrays([pa.array([x[0] for x in packs.values()], binary), none(q)]), "summed": pa.concat_arrays([pa.array([x[1] for x in packs.values()], binary), none(q)]),
+            "part": pa.concat_arrays([none(m, pa.int64()), group.column("part").combine_chunks().cast(pa.int64())]),
+            "grams": pa.concat_arrays([none(m), pa.array(mine, binary)]), "contexts": pa.concat_arrays([none(m), group.column("contexts").combine_chunks().cast(binary)]),
         })
 
-    return asked.groupBy("slot").applyInArrow(merge, "slot int, head long, seen long, known long, before double, gain double, part long, grams binary, contexts binary")
+    return asked.groupBy("slot").applyInArrow(merge, "slot int, alone binary, summed binary, part long, grams binary, contexts binary")
 
 
-def kept_contexts(found: DataFrame) -> DataFrame:
-    """``slot, head, left`` of the contexts that pass the test: log10 of the share of their suffix's rest that they leave."""
-    sums_ = found.groupBy("head").agg(
-        F.max("seen").cast("double").alias("seen"), F.max(F.when(F.col("seen").isNotNull(), F.col("slot"))).alias("slot"),
-        F.sum("known").cast("double").alias("known"), F.sum("before").alias("before"), F.sum("gain").alias("gain"),
-    )
-    seen, known = F.col("seen"), F.col("known")
-    more, left_before = seen - known, F.greatest(F.lit(1e-12), 1 - F.col("before"))
-    gain = F.col("gain") - known * F.log(seen) + F.when(more > 0, more * F.log(more / seen / left_before)).otherwise(0.0)
-    stored = (known + SMOOTH * F.col("before")) / (seen + SMOOTH)
-    left = F.log10(F.greatest(F.lit(1e-12), 1 - stored) / left_before)
-    return sums_.filter("known > 0").filter(gain >= DIVERGENCE).select("slot", "head", left.alias("left"))
+def kept_contexts(contexts: list[bytes], alone: list[bytes], summed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, in order, of a slot's contexts that pass the test, and log10 of the share of their suffix's rest that they leave."""
+    whole, seen = unpack_all(contexts, CONTEXTS)
+    order, first = runs(whole)
+    whole, seen = whole[order[first]], seen[order[first]].astype(float)
+    head, n, logs = unpack_all(alone, ALONE)
+    of, known, before, gain = unpack_all(summed, SUMMED)
+    at = np.searchsorted(whole, np.concatenate([head, of]))
+    total = lambda one, more: np.bincount(at, np.concatenate([one, more]), len(whole))
+    known = total(n, known)
+    before, gain = total(10 ** (logs * GRAIN), before), total(n * (np.log(n) - logs * (GRAIN * np.log(10))), gain)
+    some = np.nonzero(known > 0)[0]
+    whole, seen, known, before, gain = (x[some] for x in (whole, seen, known, before, gain))
+    more, left_before = seen - known, np.maximum(1e-12, 1 - before)
+    gain = gain - known * np.log(seen) + np.where(more > 0, more * np.log(np.maximum(more, 1) / seen / left_before), 0.0)
+    left = np.log10(np.maximum(1e-12, 1 - (known + SMOOTH * before) / (seen + SMOOTH)) / left_before)
+    return whole[gain >= DIVERGENCE], left[gain >= DIVERGENCE]
 
 
 def answered(found: DataFrame) -> DataFrame:
     """``of_part, slot, grams, contexts``: packed ``FOUND`` of the n-grams that a part asked a slot about, or ``KEPT`` of the contexts."""
 
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        heads, left = (known.column(c).to_numpy() for c in ("head", "left"))
-        order = np.argsort(heads)
-        heads, left = heads[order], left[order]
-        parts, packs = [], []
-        for part, blob in zip(asked.column("part").to_pylist(), asked.column("contexts").to_pylist(), strict=True):
+    def answer(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        parts, contexts, alone, summed = (group.column(c).drop_null().to_pylist() for c in ("part", "contexts", "alone", "summed"))
+        heads, left = kept_contexts(contexts, alone, summed)
+        out, packs = [], []
+        for part, blob in zip(parts, contexts, strict=True):
             asked_heads, _ = unpack(blob, CONTEXTS)
             at = np.minimum(np.searchsorted(heads, asked_heads), max(0, len(heads) - 1))
             hit = np.nonzero(heads[at] == asked_heads)[0] if len(heads) else at[:0]
             if len(hit):
-                parts.append(part)
+                out.append(part)
                 packs.append(pack(hit, left[at[hit]]))
-        slot = asked.column("of_slot")[0].as_py() if len(parts) else 0
-        return pa.table({"of_part": pa.array(parts, pa.int64()), "slot": pa.array([slot] * len(parts), pa.int32()), "grams": pa.nulls(len(parts), pa.binary()), "contexts": pa.array(packs, pa.binary())})
+        n = len(out)
+        return pa.table({"of_part": pa.array(out, pa.int64()), "slot": pa.array([key[0].as_py()] * n, pa.int32()), "grams": pa.nulls(n, pa.binary()), "contexts": pa.array(packs, pa.binary())})
 
-    asked = found.filter("part is not null").select(F.col("slot").alias("of_slot"), "part", "contexts")
-    kept = kept_contexts(found.filter("part is null").select("slot", "head", "seen", "known", "before", "gain"))
-    of_contexts = asked.groupBy("of_slot").cogroup(kept.groupBy("slot")).applyInArrow(answer, "of_part long, slot int, grams binary, contexts binary")
+    of_contexts = found.select("slot", "part", "contexts", "alone", "summed").groupBy("slot").applyInArrow(answer, "of_part long, slot int, grams binary, contexts binary")
     of_grams = found.filter("part is not null and grams is not null").select(F.col("part").alias("of_part"), "slot", "grams", F.lit(None).cast("binary").alias("contexts"))
     return of_grams.unionAll(of_contexts)
 

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -340,6 +341,46 @@ def test_suffix_tree_keeps_no_files_of_finished_steps(spark, tmp_path, monkeypat
     assert scored.count() == 40
 
 
+def test_suffix_tree_states_are_not_shuffled(spark, monkeypatch):
+    """States are joined where they lie, in buckets by part: only answers are dealt out again; no table of theirs is left in the catalogue."""
+    plans, save = {}, DataFrameWriter.saveAsTable
+
+    def spy(self, name, *args, **kwargs):
+        plans[name.rsplit("_", 1)[1]] = self._df._jdf.queryExecution().executedPlan().toString()
+        return save(self, name, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", spy)
+    monkeypatch.setattr(suffix_tree_lm, "PART", 100)
+    rows = spark.createDataFrame([(i, "a cold river runs by " * 9, i % 7 != 2) for i in range(40)], "doc_id long, text string, train boolean")
+    scored, _ = suffix_tree_lm.score_texts(rows)
+    assert scored.count() == 40
+    assert {"level0", "level1", "level2"} <= set(plans)
+    for name, plan in plans.items():
+        if name != "level0":
+            assert "Bucketed: true" in plan and "hashpartitioning(of_part" in plan and "hashpartitioning(part" not in plan
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("suffix_tree")]
+
+
+def test_suffix_tree_words_and_pieces(spark, monkeypatch):
+    """Words as ``tokens`` has them, whatever stands between them; texts cut into pieces and parts of a few words; packs and planes there and back."""
+    monkeypatch.setattr(suffix_tree_lm, "PART", 5)
+    monkeypatch.setattr(suffix_tree_lm, "PIECE", 10)
+    texts = [*ODD, "A\x0bb\x0cc\x1cd\x85e\xa0f \r\n g\u2028h", "\n", " lead", "trail ", "ÀÉ Z"]
+    rows = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, train boolean").coalesce(1)
+    scored, total = suffix_tree_lm.score_texts(rows)
+    split = [suffix_tree_lm.tokens((t or "").encode()) for t in texts]
+    c = Counter(w for t in split for w in t)
+    assert total == sum(c.values())
+    got = {r.doc_id: r for r in scored.collect()}
+    for i, t in enumerate(split):
+        assert (got[i].n_tokens, got[i].n_known) == (len(t), len(t))
+        assert math.isclose(got[i].base_score, sum(math.log10((c[w] + 1) / (total + len(c) + 1)) for w in t), rel_tol=1e-9)
+    whole, wide, real = np.array([-5, 3, 2**40]), np.array([2**50, -1, 0]), np.array([0.1, -2.5, 1e300])
+    for columns in ((whole, wide, real), (whole[:2], whole[:2], real[:2]), (whole[:0], wide[:0], real[:0])):
+        back = suffix_tree_lm.unpack(suffix_tree_lm.pack(*columns), (np.int64, np.int64, float))
+        assert all(np.array_equal(x, y) for x, y in zip(columns, back, strict=True))
+
+
 def test_whole_secrets_are_redacted():
     """All lines of a private key, all parts of a bearer token, a token around a run of hex digits, context behind."""
     random = np.random.default_rng(11)
